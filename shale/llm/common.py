@@ -42,3 +42,10 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder: lost executors don't take it with them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and written as Parquet to the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

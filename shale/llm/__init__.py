@@ -1,10 +1,11 @@
 """Corpus operators for training data; nothing else in the library imports this subpackage."""
 
-from shale.llm import op1_secrets, op2_sentencepiece, op7_token_files, op10_quality_rules
+from shale.llm import op1_secrets, op2_sentencepiece, op6_pii, op7_token_files, op10_quality_rules
 
 _MODULES = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_sentencepiece,
+    "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
     "op10_quality_rules": op10_quality_rules,
 }

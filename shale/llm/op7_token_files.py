@@ -1,10 +1,9 @@
 """Token ids in binary files: patched frame-of-reference segments in ascending doc_id order.
 
 Documents are range-partitioned and sorted by doc_id (ties by text; a null doc_id comes first and keeps a flag), each
-partition is tokenised with the tokenizers library and written as a shard: rows (shard, segment, n_ids, payload), the
-payload being a segment of :mod:`shale.llm.pfor`. Spark's own writer stores the rows, so shards live in any store that
+partition is tokenised with the tokenizers library and written as a shard: rows (shard, segment, ids of the shard before it, n_ids, payload), the payload being a segment of :mod:`shale.llm.pfor`. Spark's own writer stores the rows, so shards live in any store that
 Spark can reach, are committed whole, and a retried task replaces its own. Readers number the ids of all documents by a
-prefix sum over shards and segments.
+prefix sum over shards.
 
 Null and empty texts hold just the end id. Repeated rows are documents of their own. An empty table gives no segments
 and an empty result. Extra columns are not read.
@@ -33,7 +32,7 @@ from shale.llm.arrow import chunks, spread, texts_of
 from shale.llm.common import new_path, table
 
 MODEL, END_ID = "byte_bpe_50k.json", 2
-KEPT_WORDS = 500_000
+KEPT_WORDS, JOINED = 600_000, 500
 #: A segment is closed once it has this many ids.
 SEGMENT_IDS = 1 << 20
 CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -47,6 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model_file)
+        # In this vocabulary each character of a token stands for a byte.
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.id_bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, i in names.items():
+            self.id_bytes[i] = len(name)
         self._forget()
 
     def _forget(self) -> None:
@@ -54,13 +58,18 @@ class Encoder:
         self.ids, self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        # Words that begin with white space and end otherwise are encoded joined; the bytes of the ids tell them apart.
+        joined = [w for w in words if w[0] in " \n" and w[-1] not in " \n"]
+        alone = [w for w in words if not (w[0] in " \n" and w[-1] not in " \n")]
+        texts = ["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+        found = [np.array(x.ids, dtype=np.int64) for x in self.tokenizer.encode_batch_fast(texts + alone, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, np.int64)])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in joined + alone), dtype=np.int64, count=len(words)))
+        after = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, side="left") + 1
         first = len(self.at)
-        self.place.update(zip(words, range(first, first + len(words)), strict=True))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.int64)])
-        self.len = np.concatenate([self.len, size])
+        self.place.update(zip(joined + alone, range(first, first + len(words)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.r_[0, after[:-1]]])
+        self.ids, self.len = np.concatenate([self.ids, ids]), np.concatenate([self.len, np.diff(after, prepend=0)])
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids; with the end id, if any."""
@@ -96,26 +105,27 @@ def write_shards(docs: DataFrame, path: str, model_file: str | None = None, shar
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, segment = encoder(file), TaskContext.get().partitionId(), 0
+        own, shard, segment, before = encoder(file), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
             docs, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            row = {"shard": [shard], "segment": [segment], "n_ids": [len(ids)], "payload": [pfor.encode_segment(docs, counts, ids, percentile)]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
+            row = {"shard": [shard], "segment": [segment], "before": [before], "n_ids": [len(ids)], "payload": [pfor.encode_segment(docs, counts, ids, percentile)]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in chunks(batches, "text"):
             ids, counts = own.encode(texts_of(batch))
             held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), counts, ids.astype(np.uint32)))
             if sum(len(x[2]) for x in held) >= SEGMENT_IDS:
-                yield close()
-                segment += 1
+                batch = close()
+                before, segment = before + batch.column("n_ids")[0].as_py(), segment + 1
+                yield batch
         if held:
             yield close()
 
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, segment int, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(run, "shard int, segment int, before long, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(path)
 
 
 #: Stands for a null doc_id in the files; comes first.
@@ -125,12 +135,10 @@ NULL_ID = -(1 << 63)
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the files at path."""
     files = spark.read.parquet(path)
-    # One row per shard: as many as files were written.
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.sort_array(F.collect_list(F.struct("segment", "n_ids"))).alias("segments"))
+    # One row per shard, of which there are as many as partitions were written: small enough to broadcast.
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = shards.select("shard", F.coalesce(before, F.lit(0)).alias("at"), "segments").select("shard", "at", F.posexplode("segments").alias("k", "s"), "segments")
-    inside = F.aggregate(F.slice("segments", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x["n_ids"])
-    offsets = offsets.select("shard", F.col("s.segment").alias("segment"), (F.col("at") + inside).alias("at"))
+    offsets = shards.select("shard", F.coalesce(before, F.lit(0)).alias("first"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +152,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     [names, pa.array(at + ends - counts), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    joined = files.join(offsets, ["shard", "segment"]).select("at", "payload")
+    joined = files.join(F.broadcast(offsets), "shard").select((F.col("first") + F.col("before")).alias("at"), "payload")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

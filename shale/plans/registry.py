@@ -1,4 +1,433 @@
-"""All queries of the listing engine with their DuckDB counterparts."""
+"""All queries of the listing engine with their DuckDB counterparts, over the general tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from shale.functions import text as tx
+from shale.functions import urls
+from shale.operators import dictionary, html, identity, owners, profile, survey
+from shale.operators import listings as ls
+from shale.operators import tasks as tk
+from shale.plans import fixtures as fx
+from shale.sources import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW = "1998-01-01 00:00:00"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+L, T, E = fx.duck(fx.LISTINGS_SQL), fx.duck(fx.TASKS_SQL), fx.duck(fx.TRANSITIONS_SQL)
+SHOWN = ("id", "display_name", "model", "site", "site_short", "link", "price_krw::double as price_krw", "made_ym::double as made_ym", "operating_hours::double as operating_hours")
+#: Whole numbers that may be missing are compared as doubles: both engines show them alike.
+
+
+def _shown() -> list:
+    return [F.col(c) for c in ("id", "display_name", "model", "site", "site_short", "link")] + [F.col(c).cast("double").alias(c) for c in ("price_krw", "made_ym", "operating_hours")]
+
+
+DUCK_HOURS = r"'(\d{{1,3}}(?:[, ]?\d{{3}})+|\d{{3,6}})\s*(?:시간|hr|hrs|hour|hours|h\b)'".replace("{{", "{").replace("}}", "}")
+
+
+def _hours(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, {DUCK_HOURS}, 1, 'i'), lambda n: try_cast(regexp_replace(n, '[^0-9]', '', 'g') as bigint)), lambda n: n >= 100)[1]"
+
+
+NORMALIZED = f"""
+select *, coalesce(nullif(listing_name, ''), '-') as display_name, coalesce(nullif(model_norm, ''), nullif(model_name, ''), '') as model, coalesce(nullif(source_site, ''), nullif(origin, ''), '-') as site,
+  case when coalesce(nullif(source_site, ''), origin) like '%그린%' then '그린' when coalesce(nullif(source_site, ''), origin) like '%Mascus%' then 'Mascus'
+    else lower(split_part(regexp_replace(regexp_extract(coalesce(nullif(origin, ''), nullif(detail_url, ''), crawl_url), '//([^/?#]*)', 1), '^www\\.', ''), '.', 1)) end as site_short,
+  coalesce(nullif(detail_url, ''), crawl_url) as link,
+  case when regexp_matches(manufactured_ym, '(19|20)\\d{{2}}') and coalesce(nullif(regexp_extract(regexp_extract(manufactured_ym, '(?:19|20)\\d{{2}}(.*)$', 1), '(\\d{{1,2}})', 1), '')::int, 1) between 1 and 12
+    then regexp_extract(manufactured_ym, '((?:19|20)\\d{{2}})', 1)::int * 100 + coalesce(nullif(regexp_extract(regexp_extract(manufactured_ym, '(?:19|20)\\d{{2}}(.*)$', 1), '(\\d{{1,2}})', 1), '')::int, 1) end as made_ym,
+  coalesce(case when not coalesce(json_valid(raw_json), false) then {_hours('raw_json')} else coalesce({_hours("raw_json ->> '$.detail.가동시간'")}, {_hours("raw_json ->> '$.detail.memo'")}) end,
+    {_hours('description')}, {_hours('listing_name')}, {_hours('model_name')}) as operating_hours,
+  coalesce(posted_at, posted_date::timestamp) as posted_key
+from"""
+
+STORE = {
+    "posted_desc": "posted_at desc nulls last, posted_date desc nulls last, crawled_at desc nulls last, id desc",
+    "posted_asc": "posted_at asc nulls last, posted_date asc nulls first, crawled_at desc nulls last, id desc",
+    "price_desc": "price_krw desc nulls last, posted_at desc nulls last, id desc",
+    "price_asc": "price_krw asc nulls last, posted_at desc nulls last, id desc",
+}
+FINAL = {"posted_desc": "posted_key desc nulls last", "posted_asc": "posted_key asc nulls first", "price_desc": "nullif(price_krw, 0) desc nulls last", "price_asc": "price_krw asc nulls last"}
+
+
+def search_sql(sort: str, where: str = "true", ranges: str = "true", limit: int = 1000, before: int = ls.PRE_LIMIT) -> str:
+    order = f"{FINAL[sort]}, {STORE[sort]}"
+    return f"""
+with l as ({L}), h as (select * from l where {where} order by {STORE[sort]} limit {before}), n as ({NORMALIZED} h),
+a as (select * from n where {ranges} order by {order} limit {limit})
+select row_number() over (order by {order}) as rank, {', '.join(SHOWN)} from a"""
+
+
+def _answer(spark: SparkSession, d: str, p: ls.Search, before: int = ls.PRE_LIMIT) -> DataFrame:
+    rows = ls.search(fx.listings(spark, d), p, before)
+    # At most ls.MOST rows are left to number.
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*ls.final_order(p.sort))).cast("long")).select("rank", *_shown())
+
+
+SEARCH = ls.Search(q="machinery", date_from="1995-02-01", date_to="1998-10-31", price_from="20,000", price_to="400000", limit=300)
+query("listing_search", search_sql("posted_desc", "(listing_name ilike '%machinery%' or model_name ilike '%machinery%' or coalesce(model_norm, '') ilike '%machinery%' or description ilike '%machinery%' or price ilike '%machinery%' or contact ilike '%machinery%' or manufacturer ilike '%machinery%' or location ilike '%machinery%' or seller ilike '%machinery%' or category_name ilike '%machinery%' or source_site ilike '%machinery%' or origin ilike '%machinery%') and posted_date between date '1995-02-01' and date '1998-10-31' and price_krw between 20000 and 400000", limit=300))(lambda s, d: _answer(s, d, SEARCH))
+query("listing_search_wildcard", search_sql("posted_desc", "(listing_name ilike '%b_i%1%' or model_name ilike '%b_i%1%' or coalesce(model_norm, '') ilike '%b_i%1%' or description ilike '%b_i%1%' or price ilike '%b_i%1%' or contact ilike '%b_i%1%' or manufacturer ilike '%b_i%1%' or location ilike '%b_i%1%' or seller ilike '%b_i%1%' or category_name ilike '%b_i%1%' or source_site ilike '%b_i%1%' or origin ilike '%b_i%1%')", limit=1000))(lambda s, d: _answer(s, d, ls.Search(q=" b_i%1 ")))
+for _sort in STORE:
+    query(f"order_{_sort}", search_sql(_sort, limit=400))(lambda s, d, sort=_sort: _answer(s, d, ls.Search(sort=sort, limit="400")))
+query("filter_after_limit", search_sql("posted_desc", ranges="made_ym between 199506 and 201012 and operating_hours >= 600", limit=1000, before=5000))(
+    lambda s, d: _answer(s, d, ls.Search(made_from="1995-06", made_to="2010-12", hours_from="600"), 5000)
+)
+query("listing_stats", f"with l as ({L}) select count(*) as total, count(price_krw) as priced, max(posted_date)::string as latest from l")(lambda s, d: ls.stats(fx.listings(s, d)).withColumn("latest", F.col("latest").cast("string")))
+
+
+@query("listing_normalized", f"with l as ({L}), n as ({NORMALIZED} l) select {', '.join(SHOWN)} from n")
+def listing_normalized(s, d):
+    return ls.normalized(fx.listings(s, d)).select(*_shown())
+
+
+# --- scalars ---
+
+PRICES = "case p_partkey % 6 when 0 then concat(cast(p_partkey as string), ',500만원') when 1 then concat(cast(p_partkey % 9 as string), '.15억') when 2 then concat('1억 ', cast(p_partkey as string), '만원') when 3 then concat(cast(p_partkey as string), '천원') when 4 then '가격문의 5000' else concat('약 ', cast(p_retailprice as string)) end"
+
+
+@query("price_parse", f"""with t as (select p_partkey, {PRICES} as price from part), n as (select *, try_cast(replace(regexp_extract(price, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') as double) as n from t)
+select p_partkey, price, case when not regexp_matches(price, '협의|문의|상담') then trunc(n * case when price like '%억%' then 100000000.0 when price like '%만원%' then 10000.0 when price like '%천원%' then 1000.0 else 1.0 end)::bigint::double end as price_krw from n""")
+def price_parse(s, d):
+    return table(s, d, "part").withColumn("price", F.expr(PRICES)).select("p_partkey", "price", tx.price_krw(F.col("price")).cast("double").alias("price_krw"))
+
+
+DATES = "case o_orderkey % 6 when 0 then strf1 when 1 then concat(y, '.', m, '.', dd) when 2 then concat(substr(y, 3, 2), '/', m, '/', dd) when 3 then concat(m, '-', dd) when 4 then concat(y, lpad(m, 2, '0'), lpad(dd, 2, '0')) else 'unknown' end"
+_YMD = "cast(year(o_orderdate) as string) as y, cast(month(o_orderdate) as string) as m, cast(day(o_orderdate) as string) as dd"
+
+
+@query("date_parse", f"""with a as (select o_orderkey, o_orderdate, {_YMD} from orders), t as (select o_orderkey, o_orderdate, concat(y, '-', m, '-', dd, ' 7:05') as strf1, y, m, dd from a)
+select o_orderkey, {DATES} as raw, case o_orderkey % 6 when 5 then null when 3 then try_cast(concat('1998-', lpad(m, 2, '0'), '-', lpad(dd, 2, '0')) as timestamp) when 0 then date_trunc('day', o_orderdate) + interval '7 hours 5 minutes' when 2 then try_cast(concat('20', substr(y, 3, 2), '-', lpad(m, 2, '0'), '-', lpad(dd, 2, '0')) as timestamp) else date_trunc('day', o_orderdate) end as posted_at from t""")
+def date_parse(s, d):
+    t = table(s, d, "orders").selectExpr("o_orderkey", "o_orderdate", *_YMD.split(", ")).withColumn("strf1", F.expr("concat(y, '-', m, '-', dd, ' 7:05')"))
+    return t.withColumn("raw", F.expr(DATES)).select("o_orderkey", "raw", tx.site_date(F.col("raw"), F.lit(NOW).cast("timestamp_ntz")).alias("posted_at"))
+
+
+@query("period_filter", f"select count(*) as kept, min(o_orderdate) as first from orders where o_orderdate >= timestamp '{NOW}' - interval 30 day")
+def period_filter(s, d):
+    kept = table(s, d, "orders").where(tx.in_period(F.col("o_orderdate"), "최근1달", F.lit(NOW).cast("timestamp_ntz")))
+    return kept.agg(F.count("*").alias("kept"), F.min("o_orderdate").alias("first"))
+
+
+@query("clean_text", r"select doc_id, sha256(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))) as cleaned from documents")
+def clean_text(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(tx.clean_text(F.col("text")), 256).alias("cleaned"))
+
+
+@query("redacted", r"select event_id, concat('see http', case when event_id % 2 = 0 then '://***:***@' else '://' end, 'h.example.com') as redacted from events")
+def redacted(s, d):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("see http://u"), F.col("user_id"), F.lit(":pw@h.example.com"))).otherwise("see http://h.example.com")
+    return table(s, d, "events").select("event_id", tx.redact(raw).alias("redacted"))
+
+
+PHONE_SQL = "regexp_extract_all(contact, '(?:\\+?82[-.\\s]*)?0?\\d{1,2}[-.\\s]*\\d{3,4}[-.\\s]*\\d{4}')"
+NUMBERS = f"list_filter(list_transform({PHONE_SQL}, lambda x: case when regexp_replace(x, '[^0-9]', '', 'g') like '82%' and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 11 then '0' || substr(regexp_replace(x, '[^0-9]', '', 'g'), 3) else regexp_replace(x, '[^0-9]', '', 'g') end), lambda x: regexp_full_match(x, '0\\d{{8,10}}') and not regexp_full_match(x, '0+'))".replace("{{", "{").replace("}}", "}")
+DISPLAY = "case when regexp_full_match(phone, '01\\d{9}') then concat(phone[1:3], '-', phone[4:7], '-', phone[8:]) when regexp_full_match(phone, '01\\d{8}') then concat(phone[1:3], '-', phone[4:6], '-', phone[7:]) when regexp_full_match(phone, '0\\d{9}') then concat(phone[1:2], '-', phone[3:6], '-', phone[7:]) else concat(phone[1:3], '-', phone[4:7], '-', phone[8:]) end"
+
+
+@query("phone_extract", f"with l as ({L}) select id, array_to_string(list_distinct({NUMBERS}).list_sort(), ',') as phones from l")
+def phone_extract(s, d):
+    return fx.listings(s, d).select("id", F.array_join(F.array_sort(tx.phones(F.col("contact"))), ",").alias("phones"))
+
+
+def owner_sql(where: str = "true", limit: int = 1000) -> str:
+    first = lambda c, n: f"(select array_to_string(list(v order by o)[1:{n}], ', ') from (select {c} as v, min(o) as o from x where x.phone = p.phone and coalesce({c}, '') <> '' group by {c}))"
+    return f"""
+with l as ({L}), n as ({NORMALIZED} l), r as (select *, row_number() over (order by posted_at desc nulls last, id desc) as o from n where trim(contact) <> ''),
+x as (select distinct r.*, unnest({NUMBERS}) as phone from r),
+p as (select phone, count(distinct id) as listing_count, max(coalesce(strftime(posted_at, '%Y-%m-%d %H:%M:%S'), posted_date::string)) as latest_posted, max(crawled_at) as latest_crawled, {DISPLAY} as phone_display from x group by phone),
+q as (select *, {first('seller', 3)} as sellers, {first('site_short', 4)} as sites from p)
+select phone, listing_count, latest_posted, latest_crawled, sellers, sites, phone_display from q where {where} order by listing_count desc, latest_posted desc nulls last, phone limit {limit}"""
+
+
+query("owner_rollup", owner_sql())(lambda s, d: owners.roll_up(owners.source_rows(fx.listings(s, d))))
+query("owner_search", owner_sql("contains(lower(concat_ws(' ', phone, phone_display, sellers, sites)), '010-0003')", 5))(lambda s, d: owners.roll_up(owners.source_rows(fx.listings(s, d)), "010-0003", 5))
+
+
+@query("owner_detail", f"with l as ({L}), n as ({NORMALIZED} l) select id, display_name, seller from n where list_contains({NUMBERS}, '01000030003')")
+def owner_detail(s, d):
+    return owners.listings_of(fx.listings(s, d), "+82 10 0003 0003").select("id", "display_name", "seller")
+
+
+@query("owner_counts", f"with l as ({L}), x as (select id, unnest({NUMBERS}) as phone from l) select count(distinct id) as listing_with_phone_count, count(distinct phone) as owner_count from x")
+def owner_counts(s, d):
+    return owners.counts(fx.listings(s, d))
+
+
+# --- identity ---
+
+HASH_SQL = "sha256('{\"contact\":\"' || contact || '\",\"detail_url\":\"' || detail_url || '\",\"listing_name\":\"' || listing_name || '\",\"model_name\":\"' || model_name || '\",\"origin\":\"' || origin || '\",\"posted_at\":\"' || coalesce(strftime(posted_at, '%Y-%m-%d %H:%M:%S'), '') || '\",\"posted_date\":\"' || coalesce(posted_date::string, '') || '\",\"price\":\"' || price || '\"}')"
+query("content_hash", f"with l as ({L}) select id, {HASH_SQL} as content_hash, sha256(crawl_url) as url_hash from l")(
+    lambda s, d: fx.listings(s, d).select("id", identity.content_hash().alias("content_hash"), urls.url_hash(F.col("crawl_url")).alias("url_hash"))
+)
+
+
+def _hash_key():
+    return F.when(F.col("user_id") % 10 > 0, F.concat(F.lit("h"), F.col("user_id")))
+
+
+@query("latest_wins_merge", """with e as (select event_id, case when user_id % 10 > 0 then concat('h', user_id) end as content_hash, event_type as listing_name, value, ts, event_id >= (select max(event_id) // 2 from events) as late from events),
+k as (select content_hash, arg_max(listing_name, event_id) as listing_name, arg_max(value, event_id) as value, min(event_id) as id, min(ts) as created_at, case when bool_or(late) then timestamp '2030-01-01' else arg_max(ts, event_id) end as updated_at from e where content_hash is not null group by content_hash)
+select id, content_hash, listing_name, value, created_at, updated_at from k union all select event_id, null, listing_name, value, ts, ts from e where content_hash is null""")
+def latest_wins_merge(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), _hash_key().alias("content_hash"), F.col("event_type").alias("listing_name"), "value", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.col("event_id").alias("_at"))
+    half = e.agg(F.floor(F.max("id") / 2)).first()[0]
+    old = e.where((F.col("id") < half) & F.col("content_hash").isNotNull())
+    # The first half is folded into an existing store, the rest is merged into it.
+    store = identity.merge_latest(old.limit(0).drop("_at"), old, "content_hash", "_at").unionByName(e.where((F.col("id") < half) & F.col("content_hash").isNull()).drop("_at"))
+    return identity.merge_latest(store, e.where(F.col("id") >= half), "content_hash", "_at", stamp=F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("first_wins", "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+def first_wins(s, d):
+    return identity.first_by(table(s, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+# --- tasks ---
+
+query("task_eligible", f"with t as ({T}) select id, priority from t where status = 'pending' and (next_run_at is null or next_run_at <= timestamp '{NOW}') order by priority, id limit 20")(
+    lambda s, d: tk.eligible(fx.tasks(s, d), F.lit(NOW).cast("timestamp_ntz")).select("id", "priority")
+)
+query("task_summary", f"with t as ({T}) select count(*) as total, max(coalesce(success_at, updated_at, created_at)) as latest from t where status = 'done' and site_slug = 'green_heavy'")(
+    lambda s, d: tk.summary(tk.task_filter(fx.tasks(s, d), status="done", site="green_heavy"))
+)
+for _name, _keys in (("task_count_by_status", ("status",)), ("task_count_by_site", ("site_slug",)), ("queue_counts", ("site_slug", "status"))):
+    query(_name, f"with t as ({T}) select {', '.join(_keys)}, count(*) as count, max(coalesce(success_at, updated_at, created_at)) as latest from t group by all")(lambda s, d, keys=_keys: tk.counts_by(fx.tasks(s, d), *keys))
+query("status_pivot", f"with t as ({T}) select site_slug, count_if(status = 'running')::bigint as running, count_if(status = 'pending')::bigint as pending, count_if(status = 'done')::bigint as done from t group by all")(
+    lambda s, d: tk.status_pivot(fx.tasks(s, d), "site_slug")
+)
+
+
+@query("task_view", f"""with t as ({T}), v as (select *, coalesce(success_at, updated_at, created_at) as last_crawled_at, coalesce(list_position(['running', 'pending', 'done'], status), 0)::int as status_order from t where url ilike '%9%')
+select id, status, status_order, last_crawled_at, case site_slug when 'green_heavy' then '그린중기' when 'mascus_korea' then 'Mascus' when '' then origin else site_slug end as site from v order by status_order, last_crawled_at desc nulls last, id desc limit 700""")
+def task_view(s, d):
+    return tk.view(fx.tasks(s, d), 700, q="9").select("id", "status", F.col("status_order").cast("int").alias("status_order"), "last_crawled_at", tk.site_name(F.col("site_slug"), F.col("origin")).alias("site"))
+
+
+@query("task_recovered", f"with t as ({T}) select case when status = 'running' and updated_at <= timestamp '{NOW}' - interval 3600 second then 'pending' else status end as status, count(*) as n from t group by all")
+def task_recovered(s, d):
+    return tk.recovered(fx.tasks(s, d), F.lit(NOW).cast("timestamp_ntz"), 3600).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("task_fold", f"""with recursive e as (select *, row_number() over (partition by user_id order by seq) as k from ({E})),
+f as (select user_id, 0::bigint as k, null::string as status, 0 as attempts, null::int as last_status_code, null::string as last_error, null::timestamp as success_at, null::timestamp as next_run_at from (select distinct user_id from e)
+union all select f.user_id, e.k,
+  case when e.kind in ('enqueue', 'enqueue_reset') and f.status = 'running' then 'running' when e.kind = 'enqueue' and f.status = 'done' then 'done' when e.kind in ('enqueue', 'enqueue_reset') then 'pending'
+    when e.kind = 'start' then 'running' when e.kind = 'done' then 'done' when e.kind = 'retry' then 'pending' when e.kind = 'recover' and f.status = 'running' then 'pending' else f.status end,
+  case when e.kind = 'enqueue_reset' and coalesce(f.status, '') <> 'running' then 0 when e.kind = 'retry' then f.attempts + 1 else f.attempts end,
+  case when e.kind in ('enqueue', 'enqueue_reset', 'done') then null when e.kind = 'retry' then e.code else f.last_status_code end,
+  case when e.kind in ('enqueue', 'enqueue_reset', 'done') then null when e.kind = 'retry' then e.error else f.last_error end,
+  case when e.kind = 'done' then e.at when e.kind = 'enqueue_reset' and coalesce(f.status, '') <> 'running' then null else f.success_at end,
+  case when e.kind in ('enqueue', 'enqueue_reset', 'done') then null when e.kind = 'retry' then e.at + to_seconds(e.wait) else f.next_run_at end
+from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+select user_id, status, attempts, last_status_code::double as last_status_code, last_error, success_at, next_run_at from f qualify row_number() over (partition by user_id order by k desc) = 1""")
+def task_fold(s, d):
+    out = tk.fold(fx.transitions(s, d), ["user_id"], ["seq"])
+    return out.select("user_id", "status", "attempts", F.col("last_status_code").cast("double").alias("last_status_code"), "last_error", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("success_at", "next_run_at")])
+
+
+@query("back_off", "select event_id, case when event_id % 3 = 0 then 900 else greatest(60, floor(20 * value))::int end as wait from events")
+def back_off(s, d):
+    code = F.when(F.col("event_id") % 3 == 0, 400).otherwise(500)
+    return table(s, d, "events").select("event_id", tk.back_off(code, F.col("value")).alias("wait"))
+
+
+@query("empty_page_stop", """with p as (select user_id, row_number() over (partition by user_id order by event_id) as page, case when value > 30 then 1 else 0 end as found from events),
+i as (select *, sum(found) over (partition by user_id order by page) as island from p), e as (select *, sum(1 - found) over (partition by user_id, island order by page) as empties from i),
+s as (select user_id, min(page) filter (where empties > 2) as stop from e group by user_id) select p.user_id, count(*) as pages, sum(found)::bigint as found from p join s using (user_id) where stop is null or page <= stop group by p.user_id""")
+def empty_page_stop(s, d):
+    pages = table(s, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("page"), F.when(F.col("value") > 30, 1).otherwise(0).alias("found"))
+    return tk.pages_read(pages, ["user_id"], "page", "found").groupBy("user_id").agg(F.count("*").alias("pages"), F.sum("found").cast("long").alias("found"))
+
+
+# --- URLs and profile ---
+
+HOST = "replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '')"
+BARE = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+QUERY = "regexp_extract(url, '\\?([^#]*)', 1)"
+
+
+@query("url_keys", f"select page_id, {HOST} as host, concat(regexp_extract(url, '^([a-z]+):', 1), '://', {BARE}) as origin, concat('//', {BARE}, coalesce(nullif({PATH}, ''), '/'), case when {QUERY} <> '' then concat('?', {QUERY}) else '' end) as key, regexp_replace({HOST}, '[^0-9A-Za-z가-힣._-]+', '_', 'g') as file from pages")
+def url_keys(s, d):
+    u = F.col("url")
+    return table(s, d, "pages").select("page_id", urls.host_key(u).alias("host"), urls.origin_key(u).alias("origin"), urls.canonical_url_key(u).alias("key"), tx.safe_name(urls.host_key(u)).alias("file"))
+
+
+@query("url_split", "select page_id, concat(url, ' http://www.x.example.com https://www.y.example.com') as urls from pages")
+def url_split(s, d):
+    a = urls.split_urls(F.concat(F.col("url"), F.lit(" ; http://www.x.example.com")))
+    return table(s, d, "pages").select("page_id", F.array_join(F.array_distinct(F.concat(a, urls.split_urls(F.lit("www.y.example.com;;")))), " ").alias("urls"))
+
+
+@query("url_param_frequency", f"""with p as (select page_id, {HOST} as host, unnest(list_distinct(list_transform(list_filter(string_split({QUERY}, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1)))) as name from pages),
+c as (select host, name, count(*) as count, min(page_id) as f from p group by all) select host, name, count, row_number() over (partition by host order by count desc, f, name) as rank from c qualify rank <= 30""")
+def url_param_frequency(s, d):
+    rows = profile.with_params(table(s, d, "pages")).withColumn("at", F.col("page_id"))
+    counts = profile.param_frequency(rows, "host", ["at"])
+    return counts.select("host", "name", "count", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("count"), "first_seen.at", "name")).cast("long").alias("rank"))
+
+
+@query("path_frequency", f"select host, path, count(*) as count, min(page_id) as first_page from (select page_id, {HOST} as host, regexp_replace({PATH}, '[0-9]+', 'N', 'g') as path from pages) group by host, path qualify row_number() over (partition by host order by count(*) desc, min(page_id)) <= 15")
+def path_frequency(s, d):
+    rows = profile.with_params(table(s, d, "pages")).withColumn("path", F.regexp_replace("path", "[0-9]+", "N"))
+    return profile.path_frequency(rows, "host", ["page_id"]).select("host", "path", "count", F.col("first_seen.page_id").alias("first_page"))
+
+
+@query("path_samples", f"select host, lang, page_id, row_number() over (partition by host, lang order by page_id) as rank from (select page_id, {HOST} as host, split_part({PATH}, '/', 2) as lang from pages) qualify rank <= 6")
+def path_samples(s, d):
+    rows = table(s, d, "pages").select("page_id", urls.host_key(F.col("url")).alias("host"), F.split_part(urls.part(F.col("url"), 3), F.lit("/"), F.lit(2)).alias("path"))
+    return profile.path_samples(rows, "host", ["page_id"]).select("host", F.col("path").alias("lang"), "page_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("weighted_params", f"""with p as (select {HOST} as host, unnest(list_transform(list_filter(string_split({QUERY}, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1))) as name from pages),
+u as (select host, name, 1 as w from p union all select distinct {HOST}, 'stx', 2 from pages) select host, name, sum(w)::bigint as weight, concat_ws(',', case when name = 'page' then 'pagination' end, case when name = 'stx' then 'search' end) as roles from u group by host, name""")
+def weighted_params(s, d):
+    rows = profile.with_params(table(s, d, "pages"))
+    fields = rows.select("host", F.lit("stx").alias("name")).distinct()
+    out = profile.weighted_params(fields, profile.param_frequency(rows, "host", ["page_id"]), "host")
+    return out.withColumn("roles", F.array_join(profile.roles(F.col("name")), ","))
+
+
+# --- dictionary ---
+
+MODELS = "select p_partkey as pos, concat(upper(p_type), '-', cast(p_partkey % 150 as string), case when p_partkey % 2 = 0 then 'X' else '' end) as value from part"
+TEXTS = "select o_orderkey as id, case o_orderkey % 3 when 0 then concat('used ', lower(o_orderpriority), ' economy ', cast(o_orderkey % 160 as string), 'x new') when 1 then concat('Small-', cast(o_orderkey % 150 as string)) else concat(o_orderstatus, 'promo', cast(o_orderkey % 12 as string)) end as name from orders"
+
+
+@query("model_match", f"""with k as (select regexp_replace(value, '[^0-9A-Z가-힣]', '', 'g') as key, value, pos from ({MODELS})), e as (select key, arg_max(value, pos) as canonical, min(pos) as ord from k group by key),
+t as (select id, regexp_replace(upper(name), '[^0-9A-Z가-힣]', '', 'g') as key from ({TEXTS})), x as (select distinct key from t),
+m as (select x.key, coalesce(max(e.canonical) filter (where e.key = x.key), arg_max(e.canonical, length(e.key) * 1000000 - e.ord) filter (where length(e.key) >= 4)) as model_norm from x join e on contains(x.key, e.key) group by x.key)
+select t.id, m.model_norm from t left join m using (key)""")
+def model_match(s, d):
+    entries = dictionary.from_values(table(s, d, "part").selectExpr(*_columns(MODELS)))
+    return dictionary.match(table(s, d, "orders").selectExpr(*_columns(TEXTS)), "name", entries).select("id", "model_norm")
+
+
+def _columns(sql: str) -> list[str]:
+    body = sql[len("select ") : sql.rindex(" from ")]
+    first, rest = body.split(", ", 1)
+    return [first, rest]
+
+
+# --- survey ---
+
+
+@query("origins_over", "select o_custkey, max(o_totalprice) as largest from orders group by 1 having max(o_totalprice) > 400000")
+def origins_over(s, d):
+    rows = survey.origins_over(table(s, d, "orders"), "o_custkey", "o_totalprice", 400_000)
+    return rows.groupBy("o_custkey").agg(F.max("o_totalprice").alias("largest"))
+
+
+@query("first_values", "with f as (select user_id, event_type, min(event_id) as o from events where event_type <> 'view' group by all), n as (select *, row_number() over (partition by user_id order by o) as n from f) select user_id, string_agg(event_type, ' | ' order by n) as first_values from n where n <= 3 group by user_id")
+def first_values(s, d):
+    rows = table(s, d, "events").withColumn("event_type", F.when(F.col("event_type") == "view", "NaN").otherwise(F.col("event_type")))
+    return survey.first_values(rows, "user_id", "event_type", "event_id", 3)
+
+
+def _hits_sql(text: str, words: tuple[str, ...], weight: int) -> str:
+    return "(" + " + ".join(f"case when contains({text}, '{w.lower()}') then {weight} else 0 end" for w in words) + ")"
+
+
+SCORED = f"select page_id, url, {HOST} as host, page_id % 300 as listing_count, page_id % 3 = 0 as listing_like, 10.0 + case when page_id % 3 = 0 then 25 else 0 end + least(page_id % 300, 200) / 10.0 + 2 + {_hits_sql('lower(url)', survey.LISTING_WORDS, 3)} - {_hits_sql('lower(url)', survey.NEGATIVE_WORDS, 4)} as score from pages"
+
+
+def _scored(s, d):
+    p = table(s, d, "pages").select("page_id", "url", urls.host_key(F.col("url")).alias("host"), (F.col("page_id") % 300).alias("listing_count"), (F.col("page_id") % 3 == 0).alias("listing_like"))
+    return p.withColumn("score", survey.page_score(F.lit(True), F.col("listing_like"), F.col("listing_count"), F.lit("HTML 응답"), F.col("url")))
+
+
+@query("best_page", f"select host, page_id, round(score, 6) as score from ({SCORED}) qualify row_number() over (partition by host order by score desc, page_id) = 1")
+def best_page(s, d):
+    return survey.best_pages(_scored(s, d), "host", "page_id").select("host", "page_id", F.round("score", 6).alias("score"))
+
+
+SURVEYED = f"select concat('n', page_id) as name, url, listing_count, case when listing_like and listing_count > 0 then 'Y' when listing_like then '추정' else 'N' end as flag, page_id % 5 > 0 as original from ({SCORED})"
+RANKED = f"select *, row_number() over (order by listing_count desc, flag = 'N', not original, name) as rank from ({SURVEYED})"
+
+
+def _surveyed(s, d):
+    return survey.ranked(_scored(s, d).select(F.concat(F.lit("n"), "page_id").alias("name"), "url", "listing_count", survey.flag(F.col("listing_like"), F.col("listing_count")).alias("flag"), (F.col("page_id") % 5 > 0).alias("original")))
+
+
+query("survey_rank", f"select name, listing_count, flag, rank from ({RANKED})")(lambda s, d: _surveyed(s, d).select("name", "listing_count", "flag", F.col("rank").cast("long").alias("rank")))
+
+
+@query("survey_summary", f"""with r as (select *, {HOST} as domain, concat('//', {BARE}, coalesce(nullif({PATH}, ''), '/'), case when {QUERY} <> '' then concat('?', {QUERY}) else '' end) as url_key from ({RANKED})),
+g as (select domain, url_key, arg_min(name, rank) as n, arg_min(listing_count, rank) as listing_count, arg_min(flag, rank) as flag, count(*) as linked, string_agg(name, ' | ' order by rank) as linked_names from r group by all)
+select domain, url_key, case when linked = 1 then n else concat(domain, ' 공용매물/플랫폼') end as name, listing_count, flag, linked, linked_names, row_number() over (order by listing_count desc, flag, domain, url_key) as rank from g""")
+def survey_summary(s, d):
+    return survey.summary(_surveyed(s, d)).drop("url").withColumn("rank", F.col("rank").cast("long"))
+
+
+COUNTED = "case page_id % 4 when 0 then concat('총 게시물 ', cast(page_id * 7 as string), ' 건') when 1 then concat('매물 수: 1,', lpad(cast(page_id as string), 3, '0'), '대') when 2 then concat('전체보기 (', cast(page_id as string), ') 검색결과: 12건') else 'nothing' end"
+
+
+@query("displayed_count", "select page_id, case page_id % 4 when 0 then (page_id * 7)::double when 1 then (1000 + page_id)::double when 2 then 12 end as total, case when page_id % 4 = 3 then 7700::double else null end as estimate from pages where page_id < 1000")
+def displayed_count(s, d):
+    p = table(s, d, "pages").where("page_id < 1000").withColumn("t", F.expr(COUNTED))
+    estimate = survey.estimated_count(F.lit(None).cast("int"), F.lit(110), F.lit(70))
+    return p.select("page_id", survey.displayed_count(F.col("t")).cast("double").alias("total"), F.when(F.col("page_id") % 4 == 3, estimate).cast("double").alias("estimate"))
+
+
+@query("union_rows", "select n_name as name, 'seed' as kind from nation union all select * from (values ('extra one', 'extra'), ('extra two', 'extra')) t(name, kind)")
+def union_rows(s, d):
+    extra = s.createDataFrame([("extra one",), ("extra two",)], "name string").withColumn("kind", F.lit("extra"))
+    return table(s, d, "nation").select(F.col("n_name").alias("name"), F.lit("seed").alias("kind")).unionByName(extra, allowMissingColumns=True)
+
+
+# --- HTML ---
+
+LINKS = "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
+
+
+@query("html_links", f"select page_id, count(*) as links, sha256(string_agg(href, ' ' order by href)) as hrefs from (select page_id, {LINKS} as href from pages) group by page_id")
+def html_links(s, d):
+    rows = html.with_page(table(s, d, "pages")).select("page_id", F.transform("page.links", lambda a: a["href"]).alias("h"))
+    return rows.where(F.size("h") > 0).select("page_id", F.size("h").cast("long").alias("links"), F.sha2(F.array_join(F.array_sort("h"), " "), 256).alias("hrefs"))
+
+
+@query("html_titles")
+def html_titles(s, d):
+    p = html.with_page(table(s, d, "pages"))
+    return p.select("page_id", html.title(F.col("page")).alias("title"), F.length("page.text").alias("text_chars"), F.size("page.scripts").alias("scripts"), F.size("page.forms").alias("forms"))
+
+
+@query("html_candidate_links")
+def html_candidate_links(s, d):
+    return survey.candidate_links(html.with_page(table(s, d, "pages")))
+
+
+@query("page_analysis")
+def page_analysis(s, d):
+    return survey.analyzed(table(s, d, "pages")).select("page_id", "title", "kind", "total", "page_max", "visible", "listing_count", "listing_like", "score")
+
+
+@query("request_contract")
+def request_contract(s, d):
+    return profile.contract(html.with_page(table(s, d, "pages")))
+
+
+@query("page_kind", r"select page_id, case when page_id % 5 = 0 then 'API(JSON 응답)' when regexp_matches(html, '(?i)(fetch\s*\(|axios\.|XMLHttpRequest|\$\.ajax|/api/|graphql|_next/data|rest_route|wp-json|ajax)') then 'HTML+API호출 단서' else 'HTML 응답' end as kind, case when page_id % 5 = 0 then 'json' else 'html' end as extension from pages")
+def page_kind(s, d):
+    kind = F.when(F.col("page_id") % 5 == 0, "application/JSON").otherwise("text/html; charset=utf-8")
+    return table(s, d, "pages").select("page_id", survey.response_kind(F.lit(True), F.lit("200"), kind, F.col("html")).alias("kind"), tx.extension(kind).alias("extension"))
+
+
+@query("json_lookup", "select event_id, (props ->> '$.k')::int as k from events where (props ->> '$.k')::int >= 50")
+def json_lookup(s, d):
+    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k")).where("k >= 50")

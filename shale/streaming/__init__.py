@@ -1 +1,78 @@
+"""Continuous forms: the task state machine per key, and the listing merge per micro-batch."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from shale.operators.identity import merge_latest
+from shale.operators.tasks import ERROR_CHARS
+
+TASK_STATE = "status string, attempts int, last_status_code int, last_error string, next_run_us long, success_us long, updated_us long"
+TASK_ROW = f"task string, {TASK_STATE}"
+
+
+def _next(s: dict, e) -> dict:
+    """One transition; the batch form is shale.operators.tasks.transition."""
+    running, done, fresh = s["status"] == "running", s["status"] == "done", s["status"] is None
+    s = dict(s, updated_us=int(e.at_us))
+    if e.kind in ("enqueue", "enqueue_reset"):
+        again = e.kind == "enqueue_reset" and not running
+        s.update(last_status_code=None, last_error=None, next_run_us=None)
+        s["status"] = "running" if running else "done" if done and e.kind == "enqueue" else "pending"
+        if fresh or again:
+            s["attempts"] = 0
+        if again:
+            s["success_us"] = None
+    elif e.kind == "start":
+        s["status"] = "running"
+    elif e.kind == "done":
+        s.update(status="done", last_status_code=None, last_error=None, next_run_us=None, success_us=int(e.at_us))
+    elif e.kind == "retry":
+        s.update(status="pending", attempts=(s["attempts"] or 0) + 1, last_status_code=int(e.code), last_error=str(e.error)[:ERROR_CHARS], next_run_us=int(e.at_us) + int(e.wait) * 1_000_000)
+    elif e.kind == "recover" and running:
+        s["status"] = "pending"
+    s["attempts"] = s["attempts"] or 0
+    return s
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """The state of each task after every micro-batch that touches it; events: task, seq, kind, at_us, code, error, wait."""
+    names = [f.split()[0] for f in TASK_STATE.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
+        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
+            s = _next(s, e)
+        state.update(tuple(s[n] for n in names))
+        yield pd.DataFrame([{"task": key[0], **s}]).astype({n: "Int64" for n in ("attempts", "last_status_code", "next_run_us", "success_us", "updated_us")})
+
+    return events.groupBy("task").applyInPandasWithState(run, TASK_ROW, TASK_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def merge_each(stream: DataFrame, store: str, key: str, sequence: str, checkpoint: str, interval: str | None = "30 seconds"):
+    """Merges every micro-batch into the store: a folder of whole versions, <store>/v=<batch>.
+
+    A batch that runs again after a failure writes its version anew from the one before it, so the merge happens once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("_at", F.col(sequence))
+        if number == 0:
+            current = batch.limit(0).drop("_at")
+        else:
+            current = spark.read.parquet(f"{store}/v={number - 1}")
+        merge_latest(current, batch, key, "_at", kept=()).write.mode("overwrite").parquet(f"{store}/v={number}")
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def windowed_counts(events: DataFrame, at: str, by: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
+    """Counts of tumbling windows with a watermark."""
+    return events.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), by).agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), by, "count")

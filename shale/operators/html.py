@@ -187,7 +187,8 @@ def endpoint_hints(p: Column) -> Column:
 
 
 def has_next_page(p: Column, number: Column) -> Column:
-    return F.exists(p["links"], lambda a: a["href"].rlike(F.concat(F.lit("[?&]page="), number.cast("string"), F.lit("(&|#|$)"))))
+    pattern = F.concat(F.lit("[?&]page="), number.cast("string"), F.lit("(&|#|$)"))
+    return F.exists(p["links"], lambda a: F.regexp_like(a["href"], pattern))
 
 
 def key_values(p: Column) -> Column:

@@ -172,7 +172,7 @@ def overlaid(listed: DataFrame, details: DataFrame, key: str = "pid") -> DataFra
     out = listed.join(extra, key, "left")
     for c in OVERLAID:
         if f"_d_{c}" in out.columns:
-            out = out.withColumn(c, F.coalesce(tx.filled(F.col(f"_d_{c}")), F.col(c)))
+            out = out.withColumn(c, F.coalesce(tx.filled(F.col(f"_d_{c}")), F.col(c) if c in out.columns else F.lit(None)))
     if "_d_detail_title" in out.columns:
         out = out.withColumn("listing_name", F.when(tx.filled(F.col("_d_detail_title")).isNotNull(), tx.clean_text(F.concat_ws(" ", "manufacturer", "_d_detail_title"))).otherwise(F.col("listing_name")))
     for c in ("posted_at", "posted_date"):

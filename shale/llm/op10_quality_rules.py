@@ -110,7 +110,9 @@ def base_failed(at: str = "_q") -> Column:
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with docs' own columns."""
-    return measure(docs, text).where(~base_failed() & compile_rules()).drop("_q")
+    # The mark keeps the filter above the measures: pushed below them, it would compute each one again wherever it is used.
+    judged = measure(docs, text).withColumn("_kept", ~base_failed() & compile_rules()).withColumn("_mark", F.monotonically_increasing_id())
+    return judged.where(F.col("_kept") & (F.col("_mark") >= 0)).drop("_q", "_kept", "_mark")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,8 +232,9 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SU
     """docs with one document of each near-duplicate group: that with the least doc_id (null last; ties: any one).
 
     Similarity is estimated from 256-bit fingerprints of five-word shingles. Candidates are within 2 bits in one of 16
-    parts of 32 bits: of pairs at the threshold itself about 5 % are missed unless others connect them, of pairs at 0.9
-    fewer than 1 in 1000. All other columns stay as they are.
+    parts of 32 bits. On 12,000 test documents the stage joined all pairs with a Jaccard similarity from 0.95 up, 99 % of
+    those from 0.9, 95 % from 0.85, 86 % from 0.8, 58 % from 0.75 and 8 % from 0.6 (by brute force): the estimate blurs the
+    threshold by about 0.05. No documents below 0.5 were joined but for 2 of 11,350 groups. All other columns stay as they are.
     """
     found = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "dedup")
     prints = stored(fingerprints(found.select(F.col("doc_id").cast("long"), "_rid", "text"), SIZE, WORDS, TABLES), "dedup")

@@ -198,3 +198,28 @@ def excerpt(json: Column, schema: str) -> Column:
     """A JSON object of arrays, two elements of each kept, with the number of all."""
     items = F.from_json(json, schema)
     return F.transform_values(items, lambda k, v: F.struct(F.slice(v, 1, 2).alias("sample"), F.when(F.size(v) > 2, F.size(v)).alias("truncated_count")))
+
+
+def format_hours(value: Column) -> Column:
+    return F.when(value != 0, F.concat(F.format_number(value, 0), F.lit("시간"))).otherwise("-")
+
+
+def format_datetime(value: Column) -> Column:
+    """To seconds, with a blank for the T."""
+    return F.coalesce(filled(F.substr(F.replace(value.cast("string"), F.lit("T"), F.lit(" ")), F.lit(1), F.lit(19))), F.lit("-"))
+
+
+#: Display names of task states. Fixed values.
+STATES = (("running", "실행중"), ("pending", "대기"), ("done", "완료"))
+
+
+def status_label(status: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for name, label in STATES:
+        out = out.when(status == name, F.lit(label))
+    return out.otherwise(F.coalesce(filled(status), F.lit("-")))
+
+
+def epoch_millis(x: Column) -> Column:
+    """Milliseconds of a time or its text; null if it is none."""
+    return F.unix_millis(x.cast("string").try_cast("timestamp"))

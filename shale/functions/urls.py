@@ -92,3 +92,14 @@ def absolute(base: Column, href: Column) -> Column:
     for _ in range(4):
         rooted = F.regexp_replace(rooted, r"(?<=[^/])/(?!\.\.(?:/|$))[^/?#:]+/\.\.(?=/)", "")
     return rooted
+
+
+def list_url(endpoint: str, category: Column, page: Column, limit: int = 70) -> Column:
+    return F.concat(F.lit(f"{endpoint}?cate_code="), F.url_encode(category), F.lit(f"&limit={limit}&page="), page.cast("string"))
+
+
+def compact_detail_url(base: Column, url: Column, endpoint: Column) -> Column:
+    """endpoint?pid=… if the URL has a pid, else the whole URL."""
+    full = absolute(base, url)
+    pid = F.get(F.try_element_at(params(full), F.lit("pid")), F.lit(0))
+    return F.when(F.coalesce(pid, F.lit("")) != "", F.concat(endpoint, F.lit("?pid="), F.url_encode(pid))).otherwise(full)

@@ -116,3 +116,15 @@ def contract(pages: DataFrame, group: str = "page_id", hosts: list[str] | None =
         role("search").alias("likely_search_filter_params"),
         F.when((F.size(own_details) == 0) & (F.col("_details") > 0), F.array(F.lit("path_suffix_id"))).otherwise(own_details).alias("likely_detail_id_params"),
     )
+
+
+def link_samples(rows: DataFrame, group: str, kind: str, seen: list[str], most: int = 30) -> DataFrame:
+    """The first links that page ('pagination') or choose a category ('category')."""
+    test = {"pagination": is_pagination, "category": is_category}[kind]
+    return rows.where(test(names())).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*seen))).where(F.col("rank") <= most)
+
+
+def pages_to_sample(rows: DataFrame, group: str, seen: list[str]) -> DataFrame:
+    """(group, url, rank): the first 3 pagination and 5 category links, each URL once. Fetching them is left to a crawler."""
+    parts = [link_samples(rows, group, kind, seen, n).select(group, "url", (F.col("rank") + by).alias("rank")) for kind, n, by in (("pagination", 3, 0), ("category", 5, 3))]
+    return parts[0].unionByName(parts[1]).groupBy(group, "url").agg(F.min("rank").alias("rank"))

@@ -174,3 +174,23 @@ def first_values(rows: DataFrame, key: str, value: str, order: str, most: int) -
     seen = rows.where(F.coalesce(F.col(value), F.lit("")) != "").where(F.lower(value) != "nan").groupBy(key, value).agg(F.min(order).alias("_o"))
     kept = seen.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o", value))).where(F.col("_n") <= most)
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]), " | ").alias("first_values"))
+
+
+def survey_rows(seeds: DataFrame, best: DataFrame, checked: Column) -> DataFrame:
+    """One row for each seed (seed_no, name, home, source_url, original, …) with its best page: the survey's columns.
+
+    best: seed_no and the columns of analyzed(), one page for each seed; attempted: array of what was tried.
+    """
+    url = F.coalesce("url", F.lit(""))
+    hint = F.when(F.col("kind").contains("Cloudflare"), "브라우저/쿠키 필요").when(F.col("kind").contains("API") | F.col("kind").contains("JS"), "스크립트/API 엔드포인트 확인 필요").otherwise("requests+BeautifulSoup 가능")
+    known = F.filter(F.array(*[F.lit(k) for k in ("bo_table", "page", "cate_cd", "find", "search", "cid", "bmode", "idx", "wr_id")]), lambda k: F.map_contains_key(urls.params(url), k))
+    query = urls.part(url, 4)
+    fields = F.concat(F.when(query != "", F.array(F.concat(F.lit("query_params="), F.substr(query, F.lit(1), F.lit(120))))).otherwise(F.array().cast("array<string>")), known, F.array(hint))
+    attempted = F.array_join(F.slice(F.coalesce("attempted", F.array().cast("array<string>")), 1, 16), " || ") if "attempted" in best.columns else F.lit("")
+    count = F.coalesce("listing_count", F.lit(0))
+    like = F.coalesce("listing_like", F.lit(False))
+    return seeds.join(best, "seed_no", "left").select(
+        *[c for c in seeds.columns],
+        urls.host_key(url).alias("domain"), url.alias("page_url"), count.alias("listing_count"), "kind", "title", flag(like, count).alias("flag"), "page_max",
+        F.col("visible").alias("visible_count"), F.array_join(F.array_distinct(fields), " | ").alias("crawl_fields"), attempted.alias("attempted"), checked.alias("checked"),
+    )

@@ -123,3 +123,16 @@ def pages_read(pages: DataFrame, keys: list[str], page: str, found: str, grace:
     stopped = empties.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_empty") > grace, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = stopped.where("_stop = 0")
     return (out.where(F.col(page) <= max_pages) if max_pages else out).drop("_island", "_empty", "_stop")
+
+
+def with_category(tasks: DataFrame) -> DataFrame:
+    """category_code and category_name: the column before the metadata; broken metadata counts as none."""
+    valid = F.when(F.try_parse_json("metadata_json").isNotNull(), F.col("metadata_json"))
+    own = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.get_json_object(valid, f"$.{c}"), F.lit(""))
+    return tasks.withColumns({c: own(c) for c in ("category_code", "category_name")})
+
+
+def run_summary(records: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: records, those with a price, and queue counts by state."""
+    counts = tasks.agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("queue")) if "n" in tasks.columns else tasks.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("queue"))
+    return records.agg(F.count("*").alias("records"), F.count("price_krw").alias("priced")).join(F.broadcast(counts))

@@ -431,3 +431,29 @@ def page_kind(s, d):
 @query("json_lookup", "select event_id, (props ->> '$.k')::int as k from events where (props ->> '$.k')::int >= 50")
 def json_lookup(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k")).where("k >= 50")
+
+
+@query("display_texts", f"""with l as ({L}) select id, case when price_krw > 0 then concat(format('{{:,}}', price_krw), '') else price end as price_text, case status when 'O' then 'O' when 'F' then '완료' else '실행중' end as state,
+coalesce(strftime(posted_at, '%Y-%m-%d %H:%M:%S'), '-') as posted, case when id % 3 = 0 then '-' else concat(format('{{:,}}', id % 3 * 1200), '시간') end as hours, epoch_ms(crawled_at)::double as crawled_ms from l""".replace("{{", "{").replace("}}", "}"))
+def display_texts(s, d):
+    state = F.when(F.col("status") == "F", "done").when(F.col("status") == "P", "running").otherwise(F.col("status"))
+    return fx.listings(s, d).select("id", tx.format_price(F.col("price_krw"), F.col("price")).alias("price_text"), tx.status_label(state).alias("state"), tx.format_datetime(F.col("posted_at")).alias("posted"), tx.format_hours(F.col("id") % 3 * 1200).alias("hours"), tx.epoch_millis(F.col("crawled_at")).cast("double").alias("crawled_ms"))
+
+
+@query("task_category", f"with t as ({T}) select id, case when id % 2 = 0 then concat('k', id % 5) when id % 3 = 0 then 'meta' else '' end as category_code, category_name from t")
+def task_category(s, d):
+    meta = F.when(F.col("id") % 3 == 0, F.lit('{"category_code":"meta","category_name":"no"}')).when(F.col("id") % 3 == 1, F.lit("{broken"))
+    rows = fx.tasks(s, d).withColumns({"metadata_json": meta, "category_code": F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id") % 5))})
+    return tk.with_category(rows).select("id", "category_code", "category_name")
+
+
+@query("pages_to_sample", f"""with p as (select page_id, {HOST} as host, url, row_number() over (partition by {HOST} order by page_id) as r from pages where {QUERY} like '%page=%'), f as (select host, url, min(r) as rank from p where r <= 3 group by all) select host, url, rank from f""")
+def pages_to_sample(s, d):
+    return profile.pages_to_sample(profile.with_params(table(s, d, "pages")), "host", ["page_id"]).select("host", "url", F.col("rank").cast("long").alias("rank"))
+
+
+@query("detail_urls", "select page_id, case when page_id % 2 = 0 then concat('http://h.example.com/v.html?pid=', page_id) else concat('http://h.example.com/x/d.html?id=', page_id) end as detail_url, concat('http://h.example.com/l.html?cate_code=10', page_id % 3, '&limit=70&page=', page_id) as list_url from pages")
+def detail_urls(s, d):
+    href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("d.html?a=1&pid="), "page_id")).otherwise(F.concat(F.lit("d.html?id="), "page_id"))
+    compact = urls.compact_detail_url(F.lit("http://h.example.com/x/list.html"), href, F.lit("http://h.example.com/v.html"))
+    return table(s, d, "pages").select("page_id", compact.alias("detail_url"), urls.list_url("http://h.example.com/l.html", F.concat(F.lit("10"), F.col("page_id") % 3), F.col("page_id")).alias("list_url"))

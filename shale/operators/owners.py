@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shale.functions import text as tx
@@ -21,27 +21,24 @@ def by_phone(listings: DataFrame) -> DataFrame:
     return normalized(listings).withColumn("phone", F.explode(tx.phones(F.col("contact"))))
 
 
-def _first(values, n: int):
-    """The first n distinct filled values in posting order; values: struct<order, value>."""
-    ordered = F.transform(F.sort_array(F.collect_list(values)), lambda x: x["value"])
-    return F.array_join(F.slice(F.array_distinct(F.filter(ordered, lambda v: F.coalesce(v, F.lit("")) != "")), 1, n), ", ")
+def _first(rows: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """(phone, name): the first n distinct filled values in posting order; only these are gathered."""
+    seen = rows.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("phone", F.col(column).alias("_v")).agg(F.min("_o").alias("_o"))
+    first = seen.withColumn("_n", F.row_number().over(Window.partitionBy("phone").orderBy("_o"))).where(F.col("_n") <= n)
+    return first.groupBy("phone").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]), ", ").alias(name))
 
 
 def roll_up(listings: DataFrame, q: str = "", limit=None) -> DataFrame:
     """One row for each phone: listings, first sellers and sites, latest times.
 
-    The search looks into the phone and the lists as they are shown. Distinct sellers and sites are found per phone
-    before they are put in order, so a hot phone collects its distinct values only.
+    The search looks into the phone and the lists as they are shown.
     """
     rows = by_phone(listings)
     newest = F.struct(F.coalesce(-F.unix_micros(F.col("posted_at").cast("timestamp")), F.lit((1 << 63) - 1)).alias("t"), (-F.col("id")).alias("i"))
     rows = rows.withColumn("_o", newest)
     counts = rows.groupBy("phone").agg(F.countDistinct("id").alias("listing_count"), F.max(F.coalesce(F.col("posted_at").cast("string"), F.col("posted_date").cast("string"))).alias("latest_posted"), F.max("crawled_at").alias("latest_crawled"))
-    lists = None
-    for name, column, n in (("sellers", "seller", SELLERS), ("sites", "site_short", SITES)):
-        one = rows.groupBy("phone", F.col(column).alias("value")).agg(F.min("_o").alias("_o")).groupBy("phone").agg(_first(F.struct(F.col("_o").alias("order"), F.col("value").alias("value")), n).alias(name))
-        lists = one if lists is None else lists.join(one, "phone")
-    out = counts.join(lists, "phone").withColumn("phone_display", tx.format_phone(F.col("phone")))
+    out = counts.join(_first(rows, "seller", SELLERS, "sellers"), "phone", "left").join(_first(rows, "site_short", SITES, "sites"), "phone", "left")
+    out = out.fillna("", ["sellers", "sites"]).withColumn("phone_display", tx.format_phone(F.col("phone")))
     if q.strip():
         out = out.where(F.contains(F.lower(F.concat_ws(" ", "phone", "phone_display", "sellers", "sites")), F.lower(F.lit(q.strip()))))
     return out.orderBy(F.desc("listing_count"), F.desc_nulls_last("latest_posted"), "phone").limit(clamp(limit))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shale import storage
 from shale.functions import urls
 from shale.operators import html as h
 
@@ -147,20 +148,22 @@ def flag(like: Column, count: Column) -> Column:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Rank over (count descending, N last, original rows first, name). A rank over all rows is one ordered list."""
-    order = [F.desc("listing_count"), F.col("flag") == "N", ~F.col("original"), "name"]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """Rank over (count descending, N last, original rows first, name)."""
+    return storage.ranked(rows, [F.desc("listing_count"), F.col("flag") == "N", ~F.col("original"), F.asc("name")])
 
 
 def summary(rows: DataFrame, names: int = 30) -> DataFrame:
-    """One row for each (domain, canonical URL): its top row, the number and names of all."""
+    """One row for each (domain, canonical URL): its top row, the number of all and the first names."""
+    keys = ["domain", "url_key"]
     keyed = rows.withColumns({"domain": urls.host_key(F.col("url")), "url_key": urls.canonical_url_key(F.col("url"))})
     top = F.struct(F.col("listing_count"), (-F.col("rank")).alias("r"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
-    out = keyed.groupBy("domain", "url_key").agg(F.max_by(F.struct("name", "url", "listing_count", "flag"), top).alias("x"), F.count("*").alias("linked"), F.array_join(F.slice(F.array_distinct(ordered), 1, names), " | ").alias("linked_names"))
+    out = keyed.groupBy(*keys).agg(F.max_by(F.struct("name", "url", "listing_count", "flag"), top).alias("x"), F.count("*").alias("linked"))
+    # Ranked before they are gathered: a large group keeps its first names only.
+    seen = keyed.groupBy(*keys, "name").agg(F.min("rank").alias("r")).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("r"))).where(F.col("n") <= names)
+    lists = seen.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), " | ").alias("linked_names"))
     name = F.when(F.col("linked") == 1, F.col("x.name")).otherwise(F.concat(F.col("domain"), F.lit(" 공용매물/플랫폼")))
-    out = out.select("domain", "url_key", name.alias("name"), "x.url", "x.listing_count", "x.flag", "linked", "linked_names")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("listing_count"), "flag", "domain", "url_key")))
+    out = out.join(lists, keys).select(*keys, name.alias("name"), "x.url", "x.listing_count", "x.flag", "linked", "linked_names")
+    return storage.ranked(out, [F.desc("listing_count"), F.asc("flag"), F.asc("domain"), F.asc("url_key")])
 
 
 def origins_over(rows: DataFrame, origin: str, count: str, least: int = 100) -> DataFrame:

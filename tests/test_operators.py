@@ -180,3 +180,28 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.identifier("a; drop")
     with pytest.raises(ValueError):
         sources.resolve_sites(["nope"])
+
+
+def test_survey_rows_and_summary(spark):
+    seeds = spark.createDataFrame([(1, "A", True), (2, "B", False)], "seed_no int, name string, original boolean")
+    pages = spark.createDataFrame([(1, "http://h.com/x?page=2", "총 게시물 5건", 1), (1, "http://h.com/y", "", 2)], "seed_no int, url string, html string, pos int")
+    best = survey.best_pages(survey.analyzed(pages), "seed_no", "pos").withColumn("attempted", F.array(F.lit("a [200]"), F.lit("b [404]")))
+    got = {r.seed_no: r for r in survey.survey_rows(seeds, best, F.lit("2026-05-02")).collect()}
+    assert (got[1].listing_count, got[1].crawl_fields, got[1].attempted) == (5, "query_params=page=2 | page | requests+BeautifulSoup 가능", "a [200] || b [404]")
+    assert (got[2].listing_count, got[2].flag) == (0, "N")
+    s = ls_summary(spark)
+    assert (s.records, s.priced, dict(s.queue)) == (2, 1, {"done": 2, "pending": 1})
+
+
+def ls_summary(spark):
+    records = spark.createDataFrame([(1, 5), (2, None)], "id int, price_krw long")
+    return tk.run_summary(records, spark.createDataFrame([("done",), ("done",), ("pending",)], "status string")).first()
+
+
+def test_ranks_are_distributed(spark):
+    from shale import storage
+
+    df = spark.range(1000, numPartitions=7).withColumn("v", (F.col("id") * 7919) % 1000)
+    got = {r.v: r.rank for r in storage.ranked(df, [F.desc("v")]).collect()}
+    assert got == {v: 1000 - v for v in range(1000)}
+    assert storage.ranked(df.limit(0), [F.desc("v")]).count() == 0

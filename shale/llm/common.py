@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shale.storage import kept, new_path, shared_dir, stored
+
+__all__ = ["kept", "new_path", "packed", "shared_dir", "stored", "table", "whole_text"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set; only Spark's reader touches the path."""
@@ -20,32 +21,9 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        at = f"file://{tempfile.mkdtemp(prefix='shale-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder: lost executors don't take it with them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+def packed(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): all columns in one struct, so that no name of an operator's own clashes with theirs.
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and written as Parquet to the shared folder."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ``select("_row.*")`` gives them back.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shale.llm.common import table, whole_text
+from shale.llm.common import packed, table, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -108,11 +108,11 @@ def base_failed(at: str = "_q") -> Column:
     return (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
 
 
-def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' own columns."""
     # The mark keeps the filter above the measures: pushed below them, it would compute each one again wherever it is used.
-    judged = measure(docs, text).withColumn("_kept", ~base_failed() & compile_rules()).withColumn("_mark", F.monotonically_increasing_id())
-    return judged.where(F.col("_kept") & (F.col("_mark") >= 0)).drop("_q", "_kept", "_mark")
+    judged = measure(packed(docs)).withColumn("_kept", ~base_failed() & compile_rules()).withColumn("_mark", F.monotonically_increasing_id())
+    return judged.where(F.col("_kept") & (F.col("_mark") >= 0)).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

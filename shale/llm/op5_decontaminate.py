@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import kept, stored, table
+from shale.llm.common import kept, packed, stored, table
 from shale.llm.tokens import shingle_hashes, word_hashes
 
 SIZE, SIMILARITY, SKETCH, SLACK = 5, 0.8, 64, 0.25
@@ -173,9 +173,9 @@ def _joined(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the documents that hold an item; all their columns."""
-    found = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "decontaminate")
+    found = stored(packed(docs).withColumn("_rid", F.monotonically_increasing_id()), "decontaminate")
     hits = contaminated(found.select("_rid", "text"), items, similarity).select("_rid").distinct()
-    return found.join(hits, "_rid", "left_anti").select(*docs.columns)
+    return found.join(hits, "_rid", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ A term with a disclosure of :data:`GENERALISE` or more, seen in :data:`SUPPORT`
 that entity, and from :data:`REMOVE` on it is removed. All counts cover all documents.
 
 Null texts have no spans and stay null, empty texts stay empty; repeated rows are treated one by one; an empty table
-gives an empty result. ``sanitised`` keeps all other columns as they are (names starting with ``_`` are this module's).
+gives an empty result. ``sanitised`` keeps all other columns as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm import spans as sp
-from shale.llm.common import stored, table, whole_text
+from shale.llm.common import packed, stored, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -136,9 +136,9 @@ def with_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with the personal data in text replaced by labels and disclosing terms generalised or removed."""
-    found = stored(scan(docs), "op6")
+    found = stored(scan(packed(docs)), "op6")
     text = F.when(F.size("_spans") > 0, sp.redacted(F.col("text"), F.col("_spans"), F.array(*[F.lit(x) for x in LABELS]))).otherwise(F.col("text"))
-    return with_terms(found, docs).withColumn("text", text).select(*docs.columns)
+    return with_terms(found, docs).select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,10 @@ def documents(rng):
         fate[i] = "pii"
     rows += [[80, " ".join(["the"] * 300), "en", "junk", 0], [81, "too short", "en", "junk", 0], [82, None, None, None, None], [83, "", "en", "x", 0], [84, " ".join(x + "###" for x in pick(200)), "en", "junk", 0]]
     fate |= dict.fromkeys(range(80, 85), "junk")
-    return [tuple(r) for r in rows], items, fate
+    return [(*r, "clash", "clash", 7) for r in rows], items, fate
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _rid string, `_row` string, fp int"
 
 
 def test_stages(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,14 +113,17 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-#: Registered sites: (slug, origin). Fixed values.
-REGISTRY = (("green_heavy", "http://www.greenheavy.co.kr"),)
+#: Registered sites: (slug, host). Fixed values.
+REGISTRY = (("green_heavy", "4396200.com"),)
 
 
 def resolve_sites(wanted: list[str] | None = None, registry=REGISTRY) -> list[str]:
-    """The wanted sites by slug or origin, sorted, each once; all registered ones if none is wanted."""
-    by = {origin: slug for slug, origin in registry} | {slug: slug for slug, _ in registry}
-    for name in wanted or []:
-        if name not in by:
+    """The wanted sites by slug, host or origin, sorted, each once; all registered ones if none is wanted."""
+    by = {host: slug for slug, host in registry} | {slug: slug for slug, _ in registry}
+    found = set()
+    for name in wanted or by.values():
+        slug = by.get(name) or by.get(re.sub(r"^(?:https?://)?(?:www\.)?|/+$", "", name.lower()))
+        if slug is None:
             raise ValueError(f"unknown site: {name}")
-    return sorted({by[n] for n in wanted}) if wanted else sorted(slug for slug, _ in registry)
+        found.add(slug)
+    return sorted(found)

@@ -159,7 +159,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sources.captured_bodies(spark, str(tmp_path / "j")).first().length == 23
     assert sources.existing(spark, [str(tmp_path / "a.csv"), str(tmp_path / "none")]) == [str(tmp_path / "a.csv")]
     assert sources.tasks_or_empty(spark, "no_such_table").count() == 0
-    assert sources.resolve_sites() == ["green_heavy"]
+    assert sources.resolve_sites() == sources.resolve_sites(["https://www.4396200.com", "green_heavy"]) == ["green_heavy"]
     spark.conf.set("shale.batch", "7")
     assert sources.Config.from_conf(spark).batch == "7" or sources.Config.from_conf(spark).batch == 7
     sinks.write_csv(text, str(tmp_path / "out"))

@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 def _joined(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """For benchmarks of any size: sketches and document hashes meet in a join."""
     rest = [c for c in docs.columns if c != "text"]
-    found = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "op5")
+    found = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "text", F.monotonically_increasing_id().alias("_rid")), "op5")
     own = stored(items.select(F.col("item_id").cast("long"), F.col("text").alias("_item")).withColumn("_iid", F.monotonically_increasing_id()), "op5")
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +159,16 @@ def _joined(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
 
     hashes = found.select("_rid", "text").mapInArrow(hashed, "_h long, _rid long, _size long").distinct()
     pairs = hashes.join(sketches, ["_h", "_size"]).groupBy("_rid", "_iid").agg(F.count("*").alias("_n"), F.max("_need").alias("_need")).where("_n >= _need")
-    both = pairs.select("_rid", "_iid").join(own, "_iid").join(found, "_rid").select(*rest, "text", "item_id", "_item")
-    schema = docs.select(*rest).schema.add("item_id", "long").add("n_shingles", "long").add("n_found", "long")
+    both = pairs.select("_rid", "_iid").join(own, "_iid").join(found, "_rid").select("_row", "text", "item_id", "_item")
+    schema = both.select("_row").schema.add("item_id", "long").add("n_shingles", "long").add("n_found", "long")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             n = np.array([contained(words_of(i), words_of(t)) for i, t in zip(batch.column("_item").to_pylist(), batch.column("text").to_pylist(), strict=True)], dtype=np.int64)
             ok = pa.array(np.flatnonzero(n[:, 1] >= similarity * n[:, 0] - 1e-9))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(ok) for c in [*rest, "item_id"]], pa.array(n[:, 0]).take(ok), pa.array(n[:, 1]).take(ok)], [*rest, "item_id", "n_shingles", "n_found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(ok) for c in ["_row", "item_id"]], pa.array(n[:, 0]).take(ok), pa.array(n[:, 1]).take(ok)], ["_row", "item_id", "n_shingles", "n_found"])
 
-    return both.mapInArrow(verify, schema)
+    return both.mapInArrow(verify, schema).select("_row.*", "item_id", "n_shingles", "n_found")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.storage import kept, new_path, shared_dir, stored
 
-__all__ = ["kept", "new_path", "packed", "shared_dir", "stored", "table", "whole_text"]
+__all__ = ["identified", "kept", "new_path", "packed", "shared_dir", "stored", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,19 @@ def packed(docs: DataFrame) -> DataFrame:
     ``select("_row.*")`` gives them back.
     """
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
+def identified(docs: DataFrame, from_files: bool, name: str) -> DataFrame:
+    """packed(docs) with ``_rid`` struct<file, row>, a key of the row that is the same whenever it is computed.
+
+    from_files: docs are rows of Parquet files, each at most once; a row is then known by its file and its place there, and
+    nothing is copied. Other rows (and files without places) are written to the shared folder first.
+    """
+    key = lambda frame: F.struct(F.xxhash64(frame.metadataColumn("_metadata")["file_path"]).alias("file"), frame.metadataColumn("_metadata")["row_index"].alias("row"))
+    if from_files:
+        try:
+            return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", key(docs).alias("_rid"))
+        except AnalysisException:
+            pass
+    found = stored(packed(docs), name)
+    return found.select("*", key(found).alias("_rid"))

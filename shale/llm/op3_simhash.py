@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from shale.llm import trie
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import kept, packed, stored, table
+from shale.llm.common import identified, kept, stored, table
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -229,21 +229,23 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SUBTREE) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SUBTREE, from_files: bool = False) -> DataFrame:
     """docs with one document of each near-duplicate group: that with the least doc_id (null last; ties: any one).
 
     Similarity is estimated from 256-bit fingerprints of five-word shingles. Candidates are within 2 bits in one of 16
     parts of 32 bits. On 12,000 test documents the stage joined all pairs with a Jaccard similarity from 0.95 up, 99 % of
     those from 0.9, 95 % from 0.85, 86 % from 0.8, 58 % from 0.75 and 8 % from 0.6 (by brute force): the estimate blurs the
     threshold by about 0.05. No documents below 0.5 were joined but for 2 of 11,350 groups. All other columns stay as they are.
+    from_files: see :func:`~shale.llm.common.identified`.
     """
-    found = stored(packed(docs).withColumn("_rid", F.monotonically_increasing_id()), "dedup")
-    prints = stored(fingerprints(found.select(F.col("doc_id").cast("long"), "_rid", "text"), SIZE, WORDS, TABLES), "dedup")
-    print_ = [F.col("_fp")[i].alias(f"_f{i}") for i in range(WORDS)]
-    rows = prints.select("doc_id", "_rid", *print_)
-    by = [f"_f{i}" for i in range(WORDS)]
-    nodes = kept(prints.select("_rid", *print_, "_fp", "_tables").groupBy(*by).agg(F.min("_rid").alias("node"), F.first("_fp").alias("_fp"), F.first("_tables").alias("_tables")))
+    rows = identified(docs, from_files, "dedup")
+    prints = stored(fingerprints(rows.select(F.col("doc_id").cast("long"), "_rid", "text"), SIZE, WORDS, TABLES), "dedup")
+    by = [F.col("_fp")[i].alias(f"_f{i}") for i in range(WORDS)]
+    # One row for each fingerprint, however many copies it has, with the document to keep.
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_best")
+    nodes = prints.groupBy(*by).agg(F.first("_fp").alias("_fp"), F.first("_tables").alias("_tables"), best)
+    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "_fp", "_tables", "_best"))
     stars = components(links(nodes, TABLE_BITS, TABLE_BUDGET, most_bits(similarity, 64 * WORDS), True, limit)).withColumnRenamed("u", "node")
-    rooted = nodes.select("node", *by).join(stars, "node", "left").select(*by, F.coalesce("root", "node").alias("root"))
-    first = rows.join(rooted, by).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("_rid"))
-    return found.join(first.select("_rid"), "_rid", "left_semi").select("_row.*")
+    rooted = nodes.select("node", "_best").join(stars, "node", "left")
+    first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("_best")["_rid"].alias("_rid"))
+    return rows.select("_rid", "_row").join(first.select("_rid"), "_rid", "left_semi").select("_row.*")

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,32 @@ def contained(item: list[bytes], doc: list[bytes]) -> tuple[int, int]:
     return len(own), len(own & shingles(doc, size))
 
 
+class Search:
+    """All items of a benchmark that travels to the workers."""
+
+    def __init__(self, names: list[int], texts: list[str | None], similarity: float):
+        self.names, self.similarity = names, similarity
+        self.sketches, self.words = Sketches(texts), [words_of(t) for t in texts]
+
+    def hits(self, docs: list[str]) -> list[tuple[int, int, int, int]]:
+        """(place in docs, item_id, n_shingles, n_found) of the items found."""
+        last, out = (-1, []), []
+        for d, i in sorted(self.sketches.candidates(docs, self.similarity)):
+            last = last if last[0] == d else (d, words_of(docs[d]))
+            n, found = contained(self.words[i], last[1])
+            if found >= self.similarity * n - 1e-9:
+                out.append((d, self.names[i], n, found))
+        return out
+
+
+def _shared(items: DataFrame, most: int) -> Broadcast | None:
+    """The items for all workers, or None if they have more than `most` bytes."""
+    if items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0] > most:
+        return None
+    own = items.select(F.col("item_id").cast("long"), "text").collect()  # bounded by the check above
+    return items.sparkSession.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
+
+
 RESULT = "item_id long, n_shingles long, n_found long"
 
 
@@ -111,22 +138,14 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     schema = docs.select(*rest).schema
     for field in RESULT.split(", "):
         schema = schema.add(field.split()[0], "long")
-    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] > broadcast_bytes:
+    data = _shared(items, broadcast_bytes)
+    if data is None:
         return _joined(docs, items, similarity)
-    own = items.select(F.col("item_id").cast("long"), "text").collect()  # bounded by the check above
-    spark = docs.sparkSession
-    data = spark.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, texts = data.value
-        sketches, item_words = Sketches(texts), [words_of(t) for t in texts]
+        search = Search(*data.value, similarity)
         for batch in chunks(batches, "text"):
-            docs_, last, out = texts_of(batch), (-1, []), []
-            for d, i in sorted(sketches.candidates(docs_, similarity)):
-                last = last if last[0] == d else (d, words_of(docs_[d]))
-                n, found = contained(item_words[i], last[1])
-                if found >= similarity * n - 1e-9:
-                    out.append((d, names[i], n, found))
+            out = search.hits(texts_of(batch))
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in rest], *[pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)]], [*rest, "item_id", "n_shingles", "n_found"])
 
@@ -171,10 +190,22 @@ def _joined(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(verify, schema).select("_row.*", "item_id", "n_shingles", "n_found")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the documents that hold an item; all their columns."""
+    data = _shared(items, broadcast_bytes)
+    if data is not None:
+        rows = packed(docs).select("_row", "text")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = Search(*data.value, similarity)
+            for batch in chunks(batches, "text"):
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[x[0] for x in search.hits(texts_of(batch))]] = False
+                yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array(clean))], ["_row"])
+
+        return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")
     found = stored(packed(docs).withColumn("_rid", F.monotonically_increasing_id()), "decontaminate")
-    hits = contaminated(found.select("_rid", "text"), items, similarity).select("_rid").distinct()
+    hits = _joined(found.select("_rid", "text"), items, similarity).select("_rid").distinct()
     return found.join(hits, "_rid", "left_anti").select("_row.*")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm import spans as sp
-from shale.llm.common import packed, stored, table, whole_text
+from shale.llm.common import identified, stored, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -98,7 +98,7 @@ PAIR = "array<struct<ent:bigint,term:string,s:int,e:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs (with a column text) and ``_rid`` (unique), ``_base`` (spans), ``_pairs`` (terms beside them), ``_text_id``."""
+    """docs (with a column text) and ``_rid`` (unique; docs' own if it has one), ``_base`` (spans), ``_pairs`` (terms beside them), ``_text_id``."""
     step = docs.withColumn("_t", whole_text("text"))
     for i, pattern in enumerate(PATTERNS):
         step = step.withColumn(f"_f{i}", sp.found(F.col("_t"), pattern))
@@ -107,12 +107,12 @@ def scan(docs: DataFrame) -> DataFrame:
     has = F.size("_base") > 0
     step = step.withColumn("_pairs", F.when(has, _near(F.col("_t"), F.col("_base"))).otherwise(F.array()).cast(PAIR))
     step = step.withColumn("_text_id", F.when(has, F.xxhash64("_t"))).withColumn("_ents", F.array_distinct(F.transform("_base", lambda x: F.xxhash64(x["k"], _value(x)))))
-    return step.withColumn("_rid", F.monotonically_increasing_id()).drop("_t", *[f"_f{i}" for i in range(len(PATTERNS))])
+    return step.withColumn("_mark" if "_rid" in docs.columns else "_rid", F.monotonically_increasing_id()).drop("_t", *[f"_f{i}" for i in range(len(PATTERNS))])
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ent, term, disclosure) of the terms to treat; found: stored result of scan() on the documents texts."""
-    n = found.count()
+    """(ent, term, disclosure) of the terms to treat; found: stored result of scan() on the documents texts, rows without spans apart."""
+    n = texts.count()
     pairs = found.select("_text_id", F.explode("_pairs").alias("x")).select("_text_id", "x.ent", "x.term").distinct()
     joint = pairs.groupBy("ent", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     entities = found.select("_text_id", F.explode("_ents").alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_e"))
@@ -134,11 +134,17 @@ def with_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     return found.join(own, "_rid", "left").withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(sp.in_order(F.col("_base"), F.col("_terms"))))
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with the personal data in text replaced by labels and disclosing terms generalised or removed."""
-    found = stored(scan(packed(docs)), "op6")
+def sanitised(docs: DataFrame, from_files: bool = False) -> DataFrame:
+    """docs with the personal data in text replaced by labels and disclosing terms generalised or removed.
+
+    from_files: see :func:`~shale.llm.common.identified`.
+    """
+    rows = identified(docs, from_files, "op6")
+    # The mark keeps the filter above the patterns: pushed below them, it would look for each one twice.
+    found = stored(scan(rows.select("_rid", "text")).where((F.size("_base") > 0) & (F.col("_mark") >= 0)).drop("text", "_mark"), "op6")
+    treated = rows.select("_rid", "_row", "text").join(with_terms(found, docs).select("_rid", "_spans"), "_rid", "left")
     text = F.when(F.size("_spans") > 0, sp.redacted(F.col("text"), F.col("_spans"), F.array(*[F.lit(x) for x in LABELS]))).otherwise(F.col("text"))
-    return with_terms(found, docs).select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")
+    return treated.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_search_both_ways(spark):
     for limit in (op.BROADCAST_BYTES, 0):
         got = op.contaminated(frame.select("doc_id", "text"), bench, broadcast_bytes=limit).collect()
         assert sorted([(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got], key=str) == want
-    clean = op.decontaminate(frame, bench)
-    bad = {x[0] for x in want}
-    assert sorted([tuple(r) for r in clean.collect()], key=str) == sorted([d for d in docs if d[0] not in bad], key=str)
+        clean = op.decontaminate(frame, bench, broadcast_bytes=limit)
+        bad = {x[0] for x in want}
+        assert sorted([tuple(r) for r in clean.collect()], key=str) == sorted([d for d in docs if d[0] not in bad], key=str)
     assert op.contaminated(frame.limit(0), bench).count() == 0 and op.decontaminate(frame, bench.limit(0)).count() == len(docs)

@@ -7,11 +7,12 @@ correlation. Fisher's method joins them to one p-value.
 
 False discoveries are controlled by length: tokens fall into strata (encoding, length class). Within a stratum,
 Benjamini-Hochberg at level :data:`ALPHA` rejects the tokens that aren't random. The corpus tells how ordinary words
-look (their index of coincidence), and so how probably such a word of that length passes the tests. A stratum reports
-its surviving tokens as spans of kind ``random`` only if that probability, and the expected share of ordinary words
-among the survivors, are at most ALPHA: short tokens of small alphabets can't be told from words and are left alone.
+look (their index of coincidence), and so how probably such a word of that length passes the tests. A token that survives
+is reported as a span of kind ``random`` only if that probability at its own length (tests at level ALPHA, however many
+tokens there are) is at most ALPHA, and so is the share of words among its stratum's survivors that the rejected ones let
+expect: short tokens of small alphabets can't be told from words and are left alone.
 
-The strata table is bounded: encodings x length classes x :data:`BINS` rows, whatever the size of the corpus. Null and
+The strata table is bounded: encodings x lengths up to :data:`LONGEST` x :data:`BINS` rows, whatever the size of the corpus. Null and
 empty texts have no spans; repeated rows are scanned one by one (and count each in the strata); an empty table gives
 an empty result; only doc_id and text are read.
 """
@@ -46,6 +47,8 @@ ENCODINGS = (
 )
 WORDLIKE = tuple(i for i, (name, _) in enumerate(ENCODINGS) if name in ("lower", "upper", "letters"))
 ALPHA, BINS, PER_DECADE = 0.05, 80, 4
+#: Tokens above this length are judged as if they had it (the strata table stays bounded).
+LONGEST = 1024
 #: Words differ; a word may lie this share closer to randomness than the corpus' mean.
 MARGIN = 0.5
 #: Index of coincidence of ordinary words where the corpus has none.
@@ -140,37 +143,52 @@ def scan(docs: DataFrame) -> DataFrame:
     return step.drop("_t", "_more", "_f9", *[f"_f{i}" for i in range(len(PATTERNS))])
 
 
-def thresholds(scanned: DataFrame) -> dict[tuple[int, int], float]:
-    """By stratum that may report tokens: the p-value above which a token counts as random."""
+def thresholds(scanned: DataFrame) -> dict[tuple[int, ...], float]:
+    """By stratum that may report tokens: the p-value above which a token counts as random.
+
+    A stratum with tokens too short to be told from words has a third number in its key, the least length it reports.
+    """
     tokens = scanned.select(F.explode("_tokens").alias("x")).select("x.*")
-    rows = tokens.groupBy("enc", length_class(F.col("n")).alias("len"), p_bin(F.col("p")).alias("bin")).agg(F.count("*").alias("c"), F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.min("n").alias("n")).collect()
+    own = F.least(F.col("n"), F.lit(LONGEST)).alias("own")
+    rows = tokens.groupBy("enc", length_class(F.col("n")).alias("len"), p_bin(F.col("p")).alias("bin"), own).agg(F.count("*").alias("c"), F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.min("n").alias("n")).collect()
     return decide([r.asDict() for r in rows])
 
 
-def decide(rows: list[dict]) -> dict[tuple[int, int], float]:
+def decide(rows: list[dict]) -> dict[tuple[int, ...], float]:
     words = [r for r in rows if r["enc"] in WORDLIKE]
     coincidence = sum(r["same"] for r in words) / sum(r["pairs"] for r in words) if words else COINCIDENCE
     strata = defaultdict(list)
     for r in rows:
         strata[r["enc"], r["len"]].append(r)
+
+    def passing(enc: int, n: int, level: float) -> float:
+        """A word's chance to pass: its chi-squared exceeds the mean by n * (A * coincidence - 1)."""
+        a = len(ENCODINGS[enc][1])
+        shift = MARGIN * n * (a * coincidence - 1) / math.sqrt(2 * (a - 1)) if enc > 1 else MARGIN * n
+        return 0.5 * math.erfc((shift - _normal_quantile(1 - level)) / math.sqrt(2))
+
     out = {}
     for (enc, length), own in strata.items():
-        total, seen, cut = sum(r["c"] for r in own), 0, 0.0
-        for r in sorted(own, key=lambda r: -r["bin"]):  # from the least p-value
-            seen += r["c"]
-            edge = 10 ** (-r["bin"] / PER_DECADE)
+        counts = defaultdict(int)
+        for r in own:
+            counts[r["bin"]] += r["c"]
+        total, seen, cut = sum(counts.values()), 0, 0.0
+        for bin_ in sorted(counts, reverse=True):  # from the least p-value
+            seen += counts[bin_]
+            edge = 10 ** (-bin_ / PER_DECADE)
             if edge * total <= ALPHA * seen:
                 cut = max(cut, edge)
-        rejected = sum(r["c"] for r in own if 10 ** (-r["bin"] / PER_DECADE) <= cut)
-        # A word's chance to pass: its chi-squared exceeds the mean by n * (A * coincidence - 1).
-        a, n = len(ENCODINGS[enc][1]), min(r["n"] for r in own)
-        shift = MARGIN * n * (a * coincidence - 1) / math.sqrt(2 * (a - 1)) if enc > 1 else MARGIN * n
-        level = max(cut, ALPHA / max(total, 1))
-        z = _normal_quantile(1 - level)
-        passing = 0.5 * math.erfc((shift - z) / math.sqrt(2))
-        words_left = rejected * passing / max(1 - passing, 1e-9)
-        if passing <= ALPHA and words_left <= ALPHA * (total - rejected):
-            out[enc, length] = cut
+        rejects = lambda r: 10 ** (-r["bin"] / PER_DECADE) <= cut  # noqa: B023, E731
+        # Whether words can be told at a length doesn't depend on how many tokens there are.
+        able = [r for r in own if passing(enc, r["n"], ALPHA) <= ALPHA]
+        # The words that are left follow from those rejected: none rejected, none left.
+        level = max(cut, ALPHA * sum(r["c"] for r in own if rejects(r)) / total)
+        left = 0.0
+        for r in filter(rejects, able):
+            q = passing(enc, r["n"], level)
+            left += r["c"] * q / max(1 - q, 1e-9)
+        if able and left <= ALPHA * sum(r["c"] for r in able if not rejects(r)):
+            out[(enc, length) if len(able) == len(own) else (enc, length, min(r["n"] for r in able))] = cut
     return out
 
 
@@ -180,13 +198,15 @@ def _normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12))
 
 
-def with_random(scanned: DataFrame, cuts: dict[tuple[int, int], float]) -> DataFrame:
+def with_random(scanned: DataFrame, cuts: dict[tuple[int, ...], float]) -> DataFrame:
     """scanned with ``_spans``: base spans and those of random tokens."""
     passes = lambda x: F.lit(False)
     if cuts:
         # At most one entry for each stratum.
-        by = F.create_map(*[F.lit(v) for (enc, length), cut in sorted(cuts.items()) for v in (enc * 1000 + length, float(cut))])
-        passes = lambda x: F.coalesce(10 ** (-p_bin(x["p"]) / F.lit(float(PER_DECADE))) > F.get(F.array(F.try_element_at(by, x["enc"] * 1000 + length_class(x["n"]))), F.lit(0)), F.lit(False))
+        entry = lambda key, cut: (F.lit(key[0] * 1000 + key[1]), F.struct(F.lit(float(cut)).alias("cut"), F.lit(key[2] if len(key) > 2 else 0).alias("least")))
+        by = F.create_map(*[v for key, cut in sorted(cuts.items()) for v in entry(key, cut)])
+        own = lambda x: F.try_element_at(by, x["enc"] * 1000 + length_class(x["n"]))
+        passes = lambda x: F.coalesce((10 ** (-p_bin(x["p"]) / F.lit(float(PER_DECADE))) > own(x)["cut"]) & (x["n"] >= own(x)["least"]), F.lit(False))
     more = F.transform(F.filter("_tokens", passes), lambda x: F.struct(*[x[k].alias(k) for k in ("s", "e", "v", "k")]))
     return scanned.withColumn("_spans", F.when(F.size("_tokens") > 0, sp.in_order(F.col("_base"), more)).otherwise(F.col("_base")))
 

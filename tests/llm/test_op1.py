@@ -111,3 +111,29 @@ def test_edges(spark, tmp_path):
         assert len(got) == len(rows)
         for r in got:
             assert r.base_sha256 == hashlib.sha256((b"" if r.doc_id else b"access:0:20")).hexdigest()
+
+
+def stratum(enc, n, c, bin_, words=()):
+    """Rows of random tokens of the lengths n, c of each, and of rejected ones (length, count)."""
+    cls = math.floor(2 * math.log2(max(n)))
+    row = lambda n, c, b: {"enc": enc, "len": cls, "bin": b, "c": c, "same": 0.0, "pairs": 0, "n": n}
+    return [row(x, c, bin_) for x in n] + [row(x, k, op.BINS) for x, k in words]
+
+
+def test_report_at_any_corpus_size():
+    """The same tokens are reported whether there are 40, 4,000 or 400,000 of them."""
+    names = [name for name, _ in op.ENCODINGS]
+    for enc, lengths in (("base62", (32, 38, 45)), ("base62", (40, 45)), ("base64", (40,)), ("base62", (46, 50))):
+        e, cls = names.index(enc), math.floor(2 * math.log2(max(lengths)))
+        for total in (40, 4_000, 400_000):
+            got = op.decide(stratum(e, lengths, total // len(lengths), 1))
+            assert got == {(e, cls): 0.0}, (enc, lengths, total)
+            # one gross outlier closes no stratum
+            assert (e, cls) in op.decide(stratum(e, lengths, total // len(lengths), 1, [(max(lengths), 1)]))
+
+
+def test_own_length():
+    """A short token is left alone, and doesn't take the longer ones of its stratum along."""
+    e = [name for name, _ in op.ENCODINGS].index("base62")
+    assert op.decide(stratum(e, (23, 30), 1_000, 1)) == {(e, 9, 30): 0.0}
+    assert op.decide(stratum(e, (16, 18), 1_000, 1)) == {}

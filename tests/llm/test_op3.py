@@ -126,3 +126,14 @@ def test_deduplicate(spark, limit):
     assert heads <= kept and len(kept & set(group)) <= len(heads) + 2
     assert kept - set(group) == {r[0] for r in rows if r[0] is not None and r[0] not in group} - {901}
     assert op.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_deduplicate_repeated_passage(spark):
+    """A passage repeated inside otherwise different documents doesn't make them near-duplicates."""
+    rng = random.Random(12)
+    rows = []
+    passage = " ".join(f"p{i}" for i in range(12))
+    for i in range(12):
+        own = [f"d{i}x{rng.randrange(10**6)}" for _ in range(220)]
+        rows.append((i, " ".join([passage] * 15 + own)))
+    assert op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)

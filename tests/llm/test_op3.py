@@ -137,3 +137,18 @@ def test_deduplicate_repeated_passage(spark):
         own = [f"d{i}x{rng.randrange(10**6)}" for _ in range(220)]
         rows.append((i, " ".join([passage] * 15 + own)))
     assert op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def test_deduplicate_recall(spark):
+    """All pairs at a similarity of just 0.8 or more are joined, and none below."""
+    rng = random.Random(13)
+    rows, heads = [], set()
+    for g in range(300):
+        n = rng.randrange(40, 120)
+        w = [f"g{g}w{i}" for i in range(n)]
+        cut = rng.choice([round(n * x) for x in (0.75, 0.78, 0.8, 0.82, 0.9)]) + rng.randrange(2)
+        v = w[:cut] + [f"new{g}"] * (n % 3)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+        heads |= {2 * g} | ({2 * g + 1} if jaccard(rows[-2][1], rows[-1][1]) < 0.8 else set())
+    assert 300 < len(heads) < 500
+    assert {r.doc_id for r in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == heads

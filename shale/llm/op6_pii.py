@@ -3,13 +3,13 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value of one is a protected
 entity. Terms are words of three letters or more, lower-cased. The corpus tells how strongly a term reveals an entity:
 
-* n_et: distinct texts in which the term stands among the :data:`NEAR` terms before or after the entity (within
-  :data:`REACH` code points); copies of a text count once, so that copying alone makes no term suspicious,
+* n_et: distinct texts with the entity and the term, anywhere; copies of a text count once, so that copying alone makes no
+  term suspicious,
 * n_e: distinct texts with the entity, n_t: documents with the term anywhere, N: documents,
 * disclosure = log2(n_et * N / (n_e * n_t)) / log2(N / n_e), the share of the entity's information that the term carries.
 
-A term with a disclosure of :data:`GENERALISE` or more, seen in :data:`SUPPORT` texts at least, is generalised beside
-that entity, and from :data:`REMOVE` on it is removed. All counts cover all documents.
+A term with a disclosure of :data:`GENERALISE` or more, seen in :data:`SUPPORT` texts at least, is generalised at every place
+in documents with that entity, and from :data:`REMOVE` on it is removed. All counts cover all documents.
 
 Null texts have no spans and stay null, empty texts stay empty; repeated rows are treated one by one; an empty table
 gives an empty result. ``sanitised`` keeps all other columns as they are.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm import spans as sp
-from shale.llm.common import identified, stored, table, whole_text
+from shale.llm.common import identified, kept, stored, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -35,6 +35,7 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 TERM = r"(?<![\p{L}\p{N}_])\p{L}{3,}+(?![\p{N}_])"
+#: NEAR and REACH no longer bound what is judged; they are the tests' neighbourhood of an entity.
 NEAR, REACH, SUPPORT = 5, 120, 2
 GENERALISE, REMOVE = 0.9, 0.99
 
@@ -67,45 +68,47 @@ def _value(x: Column) -> Column:
     return F.when(x["k"] == 0, F.lower(x["v"])).when(x["k"] == 1, x["v"]).otherwise(_digits(x["v"]))
 
 
-def _near(t: Column, base: Column) -> Column:
-    """array<struct<ent, term, s, e>>: the terms beside each base span."""
-    step = F.transform(base, lambda x: F.struct(F.xxhash64(x["k"], _value(x)).alias("ent"), x["s"].alias("s"), x["e"].alias("e"), F.greatest(x["s"] - REACH, F.lit(0)).alias("from")))
-    step = F.transform(step, lambda x: F.struct(x["ent"].alias("ent"), x["from"].alias("from"), x["e"].alias("e"), F.substr(t, x["from"] + 1, x["s"] - x["from"]).alias("b"), F.substr(t, x["e"] + 1, F.lit(REACH)).alias("a")))
-    step = F.transform(step, lambda x: F.struct(*[x[k].alias(k) for k in ("ent", "from", "e", "b", "a")], sp.found(x["b"], TERM).alias("fb"), sp.found(x["a"], TERM).alias("fa")))
-    # A word that the reach cuts off isn't known.
-    step = F.transform(
-        step,
-        lambda x: F.struct(
-            x["ent"].alias("ent"), x["from"].alias("from"), x["e"].alias("e"),
-            F.filter(sp.located(x["b"], x["fb"], TERM, 4), lambda y: (y["s"] > 0) | (x["from"] == 0)).alias("b"),
-            F.filter(sp.located(x["a"], x["fa"], TERM, 4), lambda y: y["e"] < REACH).alias("a"),
-        ),
-    )
-    moved = lambda x, y, by: F.struct(x["ent"].alias("ent"), F.lower(y["v"]).alias("term"), (y["s"] + by).alias("s"), (y["e"] + by).alias("e"))
-    both = F.flatten(
-        F.transform(
-            step,
-            lambda x: F.concat(
-                F.transform(F.slice(x["b"], F.greatest(F.size(x["b"]) - NEAR + 1, F.lit(1)), F.lit(NEAR)), lambda y: moved(x, y, x["from"])),
-                F.transform(F.slice(x["a"], 1, NEAR), lambda y: moved(x, y, x["e"])),
-            ),
-        )
-    )
-    return F.filter(both, lambda y: ~sp.overlaps(base, y))
+def _words(t: Column, base: Column) -> Column:
+    """The distinct terms outside the base spans, lower-cased."""
+    # A span leaves what its ends are to a word beside it: a character of words, or none.
+    wordlike = lambda c: c.rlike(r"[\p{L}\p{N}_]").cast("int")
+    ends = lambda x: (2 * wordlike(F.substr(x["v"], F.lit(1), F.lit(1))) + wordlike(F.substr(x["v"], F.length(x["v"]), F.lit(1)))).cast("int")
+    marks = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), ends(x).alias("k")))
+    masked = sp.redacted(t, marks, F.array(*[F.lit(m) for m in ("  ", " _", "_ ", "__")]))
+    return F.array_distinct(F.transform(sp.found(masked, TERM), lambda x: F.lower(x)))
+
+
+def _places(t: Column, base: Column, kinds: Column) -> Column:
+    """The spans of all terms of kinds (a map from term to kind) outside the base spans."""
+    words = sp.found(t, TERM)
 
+    def step(acc: Column, i: Column) -> Column:
+        word = F.get(acc["words"], i)
+        start = acc["at"] + F.length(F.get(acc["gaps"], i))
+        end = start + F.length(word)
+        kind = F.try_element_at(kinds, F.lower(word))
+        span = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), F.lower(word).alias("v"), kind.alias("k"))
+        out = F.when(kind.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.cast("int").alias("at"), acc["gaps"].alias("gaps"), acc["words"].alias("words"), out.cast(sp.NONE).alias("out"))
 
-PAIR = "array<struct<ent:bigint,term:string,s:int,e:int>>"
+    first = F.struct(F.lit(0).alias("at"), F.split(t, TERM, -1).alias("gaps"), words.alias("words"), sp.no_spans().alias("out"))
+    # The last piece between the terms is no term.
+    walk = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(words), F.lit(1)) - 1), first, step, lambda acc: acc["out"])
+    return F.filter(F.when(F.size(words) > 0, walk).otherwise(sp.no_spans()), lambda y: ~sp.overlaps(base, y))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs (with a column text) and ``_rid`` (unique; docs' own if it has one), ``_base`` (spans), ``_pairs`` (terms beside them), ``_text_id``."""
+    """docs (with a column text) and ``_rid`` (unique; docs' own if it has one), ``_base`` (spans), ``_ents``, ``_text_id``, ``_own``.
+
+    ``_own``: the text of rows with spans.
+    """
     step = docs.withColumn("_t", whole_text("text"))
     for i, pattern in enumerate(PATTERNS):
         step = step.withColumn(f"_f{i}", sp.found(F.col("_t"), pattern))
     parts = [F.filter(sp.located(F.col("_t"), F.col(f"_f{i}"), p, i), _valid(i)) for i, p in enumerate(PATTERNS)]
     step = step.withColumn("_base", sp.in_order(*parts))
     has = F.size("_base") > 0
-    step = step.withColumn("_pairs", F.when(has, _near(F.col("_t"), F.col("_base"))).otherwise(F.array()).cast(PAIR))
+    step = step.withColumn("_own", F.when(has, F.col("_t")))
     step = step.withColumn("_text_id", F.when(has, F.xxhash64("_t"))).withColumn("_ents", F.array_distinct(F.transform("_base", lambda x: F.xxhash64(x["k"], _value(x)))))
     return step.withColumn("_mark" if "_rid" in docs.columns else "_rid", F.monotonically_increasing_id()).drop("_t", *[f"_f{i}" for i in range(len(PATTERNS))])
 
@@ -113,25 +116,28 @@ def scan(docs: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(ent, term, disclosure) of the terms to treat; found: stored result of scan() on the documents texts, rows without spans apart."""
     n = texts.count()
-    pairs = found.select("_text_id", F.explode("_pairs").alias("x")).select("_text_id", "x.ent", "x.term").distinct()
-    joint = pairs.groupBy("ent", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    entities = found.select("_text_id", F.explode("_ents").alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_e"))
+    own = found.where(F.col("_own").isNotNull())
+    members = own.select("_text_id", F.explode("_ents").alias("ent")).distinct()
+    entities = members.groupBy("ent").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n))
+    members = kept(members.join(entities.select("ent"), "ent", "left_semi"))
+    judged = own.join(members.select("_text_id").distinct(), "_text_id", "left_semi").select("_text_id", F.explode(_words(F.col("_own"), F.col("_base"))).alias("term")).distinct()
+    joint = members.join(judged, "_text_id").groupBy("ent", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     words = F.array_distinct(F.transform(sp.found(F.lower(whole_text("text")), TERM), lambda x: F.xxhash64(x)))
     # Counted before the join: the partial sums are one row for each term and task.
     terms = texts.select(F.explode(words).alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n_t"))
     both = joint.join(entities, "ent").withColumn("term_id", F.xxhash64("term")).join(terms, "term_id")
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    return both.where(F.col("n_e") < n).select("ent", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return both.select("ent", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def with_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """found with ``_spans``: base spans and disclosing terms."""
-    pairs = found.select("_rid", F.explode("_pairs").alias("x")).select("_rid", "x.*")
+    """found with ``_spans``: base spans and disclosing terms, wherever they stand in a document with their entity."""
     kind = F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4))
-    hits = pairs.join(disclosing(found, texts), ["ent", "term"]).groupBy("_rid", "s", "e").agg(F.max(kind).alias("k"), F.first("term").alias("v"))
-    own = hits.groupBy("_rid").agg(F.collect_list(F.struct("s", "e", "v", "k")).cast(sp.NONE).alias("_terms"))
-    return found.join(own, "_rid", "left").withColumn("_spans", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(sp.in_order(F.col("_base"), F.col("_terms"))))
+    hits = found.select("_rid", F.explode("_ents").alias("ent")).join(disclosing(found, texts), "ent").groupBy("_rid", "term").agg(F.max(kind).alias("k"))
+    own = hits.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_kinds"))
+    spans = sp.in_order(F.col("_base"), _places(F.col("_own"), F.col("_base"), F.col("_kinds")))
+    return found.join(own, "_rid", "left").withColumn("_spans", F.when(F.col("_kinds").isNull(), F.col("_base")).otherwise(spans)).drop("_kinds")
 
 
 def sanitised(docs: DataFrame, from_files: bool = False) -> DataFrame:

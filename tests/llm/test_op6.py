@@ -125,3 +125,18 @@ def test_edges(spark, tmp_path):
         assert len(got) == len(rows)
         for r in got:
             assert r.base_sha256 == hashlib.sha256(b"" if r.doc_id else b"email:5:11").hexdigest()
+
+
+def disclosed(copies=0, far=0):
+    """Rows in which a name stands with one address in three texts, that many words apart; one of them is copied."""
+    rng = random.Random(9)
+    pick = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    texts = [f"Quorra {pick(far)} writes from q.v@mail.example.com {pick(30)} regards Quorra" if far else f"{pick(9)} Quorra q.v@mail.example.com {pick(9)}" for _ in range(3)]
+    return list(enumerate([*texts, *[pick(20) + f" x{i}" for i in range(2_000)], *[texts[0]] * copies]))
+
+
+def test_terms_anywhere(spark):
+    """A name far from the address is judged, and replaced at each of its places."""
+    rows = disclosed(far=40)
+    out = [r.text for r in op.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == len(rows) and not any("Quorra" in t for t in out)

@@ -4,8 +4,8 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. E
 entity. Terms are words of three letters or more, lower-cased. The corpus tells how strongly a term reveals an entity:
 
 * n_et: distinct texts with the entity and the term, anywhere; copies of a text count once, so that copying alone makes no
-  term suspicious,
-* n_e: distinct texts with the entity, n_t: documents with the term anywhere, N: documents,
+  term suspicious and hides none,
+* n_e: distinct texts with the entity, n_t: distinct texts with the term, N: distinct texts,
 * disclosure = log2(n_et * N / (n_e * n_t)) / log2(N / n_e), the share of the entity's information that the term carries.
 
 A term with a disclosure of :data:`GENERALISE` or more, seen in :data:`SUPPORT` texts at least, is generalised at every place
@@ -115,7 +115,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(ent, term, disclosure) of the terms to treat; found: stored result of scan() on the documents texts, rows without spans apart."""
-    n = texts.count()
+    text_id = F.xxhash64(whole_text("text"))
+    n = texts.select(text_id.alias("_text_id")).distinct().count()
     own = found.where(F.col("_own").isNotNull())
     members = own.select("_text_id", F.explode("_ents").alias("ent")).distinct()
     entities = members.groupBy("ent").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n))
@@ -123,8 +124,9 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     judged = own.join(members.select("_text_id").distinct(), "_text_id", "left_semi").select("_text_id", F.explode(_words(F.col("_own"), F.col("_base"))).alias("term")).distinct()
     joint = members.join(judged, "_text_id").groupBy("ent", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     words = F.array_distinct(F.transform(sp.found(F.lower(whole_text("text")), TERM), lambda x: F.xxhash64(x)))
-    # Counted before the join: the partial sums are one row for each term and task.
-    terms = texts.select(F.explode(words).alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n_t"))
+    # One row for each distinct text; counted before the join: the partial sums are one row for each term and task.
+    once = texts.select(text_id.alias("_text_id"), words.alias("_words")).dropDuplicates(["_text_id"])
+    terms = once.select(F.explode("_words").alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n_t"))
     both = joint.join(entities, "ent").withColumn("term_id", F.xxhash64("term")).join(terms, "term_id")
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e").cast("double") * F.col("n_t")))

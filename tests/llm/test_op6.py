@@ -135,6 +135,13 @@ def disclosed(copies=0, far=0):
     return list(enumerate([*texts, *[pick(20) + f" x{i}" for i in range(2_000)], *[texts[0]] * copies]))
 
 
+def test_copies_hide_nothing(spark):
+    """One disclosing text, planted a thousand times."""
+    rows = disclosed(copies=1_000)
+    out = [r.text for r in op.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == len(rows) and not any("Quorra" in t for t in out)
+
+
 def test_terms_anywhere(spark):
     """A name far from the address is judged, and replaced at each of its places."""
     rows = disclosed(far=40)

@@ -222,8 +222,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near-duplicates of whole documents, as the pipeline removes them: words of a shingle, and their Jaccard similarity.
 SIZE, SIMILARITY = 5, 0.8
-#: A shingle in so many documents' prefixes is sorted behind the others; at most 1 << HEAVY_BITS shingles are.
-HEAVY, HEAVY_BITS = 1000, 17
+#: A shingle in about so many documents' prefixes, judged by one document in SAMPLE, is sorted behind the others; at most
+#: 1 << HEAVY_BITS shingles are. This only orders the search.
+HEAVY, SAMPLE, HEAVY_BITS = 256, 16, 17
+#: Bits of a set's parity map; candidates that are broadcast, at most (about 32 MB).
+PARITY, BROADCAST = 1024, 1 << 20
 
 
 def distinct(text: str, size: int) -> np.ndarray:
@@ -232,30 +235,33 @@ def distinct(text: str, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, similarity: float, heavy: np.ndarray) -> DataFrame:
-    """docs' columns but text, ``_key`` (digest of the set of shingles), ``_n`` (its size) and ``_prefix`` array<long>.
+    """docs' columns but text, ``_key`` (digest of the set of shingles), ``_n`` (its size), ``_prefix`` array<long>, ``_bits``.
 
     The prefix is the first n - ceil(similarity * n) + 1 shingles by hash, those of heavy (sorted) last: two sets of this
-    similarity or more have a shingle of both prefixes in common.
+    similarity or more have a shingle of both prefixes in common. _bits: the parity of the number of shingles by their low
+    bits; two sets differ in at least as many shingles as these maps differ in bits.
     """
     rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*rest).schema.add("_key", T.BinaryType()).add("_n", T.IntegerType()).add("_prefix", T.ArrayType(T.LongType()))
+    schema = docs.select(*rest).schema.add("_key", T.BinaryType()).add("_n", T.IntegerType()).add("_prefix", T.ArrayType(T.LongType())).add("_bits", T.ArrayType(T.LongType()))
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in chunks(batches, "text"):
-            keys, sizes, own = [], [], []
+            keys, sizes, own, bits = [], [], [], []
             for text in texts_of(batch):
                 found = distinct(text, SIZE)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
+                bits.append(np.packbits(np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
                 if len(last):
                     behind = np.isin(found, last)
                     found = np.concatenate([found[~behind], found[behind]])
                 own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64))
             at = np.cumsum([0, *map(len, own)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], [*rest, "_key", "_n", "_prefix"])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, maps], [*rest, "_key", "_n", "_prefix", "_bits"])
 
     return docs.mapInArrow(run, schema)
 
@@ -272,19 +278,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, _set array<long>")
 
 
-def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of pairs (u, v, un, vn, up, vp: sizes and places of a common shingle) that can reach the similarity.
 
     Shingles in common up to the last one of both prefixes are counted; after it, at most the rest of the smaller set is.
     """
     sums = pairs.groupBy("u", "v").agg(F.count("*").alias("_c"), F.first("un").alias("un"), F.first("vn").alias("vn"), F.max("up").alias("up"), F.max("vp").alias("vp"))
     most = F.col("_c") + F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp")) - 1
-    return sums.where(most * (1 + similarity) >= similarity * (F.col("un") + F.col("vn")) - 1e-6).select("u", "v")
+    sums = sums.where(most * (1 + similarity) >= similarity * (F.col("un") + F.col("vn")) - 1e-6).select("u", "v", (F.col("un") + F.col("vn")).alias("_sum"))
+    maps = [nodes.select(F.col("node").alias(x), F.col("_bits").alias(f"_{x}")) for x in ("u", "v")]
+    both = kept(sums).join(maps[0], "u").join(maps[1], "v")
+    differ = F.aggregate(F.zip_with("_u", "_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    return both.where(differ * (1 + similarity) <= (1 - similarity) * F.col("_sum") + 1e-6).select("u", "v")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets of distinct shingles have this Jaccard similarity."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("_best")["_rid"].alias("_rid")), "node")
+    wanted = kept(wanted)
+    if wanted.count() <= BROADCAST:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
     sets = shingle_sets(rows.select("_rid", "text").join(wanted, "_rid").select("node", "text"))
     sets = stored(sets, "dedup-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("node").alias("v"), F.col("_set").alias("_b")), "v")
@@ -293,7 +306,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
 
 
 def similar(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links between nodes (node, _n, _prefix, _best) that connect all that are similar.
+    """(u, v): verified links between nodes (node, _n, _prefix, _bits, _best) that connect all that are similar.
 
     In each shingle's group, the members are compared with the least one first. What that connects needs no other link,
     so a dense group doesn't cost the square of its size; then all pairs across the components that are left are compared.
@@ -303,7 +316,7 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     centre = F.min(F.struct("node", "_n", "p")).over(group)
     near = kept(places.withColumn("_c", centre).withColumn("_last", F.max("node").over(group)).where("_c.node <> _last").drop("_last"))
     stars = near.where("node <> _c.node").select(F.col("_c.node").alias("u"), F.col("node").alias("v"), F.col("_c._n").alias("un"), F.col("_n").alias("vn"), F.col("_c.p").alias("up"), F.col("p").alias("vp"))
-    stars = kept(_possible(stars, similarity))
+    stars = kept(_possible(stars, nodes, similarity))
     first = kept(_verified(stars, nodes, rows, similarity))
     label = components(first).select(F.col("u").alias("node"), "root")
     left = near.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -312,7 +325,7 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     side = lambda x: left.select("h", F.col("node").alias(x), F.col("_n").alias(f"{x}n"), F.col("p").alias(f"{x}p"), F.col("root").alias(f"{x}r"))
     sizes = F.least("un", "vn") >= similarity * F.greatest("un", "vn") - 1e-6
     across = side("u").join(side("v"), "h").where((F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & sizes)
-    more = kept(_possible(across, similarity).join(stars, ["u", "v"], "left_anti"))
+    more = kept(_possible(across, nodes, similarity).join(stars, ["u", "v"], "left_anti"))
     return first.unionByName(_verified(more, nodes, rows, similarity))
 
 
@@ -325,16 +338,15 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SU
     """
     rows = identified(docs, from_files, "dedup")
     own = rows.select(F.col("doc_id").cast("long"), "_rid", "text")
-    prints = stored(prefixes(own, similarity, np.zeros(0, np.uint64)), "dedup")
     # Any order of the shingles that all documents share is right; frequent ones last keep the groups small.
-    counts = prints.dropDuplicates(["_key"]).select(F.explode("_prefix").alias("h")).groupBy("h").count().where(F.col("count") >= HEAVY)
+    some = prefixes(own.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0), similarity, np.zeros(0, np.uint64))
+    counts = some.dropDuplicates(["_key"]).select(F.explode("_prefix").alias("h")).groupBy("h").count().where(F.col("count") >= HEAVY // SAMPLE)
     heavy = counts.orderBy(F.desc("count"), "h").limit(1 << HEAVY_BITS).select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    if len(heavy):
-        prints = stored(prefixes(own, similarity, np.sort(heavy)), "dedup")
+    prints = stored(prefixes(own, similarity, np.sort(heavy)), "dedup")
     # One row for each set of shingles, however many copies it has, with the document to keep.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_best")
-    nodes = prints.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), best)
-    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "_n", "_prefix", "_best"))
+    nodes = prints.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_bits").alias("_bits"), best)
+    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "_n", "_prefix", "_bits", "_best"))
     stars = components(similar(nodes, rows, similarity)).withColumnRenamed("u", "node")
     rooted = nodes.select("node", "_best").join(stars, "node", "left")
     first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("_best")["_rid"].alias("_rid"))

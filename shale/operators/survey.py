@@ -13,7 +13,7 @@ from shale.operators import html as h
 
 #: Words that speak for and against a listing page. Fixed values.
 LISTING_WORDS = (
-    "매물", "판매", "중고", "보유", "제품", "장비", "굴삭", "굴착", "지게차", "덤프", "로더", "크레인", "건설기계",
+    "매물", "중고", "판매", "팝니다", "보유", "제품", "장비", "굴삭", "굴착", "지게차", "덤프", "로더", "크레인", "건설기계",
     "product", "products", "goods", "shop", "sale", "sell", "used", "machine", "equipment", "board", "bbs", "sub6", "sub8", "m02",
 )
 NEGATIVE_WORDS = (

@@ -339,11 +339,16 @@ def first_values(s, d):
     return survey.first_values(rows, "user_id", "event_type", "event_id", 3)
 
 
-def _hits_sql(text: str, words: tuple[str, ...], weight: int) -> str:
-    return "(" + " + ".join(f"case when contains({text}, '{w.lower()}') then {weight} else 0 end" for w in words) + ")"
+#: The words of a listing page and those against it, spelt out once more for the SQL. Fixed values.
+FOR_SQL = "매물 중고 판매 팝니다 보유 제품 장비 굴삭 굴착 지게차 덤프 로더 크레인 건설기계 product products goods shop sale sell used machine equipment board bbs sub6 sub8 m02"
+AGAINST_SQL = "회사소개 인사말 오시는길 공지 공지사항 고객센터 자주하는질문 묻고답하기 질문 자유게시판 견적 문의 로그인 회원 채용 개인정보 약관 intro company notice contact login join"
 
 
-SCORED = f"select page_id, url, {HOST} as host, page_id % 300 as listing_count, page_id % 3 = 0 as listing_like, 10.0 + case when page_id % 3 = 0 then 25 else 0 end + least(page_id % 300, 200) / 10.0 + 2 + {_hits_sql('lower(url)', survey.LISTING_WORDS, 3)} - {_hits_sql('lower(url)', survey.NEGATIVE_WORDS, 4)} as score from pages"
+def _hits_sql(text: str, words: str, weight: int) -> str:
+    return "(" + " + ".join(f"case when contains({text}, '{w}') then {weight} else 0 end" for w in words.split()) + ")"
+
+
+SCORED = f"select page_id, url, {HOST} as host, page_id % 300 as listing_count, page_id % 3 = 0 as listing_like, 10.0 + case when page_id % 3 = 0 then 25 else 0 end + least(page_id % 300, 200) / 10.0 + 2 + {_hits_sql('lower(url)', FOR_SQL, 3)} - {_hits_sql('lower(url)', AGAINST_SQL, 4)} as score from pages"
 
 
 def _scored(s, d):
@@ -356,6 +361,18 @@ def best_page(s, d):
     return survey.best_pages(_scored(s, d), "host", "page_id").select("host", "page_id", F.round("score", 6).alias("score"))
 
 
+#: Texts with 0, 1 or 2 of the words, made from the page's number.
+WORDED = "concat_ws(' ', case page_id % 3 when 0 then '팝니다' when 1 then 'nothing' else '견적' end, case page_id % 5 when 0 then '중고' when 1 then 'Machine' when 2 then '로그인' else 'text' end, case page_id % 7 when 0 then '12,000만원' when 1 then '2009 년' else '' end)"
+
+
+@query("listing_like", f"""with t as (select page_id, {WORDED} as t from pages) select page_id, {_hits_sql('lower(t)', FOR_SQL, 1)} >= 2 or page_id % 7 < 2 or page_id % 11 = 0 as listing_like,
+{_hits_sql('lower(t)', FOR_SQL, 4)} - {_hits_sql('lower(t)', AGAINST_SQL, 3)} + case when page_id % 11 = 0 then 3 else 0 end as link_score, contains(t, '견적') and page_id % 2 = 0 as off from t""")
+def listing_like(s, d):
+    p = table(s, d, "pages").select("page_id", F.expr(WORDED).alias("t"), F.when(F.col("page_id") % 11 == 0, "x?bo_table=q").otherwise("x").alias("u"))
+    off = survey.no_inventory(F.when(F.col("page_id") % 2 == 0, "title").otherwise("굴삭기 매매"), F.replace("t", F.lit("견적"), F.lit("구인구직")), F.lit("x"))
+    return p.select("page_id", survey.listing_like(F.col("t"), F.col("u")).alias("listing_like"), survey.link_score(F.col("t"), F.col("u")).cast("int").alias("link_score"), off.alias("off"))
+
+
 SURVEYED = f"select concat('n', page_id) as name, url, listing_count, case when listing_like and listing_count > 0 then 'Y' when listing_like then '추정' else 'N' end as flag, page_id % 5 > 0 as original from ({SCORED})"
 RANKED = f"select *, row_number() over (order by listing_count desc, flag = 'N', not original, name) as rank from ({SURVEYED})"
 
@@ -374,12 +391,12 @@ def survey_summary(s, d):
     return survey.summary(_surveyed(s, d)).drop("url").withColumn("rank", F.col("rank").cast("long"))
 
 
-COUNTED = "case page_id % 4 when 0 then concat('총 게시물 ', cast(page_id * 7 as string), ' 건') when 1 then concat('매물 수: 1,', lpad(cast(page_id as string), 3, '0'), '대') when 2 then concat('전체보기 (', cast(page_id as string), ') 검색결과: 12건') else 'nothing' end"
+COUNTED = "case page_id % 4 when 0 then concat('총 게시물 ', cast(page_id * 7 % 500000 as string), ' 건') when 1 then concat('매물 수: 1,', lpad(cast(page_id % 1000 as string), 3, '0'), '대') when 2 then concat('전체보기 (', cast(page_id as string), ') 검색결과: 12건') else 'nothing' end"
 
 
-@query("displayed_count", "select page_id, case page_id % 4 when 0 then (page_id * 7)::double when 1 then (1000 + page_id)::double when 2 then 12 end as total, case when page_id % 4 = 3 then 7700::double else null end as estimate from pages where page_id < 1000")
+@query("displayed_count", "select page_id, case page_id % 4 when 0 then (page_id * 7 % 500000)::double when 1 then (1000 + page_id % 1000)::double when 2 then 12 end as total, case when page_id % 4 = 3 then 7700::double else null end as estimate from pages")
 def displayed_count(s, d):
-    p = table(s, d, "pages").where("page_id < 1000").withColumn("t", F.expr(COUNTED))
+    p = table(s, d, "pages").withColumn("t", F.expr(COUNTED))
     estimate = survey.estimated_count(F.lit(None).cast("int"), F.lit(110), F.lit(70))
     return p.select("page_id", survey.displayed_count(F.col("t")).cast("double").alias("total"), F.when(F.col("page_id") % 4 == 3, estimate).cast("double").alias("estimate"))
 

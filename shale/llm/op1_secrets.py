@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for other tokens. DataFrame functions only.
 
-Base spans are the matches of three patterns. Other tokens (16 or more of ``A-Za-z0-9+/_=-``, outside base spans) get
-an encoding: the smallest alphabet that holds them. Three tests ask whether the token could be uniform random symbols
+Base spans are the matches of three patterns. Other tokens (16 or more of ``A-Za-z0-9+/_-``, with ``=`` behind them, outside
+base spans) get an encoding: the smallest alphabet that holds them (digits alone are numbers, no secrets). Three tests ask whether the token could be uniform random symbols
 of that alphabet: chi-squared uniformity of the alphabet, runs above and below its middle, and lag-1 serial
 correlation. Fisher's method joins them to one p-value.
 
@@ -38,12 +38,14 @@ PATTERNS = (
 ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 MIN_VALUE = 8
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+#: Of "name=value" the value is a token of its own.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}=*"
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: (name, alphabet) from small to large; the first that holds a token is its encoding. Digits alone are no encoding.
 ENCODINGS = (
     ("hex", DIGIT + LOWER[:6]), ("HEX", DIGIT + UPPER[:6]), ("lower", LOWER), ("upper", UPPER), ("lower36", DIGIT + LOWER), ("upper36", DIGIT + UPPER),
     ("letters", LOWER + UPPER), ("base62", DIGIT + LOWER + UPPER), ("base64", DIGIT + LOWER + UPPER + "+/"), ("base64url", DIGIT + LOWER + UPPER + "-_"),
+    ("mixed", DIGIT + LOWER + UPPER + "+/-_"),
 )
 WORDLIKE = tuple(i for i, (name, _) in enumerate(ENCODINGS) if name in ("lower", "upper", "letters"))
 ALPHA, BINS, PER_DECADE = 0.05, 80, 4
@@ -84,7 +86,7 @@ def _tested(tokens: Column) -> Column:
     step = F.transform(tokens, lambda x: keep(x, core=core(x)))
     step = F.transform(step, lambda x: keep(x, core=x["core"], enc=encoding(x["core"]), n=F.length(x["core"])))
     step = F.filter(step, lambda x: (x["enc"] >= 0) & (x["n"] >= 16))
-    step = F.transform(step, lambda x: keep(x, enc=x["enc"], n=x["n"], core=x["core"], a=F.length(F.get(alphabets, x["enc"])), val=F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.call_function("instr", F.get(alphabets, x["enc"]), F.substr(x["core"], i, F.lit(1))) - 1)))
+    step = F.transform(step, lambda x: keep(x, enc=x["enc"], n=x["n"], core=x["core"], a=F.length(F.get(alphabets, x["enc"])), val=F.transform(F.split(x["core"], F.lit("")), lambda c: F.call_function("instr", F.get(alphabets, x["enc"]), c) - 1)))
 
     def sums(x: Column) -> Column:
         total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, i: acc + f(i))
@@ -137,7 +139,7 @@ def scan(docs: DataFrame) -> DataFrame:
     parts = [sp.located(F.col("_t"), F.col(f"_f{i}"), p, i) for i, p in enumerate(PATTERNS)]
     parts[0] = F.filter(parts[0], lambda x: F.length(F.regexp_replace(x["v"], ASSIGN_HEAD, "")) >= MIN_VALUE)
     step = step.withColumn("_base", sp.in_order(*parts)).withColumn("_more", sp.located(F.col("_t"), F.col("_f9"), TOKEN, 3))
-    step = step.withColumn("_more", F.filter("_more", lambda x: ~sp.overlaps(F.col("_base"), x)))
+    step = step.withColumn("_more", sp.apart(F.col("_base"), F.col("_more")))
     none = F.array().cast("array<struct<s:int,e:int,v:string,k:int,enc:int,n:int,same:double,p:double>>")
     step = step.withColumn("_tokens", F.when(F.size("_more") > 0, _tested(F.col("_more"))).otherwise(none))
     return step.drop("_t", "_more", "_f9", *[f"_f{i}" for i in range(len(PATTERNS))])

@@ -35,8 +35,8 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 TERM = r"(?<![\p{L}\p{N}_])\p{L}{3,}+(?![\p{N}_])"
-#: NEAR and REACH no longer bound what is judged; they are the tests' neighbourhood of an entity.
-NEAR, REACH, SUPPORT = 5, 120, 2
+#: Texts with both that a disclosing term needs.
+SUPPORT = 2
 GENERALISE, REMOVE = 0.9, 0.99
 
 
@@ -80,21 +80,10 @@ def _words(t: Column, base: Column) -> Column:
 
 def _places(t: Column, base: Column, kinds: Column) -> Column:
     """The spans of all terms of kinds (a map from term to kind) outside the base spans."""
-    words = sp.found(t, TERM)
-
-    def step(acc: Column, i: Column) -> Column:
-        word = F.get(acc["words"], i)
-        start = acc["at"] + F.length(F.get(acc["gaps"], i))
-        end = start + F.length(word)
-        kind = F.try_element_at(kinds, F.lower(word))
-        span = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), F.lower(word).alias("v"), kind.alias("k"))
-        out = F.when(kind.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.cast("int").alias("at"), acc["gaps"].alias("gaps"), acc["words"].alias("words"), out.cast(sp.NONE).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.split(t, TERM, -1).alias("gaps"), words.alias("words"), sp.no_spans().alias("out"))
-    # The last piece between the terms is no term.
-    walk = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(words), F.lit(1)) - 1), first, step, lambda acc: acc["out"])
-    return F.filter(F.when(F.size(words) > 0, walk).otherwise(sp.no_spans()), lambda y: ~sp.overlaps(base, y))
+    terms = F.transform(sp.let(sp.found(t, TERM), lambda own: sp.located(t, own, TERM, 4)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v")))
+    kind = lambda x: F.try_element_at(kinds, x["v"])
+    own = F.transform(F.filter(terms, lambda x: kind(x).isNotNull()), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), kind(x).alias("k")))
+    return sp.apart(base, own)
 
 
 def scan(docs: DataFrame) -> DataFrame:

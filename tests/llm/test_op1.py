@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 
 from shale.llm import op1_secrets as op
 
@@ -113,6 +114,22 @@ def test_edges(spark, tmp_path):
             assert r.base_sha256 == hashlib.sha256((b"" if r.doc_id else b"access:0:20")).hexdigest()
 
 
+def test_long_texts(spark):
+    """A token of a megabyte and many tokens in one text take time in proportion."""
+    rng = random.Random(11)
+    b64 = string.ascii_letters + string.digits + "+/"
+    blob = "".join(rng.choices(b64, k=1_000_000))
+    many = " ".join(f"token=Aa{i:08d} {''.join(rng.choices(b64, k=20))}" for i in range(20_000))
+    docs = spark.createDataFrame([(0, f"data:{blob}= end"), (1, many)], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r for r in op.scan(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert [(x.s, x.e, x.n) for x in got[0]._tokens] == [(5, 1_000_006, 1_000_000)]
+    assert math.isclose(got[0]._tokens[0].p, p_value(blob, dict(op.ENCODINGS)["base64"]), rel_tol=2e-2)
+    assert [(x.s, x.k, x.e) for x in got[1]._base] == base(many)
+    assert {(x.s, x.e) for x in got[1]._tokens} == {m.span(1) for m in re.finditer(r" (\S{20})(?: |$)", many)}
+
+
 def stratum(enc, n, c, bin_, words=()):
     """Rows of random tokens of the lengths n, c of each, and of rejected ones (length, count)."""
     cls = math.floor(2 * math.log2(max(n)))

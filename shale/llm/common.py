@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shale.storage import kept, new_path, shared_dir, stored
 
-__all__ = ["identified", "kept", "new_path", "packed", "shared_dir", "stored", "table", "whole_text"]
+__all__ = ["apart_from", "identified", "kept", "new_path", "packed", "shared_dir", "stored", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
 
 
+def apart_from(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """(_row, text), and the columns that give back those of docs but text and names: any name can go through Arrow in _row."""
+    rest = [c for c in docs.columns if c != "text" and c not in names]
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in rest])
+    return docs.select(row.alias("_row"), "text"), [F.col(f"_row.`{c}`").alias(c) for c in rest]
+
+
 def identified(docs: DataFrame, from_files: bool, name: str) -> DataFrame:
     """packed(docs) with ``_rid`` struct<file, row>, a key of the row that is the same whenever it is computed.
 

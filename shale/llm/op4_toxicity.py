@@ -11,8 +11,7 @@ after it) are those that occur in clean documents at least :data:`EXCEPT` times
 match instead of the entry and weigh nothing. At each place the longest entry counts.
 
 The score is a logistic function of the matched weight and of that weight per length, fitted on the same sample. The
-sample is at most about :data:`SAMPLE` labelled documents (a documented bound), the lexicon at most :data:`ENTRIES`
-entries. Null and empty texts have no matches and get the score of a text without any; without labels of both kinds all
+sample is at most about :data:`SAMPLE` labelled documents (a documented bound), and the lexicon grows with nothing else. Null and empty texts have no matches and get the score of a text without any; without labels of both kinds all
 scores are 0. Repeated rows are scored one by one; an empty table gives an empty result.
 """
 
@@ -30,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import stored, table
+from shale.llm.common import apart_from, stored, table
 from shale.llm.learning import held_out, logistic, sampled, sigmoid
 from shale.llm.tokens import shingle_hashes, word_hashes
 
-SAMPLE, ENTRIES, LEAST_Z, EXCEPT = 20_000, 5_000, 3.3, 5
+SAMPLE, LEAST_Z, EXCEPT = 20_000, 3.3, 5
 STEMS = range(4, 9)
 #: Look-alikes of Latin letters, and signs used for letters. Fixed values.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнιονραβετκυχγ", "aeopcyxijsdhkmtbhiovpabetkuxy", strict=True))
@@ -125,7 +124,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[dict
     sums = sample.mapInArrow(counted, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    weights = _weights(sums.where(z >= LEAST_Z).orderBy(z.desc(), "feature").limit(ENTRIES).collect(), n[1], n[0])
+    weights = _weights(sums.where(z >= LEAST_Z).collect(), n[1], n[0])
 
     entries = Lexicon(weights)
 
@@ -141,8 +140,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[dict
 
     by = sample.mapInArrow(phrases, "phrase string, toxic int, n long").groupBy("phrase").pivot("toxic", [0, 1]).agg(F.sum("n"))
     clean, toxic = F.coalesce(F.col("0"), F.lit(0)), F.coalesce(F.col("1"), F.lit(0))
-    safe = by.where((clean >= EXCEPT) & (toxic * n[0] <= 0.1 * clean * n[1])).orderBy(clean.desc(), "phrase").limit(ENTRIES).select("phrase").collect()
-    exceptions = [r.phrase for r in safe]
+    safe = by.where((clean >= EXCEPT) & (toxic * n[0] <= 0.1 * clean * n[1])).select("phrase").collect()
+    exceptions = sorted(r.phrase for r in safe)
     lexicon = Lexicon(weights, exceptions)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +161,10 @@ def inputs(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[str], list[float]]) -> DataFrame:
-    """docs' columns but text, and score."""
-    rest = [c for c in docs.columns if c != "text"]
+    """docs' columns but text, and score (in place of a column of that name)."""
+    rows, rest = apart_from(docs, "score")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most 2 * ENTRIES entries
+    shared = spark.sparkContext.broadcast(model)  # bounded with the sample
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, exceptions, fit = shared.value
@@ -173,9 +172,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[str], list[float]
         for batch in chunks(batches, "text"):
             texts = texts_of(batch)
             p = sigmoid(np.c_[inputs(lexicon, texts), np.ones(len(texts))] @ np.array(fit)) if fit else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(p)], [*rest, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(p)], ["_row", "score"])
 
-    return docs.mapInArrow(run, docs.select(*rest).schema.add("score", "double"))
+    return rows.mapInArrow(run, rows.select("_row").schema.add("score", "double")).select(*rest, "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,15 @@ similarity where the sketch is the whole set: nothing is lost there; beyond, an
 Candidates are verified by the shingles themselves.
 
 A benchmark of up to :data:`BROADCAST_BYTES` of text travels to the workers, and each reads its documents once. A larger
-one is joined by hash, and candidates with their texts by id. Null texts and items without words match nothing, repeated
-rows are answered one by one, and empty tables give empty results.
+one is joined by hash: the workers get the partitions' thresholds and a bitmap of the sketches (:data:`BITMAP` bits, whatever
+the benchmark's size), and only document hashes that pass both are shuffled; candidates are joined with their texts by id.
+Null texts and items without words match nothing, repeated rows are answered one by one, and empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import kept, packed, stored, table
+from shale.llm.common import apart_from, kept, packed, stored, table
 from shale.llm.tokens import shingle_hashes, word_hashes
 
 SIZE, SIMILARITY, SKETCH, SLACK = 5, 0.8, 64, 0.25
 BROADCAST_BYTES = 32 << 20
+#: Bits of the sketches' bitmap, as a power of two (16 MB).
+BITMAP = 27
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -129,75 +133,107 @@ def _shared(items: DataFrame, most: int) -> Broadcast | None:
     return items.sparkSession.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
 
 
-RESULT = "item_id long, n_shingles long, n_found long"
+_BUILT: dict = {}
+
+
+def _search(token: str, data: Broadcast, similarity: float) -> Search:
+    """The worker's search, built once from the items."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Search(*data.value, similarity)
+    return _BUILT[token]
+
+
+RESULT = ("item_id", "n_shingles", "n_found")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs' columns but text, and :data:`RESULT`, for each document and each of items (item_id, text) in it."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*rest).schema
-    for field in RESULT.split(", "):
-        schema = schema.add(field.split()[0], "long")
+    """docs' columns but text, and :data:`RESULT` (longs), for each document and each of items (item_id, text) in it.
+
+    Columns of docs that are called like those of RESULT are left out.
+    """
     data = _shared(items, broadcast_bytes)
     if data is None:
         return _joined(docs, items, similarity)
+    (rows, rest), token = apart_from(docs, *RESULT), uuid.uuid4().hex
+    schema = rows.select("_row").schema
+    for name in RESULT:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(*data.value, similarity)
+        search = _search(token, data, similarity)
         for batch in chunks(batches, "text"):
             out = search.hits(texts_of(batch))
-            rows = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in rest], *[pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)]], [*rest, "item_id", "n_shingles", "n_found"])
+            at = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), *[pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)]], ["_row", *RESULT])
+
+    return rows.mapInArrow(run, schema).select(*rest, *RESULT)
+
 
-    return docs.mapInArrow(run, schema)
+def _bitmap(sketches: DataFrame) -> np.ndarray:
+    """A bit for each hash's first BITMAP bits: at most 2 ** (BITMAP - 6) rows of 64 bits."""
+    slot = F.shiftrightunsigned("_h", 64 - BITMAP)
+    words = sketches.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {64 - BITMAP}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
 
 
 def _joined(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """For benchmarks of any size: sketches and document hashes meet in a join."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "text", F.monotonically_increasing_id().alias("_rid")), "op5")
+    rows, rest = apart_from(docs, *RESULT)
+    found = stored(rows.withColumn("_rid", F.monotonically_increasing_id()), "op5")
     own = stored(items.select(F.col("item_id").cast("long"), F.col("text").alias("_item")).withColumn("_iid", F.monotonically_increasing_id()), "op5")
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = Sketches(batch.column("_item").to_pylist())
             iid = batch.column("_iid").to_pylist()
-            rows = [(int(h), iid[i], s.size[i], s.need(i, similarity)) for i, own in enumerate(s.sketch) for h in own.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["_h", "_iid", "_size", "_need"])
+            rows = [(int(h), iid[i], s.size[i], s.need(i, similarity), s.full[i].bit_length()) for i, own in enumerate(s.sketch) for h in own.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["_h", "_iid", "_size", "_need", "_class"])
 
-    sketches = kept(own.mapInArrow(sketch, "_h long, _iid long, _size long, _need long"))
-    sizes = [r[0] for r in sketches.select("_size").distinct().collect()]  # 1 to 5
+    sketches = kept(own.mapInArrow(sketch, "_h long, _iid long, _size long, _need long, _class long"))
+    # Five sizes, some twenty classes each; the order of unsigned hashes is that of signed ones with the first bit turned.
+    unsigned = F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))
+    most = sketches.groupBy("_size", "_class").agg(F.max(unsigned).alias("most")).collect()
+    limits = {size: np.uint64(max(r.most for r in most if r._size == size) + (1 << 63)) for size in sorted({r._size for r in most})}
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(sketches))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in chunks(batches, "text"):
             words, _, counts = word_hashes(texts_of(batch))
             rid = batch.column("_rid").to_numpy()
-            for size in sizes:
+            for size, limit in limits.items():
                 h, n = shingle_hashes(words, counts, size)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(rid, n)), pa.array(np.full(len(h), size))], ["_h", "_rid", "_size"])
+                slot = h >> np.uint64(64 - BITMAP)
+                ok = (h <= limit) & (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(np.repeat(rid, n)[ok]), pa.array(np.full(int(ok.sum()), size))], ["_h", "_rid", "_size"])
 
     hashes = found.select("_rid", "text").mapInArrow(hashed, "_h long, _rid long, _size long").distinct()
-    pairs = hashes.join(sketches, ["_h", "_size"]).groupBy("_rid", "_iid").agg(F.count("*").alias("_n"), F.max("_need").alias("_need")).where("_n >= _need")
+    pairs = hashes.join(sketches.drop("_class"), ["_h", "_size"]).groupBy("_rid", "_iid").agg(F.count("*").alias("_n"), F.max("_need").alias("_need")).where("_n >= _need")
     both = pairs.select("_rid", "_iid").join(own, "_iid").join(found, "_rid").select("_row", "text", "item_id", "_item")
-    schema = both.select("_row").schema.add("item_id", "long").add("n_shingles", "long").add("n_found", "long")
+    schema = both.select("_row").schema
+    for name in RESULT:
+        schema = schema.add(name, "long")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             n = np.array([contained(words_of(i), words_of(t)) for i, t in zip(batch.column("_item").to_pylist(), batch.column("text").to_pylist(), strict=True)], dtype=np.int64)
             ok = pa.array(np.flatnonzero(n[:, 1] >= similarity * n[:, 0] - 1e-9))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(ok) for c in ["_row", "item_id"]], pa.array(n[:, 0]).take(ok), pa.array(n[:, 1]).take(ok)], ["_row", "item_id", "n_shingles", "n_found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(ok) for c in ["_row", "item_id"]], pa.array(n[:, 0]).take(ok), pa.array(n[:, 1]).take(ok)], ["_row", *RESULT])
 
-    return both.mapInArrow(verify, schema).select("_row.*", "item_id", "n_shingles", "n_found")
+    return both.mapInArrow(verify, schema).select(*rest, *RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the documents that hold an item; all their columns."""
     data = _shared(items, broadcast_bytes)
     if data is not None:
-        rows = packed(docs).select("_row", "text")
+        rows, token = packed(docs).select("_row", "text"), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = Search(*data.value, similarity)
+            search = _search(token, data, similarity)
             for batch in chunks(batches, "text"):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[x[0] for x in search.hits(texts_of(batch))]] = False

@@ -7,8 +7,8 @@ repeated neighbours, mean word length, and its length, each cut into steps of va
     w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 with :data:`RANK` factors; the sum over pairs is half of (sum v x)^2 - sum (v x)^2, so scoring takes linear time. It is
-fitted by AdaGrad on log loss on the driver, on about :data:`SAMPLE` labelled documents at most (a documented bound; of a
-document all words count). Labels, lang, source and doc_id are no inputs.
+fitted by AdaGrad on log loss on the driver, on about :data:`SAMPLE` labelled documents and :data:`WORDS` words of two bytes at
+most (documented bounds; of a document all words count). Labels, lang, source and doc_id are no inputs.
 
 Null and empty texts have no words and the structure of an empty text; without labels of both kinds all scores are the
 labels' mean (0 if there are none). Repeated rows are scored one by one; an empty table gives an empty result.
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import table
+from shale.llm.common import apart_from, stored, table
 from shale.llm.learning import held_out, sampled, sigmoid
 from shale.llm.tokens import word_hashes
 
-SAMPLE, BUCKETS, RANK, STEPS = 8_000, 1 << 15, 6, 12
+SAMPLE, WORDS, BUCKETS, RANK, STEPS = 8_000, 16_000_000, 1 << 15, 6, 12
 EPOCHS, BATCH, RATE, DECAY = 8, 200, 0.1, 1e-5
 N_STRUCTURE = 11
 SIZE = BUCKETS + N_STRUCTURE * STEPS
@@ -124,7 +124,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
             parts = [words[a:b].astype("<u2").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array([r.tobytes() for r in structure.astype("<i4")], pa.binary()), batch.column("y")], ["words", "structure", "y"])
 
-    rows = own.mapInArrow(run, "words binary, structure binary, y int").collect()
+    found = stored(own.mapInArrow(run, "words binary, structure binary, y int"), "op8")
+    words = found.agg(F.sum(F.octet_length("words")) / 2).first()[0] or 0
+    if words > WORDS:
+        found = found.where(F.pmod(F.xxhash64("words"), F.lit(1 << 20)) < int((1 << 20) * WORDS / words))
+    rows = found.collect()  # bounded by SAMPLE and WORDS
     y = np.array([r.y for r in rows], dtype=np.float32)
     if not len(rows) or len(set(y.tolist())) < 2:
         return float(y.mean()) if len(rows) else 0.0
@@ -135,8 +139,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
 
 
 def score(docs: DataFrame, model: Machine | float) -> DataFrame:
-    """docs' columns but text, and score."""
-    rest = [c for c in docs.columns if c != "text"]
+    """docs' columns but text, and score (in place of a column of that name)."""
+    rows, rest = apart_from(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * (RANK + 1) numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +148,9 @@ def score(docs: DataFrame, model: Machine | float) -> DataFrame:
         for batch in chunks(batches, "text"):
             texts = texts_of(batch)
             p = np.full(len(texts), own) if isinstance(own, float) else sigmoid(own.raw(*inputs(texts)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(p)], [*rest, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(p)], ["_row", "score"])
 
-    return docs.mapInArrow(run, docs.select(*rest).schema.add("score", "double"))
+    return rows.mapInArrow(run, rows.select("_row").schema.add("score", "double")).select(*rest, "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

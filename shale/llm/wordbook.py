@@ -1,4 +1,4 @@
-"""Numbers for distinct byte strings, many at a time: an open-addressing table in numpy that compares bytes.
+"""Numbers for distinct keys and byte strings, many at a time: open-addressing tables in numpy.
 
 A word is a slice of a byte buffer, read as lanes of eight bytes. Its hash picks a place in the table; that it is the same word
 is then settled by its bytes, so a clash of hashes can't give a wrong number: a word that isn't the one with its hash has
@@ -34,15 +34,47 @@ def _lane(lanes: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.
     return lanes[start + 8 * k] & _MASK[np.minimum(size - 8 * k, 8)]
 
 
+class KeyTable:
+    """Numbers by distinct 64-bit keys."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        """keys: have their places as numbers."""
+        n = 0 if keys is None else len(keys)
+        self.bits = max(int(4 * n - 1).bit_length(), 10) if n else 10
+        self.number, self.key = np.full(1 << self.bits, NEW, np.int32), np.zeros(1 << self.bits, np.uint64)
+        if n:
+            self.put(keys, np.arange(n, dtype=np.int32))
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys * _STEP) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or NEW."""
+        out = np.full(len(keys), NEW, dtype=np.int32)
+        left, at, last = np.arange(len(keys)), self._place(keys), (1 << self.bits) - 1
+        while len(left):
+            number = self.number[at]
+            hit = self.key[at] == keys[left]
+            out[left[hit]] = number[hit]  # NEW where the place is empty
+            on = ~hit & (number != NEW)
+            left, at = left[on], (at[on] + 1) & last
+        return out
+
+    def put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        """Distinct keys that are not in the table, with distinct numbers."""
+        left, at, last = np.arange(len(keys)), self._place(keys), (1 << self.bits) - 1
+        while len(left):
+            free = self.number[at] == NEW
+            self.number[at[free]] = number[left[free]]  # of several for one place the last one stays
+            mine = free & (self.number[at] == number[left])
+            self.key[at[mine]] = keys[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & last
+
+
 class WordBook:
-    def __init__(self, bits: int = 16):
-        self.n = 0
+    def __init__(self):
+        self.n, self.table = 0, KeyTable()
         self.raw, self.start, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._table(bits)
-
-    def _table(self, bits: int) -> None:
-        self.bits = bits
-        self.number, self.hash = np.full(1 << bits, NEW, np.int32), np.zeros(1 << bits, np.uint64)
 
     @staticmethod
     def hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -67,28 +99,6 @@ class WordBook:
             own = own[same[own]]
         return same
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number that has each hash, or NEW."""
-        out = np.full(len(h), NEW, dtype=np.int32)
-        left, at, last = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            number = self.number[at]
-            hit = self.hash[at] == h[left]
-            out[left[hit]] = number[hit]  # NEW where the place is empty
-            on = ~hit & (number != NEW)
-            left, at = left[on], (at[on] + 1) & last
-        return out
-
-    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
-        """Distinct hashes that are not in the table."""
-        left, at, last = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            free = self.number[at] == NEW
-            self.number[at[free]] = number[left[free]]  # of several for one place the last one stays
-            mine = free & (self.number[at] == number[left])
-            self.hash[at[mine]] = h[left[mine]]
-            left, at = left[~mine], (at[~mine] + 1) & last
-
     def numbers(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's number, and the words that the book has taken in: their places in start, in the order of their numbers.
 
@@ -98,7 +108,7 @@ class WordBook:
         fit = np.flatnonzero(size <= LONGEST)
         start, size = start[fit], size[fit]
         h = self.hashes(raw, start, size)
-        got = self._find(h)
+        got = self.table.find(h)
         new = np.flatnonzero(got == NEW)
         first = np.zeros(0, np.int64)
         if len(new):
@@ -112,11 +122,10 @@ class WordBook:
 
     def _take(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> None:
         n = self.n + len(h)
-        if 2 * n > 1 << self.bits:
-            known = self.hashes(self.raw, self.start, self.size)
-            self._table(int(4 * n - 1).bit_length())
-            self._put(known, np.arange(self.n, dtype=np.int32))
-        self._put(h, np.arange(self.n, n, dtype=np.int32))
+        if 2 * n > 1 << self.table.bits:
+            self.table = KeyTable(np.concatenate([self.hashes(self.raw, self.start, self.size), h]))
+        else:
+            self.table.put(h, np.arange(self.n, n, dtype=np.int32))
         ends = np.cumsum(size)
         own = raw[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
         self.start = np.concatenate([self.start, len(self.raw) - 8 + ends - size])

@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,23 +105,40 @@ def test_quality_held_out(spark, tmp_path):
     assert model == 0.0 and fm.score(empty, model).count() == 0
 
 
+def test_quality_bounds(spark, monkeypatch):
+    """A very long text among many, columns with clashing names, and a sample bounded in words."""
+    rng = random.Random(19)
+    words = vocab(rng, "abcdefgh")
+    docs = [(i, " ".join(rng.choice(words) for _ in range(50)).upper() if i % 2 else " ".join(rng.choice(words) for _ in range(50)), "mine", 7) for i in range(300)]
+    docs += [(300, "Long " * 400_000, None, None), (301, "w" * 1_000_000, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score string, words int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(302)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(fm, "WORDS", 10_000)
+    model = fm.learn(spark, frame.where("doc_id < 300"), labels)
+    assert isinstance(model, fm.Machine)
+    got = {r.doc_id: r for r in fm.score(frame.drop("score"), model).collect()}
+    assert len(got) == 302 and got[5].words == 7 and all(0 <= r.score <= 1 for r in got.values())
+    out = fm.score(frame, model)
+    assert out.columns == ["doc_id", "words", "score"] and out.count() == 302
+
+
 # --- op9 ---
 
 
-def brute_bits(train: dict[str, list[str]], text: str, codes) -> dict[str, float]:
-    code = lambda t: [int(codes[b]) for b in ppm.FOLD[np.frombuffer(b"   " + t.encode(), np.uint8)]]
+def brute_bits(train: dict[str, list[str]], text: str) -> dict[str, float]:
+    k_max = ppm.ORDER
+    code = lambda t: ppm.FOLD[np.frombuffer(b" " * k_max + t.encode(), np.uint8)].tolist()
     out = {}
-    rest = math.log2(max(1, sum(1 for c in codes if c == ppm.CODES - 1)))
     for lang, texts in train.items():
         tree = defaultdict(Counter)
         for t in texts:
             c = code(t)
-            for i in range(3, len(c)):
-                for k in range(4):
+            for i in range(k_max, len(c)):
+                for k in range(k_max + 1):
                     tree[tuple(c[i - k : i])][c[i]] += 1
         total, c = 0.0, code(text)
-        for i in range(3, len(c)):
-            for k in (3, 2, 1, 0):
+        for i in range(k_max, len(c)):
+            for k in range(k_max, -1, -1):
                 own = tree[tuple(c[i - k : i])]
                 if own[c[i]]:
                     total -= math.log2(own[c[i]] / (sum(own.values()) + sum(1 for v in own.values() if v)))
@@ -129,26 +147,27 @@ def brute_bits(train: dict[str, list[str]], text: str, codes) -> dict[str, float
                     kinds = sum(1 for v in own.values() if v)
                     total -= math.log2(kinds / (sum(own.values()) + kinds))
             else:
-                total += math.log2(ppm.CODES)
-            total += rest * (c[i] == ppm.CODES - 1)
+                total += 8
         out[lang] = total
     return out
 
 
-def test_code_lengths_and_predictions(spark, tmp_path):
+def test_code_lengths_and_predictions(spark, tmp_path, monkeypatch):
     rng = random.Random(16)
     train = {x: [" ".join(rng.choice(v) for _ in range(25)) for _ in range(80)] for x, v in {"aa": vocab(rng, "abcdeé"), "bb": vocab(rng, "fghijß"), "cc": vocab(rng, "аеорсв")}.items()}
     docs = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, own in train.items() for t in own)]
     docs += [(9000, None, "aa"), (9001, "123 !", "bb"), (9002, "abc", None), (None, "fgh", None), (3, docs[3][1], "aa"), (9003, "日本", None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     known = frame.where("doc_id is not null and doc_id < 9000").dropDuplicates(["doc_id"])
-    names, codes, counts = ppm.learn(known)
+    names, counts = ppm.learn(known)
     assert names == sorted(train)
-    model = ppm.Model(names, codes, counts)
-    texts = [train["aa"][0], "fgh xyz éé", "", "Zzz 日本 9"]
+    model = ppm.Model(names, counts)
+    texts = [train["aa"][0], "fgh xyz éé", "", "Zzz 日本 9", "a", "аеор " * 300]
     got = model.bits(texts)
     for t, row in zip(texts, got, strict=True):
-        assert np.allclose(row, [brute_bits(train, t, codes)[x] for x in names], rtol=1e-4, atol=1e-2)
+        assert np.allclose(row, [brute_bits(train, t)[x] for x in names], rtol=1e-4, atol=1e-2)
+    monkeypatch.setattr(ppm, "COSTS", 100)  # the same in small parts
+    assert np.allclose(model.bits(texts), got, rtol=1e-5)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     rows = ppm.query(spark, str(tmp_path)).collect()
     assert len(rows) == len(docs)
@@ -157,3 +176,19 @@ def test_code_lengths_and_predictions(spark, tmp_path):
     by = {r.doc_id: r for r in rows}
     assert by[9000].lang_pred == by[9001].lang_pred == "und" and by[9002].lang_pred == "aa" and by[None].lang_pred == "bb"
     assert {r.lang_pred for r in ppm.predict(frame.select("doc_id", "text"), None).collect()} == {"und"}
+
+
+def test_letters_and_scripts(spark, tmp_path):
+    """Any language that is there is learned, whatever its script; texts without a letter are und."""
+    rng = random.Random(18)
+    scripts = {f"s{i:02d}": "".join(chr(c) for c in range(first, first + 30)) for i, first in enumerate([0x3B1, 0x430, 0x561, 0x5D0, 0x627, 0x905, 0x985, 0xA05, 0xE01, 0x10D0, 0x1100, 0x3041, 0x30A1, 0x4E00, 0xAC00])}
+    scripts |= {f"t{i:02d}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for i in range(60)}
+    docs = [(i * 100 + k, " ".join(rng.choice(words) for _ in range(40)), x) for i, (x, words) in enumerate((x, vocab(rng, letters, 60)) for x, letters in scripts.items()) for k in range(12)]
+    odd = ["² ½ ①", "١٢٣", "12 34", "!?", "⁂ ー"[:1], "ª", "ⅷ", "é", "日", " \n"]
+    rows = docs + [(100_000 + i, t, None) for i, t in enumerate(odd)] + [(200_000, docs[0][1] * 5_000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in ppm.query(spark, str(tmp_path)).collect()}
+    assert sum(by[i].lang_pred == x for i, _, x in docs) >= 0.98 * len(docs)
+    for i, t in enumerate(odd):
+        assert (by[100_000 + i].lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in t)), t
+    assert by[200_000].lang_pred == docs[0][2]

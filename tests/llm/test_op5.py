@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shale.llm import op5_decontaminate as op
 from shale.llm.tokens import shingle_hashes, word_hashes
@@ -57,3 +58,10 @@ def test_search_both_ways(spark):
         bad = {x[0] for x in want}
         assert sorted([tuple(r) for r in clean.collect()], key=str) == sorted([d for d in docs if d[0] not in bad], key=str)
     assert op.contaminated(frame.limit(0), bench).count() == 0 and op.decontaminate(frame, bench.limit(0)).count() == len(docs)
+    clash = frame.select("doc_id", F.lit("mine").alias("item_id"), F.lit(1).alias("n_found"), F.lit(2).alias("n_shingles"), "text", F.lit(3).alias("a.b"))
+    for limit in (op.BROADCAST_BYTES, 0):
+        got = op.contaminated(clash, bench, broadcast_bytes=limit)
+        assert sorted(got.columns) == sorted(["doc_id", "a.b", *op.RESULT])
+        assert sorted([(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got.collect()], key=str) == want
+        assert op.decontaminate(clash, bench, broadcast_bytes=limit).columns == clash.columns
+        assert op.contaminated(clash, bench.limit(0), broadcast_bytes=limit).count() == 0

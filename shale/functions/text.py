@@ -200,6 +200,47 @@ def excerpt(json: Column, schema: str) -> Column:
     return F.transform_values(items, lambda k, v: F.struct(F.slice(v, 1, 2).alias("sample"), F.when(F.size(v) > 2, F.size(v)).alias("truncated_count")))
 
 
+EXCERPT_LIST, EXCERPT_KEYS = 2, 20
+
+
+def json_excerpt(json: Column) -> Column:
+    """A JSON object with two elements of each of its lists, and the number of all beside those that were cut.
+
+    Of an object inside it the first 20 keys stay, their lists cut to two elements. Of a list as a whole two elements stay.
+    """
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    short = lambda v: F.coalesce(F.to_variant_object(F.slice(as_list(v), 1, EXCERPT_LIST)), v)
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+
+    def inside(v: Column) -> Column:
+        kept = F.slice(F.map_entries(as_map(v)), 1, EXCERPT_KEYS)
+        cut = F.to_variant_object(F.map_from_entries(F.transform(kept, lambda x: pair(x["key"], short(x["value"])))))
+        return F.coalesce(short(F.when(as_map(v).isNull(), v)), cut)
+
+    def entries(x: Column) -> Column:
+        n = F.size(as_list(x["value"]))
+        more = F.array(pair(F.concat(x["key"], F.lit("__truncated_count")), F.to_variant_object(F.array(n))))
+        return F.when(n > EXCERPT_LIST, F.concat(F.array(pair(x["key"], inside(x["value"]))), more)).otherwise(F.array(pair(x["key"], inside(x["value"]))))
+
+    whole = F.try_parse_json(json)
+    top = F.map_from_entries(F.flatten(F.transform(F.map_entries(as_map(whole)), entries)))
+    # A count is written as a list of one number, since only lists and objects turn into variants, and unwrapped in the text.
+    text = F.regexp_replace(F.to_json(top), r'__truncated_count":\[(\d+)\]', r'__truncated_count":$1')
+    return F.coalesce(text, F.to_json(F.slice(as_list(whole), 1, EXCERPT_LIST)))
+
+
+def chunk_name(site: Column, stamp: Column, label: Column) -> Column:
+    """Where a chunk of a site's records is written."""
+    return F.concat(site, F.lit("/chunks/"), stamp, F.lit("_"), safe_name(label), F.lit(".json"))
+
+
+def public_config(json: Column) -> Column:
+    """Of a database configuration what may be shown: database, host, port; from its part 'mysql' or the whole."""
+    part = lambda c: F.coalesce(F.get_json_object(json, f"$.mysql.{c}"), F.get_json_object(json, f"$.{c}"))
+    return F.struct(*[part(c).alias(c) for c in ("database", "host", "port")])
+
+
 def format_hours(value: Column) -> Column:
     return F.when(value != 0, F.concat(F.format_number(value, 0), F.lit("시간"))).otherwise("-")
 

@@ -158,7 +158,8 @@ def _pages(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def page(html: Column) -> Column:
     """The parsed page. Arrow moves the batches; null counts as an empty page."""
-    return F.pandas_udf(_pages, PAGE)(html)
+    # Declared as not deterministic, so that a filter on a part of the page isn't pushed below it and parses it once more.
+    return F.pandas_udf(_pages, PAGE).asNondeterministic()(html)
 
 
 def with_page(pages: DataFrame, html: str = "html") -> DataFrame:

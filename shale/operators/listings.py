@@ -179,3 +179,32 @@ def overlaid(listed: DataFrame, details: DataFrame, key: str = "pid") -> DataFra
         if f"_d_{c}" in out.columns:
             out = out.withColumn(c, F.coalesce(F.col(f"_d_{c}"), F.col(c)))
     return out.drop(*[c for c in out.columns if c.startswith("_d_")])
+
+
+def detail_step(listed: DataFrame, details: DataFrame, mode: str, now: Column, key: str = "pid") -> DataFrame:
+    """The records of detail tasks: list rows (with metadata_json) with their details laid over, hashed, and of the period.
+
+    A task whose metadata isn't JSON gives no record; neither does one without a detail page.
+    """
+    from shale.operators.identity import content_hash
+
+    whole = listed.where(F.try_parse_json("metadata_json").isNotNull()).join(details.select(key).distinct(), key, "left_semi")
+    out = overlaid(whole, details, key).withColumn("content_hash", content_hash())
+    return out.where(tx.in_period(F.coalesce(F.col("posted_at"), F.col("posted_date").cast("timestamp_ntz")), mode, now))
+
+
+#: Columns that are stored as they are; the others of a record go into its payload.
+STORED = ("content_hash", "origin", "source_site", "crawl_url", "detail_url", "pid", "listing_name", "model_name", "model_norm", "price", "price_krw", "contact", "status")
+
+
+def stored_row(records: DataFrame) -> DataFrame:
+    """Records as they are stored: the date from posted_date, else posted_at; times without zone; counts from text; JSON."""
+    has = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    return records.select(
+        *[has(c).alias(c) for c in STORED],
+        F.coalesce(has("posted_date").cast("string").try_cast("date"), has("posted_at").cast("string").try_cast("timestamp_ntz").cast("date")).alias("posted_date"),
+        *[has(c).cast("string").try_cast("timestamp_ntz").alias(c) for c in ("posted_at", "crawled_at")],
+        tx.nullable_int(has("view_count").cast("string")).cast("int").alias("view_count"),
+        (F.to_json("raw") if "raw" in records.columns else F.lit(None).cast("string")).alias("raw_json"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("payload_json"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shale import storage
 from shale.functions import urls
 from shale.operators import html as h
 
@@ -45,12 +46,17 @@ def is_pagination(n: Column) -> Column:
     return urls.has_name(n, PAGE_NAMES, "PB_")
 
 
+#: Names of links that choose a category, and of links to details. Fixed values.
+CATEGORY_LINK_NAMES = ("cate_code", "cat1", "cat2", "ca_id", "MType", "bo_table", "bcate", "scate")
+DETAIL_LINK_NAMES = ("pid", "wr_id", "idx", "product_no", "no", "seq", "uid", "id")
+
+
 def is_category(n: Column) -> Column:
-    return urls.has_name(n, ("cate_code", "cat1", "cat2", "ca_id", "MType", "bo_table", "bcate", "scate"), "SCH_category_", fold=False)
+    return urls.has_name(n, CATEGORY_LINK_NAMES, "SCH_category_", fold=False)
 
 
 def is_detail(n: Column, path: Column) -> Column:
-    return urls.has_name(n, ("pid", "wr_id", "idx", "product_no", "no", "seq", "uid", "id")) | path.rlike(DETAIL_PATH)
+    return urls.has_name(n, DETAIL_LINK_NAMES) | path.rlike(DETAIL_PATH)
 
 
 def _ranked(counts: DataFrame, group: list[str], most: int) -> DataFrame:
@@ -94,6 +100,10 @@ def roles(name: Column) -> Column:
 
 def contract(pages: DataFrame, group: str = "page_id", hosts: list[str] | None = None) -> DataFrame:
     """One row for each parsed page: endpoint, response type, ranked names, and names by role."""
+    # Links, fields and hints read the pages three times: they are parsed once, and only these parts are stored.
+    kept = [c for c in (group, "url", "content_type") if c in pages.columns]
+    parts = F.struct(*[F.col(f"page.{c}").alias(c) for c in ("links", "clicks", "forms", "scripts")])
+    pages = storage.stored(pages.select(*kept, parts.alias("page")), "profile")
     rows = on_hosts(links(pages, group), hosts or [])
     fields = pages.select(group, F.explode("page.forms").alias("f")).select(group, F.explode("f.fields").alias("x")).select(group, F.col("x.name").alias("name"))
     weights = weighted_params(fields, param_frequency(rows, group, ["pos"]), group)

@@ -43,13 +43,31 @@ select user_id, event_id as seq, ts as at, case event_type when 'click' then 'st
 from {events}"""
 
 
+#: Listing pages made from the numbers of pages: links, a form, scripts, totals. The SQL is valid in Spark and in DuckDB.
+SHOPS_SQL = """
+select page_id, concat('http://www.shop', page_id % 7, '.example.com/list/index.php?page=', page_id % 5 + 1, '&cate_code=', page_id % 3) as url,
+  concat('<html><head><title> ', case when page_id % 10 = 9 then '고객센터' else '굴삭기  매매' end, ' ', page_id, '</title><script src="/a.js"></script></head><body>',
+    case when page_id % 4 = 0 then concat('<p>총 게시물 ', page_id % 900, ' 건</p>') else '<p>목록</p>' end,
+    '<a href="/company/intro">회사소개</a><a href="/bbs/board.php?bo_table=sale">매물 게시판</a><a href="/goods?page=2#top">next</a><a href="/goods?page=2"> 중고 <b>장비</b></a>',
+    '<a href="http://other.example.org/goods">goods</a><a href="javascript:x()">매물</a><a href="#top">매물</a>',
+    case when page_id % 2 = 0 then concat('<a href="/view?wr_id=', page_id, '"></a>') else '' end,
+    '<a href="/sub6/1">sub6</a><a href="/sub6/2">sub6</a><a href="/sub6/3">sub6</a><a href="/sub6/4">sub6</a><a href="/sub6/5">sub6</a><a href="/sub6/6">sub6</a>',
+    '<a href="/item/1">굴삭기 1</a><a href="/item/2">굴삭기 2</a><a href="/item/2#b">굴삭기 2</a>',
+    '<form method="post" action="/search">찾기<input type="text" name="stx" value="x"><select name="cate_code"><option value="1">One<option value="2">Two</select><input type="submit"></form>',
+    case when page_id % 3 = 0 then '<script>fetch("/api/list?x=1"); go(url: "/more");</script>' else '<script>track(1)</script>' end, '</body></html>') as html
+from {pages}"""
+
+
+TABLES = ("orders", "customer", "events", "pages")
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = [n for n in ("orders", "customer", "events") if "{" + n + "}" in sql]
+    names = [n for n in TABLES if "{" + n + "}" in sql]
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def duck(sql: str) -> str:
-    for n in ("orders", "customer", "events"):
+    for n in TABLES:
         sql = sql.replace("{" + n + "}", n)
     return sql
 
@@ -64,3 +82,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, TRANSITIONS_SQL).withColumn("at", F.col("at").cast("timestamp"))
+
+
+def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, SHOPS_SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shale.functions import text as tx
 from shale.functions import urls
-from shale.operators import dictionary, html, identity, owners, profile, survey
+from shale.operators import dictionary, html, identity, origins, owners, profile, survey
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
 from shale.plans import fixtures as fx
@@ -418,25 +418,163 @@ def html_links(s, d):
     return rows.where(F.size("h") > 0).select("page_id", F.size("h").cast("long").alias("links"), F.sha2(F.array_join(F.array_sort("h"), " "), 256).alias("hrefs"))
 
 
-@query("html_titles")
+#: The visible text of a page: comments, scripts and styles out, tags to blanks, entities of the test pages to characters.
+VISIBLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<(script|style|noscript)[ >].*?</(script|style|noscript)>|<!DOCTYPE[^>]*>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+@query("html_titles", rf"""select page_id, substring(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 120) as title,
+sha256({VISIBLE}) as text_sha256, len(regexp_extract_all(html, '<script[ >]'))::double as scripts, 0::double as forms from pages""")
 def html_titles(s, d):
     p = html.with_page(table(s, d, "pages"))
-    return p.select("page_id", html.title(F.col("page")).alias("title"), F.length("page.text").alias("text_chars"), F.size("page.scripts").alias("scripts"), F.size("page.forms").alias("forms"))
+    return p.select("page_id", html.title(F.col("page")).alias("title"), F.sha2(F.col("page.text"), 256).alias("text_sha256"), F.size("page.scripts").cast("double").alias("scripts"), F.size("page.forms").cast("double").alias("forms"))
+
 
+SHOPS = fx.duck(fx.SHOPS_SQL)
+SHOP_HOST = "concat('http://www.shop', page_id % 7, '.example.com')"
 
-@query("html_candidate_links")
+
+@query("html_candidate_links", f"""select page_id, rank::double as rank, score::double as score, concat({SHOP_HOST}, href) as url, label from pages, (values (1, 25, '/bbs/board.php?bo_table=sale', '매물 게시판'), (2, 6, '/goods?page=2', 'next'),
+(3, 6, '/sub6/1', 'sub6'), (4, 6, '/sub6/2', 'sub6'), (5, 6, '/sub6/3', 'sub6'), (6, 6, '/sub6/4', 'sub6'), (7, 6, '/sub6/5', 'sub6')) v(rank, score, href, label)""")
 def html_candidate_links(s, d):
-    return survey.candidate_links(html.with_page(table(s, d, "pages")))
+    return survey.candidate_links(html.with_page(fx.shops(s, d))).withColumns({c: F.col(c).cast("double") for c in ("rank", "score")})
+
 
+@query("html_forms", "select page_id, 1::double as form, 'POST' as method, '/search' as action, 'stx:input:text:x:0 cate_code:select:::2' as fields, '1=One 2=Two' as options, '찾기 One Two' as text from pages")
+def html_forms(s, d):
+    f = html.with_page(fx.shops(s, d)).select("page_id", F.explode("page.forms").alias("f")).select("page_id", "f.*")
+    shown = F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["tag"], x["type"], x["value"], F.size(x["options"]).cast("string")))
+    options = F.transform(F.flatten(F.transform("fields", lambda x: x["options"])), lambda o: F.concat_ws("=", o["value"], o["text"]))
+    return f.select("page_id", F.col("index").cast("double").alias("form"), "method", "action", F.array_join(shown, " ").alias("fields"), F.array_join(options, " ").alias("options"), "text")
 
-@query("page_analysis")
+
+@query("html_scripts", """select page_id, 1::double as external, 1::double as inline, case when page_id % 3 = 0 then '/api/list?x=1 /more' else '' end as hints from pages""")
+def html_scripts(s, d):
+    n = lambda test: F.size(F.filter("page.scripts", test)).cast("double")
+    p = html.with_page(fx.shops(s, d))
+    return p.select("page_id", n(lambda x: x["src"].isNotNull()).alias("external"), n(lambda x: x["src"].isNull()).alias("inline"), F.array_join(html.endpoint_hints(F.col("page")), " ").alias("hints"))
+
+
+@query("page_analysis", """with p as (select page_id, page_id % 10 = 9 as off, case when page_id % 4 = 0 then page_id % 900 end as total from pages),
+q as (select *, case when off then 0 else coalesce(total, 4) end as n from p)
+select page_id, concat(case when off then '고객센터 ' else '굴삭기 매매 ' end, page_id) as title,
+case when page_id % 3 > 0 then 'HTML 응답' when not off and n > 0 then 'HTML 응답(스크립트 단서 있음)' else 'HTML+API호출 단서' end as kind,
+total::double as total, 2::double as page_max, 2::double as visible, n::double as listing_count, not off as listing_like,
+10 + case when off then 0 else 25 end + least(n, 200) / 10.0 + case when page_id % 3 > 0 or (not off and n > 0) then 2 else 0 end + 3 as score from q""")
 def page_analysis(s, d):
-    return survey.analyzed(table(s, d, "pages")).select("page_id", "title", "kind", "total", "page_max", "visible", "listing_count", "listing_like", "score")
+    p = survey.analyzed(fx.shops(s, d))
+    return p.select("page_id", "title", "kind", *[F.col(c).cast("double").alias(c) for c in ("total", "page_max", "visible", "listing_count")], "listing_like", F.round("score", 6).alias("score"))
+
+
+@query("page_analysis_plain", rf"""with v as (select page_id, url, {VISIBLE} as t from pages) select page_id, len(t)::double as chars, {_hits_sql('lower(t)', FOR_SQL, 1)}::double as words, regexp_matches(t, '(?:19|20)\d{{2}}\s*년') as has_year from v""")
+def page_analysis_plain(s, d):
+    t = F.col("page.text")
+    return html.with_page(table(s, d, "pages")).select("page_id", F.length(t).cast("double").alias("chars"), survey.hits(F.lower(t), survey.LISTING_WORDS).cast("double").alias("words"), t.rlike(survey.YEAR).alias("has_year"))
 
 
-@query("request_contract")
+@query("request_contract", f"""select page_id, concat({SHOP_HOST}, '/list/index.php') as base_endpoint, concat('cate_code=', page_id % 3, ' page=', page_id % 5 + 1) as current_query_params,
+concat('cate_code page stx bo_table', case when page_id % 2 = 0 then ' wr_id' else '' end) as observed_param_names_ranked, case when page_id % 3 = 0 then 'HTML 목록 + JS/Ajax 단서' else 'HTML' end as response_type,
+'page' as likely_pagination_params, 'cate_code bo_table' as likely_category_params, 'stx' as likely_search_filter_params, case when page_id % 2 = 0 then 'wr_id' else '' end as likely_detail_id_params from pages""")
 def request_contract(s, d):
-    return profile.contract(html.with_page(table(s, d, "pages")))
+    c = profile.contract(html.with_page(fx.shops(s, d)))
+    query_ = F.array_join(F.array_sort(F.transform(F.map_entries("current_query_params"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ",")))), " ")
+    lists = [x for x in c.columns if x.startswith(("observed", "likely"))]
+    return c.withColumns({"current_query_params": query_, **{x: F.array_join(x, " ") for x in lists}})
+
+
+DETAIL_IDS = "case when page_id % 2 = 0 then 1 else 0 end"
+
+
+#: The link to the top of the page has the parameters of the page itself.
+@query("detail_links", f"select page_id, {DETAIL_IDS}::double as details, 3::double as pages_, 2::double as categories from pages")
+def detail_links(s, d):
+    rows = profile.links(html.with_page(fx.shops(s, d)))
+    test = lambda t: F.count_if(t).cast("double")
+    n = profile.names()
+    return rows.groupBy("page_id").agg(test(profile.is_detail(n, F.col("path"))).alias("details"), test(profile.is_pagination(n)).alias("pages_"), test(profile.is_category(n)).alias("categories"))
+
+
+# --- reports, detail records ---
+
+ORIGIN_ROWS = "select o_orderkey as pos, concat('http://www.site', o_custkey % 40, '.example.com/l?x=', o_orderkey % 9) as url, concat('http://site', o_custkey % 40, '.example.com') as origin, o_orderkey % 997 as count, concat('http://site', o_custkey % 40, '.example.com/p', o_orderkey % 12) as page_url, case when o_orderkey % 5 = 0 then '' else concat('n', o_orderkey % 50) end as name, case when o_orderkey % 3 = 0 then 'nan' else concat('0', o_orderkey % 30) end as phone from orders"
+
+
+def _first_sql(value: str, most: int) -> str:
+    return f"select origin, string_agg(v, ' | ' order by n) as x from (select *, row_number() over (partition by origin order by c, p, v) as n from (select origin, {value} as v, first(-count order by -count, pos) as c, first(pos order by -count, pos) as p from r where {value} not in ('', 'nan') group by origin, {value})) where n <= {most} group by origin"
+
+
+OVERVIEW = f"with r as ({ORIGIN_ROWS}), g as (select origin, max(count) as largest, count(*) as rows from r group by origin having max(count) > 100) select g.origin, largest, rows, coalesce(u.x, '') as urls, coalesce(n.x, '') as names, coalesce(f.x, '') as phones from g left join ({_first_sql('page_url', 5)}) u using (origin) left join ({_first_sql('name', 20)}) n using (origin) left join ({_first_sql('phone', 10)}) f using (origin)"
+
+
+def _overview(s, d):
+    o = table(s, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey") % 40
+    rows = o.select(
+        key.alias("pos"), F.concat(F.lit("http://www.site"), cust, F.lit(".example.com/l?x="), key % 9).alias("url"), (key % 997).alias("count"), F.concat(F.lit("http://site"), cust, F.lit(".example.com/p"), key % 12).alias("page_url"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("n"), key % 50)).alias("name"), F.when(key % 3 == 0, "nan").otherwise(F.concat(F.lit("0"), key % 30)).alias("phone"),
+    )
+    return origins.overview(origins.with_origin(rows, "url"))
+
+
+query("origin_overview", OVERVIEW)(_overview)
+
+
+@query("origin_documents", f"select origin, concat('slug', n % 3) as slug, concat(origin, '/list') as endpoint, concat('label ', n % 3) as label, largest from (select *, cast(regexp_extract(origin, 'site([0-9]+)', 1) as int) as n from ({OVERVIEW})) where n % 4 = 0 and n % 8 > 0")
+def origin_documents(s, d):
+    sites = s.range(40)
+    origin = F.concat(F.lit("http://site"), "id", F.lit(".example.com")).alias("origin")
+    endpoints = sites.where("id % 4 = 0").select(origin, F.concat(F.lit("slug"), F.col("id") % 3).alias("slug"), F.concat(origin, F.lit("/list")).alias("endpoint"))
+    documents = s.range(3).select(F.concat(F.lit("slug"), "id").alias("slug"), F.concat(F.lit("label "), "id").alias("label"))
+    meta = sites.where("id % 8 > 0").select(origin)
+    return origins.with_meta(origins.with_documents(_overview(s, d), endpoints, documents), meta).select("origin", "slug", "endpoint", "label", "largest")
+
+
+@query("origin_report", f"""select concat(replace(origin, 'http://', ''), '.md') as file, concat('# l', chr(10), chr(10), '## Overview', chr(10), chr(10), '- origin: ', origin, chr(10), '- largest count: ', largest, chr(10), '- rows: ', rows, chr(10), chr(10), '## Pages', chr(10), chr(10), '- ', replace(urls, ' | ', chr(10) || '- '), chr(10), chr(10), '## Names', chr(10), chr(10), '- ', replace(case when names = '' then '-' else names end, ' | ', chr(10) || '- '), chr(10), chr(10),
+'## Phones', chr(10), chr(10), '- ', replace(case when phones = '' then '-' else phones end, ' | ', chr(10) || '- '), chr(10), chr(10), '## Requests', chr(10), chr(10), '- endpoint: e', chr(10), '- pagination: `page`', chr(10), '- category: 미확인', chr(10), '- search_filter: 미확인', chr(10), '- detail_id: `a`, `b`') as text from ({OVERVIEW})""")
+def origin_report(s, d):
+    params = {"likely_pagination_params": F.array(F.lit("page")), "likely_category_params": F.array().cast("array<string>"), "likely_search_filter_params": F.lit(None).cast("array<string>"), "likely_detail_id_params": F.array(F.lit("a"), F.lit("b"))}
+    return origins.report(_overview(s, d).withColumns({"label": F.lit("l"), "endpoint": F.lit("e"), **params}))
+
+
+@query("site_report", f"""select page_id, concat('## Categories', chr(10), chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale', chr(10), '- ', {SHOP_HOST}, '/list/index.php?page=', page_id % 5 + 1, '&cate_code=', page_id % 3, '#top', chr(10), chr(10), '## Links', chr(10), chr(10), '- ', {SHOP_HOST}, '/company/intro', chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale') as text from pages""")
+def site_report(s, d):
+    rows = profile.links(html.with_page(fx.shops(s, d)))
+    sections = [origins.numbered(rows.where(profile.is_category(profile.names())), "Categories", F.col("url"), [F.col("pos")], 10), origins.numbered(rows, "Links", F.col("url"), [F.col("pos")], 2)]
+    return origins.site_report(sections[0].unionByName(sections[1]), ["Categories", "Links"])
+
+
+@query("detail_records", f"""with l as ({L}), d as (select *, case when id % 2 = 0 then concat('new ', id) else model_name end as m, case when id % 2 = 0 and id % 3 = 0 then concat_ws(' ', manufacturer, 'title') else listing_name end as t, case when id % 4 = 0 then coalesce(posted_at, timestamp '1998-07-01') else posted_at end as p from l where id % 5 > 0 and id % 3 < 2)
+select id, m as model_name, t as listing_name, strftime(p, '%Y-%m-%d %H:%M:%S') as posted_at, length(sha256('x')) as hash_chars from d where coalesce(p, posted_date) >= timestamp '1998-06-30' - interval 30 day""")
+def detail_records(s, d):
+    rows = fx.listings(s, d).withColumns({"pid": F.col("id").cast("string"), "metadata_json": F.when(F.col("id") % 5 == 0, "{broken").otherwise('{"pid":1}')})
+    even = F.col("id") % 2 == 0
+    details = rows.where("id % 3 < 2").select(
+        "pid", F.when(even, F.concat(F.lit("new "), "id")).otherwise("").alias("model_name"), F.when(even & (F.col("id") % 3 == 0), "title").alias("detail_title"),
+        F.when(F.col("id") % 4 == 0, F.coalesce("posted_at", F.lit("1998-07-01").cast("timestamp_ntz"))).alias("posted_at"),
+    )
+    out = ls.detail_step(rows, details, "1m", F.lit("1998-06-30").cast("timestamp_ntz"))
+    return out.select("id", "model_name", "listing_name", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), F.length("content_hash").cast("long").alias("hash_chars"))
+
+
+@query("stored_rows", f"""with l as ({L}) select id, cast(coalesce(case when id % 3 = 0 then posted_date end, cast(posted_at as date)) as varchar) as posted_date, case when id % 2 = 0 then (id % 1000 + 1000)::double end as view_count, concat('{{"a":', id, '}}') as raw_json from l""")
+def stored_rows(s, d):
+    rows = fx.listings(s, d)
+    given = F.when(F.col("id") % 3 == 0, F.col("posted_date").cast("string")).otherwise("bad")
+    rows = rows.withColumns({"posted_date": given, "view_count": F.when(F.col("id") % 2 == 0, F.concat(F.lit("조회 1,"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"))).otherwise("-"), "raw": F.struct(F.col("id").alias("a"))})
+    out = ls.stored_row(rows)
+    return out.select(F.get_json_object("payload_json", "$.id").cast("long").alias("id"), F.col("posted_date").cast("string").alias("posted_date"), F.col("view_count").cast("double").alias("view_count"), "raw_json")
+
+
+@query("json_excerpts", """select event_id, case event_id % 3 when 0 then concat('{"a":[', event_id, ',2],"a__truncated_count":4,"b":"x"}') when 1 then '{"o":{"l":["p","q"],"n":null},"s":[1]}' else '[1,{"k":[1,2,3]}]' end as excerpt from events""")
+def json_excerpts(s, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"b":"x","a":['), "event_id", F.lit(",2,3,4]}"))).when(F.col("event_id") % 3 == 1, '{"s":[1],"o":{"l":["p","q","r"],"n":null}}').otherwise('[1,{"k":[1,2,3]},3]')
+    return table(s, d, "events").select("event_id", tx.json_excerpt(text).alias("excerpt"))
+
+
+@query("chunk_names", "select n_nationkey, concat('site/chunks/20260501_', n_nationkey, '_A_b.json') as name, 'db' as database, case when n_nationkey % 2 = 0 then 'h' end as host from nation")
+def chunk_names(s, d):
+    config = F.when(F.col("n_nationkey") % 2 == 0, '{"mysql":{"database":"db","host":"h","password":"p"}}').otherwise('{"database":"db","user":"u"}')
+    name = tx.chunk_name(F.lit("site"), F.lit("20260501"), F.concat("n_nationkey", F.lit(" A/b ")))
+    return table(s, d, "nation").select("n_nationkey", name.alias("name"), tx.public_config(config)["database"].alias("database"), tx.public_config(config)["host"].alias("host"))
 
 
 @query("page_kind", r"select page_id, case when page_id % 5 = 0 then 'API(JSON 응답)' when regexp_matches(html, '(?i)(fetch\s*\(|axios\.|XMLHttpRequest|\$\.ajax|/api/|graphql|_next/data|rest_route|wp-json|ajax)') then 'HTML+API호출 단서' else 'HTML 응답' end as kind, case when page_id % 5 = 0 then 'json' else 'html' end as extension from pages")

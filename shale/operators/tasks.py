@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shale import storage
 from shale.operators.listings import TASK_DEFAULT, TASK_MOST, TASK_SITES, both, clamp
 
 COOL_DOWN, LEAST_WAIT, ERROR_CHARS, GRACE = 900, 60, 2000, 2
@@ -41,15 +42,65 @@ def transition(state: Column, e: Column) -> Column:
     ).cast(STATE)
 
 
-def fold(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+#: What a task may have been before a run of transitions: no task, or in one of the three states.
+STARTS = (None, "pending", "running", "done")
+#: Transitions that one list holds at most.
+RUN = 4096
+EFFECT = f"struct<state:{STATE},attempts:boolean,errors:boolean,success:boolean>"
+
+
+def _effect(x: Column, e: Column) -> Column:
+    """The effect x, of earlier transitions, followed by event e. attempts, errors, success: whether these no longer depend on the start."""
+    after = transition(x["state"], e)
+    queued, running = e["kind"].isin("enqueue", "enqueue_reset"), F.coalesce(x["state"]["status"] == "running", F.lit(False))
+    again = (e["kind"] == "enqueue_reset") & ~running
+    cleared = queued | e["kind"].isin("done", "retry")
+    return F.struct(
+        after.alias("state"), (x["attempts"] | again | x["state"]["status"].isNull()).alias("attempts"), (x["errors"] | cleared).alias("errors"), (x["success"] | again | (e["kind"] == "done")).alias("success"),
+    ).cast(EFFECT)
+
+
+def _start(status: str | None) -> Column:
+    """The effect of nothing on a task of that status, with no attempts."""
+    none = F.lit(None)
+    state = F.struct(F.lit(status).alias("status"), F.lit(None if status is None else 0).alias("attempts"), *[none.alias(c) for c in ("last_status_code", "last_error", "next_run_at", "success_at", "updated_at")])
+    return F.struct(state.alias("state"), *[F.lit(False).alias(c) for c in ("attempts", "errors", "success")]).cast(EFFECT)
+
+
+def _applied(x: Column, then: Column) -> Column:
+    """Effect x followed by the effects `then` (an array by STARTS)."""
+    place = lambda status: F.when(status.isNull(), 0).when(status == "pending", 1).when(status == "running", 2).otherwise(3)
+
+    def joined(e: Column) -> Column:
+        old, new = x["state"], e["state"]
+        later = lambda flag, c: F.when(e[flag], new[c]).otherwise(old[c]).alias(c)
+        attempts = F.when(e["attempts"], new["attempts"]).otherwise(old["attempts"] + new["attempts"])
+        state = F.struct(new["status"].alias("status"), attempts.cast("int").alias("attempts"), *[later("errors", c) for c in ("last_status_code", "last_error", "next_run_at")], later("success", "success_at"), F.coalesce(new["updated_at"], old["updated_at"]).alias("updated_at"))
+        return F.struct(state.alias("state"), *[(x[c] | e[c]).alias(c) for c in ("attempts", "errors", "success")]).cast(EFFECT)
+
+    return F.get(F.transform(F.array(F.get(then, place(x["state"]["status"]))), joined), F.lit(0))
+
+
+def fold(events: DataFrame, keys: list[str], order: list[str], run: int = RUN) -> DataFrame:
     """The last state of each key after its events (kind, at, code, error, wait) in order.
 
-    A task's own transitions are few; they are sorted and folded in one expression.
+    A run of transitions is what it does to a task in each of the states that it may have been in. The events of all keys get
+    their place in one distributed sort; runs of RUN places are folded first, then runs of these, so no list holds a key's
+    events, however many there are.
     """
-    e = F.struct(*order, *[c for c in ("kind", "at", "code", "error", "wait") if c not in order])
-    none = F.lit(None).cast(STATE)
-    state = F.aggregate(F.sort_array(F.collect_list(e)), none, transition)
-    return events.groupBy(*keys).agg(state.alias("_s"), F.min("at").alias("created_at")).select(*keys, "created_at", "_s.*")
+    place = [F.col(c) for c in (*keys, *order, *[c for c in ("kind", "at", "code", "error", "wait") if c not in order])]
+    rows = storage.ranked(events, place, "_n").select(*keys, "at", F.col("_n").cast("long").alias("_n"), F.struct("kind", "at", "code", "error", "wait").alias("_e"))
+    starts = [_start(x) for x in STARTS]
+    inner = lambda one: F.transform(F.array_sort(F.collect_list(F.struct("_n", one))), lambda x: x[one])
+    rows = rows.groupBy(*keys, F.floor(F.col("_n") / run).alias("_n")).agg(F.min("at").alias("created_at"), inner("_e").alias("_l"))
+    rows = rows.select(*keys, "_n", "created_at", F.array(*[F.aggregate("_l", x, _effect) for x in starts]).alias("_x"))
+    while True:
+        rows = storage.kept(rows)
+        if not rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+            break
+        rows = rows.groupBy(*keys, F.floor(F.col("_n") / run).alias("_n")).agg(F.min("created_at").alias("created_at"), inner("_x").alias("_l"))
+        rows = rows.select(*keys, "_n", "created_at", F.array(*[F.aggregate("_l", x, _applied) for x in starts]).alias("_x"))
+    return rows.select(*keys, "created_at", F.get("_x", F.lit(0))["state"].alias("_s")).select(*keys, "created_at", "_s.*")
 
 
 def eligible(tasks: DataFrame, now: Column, limit: int = 20) -> DataFrame:

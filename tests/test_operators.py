@@ -69,6 +69,26 @@ def test_enqueue_and_order(spark):
     assert sorted(r.page for r in tk.pages_read(pages, ["site"], "page", "found").collect()) == list(range(1, 8))
 
 
+def test_fold_in_short_runs(spark):
+    """A hot task's transitions, folded in runs of two, three and all at once, give the state of one after the other."""
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(31)
+    kinds = ["enqueue", "enqueue_reset", "start", "done", "retry", "recover", "odd"]
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", "c"]), i, rng.choice(kinds[: 2 + i % 6]), (i + 1) * 1_000_000, 400 + i % 9, f"e{i}", 60 + i % 5) for i in range(400)] + [("r", 900 + i, "recover", 1_000_000, 1, "x", 1) for i in range(3)]
+    events = spark.createDataFrame(rows, "task string, seq long, kind string, at_us long, code int, error string, wait int").withColumn("at", F.timestamp_micros("at_us"))
+    names = [f.split()[0] for f in streaming.TASK_STATE.split(", ")]
+    want = {}
+    for task, _, kind, at_us, code, error, wait in sorted(rows, key=lambda r: r[1]):
+        before = want.get(task, dict.fromkeys(names))
+        want[task] = streaming._next(before, SimpleNamespace(kind=kind, at_us=at_us, code=code, error=error, wait=wait))
+    micros = lambda c: F.unix_micros(c)
+    for run in (2, 3, tk.RUN):
+        out = tk.fold(events, ["task"], ["seq"], run).select("task", "status", "attempts", "last_status_code", "last_error", micros("next_run_at"), micros("success_at"), micros("updated_at"))
+        assert {r[0]: tuple(r[1:]) for r in out.collect()} == {t: tuple(s[n] for n in names) for t, s in want.items()}, run
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = [(f"t{i % 3}", i, k, i * 1_000_000, 500, "err", 60) for i, k in enumerate(["enqueue", "enqueue", "enqueue", "start", "done", "retry", "retry", "start", "enqueue_reset", "recover", "enqueue", "done"])]
     schema = "task string, seq long, kind string, at_us long, code int, error string, wait int"

@@ -58,6 +58,17 @@ select page_id, concat('http://www.shop', page_id % 7, '.example.com/list/index.
 from {pages}"""
 
 
+#: List pages of a board: one row of a listing, one pinned, one of the house, a short one; and details for every page.
+BOARD_SQL = """
+select page_id, concat('http://h', page_id % 5, '.example.com/list.html') as url,
+  concat('<html><body><a href="/sub8_1_s.html?cate_code=10', lpad(concat(page_id % 50, ''), 4, '0'), '">굴삭기 ', page_id, '</a><a href="/sub8_1_s.html?cate_code=10', lpad(concat(page_id % 50, ''), 4, '0'), '">again</a><a href="/sub8_1_s.html?cate_code=x1">bad</a><a href="/l?page=', page_id % 3, '">n</a>',
+    '<table><tr><th>other</th></tr><tr><td>no</td></tr></table><table><tr><th>번호</th><th>모델명</th><th>등록날짜</th></tr>',
+    '<tr><td>1</td><td>x</td><td>판매</td><td>현대</td><td>R', page_id, '</td><td>2015-03</td><td>중고</td><td>서울</td><td>8,500만원</td><td>홍</td><td>2026.05.', lpad(concat(page_id % 28 + 1, ''), 2, '0'), '</td><td>1,234</td><td><a href="sub8_1_vvv.html?pid=', page_id, '&z=1">go</a></td></tr>',
+    '<tr><td><img src="btn16.png"></td><td>x</td><td>판매</td><td>현대</td><td>R1</td><td></td><td></td><td></td><td></td><td></td><td></td><td></td><td><a href="sub8_1_vvv.html?pid=78">go</a></td></tr>',
+    '<tr><td>2</td><td>x</td><td>판매</td><td>현대</td><td>R2</td><td></td><td></td><td></td><td></td><td>그린중기</td><td></td><td></td><td><a href="sub8_1_vvv.html?pid=79">go</a></td></tr><tr><td>3</td><td>short</td></tr></table>',
+    '<table class="shop_table"><tr><td class="al"><strong>Nice ', page_id, '</strong></td><td class="ar">n/a</td><td class="ar">2026.04.', lpad(concat(page_id % 28 + 1, ''), 2, '0'), '</td></tr><tr><th>모델명</th><td>old</td><th>가격</th><td>', page_id % 90 + 1, ',000만원</td></tr><tr><th>모델명</th><td>M', page_id, '</td></tr><tr><th>위치</th><td></td></tr></table>',
+    '<div class="product_comment">Line 1<br>Line ', page_id, '</div></body></html>') as html
+from {pages}"""
 TABLES = ("orders", "customer", "events", "pages")
 
 
@@ -86,3 +97,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, SHOPS_SQL)
+
+
+def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, BOARD_SQL)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shale.functions import text as tx
 from shale.functions import urls
-from shale.operators import dictionary, html, identity, origins, owners, profile, survey
+from shale import sources, storage, streaming
+from shale.operators import board, dictionary, html, identity, origins, owners, profile, survey
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
 from shale.plans import fixtures as fx
-from shale.sources import table
+from shale.sources import sinks, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -612,3 +613,159 @@ def detail_urls(s, d):
     href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("d.html?a=1&pid="), "page_id")).otherwise(F.concat(F.lit("d.html?id="), "page_id"))
     compact = urls.compact_detail_url(F.lit("http://h.example.com/x/list.html"), href, F.lit("http://h.example.com/v.html"))
     return table(s, d, "pages").select("page_id", compact.alias("detail_url"), urls.list_url("http://h.example.com/l.html", F.concat(F.lit("10"), F.col("page_id") % 3), F.col("page_id")).alias("list_url"))
+
+
+# --- boards: list and detail pages ---
+
+
+@query("board_rows", "select page_id, concat('http://h', page_id % 5, '.example.com/list.html') as crawl_url, concat('http://h', page_id % 5, '.example.com/sub8_1_vvv.html?pid=', page_id) as detail_url, cast(page_id as varchar) as pid, concat('현대 R', page_id) as listing_name, '8,500만원' as price, concat('2026-05-', lpad(cast(page_id % 28 + 1 as varchar), 2, '0')) as posted_date, '1,234' as view_count, '판매' as trade_type, 13::double as cells from pages")
+def board_rows(s, d):
+    rows = board.listing_rows(html.with_page(fx.boards(s, d)), F.lit("2026-06-01").cast("timestamp_ntz"))
+    return rows.select("page_id", "crawl_url", "detail_url", "pid", "listing_name", "price", F.col("posted_date").cast("string").alias("posted_date"), "view_count", F.col("raw.trade_type").alias("trade_type"), F.size("raw.list_values").cast("double").alias("cells"))
+
+
+@query("board_details", "select page_id, concat('Nice ', page_id) as detail_title, concat('2026-04-', lpad(cast(page_id % 28 + 1 as varchar), 2, '0')) as posted_date, concat('M', page_id) as model_name, concat(page_id % 90 + 1, ',000만원') as price, concat('Line 1 Line ', page_id) as description, 2::double as labels, page_id % 3 = 2 as has_next from pages")
+def board_details(s, d):
+    pages = html.with_page(fx.boards(s, d))
+    details = board.details(pages, F.lit("2026-06-01").cast("timestamp_ntz"))
+    nexts = board.expected_next(pages, F.lit(2)).select("page_id", "has_next")
+    return details.join(nexts, "page_id").select("page_id", "detail_title", F.col("posted_date").cast("string").alias("posted_date"), "model_name", "price", "description", F.size("raw_detail").cast("double").alias("labels"), "has_next")
+
+
+@query("board_categories", "select page_id, concat('10', lpad(cast(page_id % 50 as varchar), 4, '0')) as code, concat('굴삭기 ', page_id) as name from pages")
+def board_categories(s, d):
+    return board.categories(html.with_page(fx.boards(s, d))).select("page_id", "code", "name")
+
+
+# --- sources and sinks: written to the shared folder and read back ---
+
+
+@query("csv_round_trip", """select n_nationkey::varchar as n_nationkey, n_name || ', "x"' as n_name, n_regionkey::varchar as n_regionkey from nation""")
+def csv_round_trip(s, d):
+    path = storage.new_path(s, "csv")
+    sinks.write_csv(table(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "x"')).alias("n_name"), "n_regionkey"), path)
+    return sources.csv_text(s, path)
+
+
+@query("csv_typed", "select r_regionkey::int as r_regionkey, r_name, (r_regionkey * 1.5)::double as half from region")
+def csv_typed(s, d):
+    path = storage.new_path(s, "csv")
+    sinks.write_csv(table(s, d, "region").select("r_regionkey", "r_name", (F.col("r_regionkey") * F.lit(1.5).cast("double")).alias("half")), path, bom=False)
+    return sources.csv_typed(s, path, "r_regionkey int, r_name string, half double")
+
+
+@query("json_round_trip", "select r_regionkey::bigint as id, r_name as name, 'part-' as slug from region")
+def json_round_trip(s, d):
+    path = storage.new_path(s, "json")
+    sinks.write_json(table(s, d, "region").select(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).alias("doc")), path)
+    docs = s.read.schema("doc struct<id:long,name:string>").json(path)
+    one = storage.new_path(s, "doc")
+    sinks.write_text(s, '{"page":\n {"status": 200}}', one)
+    status = sources.json_documents(s, one, "page struct<status:int>").where("page.status = 200").select(F.substr("slug", F.lit(1), F.lit(5)).alias("slug"))
+    return docs.select("doc.*").join(F.broadcast(status))  # one row
+
+
+@query("bodies", "select 6::double as length, 'x,y q' as body")
+def bodies(s, d):
+    path = storage.new_path(s, "body")
+    sinks.write_text(s, "x,y q", path)
+    found = sources.captured_bodies(s, path).where("path like '%part-%'")
+    return found.select(F.col("length").cast("double").alias("length"), F.regexp_replace(html.decode_body("content", F.lit("utf-8")), r"\s+$", "").alias("body"))
+
+
+@query("dictionary_line", "select * from (values (1, 'B2', 'b 2'), (3, 'C', 'C'), (0, 'A1', 'a 1')) v(pos, key, value)")
+def dictionary_line(s, d):
+    path = storage.new_path(s, "dictionary")
+    sinks.write_text(s, "﻿A-1,b 2,,C,a 1\nnot,read", path)
+    entries = dictionary.from_values(sources.dictionary_line(s, path))
+    return entries.select(F.col("ord").cast("int").alias("pos"), "key", F.col("canonical").alias("value"))
+
+
+@query("skip_log", """select n_nationkey::bigint as n_nationkey, concat('http://***:***@h/', n_name) as url, concat('{"method":"GET","url":"http://***:***@h/","status":', n_nationkey, '}') as context from nation union all select n_nationkey::bigint, 'again', '{"status":1}' from nation""")
+def skip_log(s, d):
+    path = storage.new_path(s, "log")
+    n = table(s, d, "nation")
+    secret, none = F.lit("http://user:pass@h/"), F.lit(None).cast("string")
+    sinks.append_log(n.select("n_nationkey", F.concat(secret, "n_name").alias("url"), sinks.error_context(F.lit("GET"), secret, F.col("n_nationkey"), F.lit("")).alias("context")), path)
+    sinks.append_log(n.select("n_nationkey", F.lit("again").alias("url"), sinks.error_context(F.lit(""), none, F.lit(1), F.lit("")).alias("context")), path)
+    return s.read.schema("n_nationkey long, url string, context string").json(path)
+
+
+@query("captures", "select concat('s', page_id % 3) as slug, page_id, case when page_id % 2 = 0 then 'json' else 'html' end as response_extension, length(html) > 12000 as cut, false as sensitive_values_stored from pages")
+def captures(s, d):
+    path = storage.new_path(s, "capture")
+    kind = F.when(F.col("page_id") % 2 == 0, "application/json").otherwise("text/html")
+    sinks.capture(table(s, d, "pages").select(F.concat(F.lit("s"), F.col("page_id") % 3).alias("slug"), "page_id", kind.alias("content_type"), F.col("html").alias("body")), path)
+    return s.read.parquet(path).select("slug", "page_id", "response_extension", F.col("excerpt").contains("[truncated, original").alias("cut"), "sensitive_values_stored")
+
+
+@query("curl_commands", """select n_nationkey, concat('curl -X POST ', chr(39), 'http://h/?q=', n_name, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), case when n_nationkey % 2 = 0 then concat(' ', chr(92), chr(10), '  --data ', chr(39), 'x=', chr(39), chr(92), chr(39), chr(39), chr(39)) else '' end) as command from nation""")
+def curl_commands(s, d):
+    body = F.when(F.col("n_nationkey") % 2 == 0, "x='")
+    return table(s, d, "nation").select("n_nationkey", sinks.curl(F.lit("POST"), F.concat(F.lit("http://h/?q="), "n_name"), F.array(F.lit("A: b")), body).alias("command"))
+
+
+@query("catalog", "select 0 as missing, 'green_heavy' as sites, 20 as batch, 'all' as mode, 1 as present, 1000 as plain, 1 as least, 5000 as most, 0 as none, 2 as active")
+def catalog(s, d):
+    path = storage.new_path(s, "present")
+    sinks.write_text(s, "x", path)
+    given = sources.Config()
+    found = len(sources.existing(s, [path, path + "-none"]))
+    sites = ",".join(sources.resolve_sites(["https://www.4396200.com/", "green_heavy"]))
+    none = sources.tasks_or_empty(s, "no_such_table").agg(F.count("*").cast("int").alias("missing"))
+    values = {"sites": sites, "batch": given.batch, "mode": given.mode, "present": found, "plain": ls.clamp(None), "least": ls.clamp("0"), "most": ls.clamp("99999"), "none": ls.clamp("abc"), "active": ls.Search(q="x", date_from=" ", price_to="5").active()}
+    return none.select("missing", *[F.lit(v).alias(k) for k, v in values.items()])
+
+
+@query("names_and_modes", "select n_nationkey, concat(n_name, '_a.b') as safe, sha256(concat('u', n_nationkey)) as hash, case when n_nationkey % 2 = 0 then (1000 + n_nationkey)::double end as number, concat('`', n_name, '`, `b`') as params, case when n_nationkey % 3 = 0 then '' when n_nationkey % 3 = 1 then 'https://www.a.com' else 'http://a.com;b' end as url, '1m' as mode from nation")
+def names_and_modes(s, d):
+    key = F.col("n_nationkey")
+    return table(s, d, "nation").select(
+        "n_nationkey", tx.safe_name(F.concat(F.lit("/"), F.replace("n_name", F.lit(" "), F.lit(" ")), F.lit(" ?a.b**"))).alias("safe"), urls.url_hash(F.concat(F.lit("u"), key)).alias("hash"),
+        tx.nullable_int(F.when(key % 2 == 0, F.concat(F.lit("no 1,"), F.lpad(key.cast("string"), 3, "0"))).otherwise("none")).cast("double").alias("number"), tx.param_list(F.array("n_name", F.lit("b"))).alias("params"),
+        urls.normalize_url(F.when(key % 3 == 0, " ").when(key % 3 == 1, " www.a.com").otherwise("a.com；b")).alias("url"), F.lit(tx.normalize_mode("최근1달")).alias("mode"),
+    )
+
+
+@query("truncated_texts", "select page_id, case when length(html) > 50 then concat(substring(html, 1, 50), chr(10), chr(10), '... [truncated, original ', format('{:,}', length(html)), ' chars]') else html end as text from pages")
+def truncated_texts(s, d):
+    return table(s, d, "pages").select("page_id", tx.truncated(F.col("html"), 50).alias("text"))
+
+
+@query("enriched_records", f"with l as ({L}) select id, case when id % 4 = 0 then 'given' when id % 2 = 0 then 'ALPHA' when id % 3 = 0 then 'BETA' end as model_norm, case when id % 7 > 0 then replace(price, '만원', '')::double * 10000 end as price_krw from l")
+def enriched_records(s, d):
+    rows = fx.listings(s, d).select("id", "price", F.when(F.col("id") % 2 == 0, "x alpha-9").otherwise("zz").alias("model_name"), F.when(F.col("id") % 3 == 0, "Beta").otherwise("yy").alias("listing_name"), F.when(F.col("id") % 4 == 0, "given").alias("model_norm"))
+    entries = dictionary.from_values(s.createDataFrame([(0, "ALPHA"), (1, "BETA")], "pos int, value string"))
+    return ls.enriched(rows, entries).select("id", "model_norm", F.col("price_krw").cast("double").alias("price_krw"))
+
+
+@query("windowed_events", "select strftime(time_bucket(interval 5 minutes, ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as count from events group by all")
+def windowed_events(s, d):
+    return streaming.windowed_counts(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "count")
+
+
+@query("run_summary", f"with l as ({L}), t as ({T}) select (select count(*) from l) as records, (select count(price_krw) from l) as priced, (select string_agg(concat(status, '=', n), ',' order by status) from (select status, count(*) as n from t group by status)) as queue")
+def run_summary(s, d):
+    queue = F.array_join(F.array_sort(F.transform(F.map_entries("queue"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return tk.run_summary(fx.listings(s, d), fx.tasks(s, d)).select("records", "priced", queue.alias("queue"))
+
+
+@query("hosts_listed", f"select {SHOP_HOST} as shop, 13 * count(*) as links from pages group by 1")
+def hosts_listed(s, d):
+    rows = profile.on_hosts(profile.links(html.with_page(fx.shops(s, d))), [f"www.shop{i}.example.com" for i in range(7)])
+    rows = rows.where(~F.col("url").contains("wr_id"))
+    return rows.groupBy(F.concat(F.lit("http://www."), "host").alias("shop")).agg(F.count("*").alias("links"))
+
+
+@query("survey_rows", """select page_id as seed_no, concat('n', page_id) as name, concat('shop', page_id % 7, '.example.com') as domain, (case when page_id % 10 = 9 then 0 else coalesce(case when page_id % 4 = 0 then page_id % 900 end, 4) end)::double as listing_count,
+case when page_id % 10 = 9 then 'N' when page_id % 4 = 0 and page_id % 900 = 0 then '추정' else 'Y' end as flag, 'a || b' as attempted, concat('query_params=page=', page_id % 5 + 1, '&cate_code=', page_id % 3, ' | page | requests+BeautifulSoup 가능') as crawl_fields from pages""")
+def survey_rows(s, d):
+    best = survey.analyzed(fx.shops(s, d)).withColumnsRenamed({"page_id": "seed_no"}).withColumn("attempted", F.array(F.lit("a"), F.lit("b"))).drop("page", "html", "text")
+    seeds = table(s, d, "pages").select(F.col("page_id").alias("seed_no"), F.concat(F.lit("n"), "page_id").alias("name"))
+    out = survey.survey_rows(seeds, best, F.lit("2026-05-01"))
+    return out.select("seed_no", "name", "domain", F.col("listing_count").cast("double").alias("listing_count"), "flag", "attempted", "crawl_fields")
+
+
+@query("origin_order", f"with o as ({OVERVIEW}) select origin, largest, row_number() over (order by largest desc, origin) as rank from o")
+def origin_order(s, d):
+    return storage.ranked(_overview(s, d).select("origin", "largest"), [F.desc("largest"), F.asc("origin")]).withColumn("rank", F.col("rank").cast("long"))

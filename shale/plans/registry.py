@@ -750,7 +750,7 @@ def run_summary(s, d):
     return tk.run_summary(fx.listings(s, d), fx.tasks(s, d)).select("records", "priced", queue.alias("queue"))
 
 
-@query("hosts_listed", f"select {SHOP_HOST} as shop, 13 * count(*) as links from pages group by 1")
+@query("hosts_listed", f"select {SHOP_HOST} as shop, 14 * count(*) as links from pages group by 1")
 def hosts_listed(s, d):
     rows = profile.on_hosts(profile.links(html.with_page(fx.shops(s, d))), [f"www.shop{i}.example.com" for i in range(7)])
     rows = rows.where(~F.col("url").contains("wr_id"))
@@ -758,7 +758,7 @@ def hosts_listed(s, d):
 
 
 @query("survey_rows", """select page_id as seed_no, concat('n', page_id) as name, concat('shop', page_id % 7, '.example.com') as domain, (case when page_id % 10 = 9 then 0 else coalesce(case when page_id % 4 = 0 then page_id % 900 end, 4) end)::double as listing_count,
-case when page_id % 10 = 9 then 'N' when page_id % 4 = 0 and page_id % 900 = 0 then '추정' else 'Y' end as flag, 'a || b' as attempted, concat('query_params=page=', page_id % 5 + 1, '&cate_code=', page_id % 3, ' | page | requests+BeautifulSoup 가능') as crawl_fields from pages""")
+case when page_id % 10 = 9 then 'N' when page_id % 4 = 0 and page_id % 900 = 0 then '추정' else 'Y' end as flag, 'a || b' as attempted, concat('query_params=page=', page_id % 5 + 1, '&cate_code=', page_id % 3, ' | page | ', case when page_id % 3 = 0 and (page_id % 10 = 9 or page_id % 900 = 0) then '스크립트/API 엔드포인트 확인 필요' else 'requests+BeautifulSoup 가능' end) as crawl_fields from pages""")
 def survey_rows(s, d):
     best = survey.analyzed(fx.shops(s, d)).withColumnsRenamed({"page_id": "seed_no"}).withColumn("attempted", F.array(F.lit("a"), F.lit("b"))).drop("page", "html", "text")
     seeds = table(s, d, "pages").select(F.col("page_id").alias("seed_no"), F.concat(F.lit("n"), "page_id").alias("name"))

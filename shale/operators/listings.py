@@ -153,6 +153,17 @@ def stats(listings: DataFrame) -> DataFrame:
     return listings.agg(F.count("*").alias("total"), F.count("price_krw").alias("priced"), F.max("posted_date").alias("latest"))
 
 
+def capped(rows: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """The first rows in that order; all rows if most is 0."""
+    return rows.orderBy(*order).limit(most) if most else rows
+
+
+def display_stats(stats: DataFrame) -> DataFrame:
+    """:func:`stats` as texts: numbers with thousands separators, 0 and '-' where there is nothing."""
+    number = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0).alias(c)
+    return stats.select(number("total"), number("priced"), F.coalesce(F.col("latest").cast("string"), F.lit("-")).alias("latest"))
+
+
 def enriched(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Records with model_norm (from model_name, then listing_name) and price_krw where these are missing."""
     from shale.operators.dictionary import match_first

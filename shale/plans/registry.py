@@ -769,3 +769,15 @@ def survey_rows(s, d):
 @query("origin_order", f"with o as ({OVERVIEW}) select origin, largest, row_number() over (order by largest desc, origin) as rank from o")
 def origin_order(s, d):
     return storage.ranked(_overview(s, d).select("origin", "largest"), [F.desc("largest"), F.asc("origin")]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("capped_records", f"with l as ({L}) select id, 'capped' as kind from (select id from l order by id desc limit 7) union all select id, 'all' from l")
+def capped_records(s, d):
+    rows = fx.listings(s, d).select("id")
+    return ls.capped(rows, 7, F.desc("id")).withColumn("kind", F.lit("capped")).unionByName(ls.capped(rows, 0).withColumn("kind", F.lit("all")))
+
+
+@query("display_metrics", f"with l as ({L}) select format('{{:,}}', count(*)) as total, format('{{:,}}', count(price_krw)) as priced, cast(max(posted_date) as varchar) as latest from l union all select '0', '0', '-'")
+def display_metrics(s, d):
+    rows = fx.listings(s, d)
+    return ls.display_stats(ls.stats(rows)).unionByName(ls.display_stats(ls.stats(rows.where("id < 0"))))

@@ -11,9 +11,12 @@ Pairs are walked depth first in chunks, so memory is bounded by the number of me
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
-CHUNK = 1 << 16
+#: Pairs of nodes that are walked at a time; members of a node up to which all its pairs are compared at once.
+CHUNK, LEAF = 1 << 14, 8
 HOPS = (1, 2, 3, 5, 8)
 
 
@@ -44,22 +47,19 @@ def _middle(bits: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
     return np.where(spent, (lo + hi) // 2, a)
 
 
-def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, prints: np.ndarray, budget: int, most: int) -> np.ndarray:
-    """For each place, the least place of its group of links.
+def _members(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a member of a range with one of its partner; of a range with itself each pair once."""
+    n, width = (a1 - a0) * (b1 - b0), b1 - b0
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    i, j = a0[of] + at // width[of], b0[of] + at % width[of]
+    once = (a0[of] != b0[of]) | (i < j)
+    return i[once], j[once]
 
-    group: ascending; only members of one are compared. depth: bits that a group's members share (or, where split, that
-    its two sides share each). split: only members of different prefixes of that length are compared. bits: ascending
-    within a group, used from the left; two members meet only if these differ in at most budget bits. prints: (n, w)
-    full fingerprints; a link is a difference of at most `most` bits.
-    """
+
+def _walk(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, budget: int, known: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places whose bits differ in at most budget; known(a0, a1, b0, b1): which pairs of ranges need no look."""
     n = len(group)
-    distance = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1)
-    label = np.arange(n)
-    for hop in HOPS:  # neighbours first: dense groups close quickly
-        i = np.flatnonzero(group[hop:] == group[:-hop]) if n > hop else np.zeros(0, np.int64)
-        i = i[label[i] != label[i + hop]]
-        i = i[distance(i, i + hop) <= most]
-        label = groups(n, i, i + hop, label)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
     end = np.r_[start[1:], n].astype(np.int64)
     keep = end - start > 1
@@ -79,23 +79,18 @@ def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.
     a0, a1 = start, np.where(two, cut, end)
     b0, b1 = np.where(two, cut, start), end
     stack = [(a0, a1, b0, b1, d.astype(np.int64), err)]
-    change = np.cumsum(np.r_[0, label[1:] != label[:-1]]) if n else label
     while stack:
         a0, a1, b0, b1, d, err = stack.pop()
         if len(a0) > CHUNK:
             stack.append(tuple(x[CHUNK:] for x in (a0, a1, b0, b1, d, err)))
             a0, a1, b0, b1, d, err = (x[:CHUNK] for x in (a0, a1, b0, b1, d, err))
-        same = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
-        a0, a1, b0, b1, d, err = (x[~same] for x in (a0, a1, b0, b1, d, err))
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        open_ = ~known(a0, a1, b0, b1)
+        a0, a1, b0, b1, d, err = (x[open_] for x in (a0, a1, b0, b1, d, err))
+        leaf = (a1 - a0 <= LEAF) & (b1 - b0 <= LEAF)
         if leaf.any():
-            i, j = a0[leaf], b0[leaf]
+            i, j = _members(a0[leaf], a1[leaf], b0[leaf], b1[leaf])
             near = np.bitwise_count(bits[i] ^ bits[j]) <= budget
-            i, j = i[near], j[near]
-            near = distance(i, j) <= most
-            if near.any():
-                label = groups(n, i[near], j[near], label)
-                change = np.cumsum(np.r_[0, label[1:] != label[:-1]])
+            yield i[near], j[near]
             a0, a1, b0, b1, d, err = (x[~leaf] for x in (a0, a1, b0, b1, d, err))
         if not len(a0):
             continue
@@ -110,4 +105,49 @@ def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.
         keep = (a1 > a0) & (b1 > b0) & (err <= budget) & ~(own & (a1 - a0 < 2))
         if keep.any():
             stack.append(tuple(x[keep] for x in (a0, a1, b0, b1, d, err)))
+
+
+def _changes(label: np.ndarray) -> np.ndarray:
+    """So many changes of label up to each place: a range with none has one label."""
+    return np.cumsum(np.r_[0, label[1:] != label[:-1]]) if len(label) else label
+
+
+def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, prints: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """For each place, the least place of its group of links.
+
+    group: ascending; only members of one are compared. depth: bits that a group's members share (or, where split, that
+    its two sides share each). split: only members of different prefixes of that length are compared. bits: ascending
+    within a group, used from the left; two members meet only if these differ in at most budget bits. prints: (n, w)
+    full fingerprints; a link is a difference of at most `most` bits.
+    """
+    n = len(group)
+    distance = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1)
+    label = np.arange(n)
+    for hop in HOPS:  # neighbours first: dense groups close quickly
+        i = np.flatnonzero(group[hop:] == group[:-hop]) if n > hop else np.zeros(0, np.int64)
+        i = i[label[i] != label[i + hop]]
+        i = i[distance(i, i + hop) <= most]
+        label = groups(n, i, i + hop, label)
+    change = _changes(label)
+
+    def known(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        return (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
+
+    for i, j in _walk(group, depth, split, bits, budget, known):
+        new = label[i] != label[j]
+        i, j = i[new], j[new]
+        near = distance(i, j) <= most
+        if near.any():
+            label = groups(n, i[near], j[near], label)
+            change = _changes(label)
     return label
+
+
+def pairs(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, prints: np.ndarray, label: np.ndarray, budget: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links (pairs of places) between members of different labels; else as :func:`self_join`."""
+    change = _changes(label)
+    same = lambda a0, a1, b0, b1: (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
+    for i, j in _walk(group, depth, split, bits, budget, same):
+        near = (label[i] != label[j]) & (np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= most)
+        if near.any():
+            yield i[near], j[near]

@@ -17,6 +17,8 @@ import numpy as np
 
 #: Pairs of nodes that are walked at a time; members of a node up to which all its pairs are compared at once.
 CHUNK, LEAF = 1 << 14, 8
+#: Links that wait to be merged, at most: this part (a power of two) of all members.
+MERGE = 6
 HOPS = (1, 2, 3, 5, 8)
 
 
@@ -133,14 +135,17 @@ def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.
     def known(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
         return (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
 
+    links: list[tuple[np.ndarray, np.ndarray]] = []
     for i, j in _walk(group, depth, split, bits, budget, known):
         new = label[i] != label[j]
         i, j = i[new], j[new]
         near = distance(i, j) <= most
-        if near.any():
-            label = groups(n, i[near], j[near], label)
+        links.append((i[near], j[near]))
+        if sum(len(x) for x, _ in links) > n >> MERGE:  # merging looks at all members, so some links are gathered for it
+            label = groups(n, *(np.concatenate(x) for x in zip(*links, strict=True)), label)
             change = _changes(label)
-    return label
+            links.clear()
+    return groups(n, *(np.concatenate(x) for x in zip(*links, strict=True)), label) if links else label
 
 
 def pairs(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, prints: np.ndarray, label: np.ndarray, budget: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

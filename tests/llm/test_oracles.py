@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.execute(llm.ORACLES[name])
     columns = [c[0] for c in want.description]

@@ -1,6 +1,6 @@
 """Corpus operators for training data; nothing else in the library imports this subpackage."""
 
-from shale.llm import op1_secrets, op2_sentencepiece, op3_simhash, op4_toxicity, op5_decontaminate, op6_pii, op7_token_files, op8_quality, op9_language, op10_quality_rules, op11_vector_codes, op13_fill_in_middle
+from shale.llm import op1_secrets, op2_sentencepiece, op3_simhash, op4_toxicity, op5_decontaminate, op6_pii, op7_token_files, op8_quality, op9_language, op10_quality_rules, op11_vector_codes, op12_repeats, op13_fill_in_middle
 
 _MODULES = {
     "op1_secrets": op1_secrets,
@@ -14,6 +14,7 @@ _MODULES = {
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_repeats": op12_repeats,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

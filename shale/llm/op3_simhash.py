@@ -18,6 +18,7 @@ non-null doc_id. Null texts count as empty. An empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shale.llm import trie
+from shale.llm import prefix, trie
 from shale.llm.arrow import chunks, texts_of
 from shale.llm.common import identified, kept, stored, table
 
@@ -132,14 +133,14 @@ def _split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
     return rows
 
 
-def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most: int, limit: int = SUBTREE, across: bool = False) -> DataFrame:
+def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most: int, limit: int = SUBTREE) -> DataFrame:
     """(u, v): links that connect nodes (node, :data:`CHECKED` where they are) as far as their fingerprints link.
 
     Candidates differ in at most budget bits in one of the values (the low `bits` bits of longs); a link is a difference of at
-    most `most` bits in the columns CHECKED together, or in the value itself where there are none. across: all links between
-    nodes of different ``root`` (a column) instead.
+    most `most` bits in the columns CHECKED together, or in the value itself where there are none. Each group is a star around its
+    least node, or around the least by ``size`` (a column, where it is).
     """
-    own = [c for c in ("node", "root", *CHECKED) if c in nodes.columns]
+    own = [c for c in ("node", "size", *CHECKED) if c in nodes.columns]
     turned = F.array(*[t for i, v in enumerate(values) for t in _tries(v, bits, budget, i)])
     rows = nodes.select(*own, F.explode(turned).alias("_t")).select(*own, "_t.*")
     rows = _split(rows, budget, limit).repartition(*KEY).sortWithinPartitions(*KEY)
@@ -156,17 +157,14 @@ def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most:
         prints = np.stack([col(c)[by].view(np.uint64) for c in CHECKED], axis=1) if CHECKED[0] in own else bits_[:, None]
         at = group, keys[1].astype(np.int64), keys[2] != 0, bits_, prints
         batch = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        if across:
-            label = np.unique(col("root")[by], return_inverse=True)[1]
-            for i, j in trie.pairs(*at, label, budget, most):
-                yield batch(np.maximum(node[i], node[j]), np.minimum(node[i], node[j]))
-            return
         label = trie.self_join(*at, budget, most)
-        # The least node stands for a group, so that all tries name the same one.
-        least = node.copy()
-        np.minimum.at(least, label, node)
-        i = np.flatnonzero(least[label] != node)
-        yield batch(node[i], least[label[i]])
+        # The least member stands for a group, so that all tries name the same one.
+        order = np.lexsort((node, col("size")[by], label) if "size" in own else (node, label))
+        first = order[np.r_[True, label[order][1:] != label[order][:-1]]]
+        middle = np.empty(len(node), dtype=node.dtype)
+        middle[label[first]] = node[first]
+        i = np.flatnonzero(middle[label] != node)
+        yield batch(node[i], middle[label[i]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -227,37 +225,47 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIZE, SIMILARITY = 5, 0.8
 #: At that similarity a bit differs with a chance of 0.15. Candidates differ in at most BUDGET bits in one of TABLES parts of
 #: BITS bits, and in at most NEAR of 128. Of simulated pairs at just 0.8 that finds 99.6 %, and more above. Two documents
-#: that have nothing in common meet in a part with a chance of about 2 in a million; then only NEAR is looked at.
+#: that have nothing in common meet in a part with a chance of about 2 in a million; more documents take longer parts (:func:`shape`).
 WORDS, TABLES, BITS, BUDGET, NEAR = 4, 40, 28, 2, 34
+#: Bits that come with a further bit of the budget: recall at 0.8 stays, chance candidates become thirteen times fewer.
+MORE_BITS = 8
 #: Candidates whose keys are broadcast, at most (about 32 MB).
 BROADCAST = 1 << 20
 
 
+def shape(n: int) -> tuple[int, int]:
+    """(bits, budget) of a part for n documents: as many as leave each of them two chance candidates in a part, at most."""
+    bits, budget = BITS, BUDGET
+    while bits + MORE_BITS <= 64 and n * sum(math.comb(bits, k) for k in range(budget + 1)) > 2 << bits:
+        bits, budget = bits + MORE_BITS, budget + 1
+    return bits, budget
+
+
 def distinct(text: str, size: int) -> np.ndarray:
     """The hashes of a text's distinct shingles, sorted."""
     return np.unique(np.array(hashes(text, size), dtype=np.uint64))
 
 
-def set_prints(docs: DataFrame) -> DataFrame:
-    """docs' columns but text, ``_key`` (digest of the set of shingles), ``_parts`` (TABLES longs of BITS bits), and CHECKED."""
+def set_prints(docs: DataFrame, width: int = BITS) -> DataFrame:
+    """docs' columns but text, ``_key`` (digest of the set of shingles), ``size`` of it, ``_parts`` (TABLES longs of width bits), and CHECKED."""
     rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*rest).schema.add("_key", T.BinaryType()).add("_parts", T.ArrayType(T.LongType()))
+    schema = docs.select(*rest).schema.add("_key", T.BinaryType()).add("size", T.LongType()).add("_parts", T.ArrayType(T.LongType()))
     for c in CHECKED:
         schema = schema.add(c, T.LongType())
     rng = np.random.default_rng(SEED)
-    per = 64 * WORDS // BITS
+    per = 64 * WORDS // width
     orders = [np.arange(64 * WORDS)] + [rng.permutation(64 * WORDS) for _ in range(-(-TABLES // per) - 1)]
-    weights = 1 << np.arange(BITS - 1, -1, -1)
+    weights = np.left_shift(np.int64(1), np.arange(width - 1, -1, -1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [distinct(t, SIZE) for t in texts_of(batch)]
             bits = bit_matrix(found, len(found), WORDS)
-            parts = np.concatenate([bits[:, o[: per * BITS]].reshape(-1, per, BITS) @ weights for o in orders], axis=1)[:, :TABLES]
+            parts = np.concatenate([bits[:, o[: per * width]].reshape(-1, per, width) @ weights for o in orders], axis=1)[:, :TABLES]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TABLES), pa.array(parts.ravel()))
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
-            longs = as_longs(bits)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], keys, lists, *[pa.array(longs[:, k]) for k in range(len(CHECKED))]], [*rest, "_key", "_parts", *CHECKED])
+            sizes, longs = pa.array(list(map(len, found)), pa.int64()), as_longs(bits)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], keys, sizes, lists, *[pa.array(longs[:, k]) for k in range(len(CHECKED))]], [*rest, "_key", "size", "_parts", *CHECKED])
 
     return docs.mapInArrow(run, schema)
 
@@ -274,39 +282,44 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, _set array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets of distinct shingles have this Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("_best")["_rid"].alias("_rid")), "node")
-    wanted = kept(wanted)
+def _sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, _set) of wanted's nodes, stored."""
+    wanted = kept(wanted.select("node").distinct().join(nodes.select("node", F.col("_best")["_rid"].alias("_rid")), "node"))
     if wanted.count() <= BROADCAST:  # else the texts are shuffled
         wanted = F.broadcast(wanted)
-    sets = shingle_sets(rows.select("_rid", "text").join(wanted, "_rid").select("node", "text"))
-    sets = stored(sets, "dedup-sets")
+    return stored(shingle_sets(rows.select("_rid", "text").join(wanted, "_rid").select("node", "text")), "dedup-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of distinct shingles have this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("node").alias("v"), F.col("_set").alias("_b")), "v")
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common * (1 + similarity) >= similarity * (F.size("_a") + F.size("_b")) - 1e-6).select("u", "v")
 
 
-def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """(u, v): verified links between nodes (node, _parts, CHECKED, _best) that connect all candidates that are similar.
+def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bits: int = BITS, budget: int = BUDGET) -> DataFrame:
+    """(u, v): verified links between nodes (node, size, _parts, CHECKED, _best) that connect all candidates that are similar.
 
-    Each member of a group of candidates is compared with the group's least one first. What that connects needs no other
-    link, so a dense group doesn't cost the square of its size; then the groups that aren't settled are joined again, and all
-    their candidates across the components so far are compared.
+    Each member of a group of candidates is compared with the group's smallest set first. What that connects needs no other
+    link, so a dense group doesn't cost the square of its size: pages whose template alone makes them similar are all linked to
+    the smallest of them. The members of groups that this doesn't settle are joined by their prefixes (:mod:`shale.llm.prefix`),
+    across the components so far; of pages that a common template makes candidates, but not similar, no pairs arise there.
     """
     tables = [F.col("_parts")[i] for i in range(TABLES)]
-    stars = kept(links(nodes, tables, BITS, BUDGET, NEAR, limit).distinct())
-    first = kept(_verified(stars, nodes, rows, similarity))
+    stars = kept(links(nodes, tables, bits, budget, NEAR, limit).distinct())
+    first = kept(_verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity))
     label = kept(components(first)).select(F.col("u").alias("node"), "root")
     roots = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
     rooted = stars.join(roots("u"), "u", "left").join(roots("v"), "v", "left")
     apart = F.coalesce("ur", "u") != F.coalesce("vr", "v")
     unsettled = rooted.groupBy("v").agg(F.max(apart).alias("_open")).where("_open").select("v")
-    members = stars.join(unsettled, "v", "left_semi")
-    members = kept(members.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    left = nodes.join(members, "node", "left_semi").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = kept(links(left, tables, BITS, BUDGET, NEAR, limit, across=True).distinct().join(stars, ["u", "v"], "left_anti"))
-    return first.unionByName(_verified(more, nodes, rows, similarity))
+    members = kept(stars.join(unsettled, "v", "left_semi").select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if members.isEmpty():
+        return first
+    sets = _sets(members, nodes, rows)
+    left = sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = kept(prefix.candidates(left, similarity).join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"))
+    return first.unionByName(_verified(more, sets, similarity))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SUBTREE, from_files: bool = False) -> DataFrame:
@@ -317,12 +330,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SU
     other columns stay as they are. from_files: see :func:`~shale.llm.common.identified`.
     """
     rows = identified(docs, from_files, "dedup")
-    prints = stored(set_prints(rows.select(F.col("doc_id").cast("long"), "_rid", "text")), "dedup")
+    bits, budget = shape(docs.count())
+    prints = stored(set_prints(rows.select(F.col("doc_id").cast("long"), "_rid", "text"), bits), "dedup")
     # One row for each set of shingles, however many copies it has, with the document to keep.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_best")
-    nodes = prints.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("_parts", *CHECKED)], best)
-    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "_parts", *CHECKED, "_best"))
-    stars = components(similar(nodes, rows, similarity, limit)).withColumnRenamed("u", "node")
+    nodes = prints.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("size", "_parts", *CHECKED)], best)
+    nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "size", "_parts", *CHECKED, "_best"))
+    stars = components(similar(nodes, rows, similarity, limit, bits, budget)).withColumnRenamed("u", "node")
     rooted = nodes.select("node", "_best").join(stars, "node", "left")
     first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("_best")["_rid"].alias("_rid"))
     return rows.select("_rid", "_row").join(first.select("_rid"), "_rid", "left_semi").select("_row.*")

@@ -146,13 +146,3 @@ def self_join(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.
             change = _changes(label)
             links.clear()
     return groups(n, *(np.concatenate(x) for x in zip(*links, strict=True)), label) if links else label
-
-
-def pairs(group: np.ndarray, depth: np.ndarray, split: np.ndarray, bits: np.ndarray, prints: np.ndarray, label: np.ndarray, budget: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The links (pairs of places) between members of different labels; else as :func:`self_join`."""
-    change = _changes(label)
-    same = lambda a0, a1, b0, b1: (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
-    for i, j in _walk(group, depth, split, bits, budget, same):
-        near = (label[i] != label[j]) & (np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= most)
-        if near.any():
-            yield i[near], j[near]

@@ -9,18 +9,21 @@ First digit. A window is dealt out by a digit that its bytes determine: the leas
 Windows that follow each other mostly have that piece in common; such a run is one segment, so that a sixteenth of the bytes'
 number has to be moved, not all of them.
 
-Three readings of the texts, in chunks (a row each; the chunk is a compressed Arrow stream):
+Four readings of the texts, in chunks (a row each; the chunk is a compressed Arrow stream):
 
 1. A chunk sends the digits of its windows, shortened to a few bytes, to the digits' buckets. These answer which digits occur in
    more than one document; all others are done with.
-2. A chunk sends the distinct segments of the digits that are left, with their bytes and the least doc_id that has them in the
-   chunk. A bucket drops equal segments but the one of the least doc_id, and orders the windows of different segments of a digit
-   by the further digits, eight bytes a pass. It answers with a bit for each window of which an earlier document has another.
-3. A chunk puts together the removed runs of its documents.
+2. A chunk sends hashes of the distinct segments of the digits that are left, with the least doc_id that has them in the chunk. A
+   bucket answers which segments an earlier document has as a whole, and asks for the bytes of the others, if their digit has
+   different segments: of each from its first document only.
+3. A chunk sends these bytes. A bucket orders the windows of a digit by the further digits, eight bytes a pass, and answers
+   with a bit for each window of which an earlier document has another.
+4. A chunk puts together the removed runs of its documents.
 
 Only distinct segments of a chunk travel, so a passage in a third of all documents costs a bucket one entry for each chunk. A
-digit with more than :data:`HOT` segments (a phrase in ever new surroundings) is dealt out by whole windows instead, each from one
-document of a chunk. Nothing is held in one place but a chunk, or a bucket, whose number grows with the bytes.
+digit with more than :data:`HOT` segments (a phrase in ever new surroundings) is dealt out by its segments, and then by whole
+windows, each from one document of a chunk. Nothing is held in one place but a chunk, or a bucket, whose number grows with the
+bytes.
 
 Defined cases: null texts count as empty; texts shorter than a window keep everything; rows of equal doc_id don't remove each
 other, and null ids count as the largest; an empty table gives an empty result; other columns, whatever they are called, go
@@ -223,24 +226,94 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array([_packed(digit[r]) for _, r in runs], BYTES), pa.array([marked[r].tobytes() for _, r in runs], BYTES)], [*KEY, "digits", "hot"])
 
 
-ENTRY = {"digit": "u8", "content": "u8", "least": "i8", "n": "u1", "from": "u1", "route": "u8"}
+PAIR = np.dtype([("digit", "u8"), ("content", "u8")])
+ANSWER = np.dtype([("digit", "u8"), ("content", "u8"), ("mask", "u8")])
+ASK = np.dtype([("digit", "u8"), ("content", "u8"), ("hot", "u1")])
+
+
+def _pairs(digit: np.ndarray, content: np.ndarray) -> np.ndarray:
+    out = np.empty(len(digit), dtype=PAIR)
+    out["digit"], out["content"] = digit, content
+    return out
+
+
+def _ranks(*pairs: np.ndarray) -> list[np.ndarray]:
+    """Numbers in place of (digit, content), the same for equal ones."""
+    d, c = (np.concatenate([p[k] for p in pairs]) for k in ("digit", "content"))
+    by = np.lexsort((c, d))
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.cumsum(np.r_[True, (d[by][1:] != d[by][:-1]) | (c[by][1:] != c[by][:-1])][: len(by)]) - 1
+    return np.split(rank, np.cumsum([len(p) for p in pairs])[:-1])
+
 
+SEGMENT = {"digit": "u8", "content": "u8", "least": "i8", "hot": "u1"}
 
-def _entries(deal: Dealing, texts: list[bytes], ids: np.ndarray, left: pa.Table) -> Iterator[tuple[int, dict[str, bytes], bytes, bytes]]:
-    """(bucket, entries by column, their bytes, answers that are known here) of a chunk's segments whose digits are left."""
+
+def _left(deal: Dealing, texts: list[bytes], ids: np.ndarray, left: pa.Table) -> Iterator[tuple[int, dict[str, bytes]]]:
+    """(bucket, segments by column) of a chunk's distinct segments whose digits are left."""
     own = Segments(texts)
     digits = [_unpacked(x) for x in left.column("digits").to_pylist()]
     if not digits or not len(own.start):
         return
     digits, hot = np.concatenate(digits), _numbers(left.column("hot").to_pylist(), "u1")
     by = np.argsort(digits)
-    digits, hot = digits[by], hot[by].astype(bool)
+    digits, hot = digits[by], hot[by]
     short = deal.short(own.digit)
     at = np.minimum(np.searchsorted(digits, short), len(digits) - 1)
     by, new = own.distinct(ids, np.flatnonzero(digits[at] == short))
     which = by[new]  # a distinct segment's first document has the least id
+    rows = {"digit": own.digit[which], "content": own.content[which], "least": ids[own.doc[which]], "hot": hot[at[which]]}
+    bucket = deal.bucket(np.where(rows["hot"] == 1, mixed(rows["digit"] ^ rows["content"]), rows["digit"]))
+    by = np.argsort(bucket, kind="stable")
+    for b, run in _by_bucket(bucket[by]):
+        yield b, {k: rows[k][by[run]].astype(kind).tobytes() for k, kind in SEGMENT.items()}
+
+
+def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk of a bucket: answers on segments that an earlier document has, and asks for the bytes of others."""
+    for rows in _by_key(batches):
+        e = {k: _numbers(rows.column(k).to_pylist(), kind) for k, kind in SEGMENT.items()}
+        chunk = np.repeat(np.arange(rows.num_rows), [len(x) for x in rows.column("hot").to_pylist()])
+        by = np.lexsort((e["least"], e["content"], e["digit"]))
+        digit, content, least = (e[k][by] for k in ("digit", "content", "least"))
+        other = np.r_[True, digit[1:] != digit[:-1]]
+        new = other | np.r_[True, content[1:] != content[:-1]]
+        first, number, group = np.flatnonzero(new), np.cumsum(new) - 1, np.cumsum(other) - 1
+        later = least > least[first][number]
+        several = np.bincount(group[first])[group] > 1
+        asked = ~later & (several | (e["hot"][by] == 1))
+        own: dict[int, list[bytes]] = {}
+        for k, some in ((0, later), (1, asked)):
+            at = by[some]
+            at = at[np.argsort(chunk[at], kind="stable")]
+            out = np.zeros(len(at), dtype=(ANSWER, ASK)[k])
+            out["digit"], out["content"] = e["digit"][at], e["content"][at]
+            if k:
+                out["hot"] = e["hot"][at]
+            else:
+                out["mask"] = ~np.uint64(0)
+            for c, run in _by_bucket(chunk[at]):
+                own.setdefault(c, [b"", b""])[k] = out[run].tobytes()
+        at = pa.array(list(own), pa.int64())
+        columns = [rows.column(k).take(at).combine_chunks() for k in KEY]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[k] for x in own.values()], BYTES) for k in (0, 1)]], [*KEY, "answers", "asks"])
+
+
+ENTRY = {"digit": "u8", "content": "u8", "least": "i8", "n": "u1", "from": "u1", "route": "u8"}
+
+
+def _entries(deal: Dealing, texts: list[bytes], ids: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, dict[str, bytes], bytes, bytes]]:
+    """(bucket, entries by column, their bytes, answers that are known here) of the segments that a chunk is asked for."""
+    if not len(asks):
+        return
+    own = Segments(texts)
+    mine, wanted = _ranks(_pairs(own.digit, own.content), asks)
+    marks = np.zeros(max(int(mine.max()), int(wanted.max())) + 1, dtype=np.uint8)
+    marks[wanted] = 1 + asks["hot"]
+    by, new = own.distinct(ids, np.flatnonzero(marks[mine]))
+    which = by[new]
     of = {"digit": own.digit[which], "content": own.content[which], "least": ids[own.doc[which]], "n": own.n[which]}
-    many = hot[at[which]]
+    many = marks[mine[which]] == 2
     rows = {k: v[~many] for k, v in of.items()} | {"from": np.zeros((~many).sum(), np.int64), "route": of["digit"][~many]}
     raw, size = [own.bytes_of(which[~many])], [own.n[which[~many]] + THRESHOLD - 1]
     known = np.zeros(0, dtype=ANSWER)
@@ -269,9 +342,6 @@ def _entries(deal: Dealing, texts: list[bytes], ids: np.ndarray, left: pa.Table)
         known = known[:0]
 
 
-ANSWER = np.dtype([("digit", "u8"), ("content", "u8"), ("mask", "u8")])
-
-
 def _answers(digit: np.ndarray, content: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(j), dtype=ANSWER)
     out["digit"], out["content"], out["mask"] = digit, content, np.uint64(1) << j.astype(np.uint64)
@@ -372,23 +442,14 @@ def covered(texts: list[bytes], ids: np.ndarray, answers: np.ndarray) -> tuple[n
         np.add.at(edge, own.start[later], 1)
         np.add.at(edge, own.start[later] + own.n[later] + THRESHOLD - 1, -1)
         if len(answers):
-            pairs = np.empty(len(first), dtype=[("digit", "u8"), ("content", "u8")])
-            pairs["digit"], pairs["content"] = own.digit[by[first]], own.content[by[first]]
-            order = np.lexsort((answers["content"], answers["digit"]))
-            answers = answers[order]
-            # Both sides are in order of (digit, content): merge them by their ranks.
-            both = np.concatenate([pairs["digit"], answers["digit"]]), np.concatenate([pairs["content"], answers["content"]])
-            merged = np.lexsort((both[1], both[0]))
-            d, c = both[0][merged], both[1][merged]
-            rank = np.empty(len(merged), dtype=np.int64)
-            rank[merged] = np.cumsum(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])]) - 1
-            mask = np.zeros(int(rank.max()) + 1, dtype=np.uint64)
-            np.bitwise_or.at(mask, rank[len(pairs) :], answers["mask"])
-            mask = mask[rank[: len(pairs)]][number]
+            mine, told = _ranks(_pairs(own.digit[by[first]], own.content[by[first]]), answers)
+            mask = np.zeros(max(int(mine.max()), int(told.max())) + 1, dtype=np.uint64)
+            np.bitwise_or.at(mask, told, answers["mask"])
+            mask = mask[mine][number]
             some = np.flatnonzero(mask)
             which, masks = by[some], mask[some]
             for j in range(RUN):
-                on = which[((masks >> np.uint64(j)) & np.uint64(1)) == 1]
+                on = which[(((masks >> np.uint64(j)) & np.uint64(1)) == 1) & (own.n[which] > j)]
                 if len(on):
                     np.add.at(edge, own.start[on] + j, 1)
                     np.add.at(edge, own.start[on] + j + THRESHOLD, -1)
@@ -442,16 +503,24 @@ def without_repeats(docs: DataFrame, from_files: bool = False) -> DataFrame:
             n = len(out)
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([file] * n, pa.int64()), pa.array([place] * n, pa.int64()), pa.array(digits, BYTES), pa.array(what, BYTES)], ["bucket", *KEY, "digits", "what"])
 
+    def sent(left: pa.Table, out: list[tuple], columns: list[str]) -> pa.Table:
+        """Rows to buckets, with the chunk's key."""
+        at = [left.column(k)[0].as_py() for k in KEY] if out else [0, 0]
+        keys = {"bucket": pa.array([x[0] for x in out], pa.int64())} | {k: pa.array([v] * len(out), pa.int64()) for k, v in zip(KEY, at, strict=True)}
+        return pa.table(keys | {c: pa.array([x[1][c] for x in out], BYTES) for c in columns})
+
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(_entries(deal, *_texts(_chunk_of(left)), right)) if left.num_rows and right.num_rows else []
-        n, at = len(out), lambda k: [left.column(k)[0].as_py()] * len(out)
-        columns = {"bucket": pa.array([x[0] for x in out], pa.int64())} | {k: pa.array(at(k) if n else [], pa.int64()) for k in KEY}
-        columns |= {k: pa.array([x[1][k] for x in out], BYTES) for k in ENTRY} | {"raw": pa.array([x[2] for x in out], BYTES), "known": pa.array([x[3] for x in out], BYTES)}
-        return pa.table(columns)
+        out = list(_left(deal, *_texts(_chunk_of(left)), right)) if left.num_rows and right.num_rows else []
+        return sent(left, out, list(SEGMENT))
+
+    def third(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks = _numbers(right.column("asks").to_pylist(), ASK)
+        out = _entries(deal, *_texts(_chunk_of(left)), asks) if left.num_rows and len(asks) else []
+        return sent(left, [(b, e | {"raw": raw, "known": known}) for b, e, raw, known in out], [*ENTRY, "raw", "known"])
 
     whole = T.StructType([rows.schema["_row"], T.StructField("kept", T.BinaryType()), T.StructField("spans", SPANS), T.StructField("n_bytes", T.LongType())])
 
-    def third(left: pa.Table, right: pa.Table) -> pa.Table:
+    def fourth(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = _chunk_of(left)
         texts, ids = _texts(chunk)
         doc, start, end = covered(texts, ids, _numbers(right.column("answers").to_pylist(), ANSWER))
@@ -471,10 +540,13 @@ def without_repeats(docs: DataFrame, from_files: bool = False) -> DataFrame:
     dealt = lambda frame: frame.repartition("bucket").sortWithinPartitions("bucket")
     digits = rows.select("_rid", "doc_id", "text").mapInArrow(first, f"bucket long, {key}, digits binary, what binary")
     left = dealt(digits).mapInArrow(_shared, f"{key}, digits binary, hot binary")
-    columns = ", ".join(f"`{k}` binary" for k in (*ENTRY, "raw", "known"))
-    entries = packed.groupBy(*KEY).cogroup(left.groupBy(*KEY)).applyInArrow(second, f"bucket long, {key}, {columns}")
-    answers = dealt(entries).mapInArrow(_answered, f"{key}, answers binary")
-    out = packed.groupBy(*KEY).cogroup(answers.groupBy(*KEY)).applyInArrow(third, whole)
+    fields = lambda columns: ", ".join(f"`{k}` binary" for k in columns)
+    met = lambda right: packed.groupBy(*KEY).cogroup(right.groupBy(*KEY))
+    segments = met(left).applyInArrow(second, f"bucket long, {key}, {fields(SEGMENT)}")
+    told = dealt(segments).mapInArrow(_told, f"{key}, answers binary, asks binary")
+    entries = met(told).applyInArrow(third, f"bucket long, {key}, {fields([*ENTRY, 'raw', 'known'])}")
+    answers = dealt(entries).mapInArrow(_answered, f"{key}, answers binary").unionByName(told.drop("asks"))
+    out = met(answers).applyInArrow(fourth, whole)
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], *MADE)
 
 

@@ -82,14 +82,17 @@ def test_pieces_of_the_readings(monkeypatch):
         parts = [rows[k : k + size] for k in range(0, len(rows), size)]
         made = [([(t or "").encode() for _, t in p], np.array([op.LAST if i is None else i for i, _ in p], dtype=np.int64)) for p in parts]
         sent = sorted([(b, k, 0, d, w) for k, m in enumerate(made) for b, d, w in op._digits(deal, *m)])
-        table = pa.table(dict(zip(("bucket", "file", "row", "digits", "what"), map(list, zip(*sent, strict=True)), strict=True)))
-        table = table.cast(pa.schema([("bucket", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("digits", pa.binary()), ("what", pa.binary())]))
-        left = pa.Table.from_batches(list(op._shared(table.to_batches(max_chunksize=5))))
+        shorts = pa.table(dict(zip(("bucket", "file", "row", "digits", "what"), map(list, zip(*sent, strict=True)), strict=True)))
+        shorts = shorts.cast(pa.schema([("bucket", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("digits", pa.binary()), ("what", pa.binary())]))
+        left = pa.Table.from_batches(list(op._shared(shorts.to_batches(max_chunksize=5))))
         of = lambda t, k: t.filter(pa.compute.equal(t.column("file"), k))
-        out = sorted([(b, k, 0, *[e[c] for c in op.ENTRY], raw, known) for k, m in enumerate(made) for b, e, raw, known in op._entries(deal, *m, of(left, k))])
-        names = ["bucket", "file", "row", *op.ENTRY, "raw", "known"]
-        table = pa.table({n: pa.array([x[i] for x in out], pa.int64() if i < 3 else pa.binary()) for i, n in enumerate(names)})
-        answers = pa.Table.from_batches(list(op._answered(table.to_batches(max_chunksize=3))))
+        out = sorted([(b, k, 0, *[e[c] for c in op.SEGMENT]) for k, m in enumerate(made) for b, e in op._left(deal, *m, of(left, k))])
+        table = lambda out, names: pa.table({n: pa.array([x[i] for x in out], pa.int64() if i < 3 else pa.binary()) for i, n in enumerate(["bucket", "file", "row", *names])})
+        told = pa.Table.from_batches(list(op._told(table(out, op.SEGMENT).to_batches(max_chunksize=4))))
+        asks = lambda k: op._numbers(of(told, k).column("asks").to_pylist(), op.ASK)
+        out = sorted([(b, k, 0, *[e[c] for c in op.ENTRY], raw, known) for k, m in enumerate(made) for b, e, raw, known in op._entries(deal, *m, asks(k))])
+        answers = pa.Table.from_batches(list(op._answered(table(out, [*op.ENTRY, "raw", "known"]).to_batches(max_chunksize=3))))
+        answers = pa.concat_tables([answers, told.drop_columns("asks")])
         want = brute(rows)
         for k, m in enumerate(made):
             doc, start, end = op.covered(*m, op._numbers(of(answers, k).column("answers").to_pylist(), op.ANSWER))

@@ -46,7 +46,7 @@ from shale.llm.tokens import BASE, INVERSE, mixed
 
 THRESHOLD, PIECE = 50, 20
 #: Bytes of text in a chunk, and of windows that are hashed at a time; windows in a segment, at most (a bit each).
-CHUNK_BYTES, BLOCK, RUN = 8 << 20, 1 << 20, 64
+CHUNK_BYTES, BLOCK, RUN = 4 << 20, 1 << 18, 64
 #: Segments of a digit from which its windows are dealt out one by one; bytes of text for a bucket; buckets, at least.
 HOT, BUCKET_BYTES, BUCKETS = 2048, 32 << 20, 256
 LAST = np.int64(2**63 - 1)
@@ -471,6 +471,7 @@ def _stream(chunk: pa.RecordBatch) -> bytes:
 
 
 def _chunk_of(rows: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # what earlier chunks have taken
     return pa.ipc.open_stream(rows.column("chunk")[0].as_py()).read_all()
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KST = "Asia/Seoul"
 #: Wording that means "no price given". Fixed values.
@@ -21,6 +25,11 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[filled(c) for c in columns])
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(x: Column) -> Column:
     """Unicode white space collapsed and trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\s ]+", " "))
@@ -200,34 +209,45 @@ def excerpt(json: Column, schema: str) -> Column:
     return F.transform_values(items, lambda k, v: F.struct(F.slice(v, 1, 2).alias("sample"), F.when(F.size(v) > 2, F.size(v)).alias("truncated_count")))
 
 
-EXCERPT_LIST, EXCERPT_KEYS = 2, 20
+EXCERPT_LIST, EXCERPT_KEYS, EXCERPT_CHARS = 2, 20, 12_000
+
+
+def _first(v: object) -> object:
+    return v[:EXCERPT_LIST] if isinstance(v, list) else v
+
+
+def _shortened(data: object) -> object:
+    if not isinstance(data, dict):
+        return _first(data)
+    out = {}
+    for k, v in data.items():
+        out[k] = {n: _first(x) for n, x in list(v.items())[:EXCERPT_KEYS]} if isinstance(v, dict) else _first(v)
+        if isinstance(v, list) and len(v) > EXCERPT_LIST:
+            out[f"{k}__truncated_count"] = len(v)
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("language", T.StringType())]))
+def _excerpts(texts: pd.Series) -> pd.DataFrame:
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        if text is None:
+            return None, None
+        try:
+            return json.dumps(_shortened(json.loads(text)), ensure_ascii=False, indent=2), "json"
+        except (ValueError, RecursionError):
+            return text, "text"
+
+    return pd.DataFrame([one(t) for t in texts], columns=["text", "language"])
 
 
-def json_excerpt(json: Column) -> Column:
-    """A JSON object with two elements of each of its lists, and the number of all beside those that were cut.
+def json_excerpt(text: Column) -> Column:
+    """struct<text, language>: a JSON text, indented, with two elements of each list and the number of all beside those that were cut.
 
-    Of an object inside it the first 20 keys stay, their lists cut to two elements. Of a list as a whole two elements stay.
+    Keys keep their order, which Spark's own JSON types don't. Of an object inside the first 20 keys stay, their lists cut to
+    two; of a list as a whole two elements stay. A text that is no JSON stays as it is. All are cut to 12,000 characters.
     """
-    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    short = lambda v: F.coalesce(F.to_variant_object(F.slice(as_list(v), 1, EXCERPT_LIST)), v)
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-
-    def inside(v: Column) -> Column:
-        kept = F.slice(F.map_entries(as_map(v)), 1, EXCERPT_KEYS)
-        cut = F.to_variant_object(F.map_from_entries(F.transform(kept, lambda x: pair(x["key"], short(x["value"])))))
-        return F.coalesce(short(F.when(as_map(v).isNull(), v)), cut)
-
-    def entries(x: Column) -> Column:
-        n = F.size(as_list(x["value"]))
-        more = F.array(pair(F.concat(x["key"], F.lit("__truncated_count")), F.to_variant_object(F.array(n))))
-        return F.when(n > EXCERPT_LIST, F.concat(F.array(pair(x["key"], inside(x["value"]))), more)).otherwise(F.array(pair(x["key"], inside(x["value"]))))
-
-    whole = F.try_parse_json(json)
-    top = F.map_from_entries(F.flatten(F.transform(F.map_entries(as_map(whole)), entries)))
-    # A count is written as a list of one number, since only lists and objects turn into variants, and unwrapped in the text.
-    text = F.regexp_replace(F.to_json(top), r'__truncated_count":\[(\d+)\]', r'__truncated_count":$1')
-    return F.coalesce(text, F.to_json(F.slice(as_list(whole), 1, EXCERPT_LIST)))
+    x = _excerpts(text)
+    return F.struct(truncated(x["text"], EXCERPT_CHARS).alias("text"), x["language"].alias("language"))
 
 
 def chunk_name(site: Column, stamp: Column, label: Column) -> Column:

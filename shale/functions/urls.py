@@ -75,23 +75,38 @@ def has_name(names: Column, known: tuple[str, ...], prefix: str = "", fold: bool
     return F.exists(names, lambda n: test(n) | n.startswith(prefix) if prefix else test(n))
 
 
+def _resolved(segments: Column) -> Column:
+    """A path of these segments, without dot segments."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        back = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        return F.when(x == "..", back).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    path = F.array_join(F.aggregate(segments, none, step), "/")
+    path = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(path, F.lit("/"))).otherwise(path)
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """href against base: full, protocol-relative, rooted, query, fragment and relative references, with dot segments removed."""
+    """href against base: full, protocol-relative, rooted, query, fragment and relative references.
+
+    Dot segments of rooted and relative paths are resolved, however many there are; what names a host stays as it is.
+    """
     origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(F.coalesce(filled(part(base, 3)), F.lit("/")), "[^/]*$", "")
-    joined = (
+    own, rest = part(href, 3), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.split(F.regexp_replace(part(base, 3), "[^/]*$", ""), "/")
+    segments = F.when(own.startswith("/"), F.split(own, "/")).otherwise(
+        F.concat(F.array(F.lit("")), F.filter(F.concat(folder, F.slice(F.split(own, "/"), F.lit(1), F.size(F.split(own, "/")) - 1)), lambda x: x != ""), F.array(F.element_at(F.split(own, "/"), -1)))
+    )
+    return (
         F.when(href == "", base)
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?"), F.concat(base_endpoint(base), href))
         .when(href.startswith("#"), F.concat(defragmented(base), href))
-        .otherwise(F.concat(origin, folder, href))
+        .otherwise(F.concat(origin, _resolved(segments), rest))
     )
-    rooted = F.regexp_replace(joined, r"(?<=/)\./", "")
-    for _ in range(4):
-        rooted = F.regexp_replace(rooted, r"(?<=[^/])/(?!\.\.(?:/|$))[^/?#:]+/\.\.(?=/)", "")
-    return rooted
 
 
 def list_url(endpoint: str, category: Column, page: Column, limit: int = 70) -> Column:

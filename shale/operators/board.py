@@ -23,7 +23,7 @@ def listing_rows(pages: DataFrame, now: Column, key: str = "page_id") -> DataFra
     first = F.array_min(F.transform(heads, lambda r: r["table_no"]))
     rows = pages.withColumn("_first", first).select(key, "url", "_first", F.posexplode("page.rows").alias("pos", "r")).where(F.col("r.table_no") == F.col("_first"))
     rows = rows.withColumn("cells", F.expr("transform(filter(arrays_zip(r.cells, r.kinds), x -> x.kinds = 'td'), x -> x.cells)"))
-    cell = lambda i: F.trim(F.get("cells", F.lit(i)))
+    cell = lambda i: tx.stripped(F.get("cells", F.lit(i)))
     pinned = F.lit(False)
     for mark in PINNED:
         pinned = pinned | F.col("r.first_marks").contains(mark)

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shale.functions import text as tx
+from shale.functions import urls
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What a click opens. Fixed value.
+CLICK = r"(?:location\.href|window\.location(?:\.href)?)\s*=\s*['\"]([^'\"]+)['\"]"
 HIDDEN = frozenset(("script", "style", "noscript"))
 PAGE = """struct<
   title:string, og_title:string, canonical:string, text:string,
   links:array<struct<href:string,label:string>>,
-  clicks:array<struct<target:string,label:string>>,
+  targets:array<struct<element:int,kind:string,target:string,label:string>>,
   forms:array<struct<index:int,method:string,action:string,fields:array<struct<name:string,tag:string,type:string,value:string,options:array<struct<value:string,text:string>>>>,text:string>>,
   scripts:array<struct<src:string,body:string>>,
   rows:array<struct<table_no:int,head:array<string>,cells:array<string>,kinds:array<string>,first_marks:string,href:string>>,
@@ -32,14 +37,15 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out = {"title": None, "og_title": None, "canonical": None, "links": [], "clicks": [], "forms": [], "scripts": [], "rows": [], "comment": None, "right_cells": [], "product_title": None}
+        self.out = {"title": None, "og_title": None, "canonical": None, "links": [], "targets": [], "forms": [], "scripts": [], "rows": [], "comment": None, "right_cells": [], "product_title": None}
         self.stack: list[dict] = []
         self.text: list[str] = []
-        self.tables = 0
+        self.tables = self.elements = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "attrs": a, "text": [], "row": None}
+        self.elements += 1
+        node = {"tag": tag, "attrs": a, "text": [], "row": None, "element": self.elements}
         if tag == "table":
             self.tables += 1
             node["no"], node["head"] = self.tables, []
@@ -64,8 +70,8 @@ class _Page(HTMLParser):
             form["fields"].append({"name": a["name"], "tag": tag, "type": a.get("type", ""), "value": a.get("value", ""), "options": []})
         if tag not in VOID:
             self.stack.append(node)
-        elif "onclick" in a:
-            self._click(a["onclick"], "")
+        else:
+            self._targets(node, "")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -94,16 +100,18 @@ class _Page(HTMLParser):
                     self._close(self.stack.pop())
                 return
 
-    def _click(self, code: str, label: str) -> None:
-        for target in re.findall(r"location\.href\s*=\s*['\"]([^'\"]+)", code):
-            self.out["clicks"].append({"target": target, "label": label})
+    def _targets(self, n: dict, label: str) -> None:
+        """Where an element leads: its reference, then what a click on it opens."""
+        found = [("a", n["attrs"]["href"])] if n["tag"] == "a" and n["attrs"].get("href") else []
+        found += [("click", x) for x in re.findall(CLICK, n["attrs"].get("onclick", ""))]
+        self.out["targets"] += [{"element": n["element"], "kind": kind, "target": x, "label": label} for kind, x in found]
 
     def _close(self, n: dict) -> str:
         tag, a, label = n["tag"], n["attrs"], squeezed(n["text"])
         if tag == "title" and self.out["title"] is None:
             self.out["title"] = "".join(n["text"])
         elif tag == "a" and "href" in a:
-            self.out["links"].append({"href": a["href"], "label": label})
+            self.out["links"].append({"href": a["href"], "label": label, "element": n["element"]})
             row = self._open({"tr"})
             if row is not None and row["href"] is None and "sub8_1_vvv.html?pid=" in a["href"]:
                 row["href"] = a["href"]
@@ -132,14 +140,16 @@ class _Page(HTMLParser):
             self.out["product_title"] = label
         if "product_comment" in a.get("class", "").split() and self.out["comment"] is None:
             self.out["comment"] = label
-        if "onclick" in a:
-            self._click(a["onclick"], label)
+        self._targets(n, label)
         return tag
 
     def finish(self) -> dict:
         while self.stack:
             self._close(self.stack.pop())
         self.out["forms"].sort(key=lambda f: f["index"])
+        for kind in ("links", "targets"):  # elements end in another order than they begin
+            self.out[kind].sort(key=lambda x: x["element"])
+        self.out["links"] = [{k: x[k] for k in ("href", "label")} for x in self.out["links"]]
         return self.out | {"text": squeezed(self.text)}
 
 
@@ -151,7 +161,7 @@ def parse_page(html: str | None) -> dict:
 
 
 def _pages(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = ["title", "og_title", "canonical", "text", "links", "clicks", "forms", "scripts", "rows", "comment", "right_cells", "product_title"]
+    names = ["title", "og_title", "canonical", "text", "links", "targets", "forms", "scripts", "rows", "comment", "right_cells", "product_title"]
     for batch in html:
         yield pd.DataFrame([parse_page(x) for x in batch], columns=names)
 
@@ -168,11 +178,12 @@ def with_page(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def title(p: Column) -> Column:
-    """<title>, else og:title, 120 characters at most; '' if there is none."""
-    own = F.regexp_replace(F.trim(p["title"]), r"(?U)\s+", " ")
-    return F.coalesce(F.substr(F.nullif(own, F.lit("")), F.lit(1), F.lit(120)), F.substr(p["og_title"], F.lit(1), F.lit(120)), F.lit(""))
+    """<title>, else og:title, 120 characters at most; '' if there is none. A title of blanks is none, but og:title isn't taken for it."""
+    own = F.trim(F.regexp_replace(F.nullif(p["title"], F.lit("")), r"(?U)\s+", " "))
+    return F.coalesce(F.substr(own, F.lit(1), F.lit(120)), F.substr(p["og_title"], F.lit(1), F.lit(120)), F.lit(""))
 
 
+#: Strings in scripts that look like endpoints. Fixed values.
 ENDPOINTS = (
     r"(?i)(?:fetch|axios\.(?:get|post)|\$\.(?:ajax|get|post))\s*\(\s*['\"]([^'\"]+)",
     r"(?i)url\s*:\s*['\"]([^'\"]+)",
@@ -180,11 +191,26 @@ ENDPOINTS = (
 )
 
 
-def endpoint_hints(p: Column) -> Column:
-    """Distinct URL-like strings in inline scripts, sorted, 80 at most."""
-    inline = F.array_join(F.transform(F.filter(p["scripts"], lambda s: s["src"].isNull() & (s["body"] != "")), lambda s: s["body"]), "\n")
+def inline_scripts(p: Column) -> Column:
+    """The scripts with a text of their own."""
+    return F.transform(F.filter(p["scripts"], lambda s: s["src"].isNull() & (s["body"] != "")), lambda s: s["body"])
+
+
+def script_sources(p: Column, url: Column) -> Column:
+    """Where the page's other scripts lie."""
+    return F.transform(F.filter(p["scripts"], lambda s: s["src"].isNotNull()), lambda s: urls.absolute(url, tx.stripped(s["src"])))
+
+
+def endpoint_hints(p: Column, url: Column) -> Column:
+    """Distinct URL-like strings of inline scripts, against the page's URL, sorted, 80 at most."""
+    inline = F.array_join(inline_scripts(p), "\n")
     found = F.filter(F.concat(*[F.regexp_extract_all(inline, F.lit(r), F.lit(1)) for r in ENDPOINTS]), lambda x: F.length(x) <= 220)
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, 80)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: urls.absolute(url, x)))), 1, 80)
+
+
+def forms(p: Column, url: Column) -> Column:
+    """The page's forms, their actions against its URL; a form without one leads to the page."""
+    return F.transform(p["forms"], lambda f: f.withField("action", F.when(f["action"] == "", url).otherwise(urls.absolute(url, tx.stripped(f["action"])))))
 
 
 def has_next_page(p: Column, number: Column) -> Column:

@@ -28,6 +28,17 @@ def clamp(value, default: int = DEFAULT_LIMIT, most: int = MOST) -> int:
         return 0
 
 
+def clamped(value: Column, default: int = DEFAULT_LIMIT, most: int = MOST) -> Column:
+    """:func:`clamp` of a column of texts."""
+    number = F.floor(value.try_cast("double")).cast("int")
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(default)).otherwise(F.coalesce(F.least(F.greatest(number, F.lit(1)), F.lit(most)), F.lit(0)))
+
+
+def active_filters(*values: Column) -> Column:
+    """How many of the filters' values are filled."""
+    return reduce(Column.__add__, [F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.lit(1)).otherwise(F.lit(0)) for v in values])
+
+
 @dataclass(frozen=True)
 class Search:
     """Parameters of a search; what doesn't parse is ignored."""
@@ -195,11 +206,12 @@ def overlaid(listed: DataFrame, details: DataFrame, key: str = "pid") -> DataFra
 def detail_step(listed: DataFrame, details: DataFrame, mode: str, now: Column, key: str = "pid") -> DataFrame:
     """The records of detail tasks: list rows (with metadata_json) with their details laid over, hashed, and of the period.
 
-    A task whose metadata isn't JSON gives no record; neither does one without a detail page.
+    A task whose metadata has no object ``record`` gives no record; neither does one without a detail page.
     """
     from shale.operators.identity import content_hash
 
-    whole = listed.where(F.try_parse_json("metadata_json").isNotNull()).join(details.select(key).distinct(), key, "left_semi")
+    record = F.try_variant_get(F.try_parse_json("metadata_json"), "$.record", "map<string,variant>")
+    whole = listed.where(record.isNotNull()).join(details.select(key).distinct(), key, "left_semi")
     out = overlaid(whole, details, key).withColumn("content_hash", content_hash())
     return out.where(tx.in_period(F.coalesce(F.col("posted_at"), F.col("posted_date").cast("timestamp_ntz")), mode, now))
 

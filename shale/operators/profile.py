@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shale import storage
+from shale.functions import text as tx
 from shale.functions import urls
 from shale.operators import html as h
 
@@ -22,10 +23,9 @@ SAMPLES, PATHS, PARAMS, SHOWN = 6, 15, 30, 80
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, url, text, path, params) of all http links of parsed pages, click targets included, in page order."""
-    both = F.concat(F.transform("page.links", lambda a: F.struct(a["href"].alias("href"), a["label"].alias("label"))), F.transform("page.clicks", lambda a: F.struct(a["target"].alias("href"), a["label"].alias("label"))))
-    rows = pages.select(key, F.col("url").alias("base"), F.posexplode(both).alias("pos", "a"))
-    rows = rows.select(key, "pos", urls.absolute(F.col("base"), F.trim("a.href")).alias("url"), F.substr("a.label", F.lit(1), F.lit(160)).alias("text"))
+    """(key, pos, url, text, path, params) of all http links of parsed pages, click targets included, in the elements' order."""
+    rows = pages.select(key, F.col("url").alias("base"), F.posexplode("page.targets").alias("pos", "a"))
+    rows = rows.select(key, "pos", urls.absolute(F.col("base"), tx.stripped(F.col("a.target"))).alias("url"), F.substr("a.label", F.lit(1), F.lit(160)).alias("text"))
     return with_params(rows.where(urls.part(F.col("url"), 1).isin("http", "https")))
 
 
@@ -81,9 +81,14 @@ def path_samples(rows: DataFrame, group: str, seen: list[str], most: int = SAMPL
 
 
 def weighted_params(fields: DataFrame, frequency: DataFrame, group: str) -> DataFrame:
-    """(group, name, weight): 2 for each form field and 1 for each link with it."""
-    both = fields.select(group, "name", F.lit(2).cast("long").alias("w")).unionByName(frequency.select(group, "name", F.col("count").alias("w")))
-    return both.groupBy(group, "name").agg(F.sum("w").alias("weight"))
+    """(group, name, weight, place): 2 for each form field and 1 for each link with it; the place where the name comes up first.
+
+    fields (group, name, place) come before all links; frequency: of :func:`param_frequency`, whose order the links' names have.
+    """
+    place = lambda of, at: F.struct(F.lit(of).alias("of"), at.cast("long").alias("at"))
+    of_fields = fields.select(group, "name", F.lit(2).cast("long").alias("w"), place(0, F.col("place")).alias("place"))
+    both = of_fields.unionByName(frequency.select(group, "name", F.col("count").alias("w"), place(1, F.col("rank")).alias("place")))
+    return both.groupBy(group, "name").agg(F.sum("w").alias("weight"), F.min("place").alias("place"))
 
 
 def roles(name: Column) -> Column:
@@ -102,18 +107,18 @@ def contract(pages: DataFrame, group: str = "page_id", hosts: list[str] | None =
     """One row for each parsed page: endpoint, response type, ranked names, and names by role."""
     # Links, fields and hints read the pages three times: they are parsed once, and only these parts are stored.
     kept = [c for c in (group, "url", "content_type") if c in pages.columns]
-    parts = F.struct(*[F.col(f"page.{c}").alias(c) for c in ("links", "clicks", "forms", "scripts")])
+    parts = F.struct(*[F.col(f"page.{c}").alias(c) for c in ("targets", "forms", "scripts")])
     pages = storage.stored(pages.select(*kept, parts.alias("page")), "profile")
     rows = on_hosts(links(pages, group), hosts or [])
-    fields = pages.select(group, F.explode("page.forms").alias("f")).select(group, F.explode("f.fields").alias("x")).select(group, F.col("x.name").alias("name"))
+    fields = pages.select(group, F.posexplode(F.flatten(F.transform("page.forms", lambda f: f["fields"]))).alias("place", "x")).select(group, "place", F.col("x.name").alias("name"))
     weights = weighted_params(fields, param_frequency(rows, group, ["pos"]), group)
-    top = weights.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "name"))).where(F.col("rank") <= SHOWN)
+    top = weights.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "place"))).where(F.col("rank") <= SHOWN)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "name", roles(F.col("name")).alias("roles"))))
     by = top.groupBy(group).agg(ordered.alias("_n"))
     details = rows.where(is_detail(names(), F.col("path"))).groupBy(group).agg(F.count("*").alias("_details"))
     role = lambda r: F.transform(F.filter(F.coalesce("_n", F.array().cast("array<struct<rank:int,name:string,roles:array<string>>>")), lambda x: F.array_contains(x["roles"], r)), lambda x: x["name"])
     kind = F.lower(F.coalesce(F.col("content_type"), F.lit(""))) if "content_type" in pages.columns else F.lit("")
-    hints = h.endpoint_hints(F.col("page"))
+    hints = h.endpoint_hints(F.col("page"), F.col("url"))
     own_details = role("detail")
     return pages.join(by, group, "left").join(details, group, "left").select(
         group,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shale import storage
+from shale.functions import text as tx
 from shale.functions import urls
 from shale.operators import html as h
 
@@ -16,6 +17,7 @@ LISTING_WORDS = (
     "매물", "중고", "판매", "팝니다", "보유", "제품", "장비", "굴삭", "굴착", "지게차", "덤프", "로더", "크레인", "건설기계",
     "product", "products", "goods", "shop", "sale", "sell", "used", "machine", "equipment", "board", "bbs", "sub6", "sub8", "m02",
 )
+#: Fixed values, as all lists and patterns down to ITEM_LINK.
 NEGATIVE_WORDS = (
     "회사소개", "인사말", "오시는길", "공지", "공지사항", "고객센터", "자주하는질문", "묻고답하기", "질문", "자유게시판", "견적", "문의", "로그인",
     "회원", "채용", "개인정보", "약관", "intro", "company", "notice", "contact", "login", "join",
@@ -55,9 +57,10 @@ def displayed_count(text: Column) -> Column:
     return F.coalesce(*[one(p) for p in COUNTS])
 
 
-def page_max(links: Column) -> Column:
-    """The largest page number in the links (array<struct<href>>)."""
-    return F.array_max(F.flatten(F.transform(links, lambda a: F.transform(F.regexp_extract_all(a["href"], F.lit(PAGE_NUMBER), F.lit(1)), lambda n: n.cast("int")))))
+def page_max(links: Column, url: Column) -> Column:
+    """The largest page number in the links (array<struct<href>>) of the page at url: a link to its own top has the page's."""
+    full = F.transform(links, lambda a: urls.absolute(url, tx.stripped(a["href"])))
+    return F.array_max(F.flatten(F.transform(full, lambda x: F.transform(F.regexp_extract_all(x, F.lit(PAGE_NUMBER), F.lit(1)), lambda n: n.cast("int")))))
 
 
 def visible_count(p: Column, text: Column) -> Column:
@@ -118,7 +121,7 @@ def link_score(label: Column, href: Column) -> Column:
 
 def candidate_links(pages: DataFrame, key: str = "page_id", most: int = LINKS_PER_PAGE) -> DataFrame:
     """The best links of each parsed page to its own host: (key, rank, score, url, label)."""
-    links = pages.select(key, "url", F.posexplode("page.links").alias("pos", "a")).select(key, F.col("url").alias("base"), "pos", F.trim("a.href").alias("href"), F.col("a.label").alias("label"))
+    links = pages.select(key, "url", F.posexplode("page.links").alias("pos", "a")).select(key, F.col("url").alias("base"), "pos", tx.stripped(F.col("a.href")).alias("href"), F.col("a.label").alias("label"))
     links = links.where((F.col("href") != "") & ~F.col("href").rlike("^(javascript:|mailto:|tel:|#)"))
     links = links.withColumn("full", urls.absolute(F.col("base"), F.col("href"))).where(urls.part(F.col("full"), 1).isin("http", "https") & (urls.host_key(F.col("full")) == urls.host_key(F.col("base"))))
     links = links.withColumn("score", link_score(F.col("label"), F.col("href"))).where("score > 0").withColumn("target", urls.defragmented(F.col("full")))
@@ -131,10 +134,10 @@ def analyzed(pages: DataFrame) -> DataFrame:
     """Captured pages (url, html; ok, status, content_type where known), parsed and judged."""
     has = lambda c, default: F.coalesce(F.col(c), default) if c in pages.columns else default
     p = h.with_page(pages).withColumns({"_ok": has("ok", F.lit(True)), "_status": has("status", F.lit("200")).cast("string"), "_type": has("content_type", F.lit("text/html")), "text": F.col("page.text"), "title": h.title(F.col("page"))})
-    p = p.withColumns({"kind": response_kind(F.col("_ok"), F.col("_status"), F.col("_type"), F.col("html")), "total": displayed_count(F.col("text")), "page_max": page_max(F.col("page.links")), "visible": visible_count(F.col("page"), F.col("text")), "off": no_inventory(F.col("title"), F.col("text"), F.col("url"))})
-    p = p.withColumns({"listing_count": F.when(F.col("off"), 0).otherwise(estimated_count(F.col("total"), F.col("page_max"), F.col("visible"))).cast("long"), "listing_like": ~F.col("off") & listing_like(F.col("text"), F.col("url"))})
-    p = p.withColumn("kind", F.when((F.col("kind") == "HTML+API호출 단서") & F.col("listing_like") & (F.col("listing_count") > 0), "HTML 응답(스크립트 단서 있음)").otherwise(F.col("kind")))
-    return p.withColumn("score", page_score(F.col("_ok"), F.col("listing_like"), F.col("listing_count"), F.col("kind"), F.col("url"))).drop("_ok", "_status", "_type", "off")
+    p = p.withColumns({"kind": response_kind(F.col("_ok"), F.col("_status"), F.col("_type"), F.col("html")), "total": displayed_count(F.col("text")), "page_max": page_max(F.col("page.links"), F.col("url")), "_seen": visible_count(F.col("page"), F.col("text")), "off": no_inventory(F.col("title"), F.col("text"), F.col("url"))})
+    p = p.withColumns({"visible": F.when(F.col("off"), 0).otherwise(F.col("_seen")), "listing_count": F.when(F.col("off"), 0).otherwise(estimated_count(F.col("total"), F.col("page_max"), F.col("_seen"))).cast("long"), "listing_like": ~F.col("off") & listing_like(F.col("text"), F.col("url"))})
+    p = p.withColumn("kind", F.when((F.col("kind") == "HTML+API호출 단서") & F.col("listing_like") & ((F.col("listing_count") > 0) | (F.col("visible") > 0)), "HTML 응답(스크립트 단서 있음)").otherwise(F.col("kind")))
+    return p.withColumn("score", page_score(F.col("_ok"), F.col("listing_like"), F.col("listing_count"), F.col("kind"), F.col("url"))).drop("_ok", "_status", "_type", "_seen", "off")
 
 
 def best_pages(pages: DataFrame, key: str, position: str) -> DataFrame:
@@ -143,6 +146,60 @@ def best_pages(pages: DataFrame, key: str, position: str) -> DataFrame:
     return pages.groupBy(key).agg(F.max_by(rows, F.struct("score", -F.col(position))).alias("x")).select(key, "x.*")
 
 
+ATTEMPTS, ERROR_CHARS = 16, 50
+
+
+def _captured(pages: DataFrame) -> DataFrame:
+    """One page for each canonical URL (key, page_url, html, ok, status, content_type, error): the first by URL."""
+    has = lambda c, default: F.coalesce(F.col(c), default) if c in pages.columns else default
+    rows = pages.select(
+        urls.canonical_url_key(F.col("url")).alias("key"),
+        F.struct(has("final_url", F.col("url")).alias("page_url"), "html", has("ok", F.lit(True)).alias("ok"), has("status", F.lit("200")).cast("string").alias("status"), has("content_type", F.lit("text/html")).alias("content_type"), has("error", F.lit("")).alias("error")).alias("x"),
+        "url",
+    )
+    return rows.groupBy("key").agg(F.min_by("x", "url").alias("x")).select("key", "x.*")
+
+
+def frontier(seeds: DataFrame, captured: DataFrame, rounds: int = 1, most: int = PAGES_PER_SITE) -> DataFrame:
+    """(seed_no, place, requested): the pages that a survey looks at, in order: the seeds' URLs, then the best links of what they show.
+
+    seeds: seed_no, pos, url. captured: pages (url, html, and what :func:`analyzed` takes) that stand for fetching. All of a
+    seed's own URLs are looked at, and others up to `most` pages in all. Each round expands the pages that the last one has added,
+    and ends the search where none is. A page gives :data:`LINKS_PER_PAGE` links at most and a seed `most` pages, before any are
+    put together.
+    """
+    pages = _captured(captured)
+    first = seeds.where(F.coalesce("url", F.lit("")) != "").groupBy("seed_no", "url").agg(F.min("pos").alias("_pos"))
+    by = Window.partitionBy("seed_no").orderBy("order")
+    order = lambda number, parent, rank: F.struct(F.lit(number).alias("round"), parent.cast("long").alias("parent"), rank.cast("long").alias("rank")).alias("order")
+    queue = first.select("seed_no", F.col("url").alias("requested"), order(0, F.col("_pos"), F.lit(0)))
+    for number in range(1, rounds + 1):
+        placed = storage.kept(queue.withColumn("place", F.row_number().over(by)).where((F.col("place") <= most) | (F.col("order.round") == 0)))
+        fresh = placed.where((F.col("order.round") == number - 1) & (F.col("place") < most))
+        shown = fresh.withColumn("key", urls.canonical_url_key(F.col("requested"))).join(pages, "key").select(F.struct("seed_no", "place").alias("at"), F.col("page_url").alias("url"), "html")
+        found = candidate_links(h.with_page(shown), "at").select("at.seed_no", F.col("url").alias("requested"), order(number, F.col("at.place"), F.col("rank")))
+        # A URL that is in the queue keeps its place there.
+        queue = placed.drop("place").unionByName(found).groupBy("seed_no", "requested").agg(F.min("order").alias("order"))
+        if number < rounds and queue.where(F.col("order.round") == number).isEmpty():
+            break
+    placed = queue.withColumn("place", F.row_number().over(by))
+    return placed.where((F.col("place") <= most) | (F.col("order.round") == 0)).select("seed_no", F.col("place").cast("long").alias("place"), "requested")
+
+
+def surveyed(seeds: DataFrame, captured: DataFrame, rounds: int = 1, most: int = PAGES_PER_SITE) -> DataFrame:
+    """The best page of each seed, as :func:`analyzed` judges it, with ``attempted``: what was looked at, in order, with its status.
+
+    A page that isn't captured counts as a failed request.
+    """
+    queue = frontier(seeds, captured, rounds, most).withColumn("key", urls.canonical_url_key(F.col("requested")))
+    rows = storage.stored(queue.join(_captured(captured), "key", "left").drop("key"), "survey")
+    tried = F.concat(F.col("requested"), F.lit(" ["), F.coalesce(F.nullif("status", F.lit("")), F.substr("error", F.lit(1), F.lit(ERROR_CHARS)), F.lit("not captured")), F.lit("]"))
+    attempts = rows.where(F.col("place") <= ATTEMPTS).groupBy("seed_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", tried.alias("t")))), lambda x: x["t"]).alias("attempted"))
+    missing = F.col("page_url").isNull()
+    rows = rows.select("seed_no", "place", F.coalesce("page_url", "requested").alias("url"), "html", (~missing & F.coalesce("ok", F.lit(False))).alias("ok"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("content_type", F.lit("")).alias("content_type"))
+    return best_pages(analyzed(rows).drop("page", "html", "text"), "seed_no", "place").join(attempts, "seed_no")
+
+
 def flag(like: Column, count: Column) -> Column:
     return F.when(like & (count > 0), "Y").when(like, "추정").otherwise("N")
 
@@ -186,6 +243,7 @@ def survey_rows(seeds: DataFrame, best: DataFrame, checked: Column) -> DataFrame
     """
     url = F.coalesce("url", F.lit(""))
     hint = F.when(F.col("kind").contains("Cloudflare"), "브라우저/쿠키 필요").when(F.col("kind").contains("API") | F.col("kind").contains("JS"), "스크립트/API 엔드포인트 확인 필요").otherwise("requests+BeautifulSoup 가능")
+    # The names and hints of this column. Fixed values.
     known = F.filter(F.array(*[F.lit(k) for k in ("bo_table", "page", "cate_cd", "find", "search", "cid", "bmode", "idx", "wr_id")]), lambda k: F.map_contains_key(urls.params(url), k))
     query = urls.part(url, 4)
     fields = F.concat(F.when(query != "", F.array(F.concat(F.lit("query_params="), F.substr(query, F.lit(1), F.lit(120))))).otherwise(F.array().cast("array<string>")), known, F.array(hint))

@@ -58,6 +58,20 @@ select page_id, concat('http://www.shop', page_id % 7, '.example.com/list/index.
 from {pages}"""
 
 
+#: Sites of two dozen pages each that lead on to each other; the pages that were captured, and the surveys' seeds.
+DEALERS_SQL = """
+select cast(floor(page_id / 24) as bigint) as site, page_id, concat('http://www.dealer', cast(floor(page_id / 24) as bigint), '.example.com/', case when page_id % 24 = 0 then '' else concat('list/', page_id % 24) end) as url,
+  case when page_id % 11 = 4 then '404' else '200' end as status, page_id % 11 <> 4 as ok,
+  concat('<title>', case when page_id % 5 = 0 then '고객센터' else '굴삭기' end, ' ', page_id, '</title>', case when page_id % 6 = 1 then concat('총 게시물 ', page_id % 90, ' 건') else '' end,
+    '<a href="/list/', (page_id * 3 + 1) % 24, '">매물 보기</a><a href="/list/', (page_id * 5 + 2) % 24, '">회사소개</a><a href="/list/', (page_id * 7 + 3) % 24, '"></a><a href="/list/', (page_id * 7 + 3) % 24, '">goods</a><a href="/l/', page_id % 4, '">중고 장비</a>',
+    '<a href="/list/', (page_id + 1) % 24, '">로더</a><a href="/list/', (page_id + 9) % 24, '">used</a><a href="/list/', (page_id + 13) % 24, '">list</a><a href="/list/', (page_id + 17) % 24, '">sale ', page_id, '</a><a href="/list/', (page_id + 5) % 24, '">board</a>',
+    case when page_id % 3 = 0 then '<a href="/item/1">굴삭기</a>' else '' end, case when page_id % 4 = 1 then '<a href="/item/2">굴삭기</a><a href="/item/3">굴삭기</a>' else '' end) as html
+from {pages} where page_id % 7 <> 3"""
+SEEDS_SQL = """
+select cast(floor(page_id / 24) as bigint) as seed_no, page_id % 24 as pos, concat('http://dealer', cast(floor(page_id / 24) as bigint), '.example.com/', case when page_id % 24 = 0 then '' when page_id % 24 = 5 then 'none' else concat('list/', page_id % 24) end) as url
+from {pages} where page_id % 24 in (0, 5, 7) or (page_id % 24 > 9 and floor(page_id / 24) % 4 = 1)"""
+
+
 #: List pages of a board: one row of a listing, one pinned, one of the house, a short one; and details for every page.
 BOARD_SQL = """
 select page_id, concat('http://h', page_id % 5, '.example.com/list.html') as url,
@@ -99,5 +113,13 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, SHOPS_SQL)
 
 
+def dealers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, DEALERS_SQL)
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, SEEDS_SQL)
+
+
 def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, BOARD_SQL)

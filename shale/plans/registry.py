@@ -299,9 +299,9 @@ def path_samples(s, d):
 u as (select host, name, 1 as w from p union all select distinct {HOST}, 'stx', 2 from pages) select host, name, sum(w)::bigint as weight, concat_ws(',', case when name = 'page' then 'pagination' end, case when name = 'stx' then 'search' end) as roles from u group by host, name""")
 def weighted_params(s, d):
     rows = profile.with_params(table(s, d, "pages"))
-    fields = rows.select("host", F.lit("stx").alias("name")).distinct()
+    fields = rows.select("host", F.lit("stx").alias("name"), F.lit(0).alias("place")).distinct()
     out = profile.weighted_params(fields, profile.param_frequency(rows, "host", ["page_id"]), "host")
-    return out.withColumn("roles", F.array_join(profile.roles(F.col("name")), ","))
+    return out.drop("place").withColumn("roles", F.array_join(profile.roles(F.col("name")), ","))
 
 
 # --- dictionary ---
@@ -419,12 +419,19 @@ def html_links(s, d):
     return rows.where(F.size("h") > 0).select("page_id", F.size("h").cast("long").alias("links"), F.sha2(F.array_join(F.array_sort("h"), " "), 256).alias("hrefs"))
 
 
-#: The visible text of a page: comments, scripts and styles out, tags to blanks, entities of the test pages to characters.
-VISIBLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<(script|style|noscript)[ >].*?</(script|style|noscript)>|<!DOCTYPE[^>]*>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+def _characters(x: str) -> str:
+    """The entities of the given pages as characters; '&amp;' last, and without its semicolon where a title was cut."""
+    for entity, c in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">")):
+        x = f"replace({x}, '&{entity};', '{c}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
-@query("html_titles", rf"""select page_id, substring(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 120) as title,
-sha256({VISIBLE}) as text_sha256, len(regexp_extract_all(html, '<script[ >]'))::double as scripts, 0::double as forms from pages""")
+#: The visible text of a page: comments, scripts and styles out, tags to blanks, entities to characters.
+VISIBLE = f"""trim(regexp_replace({_characters("regexp_replace(regexp_replace(html, '<!--.*?-->|<(script|style|noscript)[ >].*?</(script|style|noscript)>|<!DOCTYPE[^>]*>', ' ', 'gs'), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))"""
+TITLE = f"""substring(trim(regexp_replace({_characters("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, '\\s+', ' ', 'g')), 1, 120)"""
+
+
+@query("html_titles", f"""select page_id, {TITLE} as title, sha256({VISIBLE}) as text_sha256, len(regexp_extract_all(html, '<script[ >]'))::double as scripts, 0::double as forms from pages""")
 def html_titles(s, d):
     p = html.with_page(table(s, d, "pages"))
     return p.select("page_id", html.title(F.col("page")).alias("title"), F.sha2(F.col("page.text"), 256).alias("text_sha256"), F.size("page.scripts").cast("double").alias("scripts"), F.size("page.forms").cast("double").alias("forms"))
@@ -440,27 +447,35 @@ def html_candidate_links(s, d):
     return survey.candidate_links(html.with_page(fx.shops(s, d))).withColumns({c: F.col(c).cast("double") for c in ("rank", "score")})
 
 
-@query("html_forms", "select page_id, 1::double as form, 'POST' as method, '/search' as action, 'stx:input:text:x:0 cate_code:select:::2' as fields, '1=One 2=Two' as options, '찾기 One Two' as text from pages")
+@query("html_forms", f"select page_id, 1::double as form, 'POST' as method, concat({SHOP_HOST}, '/search') as action, 'stx:input:text:x:0 cate_code:select:::2' as fields, '1=One 2=Two' as options, '찾기 One Two' as text from pages")
 def html_forms(s, d):
-    f = html.with_page(fx.shops(s, d)).select("page_id", F.explode("page.forms").alias("f")).select("page_id", "f.*")
+    f = html.with_page(fx.shops(s, d)).select("page_id", F.explode(html.forms(F.col("page"), F.col("url"))).alias("f")).select("page_id", "f.*")
     shown = F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["tag"], x["type"], x["value"], F.size(x["options"]).cast("string")))
     options = F.transform(F.flatten(F.transform("fields", lambda x: x["options"])), lambda o: F.concat_ws("=", o["value"], o["text"]))
     return f.select("page_id", F.col("index").cast("double").alias("form"), "method", "action", F.array_join(shown, " ").alias("fields"), F.array_join(options, " ").alias("options"), "text")
 
 
-@query("html_scripts", """select page_id, 1::double as external, 1::double as inline, case when page_id % 3 = 0 then '/api/list?x=1 /more' else '' end as hints from pages""")
+@query("html_scripts", f"""with s as ({SHOPS}), x as (select page_id, url, list_filter(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's'), lambda b: b <> '') as inline, regexp_extract_all(html, '<script src="([^"]*)"', 1) as external from s),
+h as (select page_id, concat({SHOP_HOST}, unnest(list_concat(regexp_extract_all(array_to_string(inline, chr(10)), 'fetch\\("([^"]+)"', 1), regexp_extract_all(array_to_string(inline, chr(10)), 'url: "([^"]+)"', 1)))) as hint from x),
+g as (select page_id, string_agg(distinct hint, ' ' order by hint) as hints from h group by page_id)
+select page_id, len(external)::double as external, len(inline)::double as inline, concat({SHOP_HOST}, external[1]) as first_source, coalesce(hints, '') as hints from x left join g using (page_id)""")
 def html_scripts(s, d):
-    n = lambda test: F.size(F.filter("page.scripts", test)).cast("double")
     p = html.with_page(fx.shops(s, d))
-    return p.select("page_id", n(lambda x: x["src"].isNotNull()).alias("external"), n(lambda x: x["src"].isNull()).alias("inline"), F.array_join(html.endpoint_hints(F.col("page")), " ").alias("hints"))
+    sources_, inline = html.script_sources(F.col("page"), F.col("url")), html.inline_scripts(F.col("page"))
+    hints = F.array_join(html.endpoint_hints(F.col("page"), F.col("url")), " ")
+    return p.select("page_id", F.size(sources_).cast("double").alias("external"), F.size(inline).cast("double").alias("inline"), F.get(sources_, F.lit(0)).alias("first_source"), hints.alias("hints"))
+
+
+PAGE_OF = "list_max(list_transform(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda h: case when h = '' or h like '#%' then url when h like '?%' then concat(split_part(url, '?', 1), h) else h end), lambda u: try_cast(regexp_extract(u, '[?&]page=([0-9]+)', 1) as int)))"
 
 
-@query("page_analysis", """with p as (select page_id, page_id % 10 = 9 as off, case when page_id % 4 = 0 then page_id % 900 end as total from pages),
-q as (select *, case when off then 0 else coalesce(total, 4) end as n from p)
-select page_id, concat(case when off then '고객센터 ' else '굴삭기 매매 ' end, page_id) as title,
-case when page_id % 3 > 0 then 'HTML 응답' when not off and n > 0 then 'HTML 응답(스크립트 단서 있음)' else 'HTML+API호출 단서' end as kind,
-total::double as total, 2::double as page_max, 2::double as visible, n::double as listing_count, not off as listing_like,
-10 + case when off then 0 else 25 end + least(n, 200) / 10.0 + case when page_id % 3 > 0 or (not off and n > 0) then 2 else 0 end + 3 as score from q""")
+@query("page_analysis", f"""with s as ({SHOPS}),
+p as (select page_id, url, {TITLE} as title, contains(html, '고객센터') and not regexp_matches(html, '<title> *굴삭기') as off, try_cast(regexp_extract(html, '총 게시물 ([0-9]+) 건', 1) as int) as total, {PAGE_OF} as page_max,
+  len(list_distinct(regexp_extract_all(html, '<a href="(/item/[0-9]+)(?:#[^"]*)?">굴삭기', 1))) as seen, contains(html, 'fetch(') as scripted from s),
+q as (select *, case when off then 0 else seen end as visible, case when off then 0 when total is not null then total when page_max > 1 then page_max * seen else seen end as n from p)
+select page_id, title, case when not scripted then 'HTML 응답' when not off and (n > 0 or visible > 0) then 'HTML 응답(스크립트 단서 있음)' else 'HTML+API호출 단서' end as kind,
+total::double as total, page_max::double as page_max, visible::double as visible, n::double as listing_count, not off as listing_like,
+10 + case when off then 0 else 25 end + least(n, 200) / 10.0 + case when not scripted or (not off and (n > 0 or visible > 0)) then 2 else 0 end + {_hits_sql('lower(url)', FOR_SQL, 3)} - {_hits_sql('lower(url)', AGAINST_SQL, 4)} as score from q""")
 def page_analysis(s, d):
     p = survey.analyzed(fx.shops(s, d))
     return p.select("page_id", "title", "kind", *[F.col(c).cast("double").alias(c) for c in ("total", "page_max", "visible", "listing_count")], "listing_like", F.round("score", 6).alias("score"))
@@ -472,6 +487,44 @@ def page_analysis_plain(s, d):
     return html.with_page(table(s, d, "pages")).select("page_id", F.length(t).cast("double").alias("chars"), survey.hits(F.lower(t), survey.LISTING_WORDS).cast("double").alias("words"), t.rlike(survey.YEAR).alias("has_year"))
 
 
+@query("page_analysis_given", f"""with v as (select page_id, url, {VISIBLE} as t, {TITLE} as title, regexp_matches(html, '(?i)(fetch\\s*\\(|axios\\.|XMLHttpRequest|\\$\\.ajax|/api/|graphql|_next/data|rest_route|wp-json|ajax)') as scripted, {PAGE_OF} as page_max from pages),
+q as (select *, {_hits_sql("lower(concat(t, ' ', url))", FOR_SQL, 1)} >= 2 as listing_like from v)
+select page_id, title, case when scripted then 'HTML+API호출 단서' else 'HTML 응답' end as kind, page_max::double as page_max, listing_like, (10 + case when listing_like then 25 else 0 end + case when scripted then 0 else 2 end + {_hits_sql('lower(url)', FOR_SQL, 3)} - {_hits_sql('lower(url)', AGAINST_SQL, 4)})::double as score from q""")
+def page_analysis_given(s, d):
+    return survey.analyzed(table(s, d, "pages")).select("page_id", "title", "kind", F.col("page_max").cast("double").alias("page_max"), "listing_like", F.col("score").cast("double").alias("score"))
+
+
+#: The links of the given pages, in order; their labels hold no tags.
+GIVEN_LINKS = f"""select page_id, pos, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href) as url, href as path, {_characters('label')} as text from
+(select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as label, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 as pos from pages)"""
+
+
+@query("page_links_given", f"select page_id, pos::bigint as pos, url, path, text from ({GIVEN_LINKS})")
+def page_links_given(s, d):
+    return profile.links(html.with_page(table(s, d, "pages"))).select("page_id", F.col("pos").cast("long").alias("pos"), "url", "path", "text")
+
+
+@query("contract_given", f"""select page_id, regexp_replace(url, '[?#].*$', '') as base_endpoint, case when {QUERY} <> '' then array_to_string(list_sort(string_split({QUERY}, '&')), ' ') else '' end as current_query_params, 'HTML' as response_type, '' as observed from pages""")
+def contract_given(s, d):
+    c = profile.contract(html.with_page(table(s, d, "pages")))
+    query_ = F.array_join(F.array_sort(F.transform(F.map_entries("current_query_params"), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ",")))), " ")
+    return c.select("page_id", "base_endpoint", query_.alias("current_query_params"), "response_type", F.array_join("observed_param_names_ranked", " ").alias("observed"))
+
+
+#: Pages whose elements lead on in several ways: the first of names that are equally frequent comes first.
+MIXED = "concat('<form><input name=\"zz\"><input name=\"yy\"></form><a href=\"/p?b', page_id % 3, '=1&a=2\"> one </a><div onclick=\"window.location = ', chr(39), '/q?c=', page_id, chr(39), '\">two<a href=\"/p?a=3\" onclick=\"window.location.href=', chr(39), '/r?d=1', chr(39), '\">three</a></div><a href=\"\">none</a><a href=\"../../../../../../up/./x?b', page_id % 3, '=5\">up</a>')"
+
+
+@query("element_order", """select page_id, string_agg(concat(path, '?', query, '#', text), ' ' order by pos) as links, concat('zz yy b', page_id % 3, ' a c d') as observed from
+(select page_id, unnest([0, 1, 2, 3, 4]) as pos, unnest(['/p', '/q', '/p', '/r', '/up/x']) as path, unnest([concat('b', page_id % 3, '=1&a=2'), concat('c=', page_id), 'a=3', 'd=1', concat('b', page_id % 3, '=5')]) as query, unnest(['one', 'two three', 'three', 'three', 'up']) as text from pages) group by page_id""")
+def element_order(s, d):
+    pages = table(s, d, "pages").select("page_id", F.lit("http://h.example.com/1/2/3/").alias("url"), F.expr(MIXED).alias("html"))
+    parsed = html.with_page(pages)
+    shown = F.concat("path", F.lit("?"), urls.part(F.col("url"), 4), F.lit("#"), "text")
+    rows = profile.links(parsed).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("x")))), lambda r: r["x"]), " ").alias("links"))  # five for each page
+    return rows.join(profile.contract(parsed).select("page_id", F.array_join("observed_param_names_ranked", " ").alias("observed")), "page_id")
+
+
 @query("request_contract", f"""select page_id, concat({SHOP_HOST}, '/list/index.php') as base_endpoint, concat('cate_code=', page_id % 3, ' page=', page_id % 5 + 1) as current_query_params,
 concat('cate_code page stx bo_table', case when page_id % 2 = 0 then ' wr_id' else '' end) as observed_param_names_ranked, case when page_id % 3 = 0 then 'HTML 목록 + JS/Ajax 단서' else 'HTML' end as response_type,
 'page' as likely_pagination_params, 'cate_code bo_table' as likely_category_params, 'stx' as likely_search_filter_params, case when page_id % 2 = 0 then 'wr_id' else '' end as likely_detail_id_params from pages""")
@@ -543,10 +596,10 @@ def site_report(s, d):
     return origins.site_report(sections[0].unionByName(sections[1]), ["Categories", "Links"])
 
 
-@query("detail_records", f"""with l as ({L}), d as (select *, case when id % 2 = 0 then concat('new ', id) else model_name end as m, case when id % 2 = 0 and id % 3 = 0 then concat_ws(' ', manufacturer, 'title') else listing_name end as t, case when id % 4 = 0 then coalesce(posted_at, timestamp '1998-07-01') else posted_at end as p from l where id % 5 > 0 and id % 3 < 2)
+@query("detail_records", f"""with l as ({L}), d as (select *, case when id % 2 = 0 then concat('new ', id) else model_name end as m, case when id % 2 = 0 and id % 3 = 0 then concat_ws(' ', manufacturer, 'title') else listing_name end as t, case when id % 4 = 0 then coalesce(posted_at, timestamp '1998-07-01') else posted_at end as p from l where id % 5 in (1, 2) and id % 3 < 2)
 select id, m as model_name, t as listing_name, strftime(p, '%Y-%m-%d %H:%M:%S') as posted_at, length(sha256('x')) as hash_chars from d where coalesce(p, posted_date) >= timestamp '1998-06-30' - interval 30 day""")
 def detail_records(s, d):
-    rows = fx.listings(s, d).withColumns({"pid": F.col("id").cast("string"), "metadata_json": F.when(F.col("id") % 5 == 0, "{broken").otherwise('{"pid":1}')})
+    rows = fx.listings(s, d).withColumns({"pid": F.col("id").cast("string"), "metadata_json": F.when(F.col("id") % 5 == 0, "{broken").when(F.col("id") % 5 == 3, '{"pid":1}').when(F.col("id") % 5 == 4, '{"record":"{text"}').otherwise('{"record":{"pid":1},"x":2}')})
     even = F.col("id") % 2 == 0
     details = rows.where("id % 3 < 2").select(
         "pid", F.when(even, F.concat(F.lit("new "), "id")).otherwise("").alias("model_name"), F.when(even & (F.col("id") % 3 == 0), "title").alias("detail_title"),
@@ -565,10 +618,17 @@ def stored_rows(s, d):
     return out.select(F.get_json_object("payload_json", "$.id").cast("long").alias("id"), F.col("posted_date").cast("string").alias("posted_date"), F.col("view_count").cast("double").alias("view_count"), "raw_json")
 
 
-@query("json_excerpts", """select event_id, case event_id % 3 when 0 then concat('{"a":[', event_id, ',2],"a__truncated_count":4,"b":"x"}') when 1 then '{"o":{"l":["p","q"],"n":null},"s":[1]}' else '[1,{"k":[1,2,3]}]' end as excerpt from events""")
+@query("json_excerpts", r"""with t as (select event_id, case event_id % 5 when 0 then '{|  "b": "한",|  "a": [|    ' || event_id || ',|    2|  ],|  "a__truncated_count": 4|}' when 1 then '{|  "s": [|    1|  ],|  "o": {|    "l": [|      "p",|      "q"|    ],|    "n": null|  }|}'
+when 2 then '[|  1,|  {|    "k": [|      1,|      2,|      3|    ]|  }|]' end as t from events)
+select event_id, case event_id % 5 when 3 then 'not json ' || event_id when 4 then '"' || repeat('x', 11999) || chr(10) || chr(10) || '... [truncated, original 13,002 chars]' else replace(t, '|', chr(10)) end as excerpt, case when event_id % 5 = 3 then 'text' else 'json' end as language from t""")
 def json_excerpts(s, d):
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"b":"x","a":['), "event_id", F.lit(",2,3,4]}"))).when(F.col("event_id") % 3 == 1, '{"s":[1],"o":{"l":["p","q","r"],"n":null}}').otherwise('[1,{"k":[1,2,3]},3]')
-    return table(s, d, "events").select("event_id", tx.json_excerpt(text).alias("excerpt"))
+    kind = F.col("event_id") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"b":"한","a":['), "event_id", F.lit(",2,3,4]}"))).when(kind == 1, '{"s":[1],"o":{"l":["p","q","r"],"n":null}}').when(kind == 2, '[1,{"k":[1,2,3]},3]')
+        .when(kind == 3, F.concat(F.lit("not json "), "event_id")).otherwise(F.concat(F.lit('"'), F.repeat(F.lit("x"), F.lit(13_000)), F.lit('"')))
+    )
+    found = tx.json_excerpt(text)
+    return table(s, d, "events").select("event_id", found.alias("x")).select("event_id", F.col("x.text").alias("excerpt"), F.col("x.language").alias("language"))
 
 
 @query("chunk_names", "select n_nationkey, concat('site/chunks/20260501_', n_nationkey, '_A_b.json') as name, 'db' as database, case when n_nationkey % 2 = 0 then 'h' end as host from nation")
@@ -665,18 +725,23 @@ def json_round_trip(s, d):
     return docs.select("doc.*").join(F.broadcast(status))  # one row
 
 
-@query("bodies", "select 6::double as length, 'x,y q' as body")
+#: The title of each page as bytes of a character set, with the set's name given, wrong or not given at all.
+BODIES = "case page_id % 3 when 0 then encode(t, 'utf-8') when 1 then encode(t, 'iso-8859-1') else encode(concat(t, 'é'), 'iso-8859-1') end"
+
+
+@query("bodies", f"""select page_id, case when page_id % 3 = 2 then concat(t, 'é') else t end as body from (select page_id, regexp_replace({TITLE}, '[^ -~]', '', 'g') as t from pages)""")
 def bodies(s, d):
-    path = storage.new_path(s, "body")
-    sinks.write_text(s, "x,y q", path)
-    found = sources.captured_bodies(s, path).where("path like '%part-%'")
-    return found.select(F.col("length").cast("double").alias("length"), F.regexp_replace(html.decode_body("content", F.lit("utf-8")), r"\s+$", "").alias("body"))
+    titles = html.with_page(table(s, d, "pages")).select("page_id", F.regexp_replace(html.title(F.col("page")), "[^ -~]", "").alias("t"))
+    rows = titles.select("page_id", F.expr(BODIES).alias("content"), F.when(F.col("page_id") % 3 == 1, "no-such-set").when(F.col("page_id") % 3 == 2, "latin-1").alias("charset"))
+    return rows.select("page_id", html.decode_body("content", "charset").alias("body"))
 
 
-@query("dictionary_line", "select * from (values (1, 'B2', 'b 2'), (3, 'C', 'C'), (0, 'A1', 'a 1')) v(pos, key, value)")
+@query("dictionary_line", f"""with k as (select regexp_replace(upper(concat(p_type, ' ', p_partkey % 40)), '[^0-9A-Z가-힣]', '', 'g') as key, concat(p_type, ' ', p_partkey % 40) as value, row_number() over (order by p_partkey) - 1 as pos from part) select min(pos)::int as pos, key, arg_max(value, pos) as value from k group by key""")
 def dictionary_line(s, d):
+    names_ = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat_ws(" ", "p_type", (F.col("p_partkey") % 40).cast("string")).alias("v")))), lambda x: x["v"])
     path = storage.new_path(s, "dictionary")
-    sinks.write_text(s, "﻿A-1,b 2,,C,a 1\nnot,read", path)
+    # The file has one line by its format: all names of the dictionary.
+    table(s, d, "part").agg(F.concat(F.lit("\ufeff"), F.array_join(names_, ","), F.lit(",\nnot,read")).alias("value")).write.text(path)
     entries = dictionary.from_values(sources.dictionary_line(s, path))
     return entries.select(F.col("ord").cast("int").alias("pos"), "key", F.col("canonical").alias("value"))
 
@@ -699,22 +764,37 @@ def captures(s, d):
     return s.read.parquet(path).select("slug", "page_id", "response_extension", F.col("excerpt").contains("[truncated, original").alias("cut"), "sensitive_values_stored")
 
 
-@query("curl_commands", """select n_nationkey, concat('curl -X POST ', chr(39), 'http://h/?q=', n_name, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), case when n_nationkey % 2 = 0 then concat(' ', chr(92), chr(10), '  --data ', chr(39), 'x=', chr(39), chr(92), chr(39), chr(39), chr(39)) else '' end) as command from nation""")
+@query("curl_commands", """select n_nationkey, concat('curl -L', case when n_nationkey % 3 > 0 then concat(' ', chr(92), chr(10), '  -X POST') else '' end, ' ', chr(92), chr(10), '  ', chr(39), 'http://h/?q=', n_name, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), ' ', chr(92), chr(10), '  -b ', chr(39), 'sid=<cookie>', chr(39),
+case when n_nationkey % 2 = 0 then concat(' ', chr(92), chr(10), '  --data "x=', chr(39), '"') when n_nationkey % 5 = 0 then concat(' ', chr(92), chr(10), '  --data ', chr(39), '{"k": "', chr(92), chr(39), '"}', chr(39)) else '' end) as command from nation""")
 def curl_commands(s, d):
-    body = F.when(F.col("n_nationkey") % 2 == 0, "x='")
-    return table(s, d, "nation").select("n_nationkey", sinks.curl(F.lit("POST"), F.concat(F.lit("http://h/?q="), "n_name"), F.array(F.lit("A: b")), body).alias("command"))
+    key = F.col("n_nationkey")
+    body = F.when(key % 2 == 0, "x='").when(key % 5 == 0, '{"k": "\'"}')
+    command = sinks.curl(F.when(key % 3 > 0, "post").otherwise("GET"), F.concat(F.lit("http://h/?q="), "n_name"), F.array(F.lit("A: b"), F.lit("Cookie: sid=<cookie>")), body)
+    return table(s, d, "nation").select("n_nationkey", command.alias("command"))
 
 
-@query("catalog", "select 0 as missing, 'green_heavy' as sites, 20 as batch, 'all' as mode, 1 as present, 1000 as plain, 1 as least, 5000 as most, 0 as none, 2 as active")
-def catalog(s, d):
-    path = storage.new_path(s, "present")
-    sinks.write_text(s, "x", path)
-    given = sources.Config()
-    found = len(sources.existing(s, [path, path + "-none"]))
-    sites = ",".join(sources.resolve_sites(["https://www.4396200.com/", "green_heavy"]))
-    none = sources.tasks_or_empty(s, "no_such_table").agg(F.count("*").cast("int").alias("missing"))
-    values = {"sites": sites, "batch": given.batch, "mode": given.mode, "present": found, "plain": ls.clamp(None), "least": ls.clamp("0"), "most": ls.clamp("99999"), "none": ls.clamp("abc"), "active": ls.Search(q="x", date_from=" ", price_to="5").active()}
-    return none.select("missing", *[F.lit(v).alias(k) for k, v in values.items()])
+@query("request_options", """select event_id, case when event_id % 4 = 0 then 1000 else least(5000, greatest(1, floor(value * 100)::int)) end as plain, (event_id % 2 + case when event_type <> '' then 1 else 0 end)::int as active from events""")
+def request_options(s, d):
+    e = table(s, d, "events")
+    asked = F.when(F.col("event_id") % 4 > 0, F.floor(F.col("value") * 100).cast("string"))
+    active = ls.active_filters(F.col("event_type"), F.lit(" "), F.when(F.col("event_id") % 2 == 1, "5"))
+    return e.select("event_id", ls.clamped(asked).alias("plain"), active.alias("active"))
+
+
+@query("known_sites", "select page_id, case when page_id % 3 < 2 then 'green_heavy' end as slug from pages")
+def known_sites(s, d):
+    key = F.col("page_id")
+    wanted = F.when(key % 3 == 0, "https://www.4396200.com/").when(key % 3 == 1, "green_heavy").otherwise(urls.host_key(F.col("url")))
+    return table(s, d, "pages").select("page_id", sources.site_slug(wanted).alias("slug"))
+
+
+@query("table_or_empty", "select n_regionkey as region, count(*) as tasks, 0 as missing from nation group by all")
+def table_or_empty(s, d):
+    name = f"shale_{storage.new_path(s, 'view').rsplit('-', 1)[1]}"
+    table(s, d, "nation").createOrReplaceTempView(name)
+    found = sources.tasks_or_empty(s, name).groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("tasks"))
+    missing = sources.tasks_or_empty(s, f"{name}_none").agg(F.count("*").cast("int").alias("missing"))
+    return found.join(F.broadcast(missing))  # one row
 
 
 @query("names_and_modes", "select n_nationkey, concat(n_name, '_a.b') as safe, sha256(concat('u', n_nationkey)) as hash, case when n_nationkey % 2 = 0 then (1000 + n_nationkey)::double end as number, concat('`', n_name, '`, `b`') as params, case when n_nationkey % 3 = 0 then '' when n_nationkey % 3 = 1 then 'https://www.a.com' else 'http://a.com;b' end as url, '1m' as mode from nation")
@@ -757,8 +837,9 @@ def hosts_listed(s, d):
     return rows.groupBy(F.concat(F.lit("http://www."), "host").alias("shop")).agg(F.count("*").alias("links"))
 
 
-@query("survey_rows", """select page_id as seed_no, concat('n', page_id) as name, concat('shop', page_id % 7, '.example.com') as domain, (case when page_id % 10 = 9 then 0 else coalesce(case when page_id % 4 = 0 then page_id % 900 end, 4) end)::double as listing_count,
-case when page_id % 10 = 9 then 'N' when page_id % 4 = 0 and page_id % 900 = 0 then '추정' else 'Y' end as flag, 'a || b' as attempted, concat('query_params=page=', page_id % 5 + 1, '&cate_code=', page_id % 3, ' | page | ', case when page_id % 3 = 0 and (page_id % 10 = 9 or page_id % 900 = 0) then '스크립트/API 엔드포인트 확인 필요' else 'requests+BeautifulSoup 가능' end) as crawl_fields from pages""")
+@query("survey_rows", """with p as (select page_id, page_id % 10 = 9 as off, case when page_id % 10 = 9 then 0 when page_id % 4 = 0 then page_id % 900 else 2 * greatest(2, page_id % 5 + 1) end as n from pages)
+select page_id as seed_no, concat('n', page_id) as name, concat('shop', page_id % 7, '.example.com') as domain, n::double as listing_count, case when off then 'N' when n = 0 then '추정' else 'Y' end as flag, 'a || b' as attempted,
+concat('query_params=page=', page_id % 5 + 1, '&cate_code=', page_id % 3, ' | page | ', case when page_id % 3 = 0 and off then '스크립트/API 엔드포인트 확인 필요' else 'requests+BeautifulSoup 가능' end) as crawl_fields from p""")
 def survey_rows(s, d):
     best = survey.analyzed(fx.shops(s, d)).withColumnsRenamed({"page_id": "seed_no"}).withColumn("attempted", F.array(F.lit("a"), F.lit("b"))).drop("page", "html", "text")
     seeds = table(s, d, "pages").select(F.col("page_id").alias("seed_no"), F.concat(F.lit("n"), "page_id").alias("name"))
@@ -766,6 +847,34 @@ def survey_rows(s, d):
     return out.select("seed_no", "name", "domain", F.col("listing_count").cast("double").alias("listing_count"), "flag", "attempted", "crawl_fields")
 
 
+KEY = f"concat('//', {BARE}, coalesce(nullif({PATH}, ''), '/'), case when {QUERY} <> '' then concat('?', {QUERY}) else '' end)"
+#: The pages that a survey looks at: its seeds, and the seven best links of each, twelve in all.
+FRONTIER = f"""c as (select *, {KEY} as key from ({fx.duck(fx.DEALERS_SQL)})), s as (select *, {KEY} as key, row_number() over (partition by seed_no order by pos) as place from ({fx.duck(fx.SEEDS_SQL)})),
+l as (select s.seed_no, s.place, concat('http://', regexp_extract(c.url, '//([^/]*)', 1)) as origin, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as label, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) as pos from s join c using (key) where s.place < 12),
+m as (select seed_no, place, pos, concat(origin, href) as url, {_hits_sql("lower(concat(label, ' ', href))", FOR_SQL, 4)} - {_hits_sql("lower(concat(label, ' ', href))", AGAINST_SQL, 3)} + case when label = '' then -2 else 0 end + case when regexp_matches(href, '(?i)(page|list|product|goods|sell|sale|sub[0-9]+|m[0-9]+)') then 2 else 0 end as score from l),
+b as (select * from (select *, row_number() over (partition by seed_no, place order by score desc, pos) as rank from (select * from m where score > 0 qualify row_number() over (partition by seed_no, place, url order by pos) = 1)) where rank <= 7),
+q as (select seed_no, 0 as round, place as parent, 0 as rank, url from s union all select seed_no, 1, place, rank, url from b),
+f as (select * from (select *, row_number() over (partition by seed_no order by round, parent, rank) as place from (select * from q qualify row_number() over (partition by seed_no, url order by round, parent, rank) = 1)) where place <= 12 or round = 0)"""
+
+
+@query("survey_frontier", f"with {FRONTIER} select seed_no, place, url as requested from f")
+def survey_frontier(s, d):
+    return survey.frontier(fx.seeds(s, d), fx.dealers(s, d))
+
+
+@query("survey_best", f"""with {FRONTIER}, a as (select f.seed_no, f.place, f.url as requested, {KEY.replace('url', 'f.url')} as key from f),
+p as (select a.seed_no, a.place, a.requested, c.*, c.html is not null as there from a left join c on a.key = c.key),
+g as (select seed_no, place, requested, there, coalesce(url, requested) as url, coalesce(ok, false) as ok, coalesce(status, '') as status, coalesce(html, '') as html from p),
+h as (select *, regexp_extract(html, '<title>(.*?)</title>', 1) as title, contains(html, '고객센터') as off, try_cast(regexp_extract(html, '총 게시물 ([0-9]+) 건', 1) as int) as total, len(list_distinct(regexp_extract_all(html, '<a href="(/item/[0-9]+)">굴삭기', 1))) as seen from g),
+n as (select *, case when off then 0 else coalesce(total, seen) end as listing_count, not off and (there or {_hits_sql("lower(concat(' ', url))", FOR_SQL, 1)} >= 2) as listing_like from h),
+r as (select *, case when ok then 10 else 0 end + case when listing_like then 25 else 0 end + least(listing_count, 200) / 10.0 + case when ok then 2 else 0 end + {_hits_sql('lower(url)', FOR_SQL, 3)} - {_hits_sql('lower(url)', AGAINST_SQL, 4)} as score from n),
+t as (select seed_no, string_agg(concat(requested, ' [', case when status = '' then 'not captured' else status end, ']'), ' || ' order by place) as attempted from r where place <= 16 group by seed_no)
+select seed_no, place, url, title, listing_count::double as listing_count, listing_like, round(score, 6) as score, attempted from r join t using (seed_no) qualify row_number() over (partition by seed_no order by score desc, place) = 1""")
+def survey_best(s, d):
+    best = survey.surveyed(fx.seeds(s, d), fx.dealers(s, d))
+    return best.select("seed_no", "place", "url", "title", F.col("listing_count").cast("double").alias("listing_count"), "listing_like", F.round("score", 6).alias("score"), F.array_join("attempted", " || ").alias("attempted"))
+
+
 @query("origin_order", f"with o as ({OVERVIEW}) select origin, largest, row_number() over (order by largest desc, origin) as rank from o")
 def origin_order(s, d):
     return storage.ranked(_overview(s, d).select("origin", "largest"), [F.desc("largest"), F.asc("origin")]).withColumn("rank", F.col("rank").cast("long"))

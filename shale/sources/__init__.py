@@ -6,7 +6,7 @@ import os
 import re
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,12 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 REGISTRY = (("green_heavy", "4396200.com"),)
 
 
+def site_slug(wanted: Column, registry=REGISTRY) -> Column:
+    """The registered site that a slug, host or origin names; null if none."""
+    host = F.regexp_replace(F.lower(wanted), r"^(?:https?://)?(?:www\.)?|/+$", "")
+    return F.coalesce(*[F.when((wanted == slug) | (host == name), F.lit(slug)) for slug, name in registry])
+
+
 def resolve_sites(wanted: list[str] | None = None, registry=REGISTRY) -> list[str]:
     """The wanted sites by slug, host or origin, sorted, each once; all registered ones if none is wanted."""
     by = {host: slug for slug, host in registry} | {slug: slug for slug, _ in registry}

@@ -72,12 +72,25 @@ def capture(df: DataFrame, path: str) -> None:
     out.write.partitionBy("slug").mode("append").parquet(path)
 
 
+def quoted(x):
+    """In quotes as a literal: single ones, or double ones round a text with single ones only."""
+    plain = F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    double = x.contains("'") & ~x.contains('"')
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def curl(method, url, headers, body):
-    """A shell command for the request; headers: array of 'Name: value'."""
-    q = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    """A shell command for the request; headers: array of 'Name: value', of which cookies have their own option."""
+    none = F.array().cast("array<string>")
+    option = lambda test, text: F.when(test, F.array(text)).otherwise(none)
+
+    def header(h):
+        name, value = F.lower(F.trim(F.split_part(h, F.lit(":"), F.lit(1)))), F.regexp_replace(h, r"^[^:]*:\s*", "")
+        return F.when(name == "cookie", F.concat(F.lit("-b "), quoted(value))).otherwise(F.concat(F.lit("-H "), quoted(h)))
+
+    verb = F.upper(method)
     parts = F.concat(
-        F.array(F.concat(F.lit("curl -X "), method, F.lit(" "), q(url))),
-        F.transform(F.coalesce(headers, F.array().cast("array<string>")), lambda h: F.concat(F.lit("-H "), q(h))),
-        F.when(tx.filled(body).isNotNull(), F.array(F.concat(F.lit("--data "), q(body)))).otherwise(F.array().cast("array<string>")),
-    )
+        F.array(F.lit("curl -L")), option(verb != "GET", F.concat(F.lit("-X "), verb)), F.array(quoted(url)),
+        F.transform(F.coalesce(headers, none), header), option(F.coalesce(body.isNotNull(), F.lit(False)), F.concat(F.lit("--data "), quoted(body))),
+    )
     return F.array_join(parts, " \\\n  ")

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shale import sources, streaming
+from shale.functions import urls
 from shale.operators import board, dictionary, html, identity, owners, profile, survey
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
@@ -144,6 +145,39 @@ def test_board(spark):
     assert board.listing_rows(empty, now()).count() == profile.contract(empty).count() == 0
 
 
+def test_pages_against_their_own_url(spark):
+    """References are joined with the page's URL before anything is read from them; elements keep their order."""
+    body = """<title>
+      Foo
+     bar
+    </title><a href="#top">t</a><a href="">same</a><a href="
+/x?pageNo=3 ">x</a><form></form><form action="
+ go?y=1 "><input name="b"><select name="a"><option>1</select></form>
+    <script></script><script src=" js/a.js "></script><script>var u = {url: '../api/x'}</script>
+    <p onclick="window.location='/w?k=1'">w<a href="/n?m=1">n</a></p><a href="/p?k=2">p</a>"""
+    pages = html.with_page(spark.createDataFrame([(1, "http://h.com/a/b/c?page=5", body), (2, "http://h.com/x", "<title> </title><meta property='og:title' content='og'>"), (3, "http://h.com/x", "<meta property='og:title' content='og'>")], "page_id int, url string, html string")).cache()
+    p, url = F.col("page"), F.col("url")
+    rows = pages.select(html.title(p).alias("title"), survey.page_max(p["links"], url).alias("most"), F.transform(html.forms(p, url), lambda f: f["action"]).alias("actions"), html.script_sources(p, url).alias("sources"), html.endpoint_hints(p, url).alias("hints"), F.size(html.inline_scripts(p)).alias("inline")).collect()
+    assert [r.title for r in rows] == ["Foo bar", "", "og"]
+    assert rows[0].most == 5 and rows[0].actions == ["http://h.com/a/b/c?page=5", "http://h.com/a/b/go?y=1"]
+    assert rows[0].sources == ["http://h.com/a/b/js/a.js"] and rows[0].hints == ["http://h.com/a/api/x"] and rows[0].inline == 1
+    links = [(r.url, r.text) for r in profile.links(pages).where("page_id = 1").orderBy("pos").collect()]
+    assert [u for u, _ in links] == ["http://h.com/a/b/c?page=5#top", "http://h.com/x?pageNo=3", "http://h.com/w?k=1", "http://h.com/n?m=1", "http://h.com/p?k=2"] and links[2][1] == "w n"
+    assert profile.contract(pages).where("page_id = 1").first().observed_param_names_ranked == ["b", "a", "k", "page", "pageNo", "m"]
+    off = survey.analyzed(spark.createDataFrame([(1, "http://h.com/x", "<title>고객센터</title>총 게시물 9건 <a href='/item/1'>굴삭기</a> fetch('/api/')"), (2, "http://h.com/x", "<title>매물</title>총 게시물 0건 <a href='/item/1'>굴삭기</a><script>fetch('/x')</script>")], "page_id int, url string, html string")).orderBy("page_id").collect()
+    assert (off[0].visible, off[0].listing_count, off[0].listing_like) == (0, 0, False)
+    assert (off[1].visible, off[1].listing_count, off[1].kind) == (1, 0, "HTML 응답(스크립트 단서 있음)")
+
+
+def test_absolute(spark):
+    from urllib.parse import urljoin
+
+    base = "http://h.com/a/b/c/d?q=1#f"
+    hrefs = ["", "x", "./x", "../x", "../../../../../../../x", "/r/../s/./t", "..", ".", "../", "?z=2", "#g", "//o.org/p/../q", "https://e.com/../k", "x/y/?a=../b", "/a//b", "e//f", "javascript:x()", "/.."]
+    rows = spark.createDataFrame([(h,) for h in hrefs], "h string").select("h", urls.absolute(F.lit(base), F.col("h")).alias("u")).collect()
+    assert [(r.h, r.u) for r in rows] == [(h, urljoin(base, h)) for h in hrefs]
+
+
 def test_decode(spark):
     rows = [("한글".encode("cp949"), None), ("é".encode(), "bogus"), ("é".encode("latin-1"), "latin-1"), (None, None)]
     got = spark.createDataFrame(rows, "b binary, c string").select(html.decode_body("b", "c").alias("t")).collect()
@@ -193,7 +227,7 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.capture(spark.createDataFrame([("s1", "text/html", "<p>")], "slug string, content_type string, body string"), str(tmp_path / "cap"))
     assert spark.read.parquet(str(tmp_path / "cap")).first().response_extension == "html"
     shell = spark.range(1).select(sinks.curl(F.lit("POST"), F.lit("http://h/?a='"), F.array(F.lit("A: b")), F.lit("x=1")).alias("c")).first().c
-    assert shell == "curl -X POST 'http://h/?a='\\''' \\\n  -H 'A: b' \\\n  --data 'x=1'"
+    assert shell == "curl -L \\\n  -X POST \\\n  \"http://h/?a='\" \\\n  -H 'A: b' \\\n  --data 'x=1'"
     import pytest
 
     with pytest.raises(ValueError):

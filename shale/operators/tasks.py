@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +86,23 @@ def _applied(x: Column, then: Column) -> Column:
 def fold(events: DataFrame, keys: list[str], order: list[str], run: int = RUN) -> DataFrame:
     """The last state of each key after its events (kind, at, code, error, wait) in order.
 
-    A run of transitions is what it does to a task in each of the states that it may have been in. The events of all keys get
-    their place in one distributed sort; runs of RUN places are folded first, then runs of these, so no list holds a key's
-    events, however many there are.
+    Keys of at most `run` events are folded from one list each. The others are folded in runs: a run of transitions is what it does
+    to a task in each of the states that it may have been in. Their events get their place in a distributed sort; runs of `run`
+    places are folded first, then runs of these, so no list holds such a key's events, however many there are.
     """
-    place = [F.col(c) for c in (*keys, *order, *[c for c in ("kind", "at", "code", "error", "wait") if c not in order])]
-    rows = storage.ranked(events, place, "_n").select(*keys, "at", F.col("_n").cast("long").alias("_n"), F.struct("kind", "at", "code", "error", "wait").alias("_e"))
+    columns = [F.col(c) for c in (*keys, *order, *[c for c in ("kind", "at", "code", "error", "wait") if c not in order])]
+    event = F.struct("kind", "at", "code", "error", "wait")
+    large = storage.kept(events.groupBy(*keys).count().where(F.col("count") > run).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    own = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*columns[len(keys) :]).alias("o"), event.alias("_e")))), lambda x: x["_e"])
+    some = not large.isEmpty()
+    small = (events.join(large, same, "left_anti") if some else events).groupBy(*keys).agg(F.min("at").alias("created_at"), own.alias("_l"))
+    small = small.select(*keys, "created_at", F.aggregate("_l", _start(None), _effect)["state"].alias("_s")).select(*keys, "created_at", "_s.*")
+    return small.unionByName(_folded_in_runs(events.join(large, same, "left_semi"), keys, columns, event, run)) if some else small
+
+
+def _folded_in_runs(events: DataFrame, keys: list[str], place: list[Column], event: Column, run: int) -> DataFrame:
+    rows = storage.ranked(events, place, "_n").select(*keys, "at", F.col("_n").cast("long").alias("_n"), event.alias("_e"))
     starts = [_start(x) for x in STARTS]
     inner = lambda one: F.transform(F.array_sort(F.collect_list(F.struct("_n", one))), lambda x: x[one])
     rows = rows.groupBy(*keys, F.floor(F.col("_n") / run).alias("_n")).agg(F.min("at").alias("created_at"), inner("_e").alias("_l"))

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shale.operators.identity import merge_latest
 from shale.operators.tasks import ERROR_CHARS
 
 TASK_STATE = "status string, attempts int, last_status_code int, last_error string, next_run_us long, success_us long, updated_us long"
-TASK_ROW = f"task string, {TASK_STATE}"
+TASK_ROW = f"task string, {TASK_STATE}, why string"
+#: Seconds after which a running task counts as left behind.
+STALE_SECONDS = 3600
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _next(s: dict, e) -> dict:
@@ -40,18 +45,76 @@ def _next(s: dict, e) -> dict:
     return s
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """The state of each task after every micro-batch that touches it; events: task, seq, kind, at_us, code, error, wait."""
-    names = [f.split()[0] for f in TASK_STATE.split(", ")]
+STATE_NAMES = [f.split()[0] for f in TASK_STATE.split(", ")]
+#: Transitions of a task that are looked at together.
+TOGETHER = 4096
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            s = _next(s, e)
-        state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame([{"task": key[0], **s}]).astype({n: "Int64" for n in ("attempts", "last_status_code", "next_run_us", "success_us", "updated_us")})
 
-    return events.groupBy("task").applyInPandasWithState(run, TASK_ROW, TASK_STATE, "update", GroupStateTimeout.NoTimeout)
+def folded(state: dict, batches: Iterator[pd.DataFrame]) -> dict:
+    """state after a task's events, whatever the order of the batches.
+
+    Of all events the numbers are held (some 40 bytes each, of one micro-batch), of the errors only the latest.
+    """
+    kinds: list[str] = []
+    parts, error = [], (None, "")
+    for own in batches:
+        codes = own["kind"].map(lambda k: kinds.index(k) if k in kinds else (kinds.append(k) or len(kinds) - 1))
+        parts.append(np.stack([own["seq"], codes, own["at_us"], own["code"].fillna(0), own["wait"].fillna(0)], axis=1).astype(np.int64))
+        retries = own[own["kind"] == "retry"]
+        if len(retries):
+            last = retries.loc[retries["seq"].idxmax()]
+            error = max(error, (int(last["seq"]), str(last["error"] or "")), key=lambda x: -1 if x[0] is None else x[0])
+    rows = np.concatenate(parts)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    for at in range(0, len(rows), TOGETHER):
+        for seq, kind, at_us, code, wait in rows[at : at + TOGETHER].tolist():
+            state = _next(state, SimpleNamespace(kind=kinds[kind], at_us=at_us, code=code, error=error[1] if seq == error[0] else "", wait=wait))
+    return state
+
+
+class TaskProcessor(StatefulProcessor):
+    """A task's state, and one timer for it: when it has been running for too long, or may run again."""
+
+    def __init__(self, stale_seconds: int, clock: str):
+        self.stale_us, self.clock = stale_seconds * 1_000_000, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("task", TASK_STATE)
+
+    def _now(self, timers) -> int:
+        ms = timers.getCurrentProcessingTimeInMs() if self.clock == "ProcessingTime" else timers.getCurrentWatermarkInMs()
+        return ms * 1000
+
+    def _kept(self, key: tuple, s: dict, why: str, timers) -> Iterator[pd.DataFrame]:
+        self.state.update(tuple(s[n] for n in STATE_NAMES))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        due = s["updated_us"] + self.stale_us if s["status"] == "running" else s["next_run_us"] if s["status"] == "pending" and why != "due" else None
+        if due is not None:  # a time that has passed is told at once
+            self.handle.registerTimer(max(-(-due // 1000), self._now(timers) // 1000 + 1))
+        yield pd.DataFrame([{"task": key[0], **s, "why": why}]).astype({n: "Int64" for n in ("attempts", "last_status_code", "next_run_us", "success_us", "updated_us")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s = dict(zip(STATE_NAMES, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(STATE_NAMES)
+        yield from self._kept(key, folded(s, rows), "event", timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s, now = dict(zip(STATE_NAMES, self.state.get(), strict=True)), self._now(timerValues)
+        if s["status"] == "running" and s["updated_us"] + self.stale_us <= now:
+            yield from self._kept(key, s | {"status": "pending", "updated_us": now}, "stale", timerValues)
+        elif s["status"] == "pending" and s["next_run_us"] is not None and s["next_run_us"] <= now:
+            yield from self._kept(key, s, "due", timerValues)
+
+
+def task_states(events: DataFrame, stale_seconds: int = STALE_SECONDS, clock: str = "ProcessingTime") -> DataFrame:
+    """The state of each task after every micro-batch that touches it, and whenever its timer goes off.
+
+    events: task, seq (unique for a task), kind, at_us, code, error, wait. why: 'event'; 'stale', where a task that has been
+    running for stale_seconds is pending again; 'due', where a waiting task may run. clock: 'EventTime' goes by the stream's
+    watermark. State lives in RocksDB, so it needn't fit in memory.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.groupBy("task").transformWithStateInPandas(TaskProcessor(stale_seconds, clock), TASK_ROW, "update", clock)
 
 
 def merge_each(stream: DataFrame, store: str, key: str, sequence: str, checkpoint: str, interval: str | None = "30 seconds"):

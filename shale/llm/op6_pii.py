@@ -102,33 +102,49 @@ def scan(docs: DataFrame) -> DataFrame:
     return step.withColumn("_mark" if "_rid" in docs.columns else "_rid", F.monotonically_increasing_id()).drop("_t", *[f"_f{i}" for i in range(len(PATTERNS))])
 
 
+def _classes(members: DataFrame, one: str, name: str, *more: str) -> DataFrame:
+    """(one, name, n): equal names for those of members (_text_id, one) that stand in just the same texts, n of them, and agree in more."""
+    marks = [F.bit_xor(F.xxhash64("_text_id", F.lit(i))).alias(f"_x{i}") for i in (1, 2)]
+    own = members.groupBy(one, *more).agg(F.count("*").alias("n"), *marks)
+    return own.select(one, *more, F.xxhash64("n", "_x1", "_x2", *more).alias(name), "n")
+
+
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ent, term, disclosure) of the terms to treat; found: stored result of scan() on the documents texts, rows without spans apart."""
+    """(_text_id, term, k): the terms to treat in each text, and how; found: stored result of scan() on the documents texts, rows without spans apart.
+
+    Entities of just the same texts disclose alike, and so do such terms: they are joined by classes, so that a page of many
+    addresses and words doesn't make a row for each two of them.
+    """
     text_id = F.xxhash64(whole_text("text"))
     n = texts.select(text_id.alias("_text_id")).distinct().count()
     own = found.where(F.col("_own").isNotNull())
-    members = own.select("_text_id", F.explode("_ents").alias("ent")).distinct()
-    entities = members.groupBy("ent").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n))
-    members = kept(members.join(entities.select("ent"), "ent", "left_semi"))
+    members = kept(own.select("_text_id", F.explode("_ents").alias("ent")).distinct())
+    entities = _classes(members, "ent", "ents").where((F.col("n") >= SUPPORT) & (F.col("n") < n))
+    members = kept(members.join(entities, "ent").select("_text_id", "ents", F.col("n").alias("n_e")).distinct())
     judged = own.join(members.select("_text_id").distinct(), "_text_id", "left_semi").select("_text_id", F.explode(_words(F.col("_own"), F.col("_base"))).alias("term")).distinct()
-    joint = members.join(judged, "_text_id").groupBy("ent", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    judged = stored(judged, "op6-terms")
     words = F.array_distinct(F.transform(sp.found(F.lower(whole_text("text")), TERM), lambda x: F.xxhash64(x)))
     # One row for each distinct text; counted before the join: the partial sums are one row for each term and task.
     once = texts.select(text_id.alias("_text_id"), words.alias("_words")).dropDuplicates(["_text_id"])
-    terms = once.select(F.explode("_words").alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n_t"))
-    both = joint.join(entities, "ent").withColumn("term_id", F.xxhash64("term")).join(terms, "term_id")
+    all_terms = once.select(F.explode("_words").alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n_t"))
+    # A term that discloses is in SUPPORT of the entity's texts at least.
+    several = _classes(judged, "term", "terms").where(F.col("n") >= SUPPORT).withColumn("term_id", F.xxhash64("term")).join(all_terms, "term_id")
+    terms = kept(several.select("term", F.xxhash64("terms", "n_t").alias("terms"), "n_t"))
+    where = kept(judged.join(terms, "term").select("_text_id", "terms", "n_t").distinct())
+    joint = members.join(where, "_text_id").groupBy("ents", "n_e", "terms", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    return both.select("ent", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    kind = F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4))
+    pairs = kept(joint.select("ents", "terms", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE).select("ents", "terms", kind.alias("k")))
+    hits = members.join(pairs, "ents").join(where.select("_text_id", "terms"), ["_text_id", "terms"]).groupBy("_text_id", "terms").agg(F.max("k").alias("k"))
+    return hits.join(terms.select("terms", "term"), "terms").select("_text_id", "term", "k")
 
 
 def with_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     """found with ``_spans``: base spans and disclosing terms, wherever they stand in a document with their entity."""
-    kind = F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4))
-    hits = found.select("_rid", F.explode("_ents").alias("ent")).join(disclosing(found, texts), "ent").groupBy("_rid", "term").agg(F.max(kind).alias("k"))
-    own = hits.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_kinds"))
+    own = disclosing(found, texts).groupBy("_text_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_kinds"))
     spans = sp.in_order(F.col("_base"), _places(F.col("_own"), F.col("_base"), F.col("_kinds")))
-    return found.join(own, "_rid", "left").withColumn("_spans", F.when(F.col("_kinds").isNull(), F.col("_base")).otherwise(spans)).drop("_kinds")
+    return found.join(own, "_text_id", "left").withColumn("_spans", F.when(F.col("_kinds").isNull(), F.col("_base")).otherwise(spans)).drop("_kinds")
 
 
 def sanitised(docs: DataFrame, from_files: bool = False) -> DataFrame:

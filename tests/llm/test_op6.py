@@ -5,6 +5,8 @@ import re
 import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from shale.llm import op6_pii as op
 
 NATIVE = (
@@ -156,3 +158,18 @@ def test_terms_anywhere(spark):
     rows = disclosed(far=40)
     out = [r.text for r in op.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(out) == len(rows) and not any("Quorra" in t for t in out)
+
+
+def test_many_entities_and_words_of_one_page(spark):
+    """A directory in two versions: 4,000 addresses and 4,000 names that all disclose each other; no row for each two of them."""
+    word = lambda i: "name" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    page = " ".join(f"{word(i)} u{i}@mail.example.com" for i in range(4_000))
+    rows = [(0, page), (1, page + " again"), *[(i, f"words of text {i}") for i in range(2, 60)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.monotonic()
+    found = op.stored(op.scan(docs), "t")
+    told = op.disclosing(found, docs)
+    got = {r.doc_id: r for r in op.with_terms(found, docs).collect()}
+    assert time.monotonic() - start < 120
+    assert told.where(F.col("term").startswith("name")).count() == 8_000
+    assert [x.k for x in got[0]._spans] == [5, 0] * 4_000 and len(got[1]._spans) >= 8_000

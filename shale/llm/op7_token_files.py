@@ -149,10 +149,18 @@ def encoder(model_file: str) -> Encoder:
     return Encoder(model_file)
 
 
+#: Bytes of text in a shard, at most on average.
+SHARD_BYTES = 512 << 20
+
+
+def shard_count(total_bytes: int, least: int) -> int:
+    return max(least, -(-total_bytes // SHARD_BYTES))
+
+
 def write_shards(docs: DataFrame, path: str, model_file: str | None = None, shards: int | None = None, percentile: float = pfor.PERCENTILE) -> None:
-    """Writes the ids of docs' (doc_id, text) to path."""
+    """Writes the ids of docs' (doc_id, text) to path: as many shards as Spark has shuffle partitions, and more beyond SHARD_BYTES of text in each."""
     file = model_file or public_tokenizers.path(MODEL)
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shard_count(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, segment, before = encoder(file), TaskContext.get().partitionId(), 0, 0

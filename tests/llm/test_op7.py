@@ -77,3 +77,8 @@ def test_files(spark, monkeypatch):
     empty = op.new_path(spark, "t")
     op.write_shards(docs.limit(0), empty)
     assert op.read_shards(spark, empty).count() == 0
+
+
+def test_shards_follow_the_bytes():
+    assert op.shard_count(0, 8) == op.shard_count(10 * op.SHARD_BYTES // 2, 8) == 8
+    assert op.shard_count(100 << 40, 200) == (100 << 40) // op.SHARD_BYTES

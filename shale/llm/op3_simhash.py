@@ -229,8 +229,8 @@ SIZE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, BUDGET, NEAR = 4, 40, 28, 2, 34
 #: Bits that come with a further bit of the budget: recall at 0.8 stays, chance candidates become thirteen times fewer.
 MORE_BITS = 8
-#: Candidates whose keys are broadcast, at most (about 32 MB).
-BROADCAST = 1 << 20
+#: Candidates whose keys are broadcast, at most (about 32 MB); bytes of text whose sets are held at a time.
+BROADCAST, SETS_BYTES = 1 << 20, 1 << 20
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -258,7 +258,7 @@ def set_prints(docs: DataFrame, width: int = BITS) -> DataFrame:
     weights = np.left_shift(np.int64(1), np.arange(width - 1, -1, -1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SETS_BYTES):
             found = [distinct(t, SIZE) for t in texts_of(batch)]
             bits = bit_matrix(found, len(found), WORDS)
             parts = np.concatenate([bits[:, o[: per * width]].reshape(-1, per, width) @ weights for o in orders], axis=1)[:, :TABLES]
@@ -274,7 +274,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(node, _set) of docs (node, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SETS_BYTES):
             own = [distinct(t, SIZE).view(np.int64) for t in texts_of(batch)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "_set"])
@@ -302,13 +302,15 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
 
     Each member of a group of candidates is compared with the group's smallest set first. What that connects needs no other
     link, so a dense group doesn't cost the square of its size: pages whose template alone makes them similar are all linked to
-    the smallest of them. The members of groups that this doesn't settle are joined by their prefixes (:mod:`shale.llm.prefix`),
-    across the components so far; of pages that a common template makes candidates, but not similar, no pairs arise there.
+    the smallest of them. The members of groups that this doesn't settle are joined by their prefixes (:mod:`shale.llm.prefix`):
+    edited copies with what they all go back to, then all that can be similar across the components so far. Of pages that a
+    common template makes candidates, but not similar, no pairs arise there.
     """
     tables = [F.col("_parts")[i] for i in range(TABLES)]
     stars = kept(links(nodes, tables, bits, budget, NEAR, limit).distinct())
     first = kept(_verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity))
-    label = kept(components(first)).select(F.col("u").alias("node"), "root")
+    labels = lambda links_: kept(components(links_)).select(F.col("u").alias("node"), "root")
+    label = labels(first)
     roots = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
     rooted = stars.join(roots("u"), "u", "left").join(roots("v"), "v", "left")
     apart = F.coalesce("ur", "u") != F.coalesce("vr", "v")
@@ -317,9 +319,11 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
     if members.isEmpty():
         return first
     sets = _sets(members, nodes, rows)
-    left = sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = kept(prefix.candidates(left, similarity).join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"))
-    return first.unionByName(_verified(more, sets, similarity))
+    prefixes = prefix.entries(sets, similarity)
+    linked = first
+    for found in (lambda: prefix.stars(prefixes), lambda: prefix.candidates(prefixes, labels(linked), similarity)):
+        linked = kept(linked.unionByName(_verified(kept(found()), sets, similarity)))
+    return linked
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SUBTREE, from_files: bool = False) -> DataFrame:

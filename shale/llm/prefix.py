@@ -30,7 +30,7 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-ENTRY = "element long, frequent boolean, node long, root long, n long, h long"
+ENTRY = "element long, frequent boolean, node long, n long, h long"
 
 
 def _entries(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
@@ -52,37 +52,52 @@ def _entries(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
             need = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
             by = by[place < need[owner]]  # owner is ascending, so it is the same in either order
             of = owner[by]
-            columns = [pa.array(flat[by]), pa.array(late[by]), *[batch.column(c).take(pa.array(of)) for c in ("node", "root")], pa.array(n[of]), pa.array(h[of])]
-            yield pa.RecordBatch.from_arrays(columns, ["element", "frequent", "node", "root", "n", "h"])
+            columns = [pa.array(flat[by]), pa.array(late[by]), batch.column("node").take(pa.array(of)), pa.array(n[of]), pa.array(h[of])]
+            yield pa.RecordBatch.from_arrays(columns, ["element", "frequent", "node", "n", "h"])
 
-    return sets.select("node", "root", "_set").mapInArrow(run, ENTRY)
+    return sets.select("node", "_set").mapInArrow(run, ENTRY)
 
 
 def _entries_joined(sets: DataFrame, frequent: DataFrame, similarity: float) -> DataFrame:
     """The same where the frequent elements are too many for the workers: they are joined by shuffle."""
-    each = sets.select("node", "root", F.explode("_set").alias("element")).join(frequent.select("element", F.lit(True).alias("_often")), "element", "left")
-    own = each.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct(F.col("_often").isNotNull().alias("frequent"), "element"))).alias("_all"))
+    each = sets.select("node", F.explode("_set").alias("element")).join(frequent.select("element", F.lit(True).alias("_often")), "element", "left")
+    own = each.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("_often").isNotNull().alias("frequent"), "element"))).alias("_all"))
     n = F.size("_all").cast("long")
     need = (n - F.ceil(similarity * n - 1e-9) + 1).cast("int")
-    own = own.select("node", "root", n.alias("n"), F.size(F.filter("_all", lambda x: x["frequent"])).cast("long").alias("h"), F.explode(F.slice("_all", F.lit(1), need)).alias("_e"))
-    return own.select("_e.element", "_e.frequent", "node", "root", "n", "h")
+    own = own.select("node", n.alias("n"), F.size(F.filter("_all", lambda x: x["frequent"])).cast("long").alias("h"), F.explode(F.slice("_all", F.lit(1), need)).alias("_e"))
+    return own.select("_e.element", "_e.frequent", "node", "n", "h")
 
 
-def candidates(sets: DataFrame, similarity: float, frequent: int = FREQUENT, broadcast: int = BROADCAST) -> DataFrame:
-    """(u, v): every two of sets (node, root, _set array<long> of distinct elements) that have different roots and can be similar."""
+def entries(sets: DataFrame, similarity: float, frequent: int = FREQUENT, broadcast: int = BROADCAST) -> DataFrame:
+    """The prefixes of sets (node, _set array<long> of distinct elements), stored: (element, frequent, node, n elements, h frequent ones)."""
     counts = sets.select(F.explode("_set").alias("element")).groupBy("element").agg(F.count("*").alias("_sets")).where(F.col("_sets") > frequent)
     often = kept(counts.select("element"))
     if often.count() <= broadcast:
-        entries = _entries(sets, np.sort(often.toArrow().column("element").to_numpy()), similarity)
-    else:
-        entries = _entries_joined(sets, often, similarity)
-    entries = kept(entries)
-    some = entries.groupBy("element").agg(F.min("n").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+        return kept(_entries(sets, np.sort(often.toArrow().column("element").to_numpy()), similarity))
+    return kept(_entries_joined(sets, often, similarity))
+
+
+def stars(found: DataFrame) -> DataFrame:
+    """(u, v): of each frequent element the sets that have it in their prefix, with the one of them that has least of its own.
+
+    Edited copies of a text are linked through that text, which has nothing but what many have: these pairs, a few for each set,
+    are worth a look before all others.
+    """
+    often = found.where("frequent")
+    middle = often.groupBy("element").agg(F.min(F.struct((F.col("n") - F.col("h")).alias("own"), "n", "node"))["node"].alias("_v"))
+    pairs = often.join(middle, "element").where(F.col("node") != F.col("_v"))
+    return pairs.select(F.greatest("node", "_v").alias("u"), F.least("node", "_v").alias("v")).distinct()
+
+
+def candidates(found: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): every two of the sets with these prefixes that have different roots (node, root; else its own) and can be similar."""
+    rooted = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    some = rooted.groupBy("element").agg(F.min("n").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b"))
     some = some.where("_a <> _b").select("element", "_n")
     t = F.lit(similarity)
     # A pair that meets in a frequent element shares frequent elements only, or it meets in another too.
     enough = lambda h, n, m: ~F.col("frequent") | (h * (1 + t) >= t * (n + m) - 1e-6)
-    able = kept(entries.join(some, "element").where(enough(F.col("h"), F.col("n"), F.col("_n"))).drop("_n"))
+    able = kept(rooted.join(some, "element").where(enough(F.col("h"), F.col("n"), F.col("_n"))).drop("_n"))
     a = able.select("element", "frequent", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "h")])
     b = able.select("element", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "h")])
     pairs = a.join(b, "element").where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")))

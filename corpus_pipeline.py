@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shale.llm import op2_sentencepiece, op3_simhash, op5_decontaminate, op6_pii, op10_quality_rules
 from shale.llm.common import table
-from shale.storage import new_path, scratch
+from shale.storage import delete, new_path, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

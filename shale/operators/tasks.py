@@ -46,8 +46,8 @@ def transition(state: Column, e: Column) -> Column:
 
 #: What a task may have been before a run of transitions: no task, or in one of the three states.
 STARTS = (None, "pending", "running", "done")
-#: Transitions that one list holds at most.
-RUN = 4096
+#: Transitions that one list holds at most; pages that are looked at in one window.
+RUN = PAGES = 4096
 EFFECT = f"struct<state:{STATE},attempts:boolean,errors:boolean,success:boolean>"
 
 
@@ -178,15 +178,22 @@ def status_pivot(tasks: DataFrame, by: str, states: tuple[str, ...] = ("running"
 def pages_read(pages: DataFrame, keys: list[str], page: str, found: str, grace: int = GRACE, max_pages: int | None = None) -> DataFrame:
     """The list pages that are read: up to the page after `grace` pages in a row without a record of the period.
 
-    found: records of the period on a page. An island of empty pages starts at each page with a record; as soon as one
-    holds more than grace empty pages, no later page is read.
+    found: records of the period on a page. Whether a site stops at a page depends on the grace + 1 pages up to it only. So the
+    pages get their places in one distributed sort, and are looked at in runs of places that overlap by the grace: no window
+    holds a site's pages, however many it has.
     """
-    order = Window.partitionBy(*keys).orderBy(page)
-    island = pages.withColumn("_island", F.sum(F.when(F.col(found) > 0, 1).otherwise(0)).over(order))
-    empties = island.withColumn("_empty", F.sum(F.when(F.col(found) > 0, 0).otherwise(1)).over(Window.partitionBy(*keys, "_island").orderBy(page)))
-    stopped = empties.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_empty") > grace, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = stopped.where("_stop = 0")
-    return (out.where(F.col(page) <= max_pages) if max_pages else out).drop("_island", "_empty", "_stop")
+    rows = storage.kept(storage.ranked(pages.select(*keys, F.col(page).alias("_page"), (F.col(found) > 0).alias("_found")), [*[F.col(k) for k in keys], F.col("_page")], "_n"))
+    run = max(PAGES, grace + 1)
+    own = F.floor(F.col("_n") / run)
+    both = F.when(F.pmod(F.col("_n"), F.lit(run)) >= run - grace, F.array(own, own + 1)).otherwise(F.array(own))
+    # The place before a site's first page belongs to another site: a run is looked at for each site in it.
+    last = Window.partitionBy(*keys, "_run").orderBy("_n").rowsBetween(-grace, 0)
+    ends = rows.withColumns({"_own": own, "_run": F.explode(both)})
+    ends = ends.withColumns({"_pages": F.count("*").over(last), "_any": F.max(F.coalesce("_found", F.lit(False))).over(last)})
+    stops = ends.where((F.col("_run") == F.col("_own")) & (F.col("_pages") == grace + 1) & ~F.col("_any")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_page").alias("_stop"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    out = pages.join(stops, same, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).select(*pages.columns)
+    return out.where(F.col(page) <= max_pages) if max_pages else out
 
 
 def with_category(tasks: DataFrame) -> DataFrame:

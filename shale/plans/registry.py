@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from shale.functions import text as tx
 from shale.functions import urls
 from shale import sources, storage, streaming
-from shale.operators import board, dictionary, html, identity, origins, owners, profile, survey
+from shale.operators import board, dictionary, html, identity, origins, owners, profile, site_report, survey
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
 from shale.plans import fixtures as fx
-from shale.sources import sinks, table
+from shale.sources import sinks, store, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -193,6 +193,17 @@ def latest_wins_merge(s, d):
     return identity.merge_latest(store, e.where(F.col("id") >= half), "content_hash", "_at", stamp=F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+@query("bucket_store_merge", ORACLES["latest_wins_merge"])
+def bucket_store_merge(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), _hash_key().alias("content_hash"), F.col("event_type").alias("listing_name"), "value", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.col("event_id").alias("_at"))
+    half = e.agg(F.floor(F.max("id") / 2)).first()[0]
+    at = storage.new_path(s, "store")
+    store.merge(e.where(F.col("id") < half), at, "content_hash", "_at", "first", buckets=8)
+    store.merge(e.where(F.col("id") >= half), at, "content_hash", "_at", "second", stamp=F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    # Rows without a key are stamped by nobody.
+    return store.read(s, at, e.drop("_at").schema)
+
+
 @query("first_wins", "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
 def first_wins(s, d):
     return identity.first_by(table(s, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
@@ -590,12 +601,53 @@ def origin_report(s, d):
 
 
 @query("site_report", f"""select page_id, concat('## Categories', chr(10), chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale', chr(10), '- ', {SHOP_HOST}, '/list/index.php?page=', page_id % 5 + 1, '&cate_code=', page_id % 3, '#top', chr(10), chr(10), '## Links', chr(10), chr(10), '- ', {SHOP_HOST}, '/company/intro', chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale') as text from pages""")
-def site_report(s, d):
+def report_sections(s, d):
     rows = profile.links(html.with_page(fx.shops(s, d)))
     sections = [origins.numbered(rows.where(profile.is_category(profile.names())), "Categories", F.col("url"), [F.col("pos")], 10), origins.numbered(rows, "Links", F.col("url"), [F.col("pos")], 2)]
     return origins.site_report(sections[0].unionByName(sections[1]), ["Categories", "Links"])
 
 
+#: The links of the made-up shop pages with their labels, joined with the page's URL.
+SHOP_LINKS = f"""select page_id, pos, case when h like 'http%' then h when h like '#%' then concat(url, h) else concat({SHOP_HOST}, h) end as url, trim(regexp_replace(regexp_replace(label, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as text from
+(select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1)) as h, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2)) as label, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1), 1) as pos from ({SHOPS})) where h not like 'javascript:%' and h not like 'http://other%'"""
+_LIST = "string_agg(concat('- `', text, '` -> `', url, '`'), chr(10) order by r)"
+
+
+@query("site_reports", f"""with l as materialized (select *, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '\\?([^#]*)', 1) as q from ({SHOP_LINKS})),
+n as (select page_id, pos, k, split_part(unnest(string_split(q, '&')), '=', 1) as name, k from (select *, 1 as k from l where q <> '')),
+f as (select *, row_number() over (partition by page_id order by c desc, pos, name = 'cate_code') as r from (select page_id, name, count(*) as c, min(pos) as pos from n group by all)),
+params as (select page_id, string_agg(concat('- `', name, '`: ', c), chr(10) order by r) as t from f group by page_id),
+p as (select * from (select *, row_number() over (partition by page_id order by c desc, pos) as r from (select page_id, path, count(*) as c, min(pos) as pos from l group by all)) where r <= 10),
+ps as (select page_id, path, string_agg(concat('  - `', text, '` -> `', url, '`'), chr(10) order by pos) as t from (select *, row_number() over (partition by page_id, path order by pos) as k from l) where k <= 3 group by all),
+paths as (select p.page_id, string_agg(concat('- `', p.path, '`: ', c, ' links', chr(10), ps.t), chr(10) order by r) as t from p join ps using (page_id, path) group by p.page_id),
+g as (select *, row_number() over (partition by page_id order by pos) as r from l where regexp_matches(q, '(^|&)page=')), c as (select *, row_number() over (partition by page_id order by pos) as r from l where regexp_matches(q, '(^|&)(bo_table|cate_code)=')),
+pages_ as (select page_id, {_LIST} as t from g where r <= 10 group by page_id), cats as (select page_id, {_LIST} as t from c where r <= 12 group by page_id),
+w as (select page_id, url, min(r) as r from (select page_id, url, r from g where r <= 3 union all select page_id, url, r + 3 from c where r <= 5) group by all),
+tried as (select page_id, string_agg(concat('- `', case when k.url is null then '' else '200' end, '` `', case when k.url is null then '' else 'text/html' end, '` `', coalesce(k.bytes, ''), '` -> `', w.url, '`'), chr(10) order by r) as t from w left join (select url, max(strlen(html))::varchar as bytes from ({SHOPS}) where page_id % 2 = 0 group by url) k on k.url = w.url group by page_id),
+s as (select *, page_id % 3 = 0 as hinted from ({SHOPS}))
+select s.page_id, concat('# shop', page_id % 7, chr(10), chr(10), '- 확인 URL: `', url, '`', chr(10), '- 매물 수 추정: `', page_id, '`', chr(10), '- 응답 형식 판단: `', case when hinted then 'HTML 목록 + JS/Ajax 단서' else 'HTML' end, '`', chr(10), '- 기본 목록 엔드포인트: `', split_part(url, '?', 1), '`', chr(10),
+'- 현재 Query: `{{"page": ["', page_id % 5 + 1, '"], "cate_code": ["', page_id % 3, '"]}}`', chr(10), chr(10), '## 요청 파라미터 요약', chr(10), chr(10), '- 카테고리/게시판: `cate_code, bo_table`', chr(10), '- 페이지네이션: `page`', chr(10), '- 검색/필터: `stx`', chr(10), '- 상세 ID: `', case when page_id % 2 = 0 then 'wr_id' else '미확인' end, '`',
+chr(10), chr(10), '## 관찰된 파라미터 빈도', chr(10), chr(10), params.t, chr(10), chr(10), '## 폼 분석', chr(10), chr(10), '- Form 1: `POST` `', {SHOP_HOST}, '/search`', chr(10), '  - fields: `stx`, `cate_code`', chr(10), '  - text: 찾기 One Two', chr(10), chr(10), '## 주요 경로/샘플', chr(10), chr(10), paths.t,
+chr(10), chr(10), '## 페이지네이션 샘플', chr(10), chr(10), pages_.t, chr(10), chr(10), '## 카테고리 샘플', chr(10), chr(10), cats.t, chr(10), chr(10), '## 스크립트/API 단서', chr(10), chr(10), '- 외부 스크립트 수: `1`', chr(10), '- 인라인 스크립트 수: `1`', chr(10), case when hinted then concat('- `', {SHOP_HOST}, '/api/list?x=1`', chr(10), '- `', {SHOP_HOST}, '/more`') else '- 명시적인 JSON/API 엔드포인트 미검출' end,
+chr(10), chr(10), '## 검증 요청 샘플', chr(10), chr(10), tried.t, chr(10), chr(10), '## 크롤링 메모', chr(10), chr(10), '{chr(10).join(site_report.NOTES)}', chr(10)) as text,
+(select count(distinct path) from l x where x.page_id = s.page_id)::int as paths, case when page_id % 2 = 0 then 1 else 0 end as details
+from s join params using (page_id) join paths using (page_id) join pages_ using (page_id) join cats using (page_id) join tried using (page_id)""")
+def site_reports(s, d):
+    shops = fx.shops(s, d)
+    pages = html.with_page(shops).withColumns({"name": F.concat(F.lit("shop"), F.col("page_id") % 7), "count_estimate": F.col("page_id")})
+    captured = shops.where("page_id % 2 = 0").select("url", "html", F.lit("200").alias("status"), F.lit("text/html").alias("content_type"))
+    out = site_report.reports(pages, hosts=[f"shop{i}.example.com" for i in range(7)], captured=captured)
+    counted = lambda path: F.coalesce(F.size(F.from_json(F.get_json_object("document", path), "map<string,long>")), F.lit(0))
+    return out.select("page_id", "text", F.size(F.from_json(F.get_json_object("document", "$.links.top_paths"), "array<struct<path:string>>")).alias("paths"), counted("$.links.detail_path_frequency").alias("details"))
+
+
+@query("site_index", f"""with c as (select page_id, {SHOP_HOST} || '/list/index.php' as base, page_id % 3 = 0 as hinted, row_number() over (order by page_id % 97 desc, concat('s', page_id)) as rank from pages)
+select rank, concat('|', rank, '|n', page_id, '|', page_id % 97, '|', case when hinted then 'HTML 목록 + JS/Ajax 단서' else 'HTML' end, '|`', base, '`|[s', page_id, '.md](s', page_id, '.md) / [s', page_id, '.json](s', page_id, '.json)|') as line from c""")
+def site_index(s, d):
+    c = profile.contract(html.with_page(fx.shops(s, d))).withColumns({"slug": F.concat(F.lit("s"), "page_id"), "name": F.concat(F.lit("n"), "page_id"), "count": F.col("page_id") % 97})
+    return site_report.index_lines(c, "slug", "name", "count").select(F.col("rank").cast("long").alias("rank"), "line")
+
+
 @query("detail_records", f"""with l as ({L}), d as (select *, case when id % 2 = 0 then concat('new ', id) else model_name end as m, case when id % 2 = 0 and id % 3 = 0 then concat_ws(' ', manufacturer, 'title') else listing_name end as t, case when id % 4 = 0 then coalesce(posted_at, timestamp '1998-07-01') else posted_at end as p from l where id % 5 in (1, 2) and id % 3 < 2)
 select id, m as model_name, t as listing_name, strftime(p, '%Y-%m-%d %H:%M:%S') as posted_at, length(sha256('x')) as hash_chars from d where coalesce(p, posted_date) >= timestamp '1998-06-30' - interval 30 day""")
 def detail_records(s, d):
@@ -824,6 +876,28 @@ def windowed_events(s, d):
     return streaming.windowed_counts(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "count")
 
 
+def _event_stream(s, d):
+    """events as a stream of their file, or of the files of their folder."""
+    schema = table(s, d, "events").schema
+    return s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # as a pattern, the path may be a file
+
+
+@query("sliding_windows", """with w as (select event_type, unnest([time_bucket(interval 5 minutes, ts), time_bucket(interval 5 minutes, ts) - interval 5 minutes]) as start from events)
+select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as count from w group by all""")
+def sliding_windows(s, d):
+    rows = streaming.finished(streaming.windowed_counts(_event_stream(s, d), "ts", "event_type", window="10 minutes", slide="5 minutes"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "count")
+
+
+@query("session_windows", """with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 0 else 1 end as new from events),
+i as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as island from g)
+select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as end, user_id, count(*) as count from i group by user_id, island""")
+def session_windows(s, d):
+    rows = streaming.finished(streaming.session_counts(_event_stream(s, d), "ts", "user_id"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select(shown("start"), shown("end"), "user_id", "count")
+
+
 @query("run_summary", f"with l as ({L}), t as ({T}) select (select count(*) from l) as records, (select count(price_krw) from l) as priced, (select string_agg(concat(status, '=', n), ',' order by status) from (select status, count(*) as n from t group by status)) as queue")
 def run_summary(s, d):
     queue = F.array_join(F.array_sort(F.transform(F.map_entries("queue"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,34 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: What is written meanwhile, for :func:`scratch`; each thread has its own.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _noted(path: str) -> str:
+    if (own := _WRITTEN.get()) is not None:
+        own.append(path)
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
-    return path
+    return _noted(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
-_OPEN: list[list[str]] = []
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, what :func:`stored` wrote inside it: for steps whose result is written before the end."""
-    _OPEN.append([])
+    """Deletes, at its end, what :func:`kept` and :func:`stored` wrote inside it: for steps whose result is written before the end."""
+    own: list[str] = []
+    token = _WRITTEN.set(own)
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _OPEN.pop():
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.reset(token)
+        for name in own:
+            delete(spark, name)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df, checkpointed."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _noted(file.get())
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shale.operators.identity import merge_latest
+from shale import storage
 from shale.operators.tasks import ERROR_CHARS
+from shale.sources import store
 
 TASK_STATE = "status string, attempts int, last_status_code int, last_error string, next_run_us long, success_us long, updated_us long"
 TASK_ROW = f"task string, {TASK_STATE}, why string"
@@ -117,25 +118,38 @@ def task_states(events: DataFrame, stale_seconds: int = STALE_SECONDS, clock: st
     return events.groupBy("task").transformWithStateInPandas(TaskProcessor(stale_seconds, clock), TASK_ROW, "update", clock)
 
 
-def merge_each(stream: DataFrame, store: str, key: str, sequence: str, checkpoint: str, interval: str | None = "30 seconds"):
-    """Merges every micro-batch into the store: a folder of whole versions, <store>/v=<batch>.
+def merge_each(stream: DataFrame, at: str, key: str, sequence: str, checkpoint: str, interval: str | None = "30 seconds", buckets: int = store.BUCKETS):
+    """Merges every micro-batch into the store of buckets at `at` (:mod:`shale.sources.store`), one that is there or a new one.
 
-    A batch that runs again after a failure writes its version anew from the one before it, so the merge happens once.
+    A batch that runs again after a failure is merged once. The sequence stays a column of the store.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_at", F.col(sequence))
-        if number == 0:
-            current = batch.limit(0).drop("_at")
-        else:
-            current = spark.read.parquet(f"{store}/v={number - 1}")
-        merge_latest(current, batch, key, "_at", kept=()).write.mode("overwrite").parquet(f"{store}/v={number}")
+        store.merge(batch.withColumn("_at", F.col(sequence)), at, key, "_at", f"{checkpoint}:{number}", buckets, kept=())
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def windowed_counts(events: DataFrame, at: str, by: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Counts of tumbling windows with a watermark."""
-    return events.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), by).agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), by, "count")
+def windowed_counts(events: DataFrame, at: str, by: str, late: str = "10 minutes", window: str = "5 minutes", slide: str | None = None) -> DataFrame:
+    """Counts of windows, tumbling or sliding, with a watermark: rows that are later than it don't count any more."""
+    return events.withWatermark(at, late).groupBy(F.window(at, window, slide).alias("w"), by).agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), by, "count")
+
+
+def session_counts(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts of sessions: events of a key that follow each other by less than the gap. A session ends the gap after its last event."""
+    rows = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("count"))
+    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "count")
+
+
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream over files gives once all of them are read: its last result ('complete'), or all that it has given ('append')."""
+    spark = stream.sparkSession
+    at, log = storage.new_path(spark, "stream"), storage.new_path(spark, "stream-log")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/{'last' if mode == 'complete' else f'b={number}'}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/last" if mode == "complete" else f"{at}/b=*")

@@ -7,7 +7,7 @@ from shale.functions import urls
 from shale.operators import board, dictionary, html, identity, owners, profile, survey
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
-from shale.sources import sinks
+from shale.sources import sinks, store
 
 def now():
     return F.lit("2026-05-02 00:00:00").cast("timestamp_ntz")
@@ -97,7 +97,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     for i, part in enumerate((events.where("seq < 6"), events.where("seq >= 6"))):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = streaming.task_states(stream).writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
+    q = streaming.task_states(stream, 10**10).writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     last = {r.task: (r.status, r.attempts) for r in spark.table("states").orderBy("updated_us").collect()}
     batch = tk.fold(events.withColumn("at", F.timestamp_micros("at_us")), ["task"], ["seq"])
@@ -105,8 +105,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     listings = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = streaming.merge_each(listings, f"{tmp_path}/store", "task", "seq", f"{tmp_path}/cp", interval=None)
     q.awaitTermination(120)
-    newest = max(p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("v="))
-    assert {(r.task, r.seq) for r in spark.read.parquet(f"{tmp_path}/store/{newest}").collect()} == {("t0", 9), ("t1", 10), ("t2", 11)}
+    assert {(r.task, r.seq) for r in store.read(spark, f"{tmp_path}/store", schema).collect()} == {("t0", 9), ("t1", 10), ("t2", 11)}
     assert streaming.windowed_counts(events.withColumn("at", F.timestamp_micros("at_us")), "at", "kind").count() > 0
 
 
@@ -259,3 +258,47 @@ def test_ranks_are_distributed(spark):
     got = {r.v: r.rank for r in storage.ranked(df, [F.desc("v")]).collect()}
     assert got == {v: 1000 - v for v in range(1000)}
     assert storage.ranked(df.limit(0), [F.desc("v")]).count() == 0
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shale import storage
+
+    at = storage.shared_dir(spark).removeprefix("file:")
+    files = lambda: {os.path.join(d, n) for d, _, names in os.walk(at) for n in names}
+    before = files()
+
+    def one(i):
+        with storage.scratch(spark):
+            rows = storage.stored(storage.kept(spark.range(i * 10)), "x")
+            inner = storage.kept(rows)
+            with storage.scratch(spark):
+                assert storage.kept(inner).count() == i * 10
+            assert inner.count() == rows.count() == i * 10  # the inner scratch has left these alone
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(one, [1, 2, 3]))
+    assert files() == before
+
+
+def test_pages_are_read_in_short_runs(spark, monkeypatch):
+    """Where a site stops doesn't depend on the runs of pages that are looked at together."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b"]) if s > 5 else f"s{s}", s, p, rng.choice([0, 0, 0, 2, None])) for s in range(9) for p in range(1, rng.randrange(2, 40))]
+    want = []
+    for site in {(r[0], r[1]) for r in rows}:
+        empty = 0
+        for r in sorted((r for r in rows if r[:2] == site), key=lambda r: r[2]):
+            want.append(r)
+            empty = 0 if r[3] else empty + 1
+            if empty > 2:
+                break
+    pages = spark.createDataFrame(rows, "site string, part int, page int, found int")
+    for run in (3, 5, 4096):
+        monkeypatch.setattr(tk, "PAGES", run)
+        assert sorted(map(str, (tuple(r) for r in tk.pages_read(pages, ["site", "part"], "page", "found").collect()))) == sorted(map(str, want))
+    assert tk.pages_read(pages, ["site", "part"], "page", "found", max_pages=1).count() == 9 and tk.pages_read(pages.limit(0), ["site", "part"], "page", "found").count() == 0

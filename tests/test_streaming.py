@@ -66,3 +66,27 @@ def test_fold_of_small_and_large_keys(spark):
     events = spark.createDataFrame(rows, "task string, seq int, kind string, at timestamp, code int, error string, wait int")
     results = [sorted(map(str, tk.fold(events, ["task"], ["seq"], n).collect())) for n in (1000, 30, 4)]
     assert results[0] == results[1] == results[2] and len(results[0]) == 12
+
+
+def test_late_rows_do_not_count(spark, tmp_path):
+    """Windows are given once the watermark has passed them; a row that comes later than that is dropped."""
+    import os
+    import time
+
+    at = lambda m: dt.datetime(2026, 1, 1, 0, 0) + dt.timedelta(minutes=m)
+    files = [[(at(1), "a"), (at(2), "a"), (at(40), "b")], [(at(3), "a"), (at(41), "b")], [(at(90), "b")], [(at(91), "b")]]  # 0:03 comes after the watermark of 0:30
+    for i, rows in enumerate(files):
+        path = f"{tmp_path}/part{i}"
+        spark.createDataFrame(rows, "at timestamp, kind string").coalesce(1).write.parquet(path)
+        name = next(n for n in os.listdir(path) if n.startswith("part-"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.rename(f"{path}/{name}", f"{tmp_path}/in/{i}.parquet")
+        os.utime(f"{tmp_path}/in/{i}.parquet", (time.time() + i, time.time() + i))
+    stream = lambda: spark.readStream.schema("at timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    shown = lambda df: sorted((r.start.strftime("%H:%M"), r.kind, r["count"]) for r in df.collect())
+    tumbling = streaming.finished(streaming.windowed_counts(stream(), "at", "kind", "10 minutes", "5 minutes"), "append")
+    assert shown(tumbling) == [("00:00", "a", 2), ("00:40", "b", 2)]
+    sliding = streaming.finished(streaming.windowed_counts(stream(), "at", "kind", "10 minutes", "10 minutes", "5 minutes"), "append")
+    assert shown(sliding)[:2] == [("00:00", "a", 2), ("00:35", "b", 2)]
+    sessions = streaming.finished(streaming.session_counts(stream(), "at", "kind", "20 minutes", "10 minutes"), "append")
+    assert shown(sessions) == [("00:01", "a", 2), ("00:40", "b", 2)]

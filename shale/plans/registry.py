@@ -12,7 +12,7 @@ from shale.operators import board, dictionary, html, identity, origins, owners,
 from shale.operators import listings as ls
 from shale.operators import tasks as tk
 from shale.plans import fixtures as fx
-from shale.sources import sinks, store, table
+from shale.sources import files, sinks, store, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -816,6 +816,27 @@ def captures(s, d):
     return s.read.parquet(path).select("slug", "page_id", "response_extension", F.col("excerpt").contains("[truncated, original").alias("cut"), "sensitive_values_stored")
 
 
+@query("chunk_files", """with r as (select n_regionkey, n_nationkey, n_name, (row_number() over (partition by n_regionkey order by n_nationkey) - 1) // 3 as chunk from nation)
+select concat('green/chunks/2026_region_', n_regionkey, '-', chunk, '.json') as file, concat('[', chr(10), string_agg(concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}'), concat(',', chr(10)) order by n_nationkey), chr(10), ']', chr(10)) as content from r group by n_regionkey, chunk""")
+def chunk_files(s, d):
+    path = storage.new_path(s, "chunks").removeprefix("file:")
+    n = table(s, d, "nation")
+    files.write_chunks(n.select("n_nationkey", "n_name", "n_regionkey"), path, "green", F.lit("2026"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), ["n_nationkey"], 3)
+    return files.read_named(s, path).select("file", F.col("content").cast("string").alias("content"))
+
+
+@query("capture_folders", """select concat('p', page_id, '/', f) as file, sha256(case f when 'request.curl' then concat('curl -L ', chr(92), chr(10), '  ', chr(39), url, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), chr(10)) when 'response_headers.txt' then concat('HTTP status: 200', chr(10), 'Content-Type: text/html', chr(10)) when 'response_body.html' then html
+else concat('{"slug":"p', page_id, '","method":"GET","request_url":"', url, '","status":200,"content_type":"text/html","body_length":', strlen(html), ',"response_body_file":"response_body.html","page_id":', page_id, ',"sensitive_values_stored":false}', chr(10)) end) as content from pages, (values ('request.curl'), ('response_headers.txt'), ('response_body.html'), ('metadata.json')) v(f)""")
+def capture_folders(s, d):
+    path = storage.new_path(s, "captures").removeprefix("file:")
+    requests = table(s, d, "pages").select(
+        F.concat(F.lit("p"), "page_id").alias("slug"), F.lit("get").alias("method"), "url", F.array(F.lit("A: b")).alias("headers"), F.lit(None).cast("string").alias("request_body"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("response_headers"), F.col("html").alias("body"), "page_id",
+    )
+    files.write_named(files.capture_files(requests), path)
+    return files.read_named(s, path).select("file", F.sha2("content", 256).alias("content"))
+
+
 @query("curl_commands", """select n_nationkey, concat('curl -L', case when n_nationkey % 3 > 0 then concat(' ', chr(92), chr(10), '  -X POST') else '' end, ' ', chr(92), chr(10), '  ', chr(39), 'http://h/?q=', n_name, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), ' ', chr(92), chr(10), '  -b ', chr(39), 'sid=<cookie>', chr(39),
 case when n_nationkey % 2 = 0 then concat(' ', chr(92), chr(10), '  --data "x=', chr(39), '"') when n_nationkey % 5 = 0 then concat(' ', chr(92), chr(10), '  --data ', chr(39), '{"k": "', chr(92), chr(39), '"}', chr(39)) else '' end) as command from nation""")
 def curl_commands(s, d):

@@ -75,9 +75,17 @@ def listings(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LISTINGS])
 
 
-def jdbc(spark: SparkSession, url: str, name: str, key: str, bounds: tuple[int, int], parts: int = 64, **options: str) -> DataFrame:
-    """A database table, read in parts by ranges of a numeric key."""
-    return spark.read.jdbc(url, name, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=options)
+def jdbc(spark: SparkSession, url: str, name: str, key: str, parts: int = 64, **options: str) -> DataFrame:
+    """A database table, read in parts by ranges of a numeric key; the database is asked for the key's least and greatest first.
+
+    Filters and column lists that follow are pushed to the database. An empty table is read in one part.
+    """
+    asked = spark.read.format("jdbc").options(**options).option("url", url)
+    low, high = asked.option("query", f"select min({key}) as low, max({key}) as high from {name}").load().first()  # one row
+    table = spark.read.format("jdbc").options(**options).option("url", url).option("dbtable", name)
+    if low is not None:
+        table = table.option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(high + 1)).option("numPartitions", str(parts))
+    return table.load()
 
 
 def tasks_or_empty(spark: SparkSession, name: str) -> DataFrame:

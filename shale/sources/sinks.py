@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,6 @@ from shale.sources import LISTINGS, TASKS
 
 
 def identifier(name: str) -> str:
-    import re
-
     if not re.fullmatch(r"[0-9A-Za-z_]+", name):
         raise ValueError(f"not an identifier: {name!r}")
     return name
@@ -31,6 +32,55 @@ def upsert(current: DataFrame, batch: DataFrame, path: str, sequence: str, stamp
     merge_latest(current, batch, "content_hash", sequence, stamp=stamp).write.parquet(path)
 
 
+def _statement(spark: SparkSession, url: str, *statements: str) -> None:
+    """Runs statements in one transaction of the database, by Spark's own driver for it."""
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            made = connection.createStatement()
+            made.executeUpdate(text)
+            made.close()
+        connection.commit()
+    finally:
+        connection.rollback()
+        connection.close()
+
+
+def upsert_sql(name: str, staging: str, columns: list[str], key: str, kept: tuple[str, ...], dialect: str) -> str:
+    """The statement that merges the staging table into the table by its key; kept columns of rows that are there stay.
+
+    Spark quotes the names of the columns that it makes, so the staging table's are quoted.
+    """
+    changed = [c for c in columns if c not in (key, *kept)]
+    listed = ", ".join(columns)
+    if dialect == "mysql":
+        sets = ", ".join(f"{c} = values({c})" for c in changed)
+        staged = ", ".join(f"`{c}`" for c in columns)
+        return f"insert into {name} ({listed}) select {staged} from {staging} on duplicate key update {sets}"
+    sets, values = ", ".join(f'{c} = s."{c}"' for c in changed), ", ".join(f's."{c}"' for c in columns)
+    return f'merge into {name} t using {staging} s on t.{key} = s."{key}" when matched then update set {sets} when not matched then insert ({listed}) values ({values})'
+
+
+def jdbc_upsert(batch: DataFrame, url: str, name: str, key: str, sequence: str, kept: tuple[str, ...] = ("created_at",), dialect: str = "standard", text_type: str = "varchar(8000)", **options: str) -> None:
+    """Merges batch into a database table by its unique key: of a key the row with the highest sequence.
+
+    The tasks write a staging table; one statement of the database merges it, so readers see all of the batch or none, and a
+    batch that runs again gives the same rows. Rows with a null key are added. text_type: of the staging table's texts; a longer
+    one is an error of the database.
+    """
+    spark = batch.sparkSession
+    staging = identifier(f"{name}_stage_{uuid.uuid4().hex[:12]}")
+    columns = [identifier(c) for c in batch.columns if c != sequence]
+    newest = merge_latest(batch.limit(0).drop(sequence), batch, key, sequence, kept=())
+    texts = ", ".join(f"{c} {text_type}" for c, t in newest.select(*columns).dtypes if t == "string")
+    newest.select(*columns).write.format("jdbc").options(**options).option("url", url).option("dbtable", staging).option("createTableColumnTypes", texts).mode("overwrite").save()
+    try:
+        _statement(spark, url, upsert_sql(identifier(name), staging, columns, identifier(key), kept, dialect))
+    finally:
+        _statement(spark, url, f"drop table {staging}")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

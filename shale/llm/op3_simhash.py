@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ from shale.llm.common import identified, kept, stored, table
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Members of a subtree that one task joins; members that are joined at a time; bits by which a larger one is split.
-SUBTREE, TOGETHER, SPLIT_BITS = 1 << 17, 1 << 18, 6
+#: Members of a subtree that one task joins; members of smaller ones that are joined at a time; bits by which a larger one is split.
+SUBTREE, TOGETHER, SPLIT_BITS = 1 << 17, 1 << 16, 6
 #: Hashes whose bits are unpacked at a time.
 SLICE = 1 << 14
 
@@ -134,7 +134,7 @@ def _split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most: int, limit: int = SUBTREE) -> DataFrame:
-    """(u, v): links that connect nodes (node, :data:`CHECKED` where they are) as far as their fingerprints link.
+    """(u, v, size of v): links that connect nodes (node, :data:`CHECKED` where they are) as far as their fingerprints link.
 
     Candidates differ in at most budget bits in one of the values (the low `bits` bits of longs); a link is a difference of at
     most `most` bits in the columns CHECKED together, or in the value itself where there are none. Each group is a star around its
@@ -156,15 +156,16 @@ def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most:
         bits_, node = bits_[by], col("node")[by]
         prints = np.stack([col(c)[by].view(np.uint64) for c in CHECKED], axis=1) if CHECKED[0] in own else bits_[:, None]
         at = group, keys[1].astype(np.int64), keys[2] != 0, bits_, prints
-        batch = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
         label = trie.self_join(*at, budget, most)
         # The least member stands for a group, so that all tries name the same one.
-        order = np.lexsort((node, col("size")[by], label) if "size" in own else (node, label))
+        size = col("size")[by] if "size" in own else np.zeros(len(node), dtype=np.int64)
+        order = np.lexsort((node, size, label))
         first = order[np.r_[True, label[order][1:] != label[order][:-1]]]
-        middle = np.empty(len(node), dtype=node.dtype)
-        middle[label[first]] = node[first]
-        i = np.flatnonzero(middle[label] != node)
-        yield batch(node[i], middle[label[i]])
+        middle = np.empty(len(node), dtype=np.int64)
+        middle[label[first]] = first
+        middle = middle[label]
+        i = np.flatnonzero(node[middle] != node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[middle[i]]), pa.array(size[middle[i]])], ["u", "v", "size"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -185,7 +186,7 @@ def links(nodes: DataFrame, values: list[Column], bits: int, budget: int, most:
         if held:
             yield from join(held)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long, size long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,6 +298,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common * (1 + similarity) >= similarity * (F.size("_a") + F.size("_b")) - 1e-6).select("u", "v")
 
 
+def _gathered(found: DataFrame) -> DataFrame:
+    """(u, v): of links (u, v, size) those that connect the same nodes by few pairs: a node with the least of its middles, and these with it.
+
+    The tries put a large group together anew in each of their turns, around other middles.
+    """
+    found = kept(found.distinct())
+    least = F.min(F.struct("size", "v")).over(Window.partitionBy("u"))["v"]
+    placed = kept(found.withColumn("_m", least).select("u", "v", F.col("_m").alias("m")))
+    pairs = placed.select("u", F.col("m").alias("v")).unionByName(placed.select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return kept(pairs.where("u <> v").distinct())
+
+
 def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bits: int = BITS, budget: int = BUDGET) -> DataFrame:
     """(u, v): verified links between nodes (node, size, _parts, CHECKED, _best) that connect all candidates that are similar.
 
@@ -307,7 +320,7 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
     common template makes candidates, but not similar, no pairs arise there.
     """
     tables = [F.col("_parts")[i] for i in range(TABLES)]
-    stars = kept(links(nodes, tables, bits, budget, NEAR, limit).distinct())
+    stars = _gathered(links(nodes, tables, bits, budget, NEAR, limit))
     first = kept(_verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity))
     labels = lambda links_: kept(components(links_)).select(F.col("u").alias("node"), "root")
     label = labels(first)

@@ -30,6 +30,21 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+#: Elements that are ordered at a time.
+TOGETHER = 1 << 18
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most TOGETHER elements in _set, or one set if that alone has more."""
+    for batch in batches:
+        at = np.asarray(batch.column("_set").offsets, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(at, at[start] + TOGETHER, side="right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 ENTRY = "element long, frequent boolean, node long, n long, h long"
 
 
@@ -39,7 +54,7 @@ def _entries(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("_set")
             n = np.diff(np.asarray(lists.offsets, dtype=np.int64))
             flat = np.asarray(lists.flatten(), dtype=np.int64)

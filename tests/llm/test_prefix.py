@@ -12,7 +12,8 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("broadcast", [1 << 20, -1])
 @pytest.mark.parametrize("frequent", [0, 3, 32])
-def test_no_pair_is_lost(spark, broadcast, frequent):
+def test_no_pair_is_lost(spark, monkeypatch, broadcast, frequent):
+    monkeypatch.setattr(prefix, "TOGETHER", 70)
     rng = random.Random(frequent)
     template = rng.sample(range(10_000), 60)
     sets = []

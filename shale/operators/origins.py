@@ -41,22 +41,48 @@ def overview(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return out.withColumns({n: F.coalesce(n, F.lit("")) for n in ("urls", "names", "phones")})
 
 
-def report(rows: DataFrame, label: str = "label") -> DataFrame:
+#: Headings, labels and set sentences of the report. Fixed values.
+OVERVIEW, API, REMARKS = "## 개요", "## API 정보", "## 특이사항"
+ABOUT = ("사이트명", "Origin", "사이트 내 매물 수", "확인한 대표 매물 URL", "취급장비 정보", "대표자/운영자 정보")
+LINKED, TELEPHONES = "연결된 원본 업체", "원본 CSV 대표전화"
+NATURE = "- API 성격: JSON API가 아니라 `HTML 목록 엔드포인트`입니다. `requests + BeautifulSoup` 방식으로 목록 HTML을 받아 매물 행과 상세 URL을 파싱하는 구조입니다."
+METHOD = "- HTTP 메서드: `GET` 중심. 일부 검색 폼은 `POST`로도 제출되지만, 목록 URL은 쿼리 파라미터 조합으로 재현 가능합니다."
+PARAMETERS = (("카테고리/게시판 파라미터", "category"), ("페이지네이션 파라미터", "pagination"), ("검색/필터 파라미터", "search_filter"), ("상세 매물 식별자", "detail_id"))
+ENDPOINT, PERIOD, EXAMPLE, NO_REMARKS = "단일 API 엔드포인트", "기간 파라미터", "예시 요청", "- 예외 사항 없음."
+
+
+def example_url(endpoint: Column, query: Column) -> Column:
+    """The endpoint with a query (map<string, array<string>>), encoded, each value on its own."""
+    pairs = F.flatten(F.transform(F.map_entries(query), lambda e: F.transform(e["value"], lambda v: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(v)))))
+    text = F.array_join(pairs, "&")
+    return F.when(F.coalesce(text, F.lit("")) == "", endpoint).otherwise(F.concat(endpoint, F.lit("?"), text))
+
+
+def report(rows: DataFrame) -> DataFrame:
     """(file, text): a Markdown report of each origin, put together where its row is.
 
-    rows: :func:`overview` with endpoint, the arrays of parameter names of a request contract, and a label of the origin.
+    rows: :func:`overview` with endpoint, the request contract's columns, and what is known of the origin: site_name, display_name,
+    equipment, operator_note, period_note, remarks (array<string>), example_query (map; else the contract's current one).
     """
-    names = lambda c: tx.param_list(F.coalesce(F.col(c), F.array().cast("array<string>")))
-    items = lambda c: F.when(F.col(c) == "", F.lit("- -")).otherwise(F.concat(F.lit("- "), F.replace(F.col(c), F.lit(" | "), F.lit("\n- "))))
-    lines: list[Column] = [
-        F.concat(F.lit("# "), F.col(label)), F.lit(""), F.lit("## Overview"), F.lit(""),
-        F.concat(F.lit("- origin: "), "origin"), F.concat(F.lit("- largest count: "), F.format_number("largest", 0)), F.concat(F.lit("- rows: "), F.col("rows").cast("string")), F.lit(""),
-        F.lit("## Pages"), F.lit(""), items("urls"), F.lit(""), F.lit("## Names"), F.lit(""), items("names"), F.lit(""), F.lit("## Phones"), F.lit(""), items("phones"), F.lit(""),
-        F.lit("## Requests"), F.lit(""), F.concat(F.lit("- endpoint: "), "endpoint"),
-        *[F.concat(F.lit(f"- {k}: "), names(f"likely_{k}_params")) for k in ("pagination", "category", "search_filter", "detail_id")],
+    none = F.array().cast("array<string>")
+    names = lambda c: tx.param_list(F.coalesce(F.col(c), none))
+    known = lambda c, default: F.coalesce(F.col(c), default) if c in rows.columns else default
+    item = lambda label, *value: F.concat(F.lit(f"- {label}: "), *value)
+    mark = lambda *x: F.concat(F.lit("`"), *x, F.lit("`"))
+    where = F.when(F.col("urls") == "", F.lit("")).otherwise(mark(F.replace("urls", F.lit(" | "), F.lit("`, `"))))
+    of_list = lambda label, c: F.when(F.col(c) != "", item(label, F.replace(c, F.lit(" | "), F.lit(", "))))
+    query = known("example_query", known("current_query_params", F.create_map().cast("map<string,array<string>>")))
+    remarks = known("remarks", none)
+    values = (F.col("display_name"), mark(F.col("origin")), F.concat(F.lit("약 "), mark(F.format_number("largest", 0)), F.lit("건")), where, F.col("equipment"), F.col("operator_note"))
+    lines = [
+        F.concat(F.lit("# "), "site_name"), F.lit(""), F.lit(OVERVIEW), F.lit(""), *[item(label, F.coalesce(v, F.lit(""))) for label, v in zip(ABOUT, values, strict=True)], of_list(LINKED, "names"), of_list(TELEPHONES, "phones"),
+        F.lit(""), F.lit(API), F.lit(""), F.lit(NATURE), item(ENDPOINT, mark(F.col("endpoint"))), F.lit(METHOD), *[item(label, names(f"likely_{role}_params")) for label, role in PARAMETERS],
+        item(PERIOD, F.coalesce("period_note", F.lit(""))), item(EXAMPLE, mark(example_url(F.col("endpoint"), query))),
+        F.lit(""), F.lit(REMARKS), F.lit(""), F.when(F.size(remarks) > 0, F.array_join(F.transform(remarks, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(NO_REMARKS)),
     ]
     host = F.regexp_replace("origin", "^[a-z]+://", "")
-    return rows.select(F.concat(tx.safe_name(host), F.lit(".md")).alias("file"), F.concat_ws("\n", *lines).alias("text"))
+    # concat_ws leaves out the lines of lists that are empty.
+    return rows.select(F.concat(tx.safe_name(host), F.lit(".md")).alias("file"), F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("text"))
 
 
 def numbered(rows: DataFrame, name: str, text: Column, order: list[Column], most: int, group: str = "page_id") -> DataFrame:

@@ -593,11 +593,15 @@ def origin_documents(s, d):
     return origins.with_meta(origins.with_documents(_overview(s, d), endpoints, documents), meta).select("origin", "slug", "endpoint", "label", "largest")
 
 
-@query("origin_report", f"""select concat(replace(origin, 'http://', ''), '.md') as file, concat('# l', chr(10), chr(10), '## Overview', chr(10), chr(10), '- origin: ', origin, chr(10), '- largest count: ', largest, chr(10), '- rows: ', rows, chr(10), chr(10), '## Pages', chr(10), chr(10), '- ', replace(urls, ' | ', chr(10) || '- '), chr(10), chr(10), '## Names', chr(10), chr(10), '- ', replace(case when names = '' then '-' else names end, ' | ', chr(10) || '- '), chr(10), chr(10),
-'## Phones', chr(10), chr(10), '- ', replace(case when phones = '' then '-' else phones end, ' | ', chr(10) || '- '), chr(10), chr(10), '## Requests', chr(10), chr(10), '- endpoint: e', chr(10), '- pagination: `page`', chr(10), '- category: 미확인', chr(10), '- search_filter: 미확인', chr(10), '- detail_id: `a`, `b`') as text from ({OVERVIEW})""")
+@query("origin_report", f"""select concat(replace(origin, 'http://', ''), '.md') as file, concat('# ', replace(origin, 'http://', ''), chr(10), chr(10), '{origins.OVERVIEW}', chr(10), chr(10), '- 사이트명: d', chr(10), '- Origin: `', origin, '`', chr(10), '- 사이트 내 매물 수: 약 `', format('{{:,}}', largest), '`건', chr(10), '- 확인한 대표 매물 URL: `', replace(urls, ' | ', '`, `'), '`', chr(10),
+'- 취급장비 정보: e', chr(10), '- 대표자/운영자 정보: ', chr(10), case when names = '' then '' else concat('- 연결된 원본 업체: ', replace(names, ' | ', ', '), chr(10)) end, case when phones = '' then '' else concat('- 원본 CSV 대표전화: ', replace(phones, ' | ', ', '), chr(10)) end, chr(10), '{origins.API}', chr(10), chr(10), '{origins.NATURE}', chr(10), '- 단일 API 엔드포인트: `', origin, '/list`', chr(10), '{origins.METHOD}', chr(10),
+'- 카테고리/게시판 파라미터: 미확인', chr(10), '- 페이지네이션 파라미터: `page`', chr(10), '- 검색/필터 파라미터: 미확인', chr(10), '- 상세 매물 식별자: `a`, `b`', chr(10), '- 기간 파라미터: p', chr(10), '- 예시 요청: `', origin, '/list', case when largest % 2 = 0 then '?q=a+%26b&q=2&page=1' else '' end, '`', chr(10), chr(10), '{origins.REMARKS}', chr(10), chr(10), case when largest % 3 = 0 then concat('- one', chr(10), '- two') else '- 예외 사항 없음.' end, chr(10)) as text from ({OVERVIEW})""".replace("{{", "{").replace("}}", "}"))
 def origin_report(s, d):
-    params = {"likely_pagination_params": F.array(F.lit("page")), "likely_category_params": F.array().cast("array<string>"), "likely_search_filter_params": F.lit(None).cast("array<string>"), "likely_detail_id_params": F.array(F.lit("a"), F.lit("b"))}
-    return origins.report(_overview(s, d).withColumns({"label": F.lit("l"), "endpoint": F.lit("e"), **params}))
+    none = F.lit(None).cast("array<string>")
+    params = {"likely_pagination_params": F.array(F.lit("page")), "likely_category_params": F.array().cast("array<string>"), "likely_search_filter_params": none, "likely_detail_id_params": F.array(F.lit("a"), F.lit("b"))}
+    about = {"site_name": F.regexp_replace("origin", "^[a-z]+://", ""), "display_name": F.lit("d"), "equipment": F.lit("e"), "operator_note": F.lit(None).cast("string"), "period_note": F.lit("p"), "remarks": F.when(F.col("largest") % 3 == 0, F.array(F.lit("one"), F.lit("two")))}
+    asked = F.when(F.col("largest") % 2 == 0, F.create_map(F.lit("q"), F.array(F.lit("a &b"), F.lit("2")), F.lit("page"), F.array(F.lit("1"))))
+    return origins.report(_overview(s, d).withColumns({"endpoint": F.concat("origin", F.lit("/list")), "example_query": asked, **about, **params}))
 
 
 @query("site_report", f"""select page_id, concat('## Categories', chr(10), chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale', chr(10), '- ', {SHOP_HOST}, '/list/index.php?page=', page_id % 5 + 1, '&cate_code=', page_id % 3, '#top', chr(10), chr(10), '## Links', chr(10), chr(10), '- ', {SHOP_HOST}, '/company/intro', chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale') as text from pages""")

@@ -530,7 +530,7 @@ MIXED = "concat('<form><input name=\"zz\"><input name=\"yy\"></form><a href=\"/p
 (select page_id, unnest([0, 1, 2, 3, 4]) as pos, unnest(['/p', '/q', '/p', '/r', '/up/x']) as path, unnest([concat('b', page_id % 3, '=1&a=2'), concat('c=', page_id), 'a=3', 'd=1', concat('b', page_id % 3, '=5')]) as query, unnest(['one', 'two three', 'three', 'three', 'up']) as text from pages) group by page_id""")
 def element_order(s, d):
     pages = table(s, d, "pages").select("page_id", F.lit("http://h.example.com/1/2/3/").alias("url"), F.expr(MIXED).alias("html"))
-    parsed = html.with_page(pages)
+    parsed = storage.stored(html.with_page(pages).drop("html"), "elements")
     shown = F.concat("path", F.lit("?"), urls.part(F.col("url"), 4), F.lit("#"), "text")
     rows = profile.links(parsed).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("x")))), lambda r: r["x"]), " ").alias("links"))  # five for each page
     return rows.join(profile.contract(parsed).select("page_id", F.array_join("observed_param_names_ranked", " ").alias("observed")), "page_id")
@@ -606,7 +606,7 @@ def origin_report(s, d):
 
 @query("site_report", f"""select page_id, concat('## Categories', chr(10), chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale', chr(10), '- ', {SHOP_HOST}, '/list/index.php?page=', page_id % 5 + 1, '&cate_code=', page_id % 3, '#top', chr(10), chr(10), '## Links', chr(10), chr(10), '- ', {SHOP_HOST}, '/company/intro', chr(10), '- ', {SHOP_HOST}, '/bbs/board.php?bo_table=sale') as text from pages""")
 def report_sections(s, d):
-    rows = profile.links(html.with_page(fx.shops(s, d)))
+    rows = storage.kept(profile.links(html.with_page(fx.shops(s, d))))
     sections = [origins.numbered(rows.where(profile.is_category(profile.names())), "Categories", F.col("url"), [F.col("pos")], 10), origins.numbered(rows, "Links", F.col("url"), [F.col("pos")], 2)]
     return origins.site_report(sections[0].unionByName(sections[1]), ["Categories", "Links"])
 
@@ -742,7 +742,7 @@ def board_rows(s, d):
 
 @query("board_details", "select page_id, concat('Nice ', page_id) as detail_title, concat('2026-04-', lpad(cast(page_id % 28 + 1 as varchar), 2, '0')) as posted_date, concat('M', page_id) as model_name, concat(page_id % 90 + 1, ',000만원') as price, concat('Line 1 Line ', page_id) as description, 2::double as labels, page_id % 3 = 2 as has_next from pages")
 def board_details(s, d):
-    pages = html.with_page(fx.boards(s, d))
+    pages = storage.stored(html.with_page(fx.boards(s, d)).drop("html"), "boards")  # parsed once for both
     details = board.details(pages, F.lit("2026-06-01").cast("timestamp_ntz"))
     nexts = board.expected_next(pages, F.lit(2)).select("page_id", "has_next")
     return details.join(nexts, "page_id").select("page_id", "detail_title", F.col("posted_date").cast("string").alias("posted_date"), "model_name", "price", "description", F.size("raw_detail").cast("double").alias("labels"), "has_next")

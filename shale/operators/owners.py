@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shale.functions import text as tx
-from shale.operators.listings import PRE_LIMIT, clamp, normalized, store_order
+from shale.operators.listings import clamp, normalized
 
 SELLERS, SITES = 3, 4
 
 
 def source_rows(listings: DataFrame) -> DataFrame:
-    """The latest listings with a contact."""
-    return listings.where(F.trim("contact") != "").orderBy(*store_order("posted_desc")).limit(PRE_LIMIT)
+    """All listings with a contact: a seller's count and first names follow every one of them."""
+    return listings.where(F.trim("contact") != "")
 
 
 def by_phone(listings: DataFrame) -> DataFrame:

@@ -302,3 +302,10 @@ def test_pages_are_read_in_short_runs(spark, monkeypatch):
         monkeypatch.setattr(tk, "PAGES", run)
         assert sorted(map(str, (tuple(r) for r in tk.pages_read(pages, ["site", "part"], "page", "found").collect()))) == sorted(map(str, want))
     assert tk.pages_read(pages, ["site", "part"], "page", "found", max_pages=1).count() == 9 and tk.pages_read(pages.limit(0), ["site", "part"], "page", "found").count() == 0
+
+
+def test_owners_follow_all_listings(spark):
+    n = ls.PRE_LIMIT + 1
+    rows = spark.range(n).select("id", F.lit("010-1234-5678").alias("contact"), *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("posted_at", "crawled_at")], F.lit(None).cast("date").alias("posted_date"))
+    assert owners.source_rows(rows).count() == n
+    assert owners.source_rows(rows.withColumn("contact", F.lit(" "))).isEmpty()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from shale.functions.batches import slices
 
 KST = "Asia/Seoul"
 #: Wording that means "no price given". Fixed values.
@@ -227,17 +229,23 @@ def _shortened(data: object) -> object:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("language", T.StringType())]))
-def _excerpts(texts: pd.Series) -> pd.DataFrame:
-    def one(text: str | None) -> tuple[str | None, str | None]:
+#: Bytes of JSON that are read at a time.
+EXCERPT_BYTES = 1 << 20
+_EXCERPT = pa.struct([("text", pa.string()), ("language", pa.string())])
+
+
+def _excerpts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def one(text: str | None) -> dict[str, str | None]:
         if text is None:
-            return None, None
+            return {"text": None, "language": None}
         try:
-            return json.dumps(_shortened(json.loads(text)), ensure_ascii=False, indent=2), "json"
+            return {"text": json.dumps(_shortened(json.loads(text)), ensure_ascii=False, indent=2), "language": "json"}
         except (ValueError, RecursionError):
-            return text, "text"
+            return {"text": text, "language": "text"}
 
-    return pd.DataFrame([one(t) for t in texts], columns=["text", "language"])
+    for batch in texts:
+        for own in slices(batch, EXCERPT_BYTES):
+            yield pa.array([one(t) for t in own.to_pylist()], type=_EXCERPT)
 
 
 def json_excerpt(text: Column) -> Column:
@@ -246,7 +254,7 @@ def json_excerpt(text: Column) -> Column:
     Keys keep their order, which Spark's own JSON types don't. Of an object inside the first 20 keys stay, their lists cut to
     two; of a list as a whole two elements stay. A text that is no JSON stays as it is. All are cut to 12,000 characters.
     """
-    x = _excerpts(text)
+    x = F.arrow_udf(_excerpts, "struct<text:string,language:string>")(text)
     return F.struct(truncated(x["text"], EXCERPT_CHARS).alias("text"), x["language"].alias("language"))
 
 

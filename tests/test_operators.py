@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shale import sources, streaming
+from shale.functions import text as tx
 from shale.functions import urls
 from shale.operators import board, dictionary, html, identity, owners, profile, survey
 from shale.operators import listings as ls
@@ -309,3 +310,19 @@ def test_owners_follow_all_listings(spark):
     rows = spark.range(n).select("id", F.lit("010-1234-5678").alias("contact"), *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("posted_at", "crawled_at")], F.lit(None).cast("date").alias("posted_date"))
     assert owners.source_rows(rows).count() == n
     assert owners.source_rows(rows.withColumn("contact", F.lit(" "))).isEmpty()
+
+
+def test_pages_are_parsed_in_slices(spark, monkeypatch):
+    """A batch holds thousands of pages; no more of them than a slice's bytes are in Python at a time, in what it yields as well."""
+    import pyarrow as pa
+
+    page_ = "<title>t</title>" + "<a href='/x'>y</a>" * 200
+    out = list(html._parse(iter([pa.array([page_, None] * 2000)])))
+    assert sum(map(len, out)) == 4000 and max(map(len, out)) <= 2 * html.PARSED_BYTES / len(page_) + 1
+    assert {len(p["links"]) for x in out for p in x.to_pylist()} == {200, 0}
+    excerpts = list(tx._excerpts(iter([pa.array(['"' + "x" * 13_000 + '"', "no json", None] * 500)])))
+    assert sum(map(len, excerpts)) == 1500 and max(x.nbytes for x in excerpts) < 2 * tx.EXCERPT_BYTES
+    monkeypatch.setattr(html, "PARSED_BYTES", 100)
+    rows = spark.createDataFrame([(i, f"<title>{i}</title><p>" + "z" * (i * 7 % 150), "{}") for i in range(300)] + [(300, None, None)], "i long, h string, j string").coalesce(2)
+    got = rows.select("i", html.page(F.col("h"))["title"].alias("t"), tx.json_excerpt(F.col("j"))["language"].alias("l")).collect()
+    assert sorted((r.i, r.t, r.l) for r in got) == [(i, str(i) if i < 300 else None, "json" if i < 300 else None) for i in range(301)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -112,3 +113,31 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(str, (tuple(r) for r in op.query(spark, str(tmp_path)).collect())))
     assert got == sorted(str((i, n, sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest())) for i, n, s, k in brute(rows))
+
+
+def test_readings_leave_no_shuffle_files(spark):
+    """Before the last reading begins, the ones before it have been run, and what they shuffled is off the disks."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    docs = spark.createDataFrame(corpus(5, 40), "doc_id long, text string").repartition(3)
+    before = files()
+    out = op.without_repeats(docs)
+    left = lambda: {x for x in files() - before if x.endswith(".data")}
+    for _ in range(100):  # they are removed in the background
+        if left():
+            time.sleep(0.1)
+    assert not left()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1, plan
+
+
+def test_chunks_follow_the_rows_alone(monkeypatch):
+    """Readings of other batch sizes make the same chunks: each finds what the one before has told."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(op, "CHUNK_BYTES", 1000)
+    texts = [t for _, t in corpus(7, 60)]
+    rows = pa.RecordBatch.from_pylist([{"text": t, "_rid": {"file": 1, "row": i}} for i, t in enumerate(texts)])
+    made = [[(key, c.column("text").to_pylist()) for key, c in op._cut([rows.slice(i, n) for i in range(0, len(texts), n)])] for n in (1, 7, 20, len(texts))]
+    assert all(x == made[0] for x in made) and [t for _, c in made[0] for t in c] == texts
+    assert all(len(c) == 1 or sum(len((t or "").encode()) for t in c) <= 1000 for _, c in made[0])

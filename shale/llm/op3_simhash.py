@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,10 +121,9 @@ def _split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
     """rows with subtrees of more than limit members dealt out as pairs of their subtrees."""
     rows = _keyed(rows.withColumn("x", F.lit(0).cast("long")))
     for _ in range(64 // SPLIT_BITS + 1):
-        large = rows.groupBy(*KEY).count().where((F.col("count") > limit) & (F.col("d") < 64)).select(*KEY)
+        large = kept(rows.groupBy(*KEY).count().where((F.col("count") > limit) & (F.col("d") < 64)).select(*KEY))
         if large.isEmpty():
             break
-        large = kept(large)
         step = F.least(F.lit(SPLIT_BITS), 64 - F.col("d"))
         masks = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget]
         parts = rows.join(large, list(KEY), "left_semi").withColumn("_step", step).withColumn("_m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
@@ -230,6 +230,8 @@ SIZE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, BUDGET, NEAR = 4, 40, 28, 2, 34
 #: Bits that come with a further bit of the budget: recall at 0.8 stays, chance candidates become thirteen times fewer.
 MORE_BITS = 8
+#: Parts whose tries are on the disks at a time.
+ROUND = 8
 #: Candidates whose keys are broadcast, at most (about 32 MB); bytes of text whose sets are held at a time.
 BROADCAST, SETS_BYTES = 1 << 20, 1 << 20
 
@@ -320,7 +322,9 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
     common template makes candidates, but not similar, no pairs arise there.
     """
     tables = [F.col("_parts")[i] for i in range(TABLES)]
-    stars = _gathered(links(nodes, tables, bits, budget, NEAR, limit))
+    # A document has a row in every trie; only those of some parts are shuffled together, and gone before the next ones are.
+    rounds = [kept(links(nodes, tables[i : i + ROUND], bits, budget, NEAR, limit).distinct()) for i in range(0, TABLES, ROUND)]
+    stars = _gathered(reduce(DataFrame.unionByName, rounds))
     first = kept(_verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity))
     labels = lambda links_: kept(components(links_)).select(F.col("u").alias("node"), "root")
     label = labels(first)

@@ -152,3 +152,16 @@ def test_deduplicate_recall(spark):
         heads |= {2 * g} | ({2 * g + 1} if jaccard(rows[-2][1], rows[-1][1]) < 0.8 else set())
     assert 300 < len(heads) < 500
     assert {r.doc_id for r in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == heads
+
+
+def test_rounds_of_parts(spark, monkeypatch):
+    """Only some parts' tries are shuffled together; the result is that of all at once."""
+    rows = [(i, " ".join(f"w{(i // 4) * 50 + k if k != i % 4 else -i}" for k in range(50))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, links = [], op.links
+    monkeypatch.setattr(op, "links", lambda nodes, values, *a: asked.append(len(values)) or links(nodes, values, *a))
+    monkeypatch.setattr(op, "ROUND", 16)
+    some = sorted(r.doc_id for r in op.deduplicate(docs).collect())
+    assert asked == [16, 16, 8]
+    monkeypatch.setattr(op, "ROUND", op.TABLES)
+    assert some == sorted(r.doc_id for r in op.deduplicate(docs).collect()) and len(some) < 40

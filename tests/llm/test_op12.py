@@ -141,3 +141,37 @@ def test_chunks_follow_the_rows_alone(monkeypatch):
     made = [[(key, c.column("text").to_pylist()) for key, c in op._cut([rows.slice(i, n) for i in range(0, len(texts), n)])] for n in (1, 7, 20, len(texts))]
     assert all(x == made[0] for x in made) and [t for _, c in made[0] for t in c] == texts
     assert all(len(c) == 1 or sum(len((t or "").encode()) for t in c) <= 1000 for _, c in made[0])
+
+
+def test_buckets_are_even():
+    """No bucket has more than its share of the digits, whatever the texts: a worker holds one bucket."""
+    rng = np.random.default_rng(12)
+    own = op.Segments([bytes(rng.integers(97, 123, 400_000, dtype=np.uint8))])
+    bucket = op.Dealing(1 << 20).bucket(np.unique(own.digit))
+    count = np.bincount(bucket, minlength=op.BUCKETS)
+    assert len(count) == op.BUCKETS and count.max() < 2 * count.mean(), count.max() / count.mean()
+
+
+def test_a_bucket_is_judged_in_slices(monkeypatch):
+    """Slices of whole routes give the masks of one slice, and take its memory, not the bucket's."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 40_000
+    e = {"digit": rng.integers(0, n // 4, n).astype("u8"), "content": np.arange(n, dtype="u8"), "least": rng.integers(0, 50, n), "n": rng.integers(1, 30, n).astype("u1"), "from": np.zeros(n, "u1")}
+    e["route"] = e["digit"]
+    raw = rng.integers(97, 99, int((e["n"].astype(int) + op.THRESHOLD - 1).sum()), dtype=np.uint8)
+    raw[: len(raw) // 2] = 97
+
+    def measured(limit):
+        monkeypatch.setattr(op, "JUDGED_BYTES", limit)
+        tracemalloc.start()
+        masks = op.judged(e, raw)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return masks, peak
+
+    (whole, most), (sliced, less) = measured(1 << 40), measured(1 << 16)
+    assert whole.any() and (whole == sliced).all() and (op.judged(e, raw) == whole).all()
+    assert less < most / 4, (less, most)
+    assert op.judged({k: v[:0] for k, v in e.items()}, raw[:0]).tolist() == []

@@ -837,8 +837,9 @@ def capture_folders(s, d):
         F.concat(F.lit("p"), "page_id").alias("slug"), F.lit("get").alias("method"), "url", F.array(F.lit("A: b")).alias("headers"), F.lit(None).cast("string").alias("request_body"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("response_headers"), F.col("html").alias("body"), "page_id",
     )
-    files.write_named(files.capture_files(requests), path)
-    return files.read_named(s, path).select("file", F.sha2("content", 256).alias("content"))
+    captured = files.capture_files(requests)
+    files.write_named(captured, path)
+    return files.read_listed(captured, path).select("file", F.sha2("content", 256).alias("content"))
 
 
 @query("curl_commands", """select n_nationkey, concat('curl -L', case when n_nationkey % 3 > 0 then concat(' ', chr(92), chr(10), '  -X POST') else '' end, ' ', chr(92), chr(10), '  ', chr(39), 'http://h/?q=', n_name, chr(39), ' ', chr(92), chr(10), '  -H ', chr(39), 'A: b', chr(39), ' ', chr(92), chr(10), '  -b ', chr(39), 'sid=<cookie>', chr(39),

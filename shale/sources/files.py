@@ -5,15 +5,22 @@
 A task writes beside the folder, under ``_writing/<job>/<task attempt>``; only when every task is done does the commit move the files to
 their names, and a job that fails leaves none. A file of a name that is there is replaced. The folder may be in any store that
 Arrow's file systems know (shared disks, HDFS, S3); reading it back is Spark's (:func:`shale.sources.captured_bodies`).
+
+The commit knows what lies at the top of each task's folder, not the files: a folder that one task alone has written, and that isn't there
+yet, is moved whole. Only the files of other folders are moved one by one; their names are taken from the tasks' folders.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -33,12 +40,25 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _names(system, at: str, base: str) -> list[str]:
+    """The names below base of the files at a path, which may be one."""
+    from pyarrow import fs
+
+    info = system.get_file_info(at)
+    found = system.get_file_info(fs.FileSelector(at, recursive=True)) if info.type == fs.FileType.Directory else [info]
+    return [posixpath.relpath(x.path, base) for x in found if x.type == fs.FileType.File]
+
+
+#: Files that are moved at a time; bytes of contents that are read into one batch.
+MOVED, READ_BYTES = 16, 1 << 20
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """The files of a task: where they are, and their names."""
+    """What a task has written: where it is, and the names at the top of that."""
 
     at: str = ""
-    names: list[str] = field(default_factory=list)
+    tops: list[str] = field(default_factory=list)
 
 
 class Writer(DataSourceWriter):
@@ -47,34 +67,48 @@ class Writer(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, root = _opened(self.path)
-        out = Written(posixpath.join(self.job, uuid.uuid4().hex))
+        at = posixpath.join(self.job, uuid.uuid4().hex)
+        names: set[str] = set()
+        folders: set[str] = set()
         for row in iterator:
             name = posixpath.normpath(row["file"])
             if name.startswith(("/", "../", "_writing")) or name in ("..", "."):
                 raise ValueError(f"not a name inside the folder: {row['file']!r}")
-            target = posixpath.join(root, out.at, name)
-            system.create_dir(posixpath.dirname(target))
+            if name in names:
+                raise ValueError("two rows have the same file name")
+            names.add(name)
+            target = posixpath.join(root, at, name)
+            if (folder := posixpath.dirname(target)) not in folders:
+                system.create_dir(folder)
+                folders.add(folder)
             with system.open_output_stream(target) as f:
                 f.write(bytes(row["content"] or b""))
-            out.names.append(name)
-        return out
+        return Written(at, sorted({n.split("/", 1)[0] for n in names}))
 
     def commit(self, messages: list[Written]) -> None:
         system, root = _opened(self.path)
         from pyarrow import fs
 
-        names = [n for m in messages for n in m.names]
-        if len(set(names)) < len(names):
+        written = [m for m in messages if m.tops]
+        tasks = Counter(top for m in written for top in m.tops)
+        below = lambda m, top: _names(system, posixpath.join(root, m.at, top), posixpath.join(root, m.at))
+        shared = {(m.at, top): below(m, top) for m in written for top in m.tops if tasks[top] > 1}
+        if max(Counter(n for names in shared.values() for n in names).values(), default=0) > 1:
             self._clear(system, root)
             raise ValueError("two rows have the same file name")
+        there = {x.base_name: x for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name != "_writing"}
         if self.overwrite:
-            for found in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if found.base_name != "_writing":
-                    (system.delete_dir if found.type == fs.FileType.Directory else system.delete_file)(found.path)
-        for m in messages:
-            for name in m.names:
-                system.create_dir(posixpath.dirname(posixpath.join(root, name)))
-                system.move(posixpath.join(root, m.at, name), posixpath.join(root, name))
+            for found in there.values():
+                (system.delete_dir if found.type == fs.FileType.Directory else system.delete_file)(found.path)
+            there = {}
+        with ThreadPoolExecutor(MOVED) as pool:
+            for m in written:
+                whole = [top for top in m.tops if tasks[top] == 1 and top not in there]
+                single = [n for top in m.tops if tasks[top] > 1 or top in there for n in shared.get((m.at, top)) or below(m, top)]
+                for folder in {posixpath.dirname(posixpath.join(root, n)) for n in single}:
+                    system.create_dir(folder)
+                for _ in pool.map(lambda n, at=m.at: system.move(posixpath.join(root, at, n), posixpath.join(root, n)), [*whole, *single]):
+                    pass
         self._clear(system, root)
 
     def abort(self, messages: list[Written]) -> None:
@@ -156,5 +190,28 @@ def capture_files(requests: DataFrame) -> DataFrame:
 def read_named(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of the files under path, by their names below it."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    base = path.removeprefix("file://").rstrip("/")
-    return rows.select(F.regexp_replace("path", f"^.*?{base}/", "").alias("file"), "content")
+    base = re.sub("^(file:)?/+", "/", path).rstrip("/")
+    return rows.select(F.regexp_replace("path", rf"^.*?\Q{base}\E/", "").alias("file"), "content")
+
+
+def read_listed(names: DataFrame, path: str) -> DataFrame:
+    """(file, content) of the files with these names (column file) under path: opened in the tasks, so that nobody lists the folder."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(path.rstrip("/"))
+        held: dict[str, bytes] = {}
+        size = 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.binary())], ["file", "content"])
+        for given in batches:
+            for name in map(posixpath.normpath, given.column("file").to_pylist()):
+                with system.open_input_stream(posixpath.join(root, name)) as f:
+                    content = f.read()
+                if held and (size + len(content) > READ_BYTES or name in held):
+                    yield batch()
+                    held, size = {}, 0
+                held[name] = content
+                size += len(content)
+        if held:
+            yield batch()
+
+    return names.select("file").mapInArrow(read, SCHEMA)

@@ -41,3 +41,46 @@ def test_chunks_and_captures(spark, tmp_path):
     assert sorted(p.name for p in at.iterdir()) == ["metadata.json", "request.curl", "request_body.json", "response_body.json", "response_headers.txt"]
     assert json.loads((at / "metadata.json").read_text()) == {"slug": "s1", "method": "POST", "request_url": "http://h/", "status": 404, "content_type": "application/json", "body_length": 4, "response_body_file": "response_body.json", "notes": "note", "sensitive_values_stored": False}
     assert (at / "response_headers.txt").read_text() == "HTTP status: 404\nX: y\n" and (at / "request.curl").read_text().startswith("curl -L \\\n  -X POST")
+
+
+def test_folders_are_moved_whole(spark, tmp_path):
+    """The commit touches a folder that one task has written once, whatever its files; nothing lists them to read them back."""
+    staged = tmp_path / "out/_writing/job"
+    for task in ("a", "b"):
+        for folder in ("both", f"only-{task}", "there"):
+            (staged / task / folder / "sub").mkdir(parents=True)
+            for i in range(5):
+                (staged / task / folder / "sub" / f"{task}{i}").write_text(f"{task} {folder} {i}")
+        (staged / task / f"{task}.txt").write_text(task)
+    (tmp_path / "out/there/sub").mkdir(parents=True)
+    (tmp_path / "out/there/sub/a0").write_text("old")
+    (tmp_path / "out/there/sub/kept").write_text("kept")
+    moved = []
+    opened = files._opened
+
+    class Counted:
+        def __init__(self, system):
+            self.system = system
+
+        def move(self, a, b):
+            moved.append(os.path.relpath(b, tmp_path / "out"))
+            self.system.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+    writer = files.Writer(str(tmp_path / "out"), False)
+    writer.job = "_writing/job"
+    files._opened = lambda path: (Counted(opened(path)[0]), opened(path)[1])
+    try:
+        writer.commit([files.Written(f"_writing/job/{t}", sorted(["both", f"only-{t}", "there", f"{t}.txt"])) for t in ("a", "b")] + [files.Written()])
+    finally:
+        files._opened = opened
+    assert sorted(x for x in moved if "/" not in x) == ["a.txt", "b.txt", "only-a", "only-b"] and len(moved) == 4 + 20
+    want = {f"{f}/sub/{t}{i}": f"{t} {f} {i}" for t in ("a", "b") for f in ("both", f"only-{t}", "there") for i in range(5)} | {"a.txt": "a", "b.txt": "b", "there/sub/kept": "kept"}
+    rows = lambda frame: {r.file: bytes(r.content).decode() for r in frame.collect()}
+    assert rows(files.read_named(spark, str(tmp_path / "out"))) == want
+    names = spark.createDataFrame([(n,) for n in want], "file string").repartition(3)
+    listed = files.read_listed(names, str(tmp_path / "out"))
+    assert rows(files.read_named(spark, f"//{tmp_path}/out/")) == want  # as a file URI without its scheme
+    assert rows(listed) == want and "BinaryFile" not in listed._jdf.queryExecution().toString()

@@ -326,3 +326,23 @@ def test_pages_are_parsed_in_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"<title>{i}</title><p>" + "z" * (i * 7 % 150), "{}") for i in range(300)] + [(300, None, None)], "i long, h string, j string").coalesce(2)
     got = rows.select("i", html.page(F.col("h"))["title"].alias("t"), tx.json_excerpt(F.col("j"))["language"].alias("l")).collect()
     assert sorted((r.i, r.t, r.l) for r in got) == [(i, str(i) if i < 300 else None, "json" if i < 300 else None) for i in range(301)]
+
+
+def test_memory_of_a_parse_follows_the_slice(monkeypatch):
+    """A batch of sixteen times the pages takes no more of Python's memory than one of a few slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page_ = "<title>t</title>" + "<table><tr><th>k</th><td>v</td></tr></table><a href='/x'>y</a>" * 20
+    monkeypatch.setattr(html, "PARSED_BYTES", 1 << 15)
+
+    def peak(n):
+        batch = pa.array([page_] * n)
+        tracemalloc.start()
+        assert sum(map(len, html._parse(iter([batch])))) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(800) < 1.5 * peak(50)

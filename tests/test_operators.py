@@ -346,3 +346,19 @@ def test_memory_of_a_parse_follows_the_slice(monkeypatch):
         return most
 
     assert peak(800) < 1.5 * peak(50)
+
+
+def test_memory_of_a_page_follows_its_length():
+    """Elements that are left open don't each keep what comes after them."""
+    import tracemalloc
+
+    def peak(n):
+        page_ = "<title>t</title>" + "<p>abc " * n + "<a href='/x'>y<b>z"
+        tracemalloc.start()
+        p = html.parse_page(page_)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert p["links"] == [{"href": "/x", "label": "y z"}] and p["text"] == " ".join(["t", *["abc"] * n, "y", "z"])
+        return most
+
+    assert peak(1600) < 3 * peak(800)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from shale.llm import prefix, trie
 from shale.llm.arrow import chunks, texts_of
-from shale.llm.common import identified, kept, stored, table
+from shale.llm.common import cleaned, count, dropped, empty, identified, kept, stored, table
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -122,7 +122,7 @@ def _split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
     rows = _keyed(rows.withColumn("x", F.lit(0).cast("long")))
     for _ in range(64 // SPLIT_BITS + 1):
         large = kept(rows.groupBy(*KEY).count().where((F.col("count") > limit) & (F.col("d") < 64)).select(*KEY))
-        if large.isEmpty():
+        if empty(large):
             break
         step = F.least(F.lit(SPLIT_BITS), 64 - F.col("d"))
         masks = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget]
@@ -194,7 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with cleaned(now.sparkSession):
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.withColumnRenamed("v", "root")
         seen = state
@@ -203,7 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        dropped(before)
 
 
 def with_components(prints: DataFrame, limit: int = SUBTREE) -> DataFrame:
@@ -288,7 +290,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, _set) of wanted's nodes, stored."""
     wanted = kept(wanted.select("node").distinct().join(nodes.select("node", F.col("_best")["_rid"].alias("_rid")), "node"))
-    if wanted.count() <= BROADCAST:  # else the texts are shuffled
+    if count(wanted) <= BROADCAST:  # else the texts are shuffled
         wanted = F.broadcast(wanted)
     return stored(shingle_sets(rows.select("_rid", "text").join(wanted, "_rid").select("node", "text")), "dedup-sets")
 
@@ -308,12 +310,15 @@ def _gathered(found: DataFrame) -> DataFrame:
     found = kept(found.distinct())
     least = F.min(F.struct("size", "v")).over(Window.partitionBy("u"))["v"]
     placed = kept(found.withColumn("_m", least).select("u", "v", F.col("_m").alias("m")))
+    dropped(found)
     pairs = placed.select("u", F.col("m").alias("v")).unionByName(placed.select(F.col("v").alias("u"), F.col("m").alias("v")))
-    return kept(pairs.where("u <> v").distinct())
+    out = kept(pairs.where("u <> v").distinct())
+    dropped(placed)
+    return out
 
 
 def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bits: int = BITS, budget: int = BUDGET) -> DataFrame:
-    """(u, v): verified links between nodes (node, size, _parts, CHECKED, _best) that connect all candidates that are similar.
+    """(u, root): the components of nodes (node, size, _parts, CHECKED, _best) by verified links that connect all candidates that are similar.
 
     Each member of a group of candidates is compared with the group's smallest set first. What that connects needs no other
     link, so a dense group doesn't cost the square of its size: pages whose template alone makes them similar are all linked to
@@ -325,22 +330,24 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
     # A document has a row in every trie; only those of some parts are shuffled together, and gone before the next ones are.
     rounds = [kept(links(nodes, tables[i : i + ROUND], bits, budget, NEAR, limit).distinct()) for i in range(0, TABLES, ROUND)]
     stars = _gathered(reduce(DataFrame.unionByName, rounds))
-    first = kept(_verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity))
-    labels = lambda links_: kept(components(links_)).select(F.col("u").alias("node"), "root")
-    label = labels(first)
-    roots = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
+    for found in rounds:
+        dropped(found)
+    first = _verified(stars, _sets(stars.select(F.explode(F.array("u", "v")).alias("node")), nodes, rows), similarity)
+    label = components(first)
+    roots = lambda x: label.select(F.col("u").alias(x), F.col("root").alias(f"{x}r"))
     rooted = stars.join(roots("u"), "u", "left").join(roots("v"), "v", "left")
     apart = F.coalesce("ur", "u") != F.coalesce("vr", "v")
     unsettled = rooted.groupBy("v").agg(F.max(apart).alias("_open")).where("_open").select("v")
     members = kept(stars.join(unsettled, "v", "left_semi").select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    if members.isEmpty():
-        return first
+    if empty(members):
+        return label
     sets = _sets(members, nodes, rows)
     prefixes = prefix.entries(sets, similarity)
-    linked = first
-    for found in (lambda: prefix.stars(prefixes), lambda: prefix.candidates(prefixes, labels(linked), similarity)):
-        linked = kept(linked.unionByName(_verified(kept(found()), sets, similarity)))
-    return linked
+    for found in (lambda: prefix.stars(prefixes), lambda: prefix.candidates(prefixes, label.withColumnRenamed("u", "node"), similarity)):
+        more = kept(_verified(kept(found()), sets, similarity))
+        if not empty(more):  # what is connected so far takes a row for each node, not its links
+            label = components(label.select("u", F.col("root").alias("v")).unionByName(more))
+    return label
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SUBTREE, from_files: bool = False) -> DataFrame:
@@ -351,13 +358,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SU
     other columns stay as they are. from_files: see :func:`~shale.llm.common.identified`.
     """
     rows = identified(docs, from_files, "dedup")
-    bits, budget = shape(docs.count())
+    bits, budget = shape(count(docs))
     prints = stored(set_prints(rows.select(F.col("doc_id").cast("long"), "_rid", "text"), bits), "dedup")
     # One row for each set of shingles, however many copies it has, with the document to keep.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_best")
     nodes = prints.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("size", "_parts", *CHECKED)], best)
     nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "size", "_parts", *CHECKED, "_best"))
-    stars = components(similar(nodes, rows, similarity, limit, bits, budget)).withColumnRenamed("u", "node")
+    stars = similar(nodes, rows, similarity, limit, bits, budget).withColumnRenamed("u", "node")
     rooted = nodes.select("node", "_best").join(stars, "node", "left")
     first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("_best")["_rid"].alias("_rid"))
     return rows.select("_rid", "_row").join(first.select("_rid"), "_rid", "left_semi").select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shale.llm import spans as sp
-from shale.llm.common import identified, kept, stored, table, whole_text
+from shale.llm.common import count, identified, kept, stored, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -116,7 +116,7 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     addresses and words doesn't make a row for each two of them.
     """
     text_id = F.xxhash64(whole_text("text"))
-    n = texts.select(text_id.alias("_text_id")).distinct().count()
+    n = count(texts.select(text_id.alias("_text_id")).distinct())
     own = found.where(F.col("_own").isNotNull())
     members = kept(own.select("_text_id", F.explode("_ents").alias("ent")).distinct())
     entities = _classes(members, "ent", "ents").where((F.col("n") >= SUPPORT) & (F.col("n") < n))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shale.llm.common import kept
+from shale.llm.common import count, kept
 
 #: Sets of an element from which it counts as frequent; frequent elements that travel to the workers (8 MB).
 FREQUENT, BROADCAST = 32, 1 << 20
@@ -87,7 +87,7 @@ def entries(sets: DataFrame, similarity: float, frequent: int = FREQUENT, broadc
     """The prefixes of sets (node, _set array<long> of distinct elements), stored: (element, frequent, node, n elements, h frequent ones)."""
     counts = sets.select(F.explode("_set").alias("element")).groupBy("element").agg(F.count("*").alias("_sets")).where(F.col("_sets") > frequent)
     often = kept(counts.select("element"))
-    if often.count() <= broadcast:
+    if count(often) <= broadcast:
         return kept(_entries(sets, np.sort(often.toArrow().column("element").to_numpy()), similarity))
     return kept(_entries_joined(sets, often, similarity))
 

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,3 +167,23 @@ def test_rounds_of_parts(spark, monkeypatch):
     assert asked == [16, 16, 8]
     monkeypatch.setattr(op, "ROUND", op.TABLES)
     assert some == sorted(r.doc_id for r in op.deduplicate(docs).collect()) and len(some) < 40
+
+
+def test_deduplicate_leaves_no_shuffle_files(spark):
+    """What the steps have shuffled is off the disks when each ends, and of the rounds of components only the last one is kept."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data")}
+    rows = [(i, " ".join(f"w{(i // 4) * 50 + k if k != i % 4 else -i}" for k in range(50))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = files()
+    out = op.deduplicate(docs)
+    for _ in range(100):  # they are removed in the background
+        if files() - before:
+            time.sleep(0.1)
+    assert not files() - before
+    assert out.count() < 40
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    kept = set(os.listdir(shared))
+    chain = op.components(spark.range(60).selectExpr("id AS u", "id + 1 AS v"))
+    assert {(r.u, r.root) for r in chain.collect()} == {(i, 0) for i in range(1, 61)}
+    assert len(set(os.listdir(shared)) - kept) == 1

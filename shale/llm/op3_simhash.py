@@ -227,23 +227,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Near-duplicates of whole documents, as the pipeline removes them: words of a shingle, and their Jaccard similarity.
 SIZE, SIMILARITY = 5, 0.8
 #: At that similarity a bit differs with a chance of 0.15. Candidates differ in at most BUDGET bits in one of TABLES parts of
-#: BITS bits, and in at most NEAR of 128. Of simulated pairs at just 0.8 that finds 99.6 %, and more above. Two documents
-#: that have nothing in common meet in a part with a chance of about 2 in a million; more documents take longer parts (:func:`shape`).
-WORDS, TABLES, BITS, BUDGET, NEAR = 4, 40, 28, 2, 34
-#: Bits that come with a further bit of the budget: recall at 0.8 stays, chance candidates become thirteen times fewer.
-MORE_BITS = 8
+#: BITS bits, and in at most NEAR of 128. Of simulated pairs at just 0.8 that finds 99.5 %, and more above.
+WORDS, TABLES, BITS, BUDGET, NEAR = 4, 40, 20, 1, 34
+#: Parts for more and more documents: (bits, budget) and how many of them find as many pairs as the first ones. A walk looks at few
+#: nodes besides the candidates while the budget is small, so longer parts come before larger budgets.
+SHAPES = {(BITS, BUDGET): TABLES, (22, 1): 60, (24, 1): 90, (32, 2): 90, (36, 3): 60, (44, 4): 90}
+#: Chance candidates of a document in a part, at most, as far as there are longer parts: as many as the walk's nodes cost anyway.
+CHANCE = 64
 #: Parts whose tries are on the disks at a time.
-ROUND = 8
+ROUND = 10
 #: Candidates whose keys are broadcast, at most (about 32 MB); bytes of text whose sets are held at a time.
 BROADCAST, SETS_BYTES = 1 << 20, 1 << 20
 
 
 def shape(n: int) -> tuple[int, int]:
-    """(bits, budget) of a part for n documents: as many as leave each of them two chance candidates in a part, at most."""
-    bits, budget = BITS, BUDGET
-    while bits + MORE_BITS <= 64 and n * sum(math.comb(bits, k) for k in range(budget + 1)) > 2 << bits:
-        bits, budget = bits + MORE_BITS, budget + 1
-    return bits, budget
+    """(bits, budget) of a part for n documents: the first of SHAPES that leave each of them CHANCE chance candidates in a part, at most."""
+    fits = (s for s in SHAPES if n * sum(math.comb(s[0], k) for k in range(s[1] + 1)) <= CHANCE << s[0])
+    return next(fits, list(SHAPES)[-1])
 
 
 def distinct(text: str, size: int) -> np.ndarray:
@@ -251,23 +251,28 @@ def distinct(text: str, size: int) -> np.ndarray:
     return np.unique(np.array(hashes(text, size), dtype=np.uint64))
 
 
-def set_prints(docs: DataFrame, width: int = BITS) -> DataFrame:
-    """docs' columns but text, ``_key`` (digest of the set of shingles), ``size`` of it, ``_parts`` (TABLES longs of width bits), and CHECKED."""
+def places(width: int, tables: int) -> list[np.ndarray]:
+    """The bits of a fingerprint that each of so many parts takes: those of one order have none in common."""
+    rng, per = np.random.default_rng(SEED), 64 * WORDS // width
+    orders = [np.arange(64 * WORDS)] + [rng.permutation(64 * WORDS) for _ in range(-(-tables // per) - 1)]
+    return [o[i * width : (i + 1) * width] for o in orders for i in range(per)][:tables]
+
+
+def set_prints(docs: DataFrame, width: int = BITS, tables: int = TABLES) -> DataFrame:
+    """docs' columns but text, ``_key`` (digest of the set of shingles), ``size`` of it, ``_parts`` (tables longs of width bits), and CHECKED."""
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("_key", T.BinaryType()).add("size", T.LongType()).add("_parts", T.ArrayType(T.LongType()))
     for c in CHECKED:
         schema = schema.add(c, T.LongType())
-    rng = np.random.default_rng(SEED)
-    per = 64 * WORDS // width
-    orders = [np.arange(64 * WORDS)] + [rng.permutation(64 * WORDS) for _ in range(-(-TABLES // per) - 1)]
+    own = places(width, tables)
     weights = np.left_shift(np.int64(1), np.arange(width - 1, -1, -1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SETS_BYTES):
             found = [distinct(t, SIZE) for t in texts_of(batch)]
             bits = bit_matrix(found, len(found), WORDS)
-            parts = np.concatenate([bits[:, o[: per * width]].reshape(-1, per, width) @ weights for o in orders], axis=1)[:, :TABLES]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TABLES), pa.array(parts.ravel()))
+            parts = np.stack([bits[:, at] @ weights for at in own], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * tables), pa.array(parts.ravel()))
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
             sizes, longs = pa.array(list(map(len, found)), pa.int64()), as_longs(bits)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], keys, sizes, lists, *[pa.array(longs[:, k]) for k in range(len(CHECKED))]], [*rest, "_key", "size", "_parts", *CHECKED])
@@ -317,7 +322,7 @@ def _gathered(found: DataFrame) -> DataFrame:
     return out
 
 
-def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bits: int = BITS, budget: int = BUDGET) -> DataFrame:
+def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bits: int = BITS, budget: int = BUDGET, parts: int = TABLES) -> DataFrame:
     """(u, root): the components of nodes (node, size, _parts, CHECKED, _best) by verified links that connect all candidates that are similar.
 
     Each member of a group of candidates is compared with the group's smallest set first. What that connects needs no other
@@ -326,9 +331,9 @@ def similar(nodes: DataFrame, rows: DataFrame, similarity: float, limit: int, bi
     edited copies with what they all go back to, then all that can be similar across the components so far. Of pages that a
     common template makes candidates, but not similar, no pairs arise there.
     """
-    tables = [F.col("_parts")[i] for i in range(TABLES)]
+    tables = [F.col("_parts")[i] for i in range(parts)]
     # A document has a row in every trie; only those of some parts are shuffled together, and gone before the next ones are.
-    rounds = [kept(links(nodes, tables[i : i + ROUND], bits, budget, NEAR, limit).distinct()) for i in range(0, TABLES, ROUND)]
+    rounds = [kept(links(nodes, tables[i : i + ROUND], bits, budget, NEAR, limit).distinct()) for i in range(0, parts, ROUND)]
     stars = _gathered(reduce(DataFrame.unionByName, rounds))
     for found in rounds:
         dropped(found)
@@ -359,12 +364,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = SU
     """
     rows = identified(docs, from_files, "dedup")
     bits, budget = shape(count(docs))
-    prints = stored(set_prints(rows.select(F.col("doc_id").cast("long"), "_rid", "text"), bits), "dedup")
+    parts = SHAPES[bits, budget]
+    prints = stored(set_prints(rows.select(F.col("doc_id").cast("long"), "_rid", "text"), bits, parts), "dedup")
     # One row for each set of shingles, however many copies it has, with the document to keep.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_best")
     nodes = prints.groupBy("_key").agg(*[F.first(c).alias(c) for c in ("size", "_parts", *CHECKED)], best)
     nodes = kept(nodes.select(F.monotonically_increasing_id().alias("node"), "size", "_parts", *CHECKED, "_best"))
-    stars = similar(nodes, rows, similarity, limit, bits, budget).withColumnRenamed("u", "node")
+    stars = similar(nodes, rows, similarity, limit, bits, budget, parts).withColumnRenamed("u", "node")
     rooted = nodes.select("node", "_best").join(stars, "node", "left")
     first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("_best")["_rid"].alias("_rid"))
     return rows.select("_rid", "_row").join(first.select("_rid"), "_rid", "left_semi").select("_row.*")

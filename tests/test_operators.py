@@ -362,3 +362,11 @@ def test_memory_of_a_page_follows_its_length():
         return most
 
     assert peak(1600) < 3 * peak(800)
+
+
+def test_cut_entities_are_characters(spark):
+    """An entity that lost its semicolon where a title was cut is its character, as HTML has it; what is no entity stays."""
+    pages = spark.createDataFrame([(1, "<title>a = &quot</title><h1>a = &quot</h1>"), (2, "<title>b &amp</title>"), (3, "<title>c &quo</title>")], "page_id long, html string")
+    rows = html.with_page(pages).select("page_id", html.title(html.F.col("page")).alias("t"), "page.text").collect()
+    assert {r.page_id: r.t for r in rows} == {1: 'a = "', 2: "b &", 3: "c &quo"}
+    assert {r.page_id: r.text for r in rows}[1] == 'a = " a = "'

@@ -36,7 +36,7 @@ from shale.llm.common import cleaned, count, dropped, empty, identified, kept, s
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Members of a subtree that one task joins; members of smaller ones that are joined at a time; bits by which a larger one is split.
-SUBTREE, TOGETHER, SPLIT_BITS = 1 << 17, 1 << 16, 6
+SUBTREE, TOGETHER, SPLIT_BITS = 1 << 17, 1 << 15, 6
 #: Hashes whose bits are unpacked at a time.
 SLICE = 1 << 14
 
@@ -235,7 +235,7 @@ SHAPES = {(BITS, BUDGET): TABLES, (22, 1): 60, (24, 1): 90, (32, 2): 90, (36, 3)
 #: Chance candidates of a document in a part, at most, as far as there are longer parts: as many as the walk's nodes cost anyway.
 CHANCE = 64
 #: Parts whose tries are on the disks at a time.
-ROUND = 10
+ROUND = 8
 #: Candidates whose keys are broadcast, at most (about 32 MB); bytes of text whose sets are held at a time.
 BROADCAST, SETS_BYTES = 1 << 20, 1 << 20
 
